@@ -44,8 +44,9 @@ def exact_dedup(
     again = F.coalesce(F.col("_again"), F.lit(False))
     full = F.sha2(ascii_lower(F.col("_text")), 256)
     hashed = cut(flagged.select("doc_id", again.alias("_again"), (full if digest_all else F.when(again, full)).alias("text_sha256")))
-    copies = hashed.filter("_again").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_m"))
-    groups = copies.groupBy(F.col("text_sha256").alias("_sha")).agg(F.max("doc_id").alias("keep_id"), F.sum("_m").alias("group_size"))
+    copies = cut(hashed.filter("_again").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_m")))
+    # written out, so that the join below meets two plain exchanges and a skewed one can be split
+    groups = cut(copies.groupBy(F.col("text_sha256").alias("_sha")).agg(F.max("doc_id").alias("keep_id"), F.sum("_m").alias("group_size")))
     decided = (
         copies.join(groups, F.col("text_sha256") == F.col("_sha"))
         .select("doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1), F.col("_m").cast("int"))).alias("_i"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, running_total, same, table
+from ._common import checked_broadcast, cut, running_total, same, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 EPS = 1e-9
+#: Rows of per-source tables that are broadcast at most; with more sources, documents and sources are joined by a shuffle.
+BROADCAST_SOURCES = 200_000
 
 
 def source_targets(sizes: DataFrame, share: float, weights: tuple[int, ...], cap: float) -> DataFrame:
@@ -93,6 +95,7 @@ def mix_sources(
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     sizes = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), size.alias("size")))
     targets = source_targets(sizes, share, weights, cap)
+    targets = checked_broadcast(targets, targets.count(), BROADCAST_SOURCES)
     rated = sizes.join(targets, same(F.col("_source"), F.col("_of")), "left").drop("_of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = rated.withColumn("_whole", F.floor(rate + EPS).cast("long")).withColumn("_p", F.greatest(rate - F.floor(rate + EPS), F.lit(0.0)))
@@ -102,7 +105,8 @@ def mix_sources(
 
     per = rated.filter(open_row).groupBy("_source", "source_size", "target", "_whole", "_p").agg(F.count("*").alias("_n"))
     groups = cut(per.select(F.col("_source").alias("_of"), F.ceil(F.col("_n") / fan_in).cast("long").alias("_groups")))
-    most = groups.agg(F.max("_groups")).first()[0] or 0
+    many, most = groups.agg(F.count("*"), F.max("_groups")).first()
+    most, groups = most or 0, checked_broadcast(groups, many, BROADCAST_SOURCES)
     nodes = (
         rated.filter(open_row)
         .join(groups, same(F.col("_source"), F.col("_of")))
