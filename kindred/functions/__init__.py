@@ -1 +1 @@
-"""."""
+"""Column functions: vectors, boxes, and small text and number rules."""

@@ -1 +1,7 @@
-"""."""
+"""Structured Streaming forms of queues and trackers; each gives what its batch form gives on the same rows."""
+
+from .jobs import drain, listen, maintain
+from .queues import accepted_stream, routed_stream
+from .tracks import track_stream
+
+__all__ = ["accepted_stream", "drain", "listen", "maintain", "routed_stream", "track_stream"]
