@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..cluster import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -18,16 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_SHIPPED: set[str] = set()
-
-
 def small_batches(spark: SparkSession) -> None:
     """Send this package to the executors, and bound what one Arrow batch of long texts can hold in a Python worker."""
-    if spark.sparkContext.applicationId not in _SHIPPED:
-        top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "kindred"), "zip", top, "kindred")
-        spark.sparkContext.addPyFile(archive)
-        _SHIPPED.add(spark.sparkContext.applicationId)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
