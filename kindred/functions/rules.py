@@ -72,3 +72,19 @@ def thumbnail_quality(edge: Column, confidence: Column, similarity: Column, pres
 
 def body_score(similarity: Column) -> Column:
     return F.coalesce(F.least(F.greatest((similarity + 1) * 0.5, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+
+
+def media_kind(path: Column) -> Column:
+    """video or image, by the extension in any case."""
+    extension = F.lower(F.element_at(F.split(path, r"\."), -1))
+    return F.when(extension.isin("mp4", "mov", "mkv", "avi", "webm", "ts", "flv"), "video").otherwise("image")
+
+
+def data_url(content: Column, mime: str = "image/jpeg") -> Column:
+    return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))
+
+
+def thumbnail_size(width: Column, height: Column, most: int = 280) -> tuple[Column, Column]:
+    """Size with no side above `most`, never enlarged, a pixel at least."""
+    scale = F.least(F.lit(float(most)) / width, F.lit(float(most)) / height, F.lit(1.0))
+    return tuple(F.greatest(F.floor(side * scale + 0.5), F.lit(1)).cast("long") for side in (width, height))

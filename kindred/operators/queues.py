@@ -67,3 +67,14 @@ def discovery_key(scan: Column, video: Column, expected: Column) -> Column:
 
 def rescan_key(scan: Column, expected: Column, splits: Column) -> Column:
     return F.concat_ws(":", F.lit("rescan"), scan, F.coalesce(expected.cast("string"), F.lit("none")), F.array_join(splits.cast("array<string>"), "-"))
+
+
+def message_ids(kind: Column, at_ms: Column) -> tuple[Column, Column]:
+    """The message id and trace id of a message of a kind made at a time."""
+    return F.concat_ws("-", F.lit("msg"), kind, at_ms.cast("string")), F.concat_ws("-", F.lit("trace"), kind, (at_ms % 100_000).cast("string"))
+
+
+def send_options(queue: Column, key: Column, group: str = "kindred") -> tuple[Column, Column]:
+    """Group and deduplication id for an ordered queue service; null where the queue's name does not end in .fifo."""
+    ordered = queue.endswith(".fifo")
+    return F.when(ordered, F.concat_ws("-", F.lit(group), F.split(queue, r"\.")[0])), F.when(ordered, key)

@@ -47,7 +47,7 @@ def _(spark, d):
     return frames(spark, d).filter("frame_index % 12 = 0").select("frame_index").orderBy("frame_index").limit(900)
 
 
-@P.add("src3_frame_count", """SELECT frame_index, CASE WHEN frame_index % 3 = 0 THEN frame_index WHEN half_size > 300 THEN floor(half_size * 30 + 0.5)::BIGINT WHEN miss_count > 5 THEN floor(miss_count * 30.0 + 0.5)::BIGINT ELSE 0 END AS n FROM fr""")
+@P.add("src3_frame_count", """SELECT frame_index, CASE WHEN frame_index % 3 = 0 AND frame_index > 0 THEN frame_index WHEN half_size > 300 THEN floor(half_size * 30 + 0.5)::BIGINT WHEN miss_count > 5 THEN floor(miss_count * 30.0 + 0.5)::BIGINT ELSE 0 END AS n FROM fr""")
 def _(spark, d):
     nb = F.when(F.col("frame_index") % 3 == 0, F.col("frame_index")).otherwise(0)
     seconds = F.when(F.col("half_size") > 300, F.col("half_size")).otherwise(0.0)

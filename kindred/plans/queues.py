@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.rules import duration_text, eta_seconds
+from ..functions.rules import data_url, duration_text, eta_seconds, media_kind, thumbnail_size
 from ..operators import catalog, queues
 from ..sources import artifacts, events, messages, sessions, table
 from ._views import Plans
@@ -144,3 +144,22 @@ def _(spark, d):
   ELSE (s // 3600) || 'h' || CASE WHEN (s // 60) % 60 = 0 THEN '' ELSE ' ' || ((s // 60) % 60) || 'm' END END AS text FROM (SELECT DISTINCT id * 7 % 9000 AS s FROM ev)""")
 def _(spark, d):
     return events(spark, d).select((F.col("id") * 7 % 9000).alias("s")).distinct().select("s", duration_text(F.col("s")).alias("text"))
+
+
+@P.add("snk12_send_options", """SELECT seq, CASE WHEN seq % 2 = 0 THEN 'kindred-' || queue END AS group_id, CASE WHEN seq % 2 = 0 THEN idempotency_key END AS dedup_id,
+  'msg-' || queue || '-' || created_at_ms AS message_id, 'trace-' || queue || '-' || (created_at_ms % 100000) AS trace_id FROM msg""")
+def _(spark, d):
+    name = F.when(F.col("seq") % 2 == 0, F.concat("queue", F.lit(".fifo"))).otherwise(F.col("queue"))
+    group, dedup = queues.send_options(name, F.col("idempotency_key"))
+    message, trace = queues.message_ids(F.col("queue"), F.col("created_at_ms"))
+    return messages(spark, d).select("seq", group.alias("group_id"), dedup.alias("dedup_id"), message.alias("message_id"), trace.alias("trace_id"))
+
+
+@P.add("src5_thumbnails", """SELECT p AS path, CASE WHEN id % 3 = 0 THEN 'video' ELSE 'image' END AS kind, greatest(floor(w * s + 0.5)::BIGINT, 1) AS tw, greatest(floor(h * s + 0.5)::BIGINT, 1) AS th, 'data:image/jpeg;base64,' || to_base64(encode(p)) AS url
+  FROM (SELECT *, least(280::DOUBLE / w, 280::DOUBLE / h, 1::DOUBLE) AS s FROM (SELECT id, 'clip-' || id || ['.MP4', '.jpg', '.png'][(id % 3 + 1)::INT] AS p, id * 13 % 2000 + 1 AS w, id * 7 % 900 + 1 AS h FROM ev))""")
+def _(spark, d):
+    key = F.col("id")
+    path = F.concat(F.lit("clip-"), key.cast("string"), F.element_at(F.array(F.lit(".MP4"), F.lit(".jpg"), F.lit(".png")), (key % 3 + 1).cast("int")))
+    rows = events(spark, d).select(path.alias("path"), (key * 13 % 2000 + 1).alias("w"), (key * 7 % 900 + 1).alias("h"))
+    tw, th = thumbnail_size(F.col("w"), F.col("h"))
+    return rows.select("path", media_kind(F.col("path")).alias("kind"), tw.alias("tw"), th.alias("th"), data_url(F.col("path").cast("binary")).alias("url"))

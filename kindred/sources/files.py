@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rules import media_kind
+
 MESSAGE = T.StructType([
     T.StructField("queue", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("message_type", T.StringType()),
     T.StructField("job_id", T.StringType()), T.StructField("idempotency_key", T.StringType()), T.StructField("created_at_ms", T.LongType()),
@@ -27,6 +29,12 @@ def bundle_listing(spark: SparkSession, folder: str, manifest: str = "manifest.j
     )
 
 
+def media(spark: SparkSession, folder: str) -> DataFrame:
+    """Media files of a folder with their kind and content; contents are read only if selected."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", media_kind(F.col("path")).alias("kind"), F.col("length").alias("bytes"), "content")
+
+
 def resolutions(text: str) -> Column:
     """Resolved duplicates of a stored text: objects, or legacy pairs [a, b] that keep a."""
     objects = F.from_json(text, T.ArrayType(RESOLUTION))
