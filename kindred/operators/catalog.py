@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sessions import beside
+
 
 def newest_bundles(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """Newest first, ties by name descending; 1 to 500 rows, 30 by default."""
@@ -54,9 +56,9 @@ def carried_over(rows: DataFrame, states: DataFrame) -> DataFrame:
 
 def diagnostics(sessions: DataFrame, events: DataFrame, queues: DataFrame, n_sessions: int = 50, n_events: int = 80) -> DataFrame:
     """One JSON text with counts, the newest sessions and events (bounded by the report's size) and the queues."""
-    counts = sessions.agg(F.count("*").alias("sessions")).crossJoin(events.agg(F.count("*").alias("events")))
+    counts = [sessions.agg(F.count("*").alias("sessions")), events.agg(F.count("*").alias("events"))]
     top = lambda rows, n, *order: rows.orderBy(*[F.desc(c) for c in order]).limit(n)
     s = top(sessions, n_sessions, "updated_at_ms", "scan_id").agg(F.array_sort(F.collect_list(F.struct("updated_at_ms", "scan_id", "status"))).alias("recent_sessions"))
     e = top(events, n_events, "at_ms", "id").agg(F.array_sort(F.collect_list(F.struct("at_ms", "id", "scan_id", "action"))).alias("recent_events"))
     q = queues.agg(F.array_sort(F.collect_list(F.struct("queue", "depth"))).alias("queues"))
-    return counts.crossJoin(s).crossJoin(e).crossJoin(q).select(F.to_json(F.struct("*")).alias("report"))
+    return beside(*counts, s, e, q).select(F.to_json(F.struct("*")).alias("report"))

@@ -12,28 +12,35 @@ from ..functions.vectors import clamp, dot, finite, unit_or_empty
 GALLERY_ROWS = 100_000
 
 
-def best_in_gallery(rows: DataFrame, gallery: DataFrame, key: str, out: str, same_length: bool = False, embedding: str = "embedding", rows_limit: int = GALLERY_ROWS) -> DataFrame:
-    """`rows` with the largest cosine against any gallery vector; null for an empty gallery.
+def _met(rows: DataFrame, gallery: DataFrame, packed: Column, rows_limit: int) -> tuple[DataFrame, int]:
+    """`rows` beside each block of the gallery, packed as the array _gs; and the number of blocks.
 
-    With same_length only vectors of equal length count and the result is clamped to [-1, 1]. The gallery is packed into
-    blocks of vectors, so each row meets each block once and keeps one maximum per block: no pair is written out.
+    Each row meets each block of about a thousand vectors once. No pair of vectors is written out.
     """
     n = gallery.count()
     blocks = max(1, -(-n // 1000))
-    packed = gallery.select(F.col(embedding).alias("_g")).groupBy(F.pmod(F.xxhash64("_g"), F.lit(blocks)).alias("_b")).agg(F.collect_list("_g").alias("_gs"))
+    block = F.pmod(F.xxhash64(*gallery.columns), F.lit(blocks)).alias("_b")
+    by_block = gallery.groupBy(block).agg(F.collect_list(packed).alias("_gs"))
+    spread = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return spread.join(F.broadcast(by_block) if n <= rows_limit else by_block, "_b", "left").drop("_b"), blocks
+
+
+def best_in_gallery(rows: DataFrame, gallery: DataFrame, key: str, out: str, same_length: bool = False, embedding: str = "embedding", rows_limit: int = GALLERY_ROWS) -> DataFrame:
+    """`rows` with the largest cosine against any gallery vector; null for an empty gallery.
+
+    With same_length only vectors of equal length count and the result is clamped to [-1, 1].
+    """
     mine = F.col(embedding)
 
     def of(g: Column) -> Column:
         value = dot(mine, g)
         return F.when(F.size(g) == F.size(mine), clamp(value, -1, 1)) if same_length else value
 
-    top = F.array_max(F.filter(F.transform("_gs", of), lambda s: finite(s)))
-    spread = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    met = spread.join(F.broadcast(packed) if n <= rows_limit else packed, "_b", "left").select(*rows.columns, top.alias("_top"))
+    met, blocks = _met(rows, gallery.select(F.col(embedding).alias("_g")), F.col("_g"), rows_limit)
+    met = met.select(*rows.columns, F.array_max(F.filter(F.transform("_gs", of), lambda s: finite(s))).alias(out))
     if blocks == 1:
-        return met.withColumnRenamed("_top", out)
-    found = met.groupBy(key).agg(F.max("_top").alias(out))
-    return rows.join(found, key, "left")
+        return met
+    return rows.join(met.groupBy(key).agg(F.max(out).alias(out)), key, "left")
 
 
 def target_margin(rows: DataFrame, targets: DataFrame, negatives: DataFrame, key: str) -> DataFrame:
@@ -61,12 +68,12 @@ def body_gallery(rows: DataFrame, of: str = "scan_id", others: int = 2) -> DataF
     return own.unionByName(picked)
 
 
-def nearest(rows: DataFrame, centroids: DataFrame, key: str) -> DataFrame:
-    """The centroid of largest cosine for each row, the smallest id of equal ones. Centroids are few: they are broadcast if counted so."""
-    c = centroids.select(F.col("id").alias("_cid"), F.col("embedding").alias("_c"))
-    packed = c.agg(F.array_sort(F.collect_list(F.struct("_cid", "_c"))).alias("_all"))
-    scored = F.transform("_all", lambda g: F.struct(dot(F.col("embedding"), g["_c"]).alias("similarity"), (-g["_cid"]).alias("k")))
-    best = rows.join(F.broadcast(packed)).select(key, F.array_max(scored).alias("_m"))
+def nearest(rows: DataFrame, centroids: DataFrame, key: str, rows_limit: int = GALLERY_ROWS) -> DataFrame:
+    """The centroid of largest cosine for each row, the smallest id of equal ones; none without centroids."""
+    named = centroids.select(F.col("id").alias("_cid"), F.col("embedding").alias("_c"))
+    met, _ = _met(rows.select(key, "embedding"), named, F.struct("_cid", "_c"), rows_limit)
+    scored = F.transform("_gs", lambda g: F.struct(dot(F.col("embedding"), g["_c"]).alias("similarity"), (-g["_cid"]).alias("k")))
+    best = met.select(key, F.array_max(scored).alias("_m")).groupBy(key).agg(F.max("_m").alias("_m")).filter("_m is not null")
     return best.select(key, (-F.col("_m.k")).alias("nearest_id"), F.col("_m.similarity").alias("similarity"))
 
 

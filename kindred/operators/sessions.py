@@ -84,6 +84,14 @@ def expired(sessions: DataFrame, now_ms: int, age_ms: int, least_age_ms: int = 6
     return sessions.filter(F.col("updated_at_ms") < now_ms - max(age_ms, least_age_ms))
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """Tables of one row each, with different columns, as one row."""
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out.agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns])
+
+
 def without(rows: DataFrame, keys: DataFrame, on: str = "scan_id") -> DataFrame:
     return rows.join(keys.select(on), on, "left_anti")
 
@@ -96,8 +104,9 @@ def maintenance(sessions: DataFrame, events: DataFrame, now_ms: int, age_ms: int
     old = expired(sessions, now_ms, age_ms)
     left_events = without(events, old)
     kept = newest(left_events, max(per_scan, 10)).drop("rn")
-    counts = old.agg(F.count("*").alias("deleted_sessions")).crossJoin(
-        left_events.groupBy("scan_id").agg(F.greatest(F.count("*") - max(per_scan, 10), F.lit(0)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("deleted_events"))
+    counts = beside(
+        old.agg(F.count("*").alias("deleted_sessions")),
+        left_events.groupBy("scan_id").agg(F.greatest(F.count("*") - max(per_scan, 10), F.lit(0)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("deleted_events")),
     )
     return {"sessions": without(sessions, old), "events": kept, "counts": counts}
 

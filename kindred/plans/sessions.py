@@ -29,7 +29,7 @@ def _(spark, d):
 
 @P.add("agg2_store_counts", "SELECT (SELECT count(*) FROM ses)::BIGINT AS sessions, (SELECT count(*) FROM ev)::BIGINT AS events")
 def _(spark, d):
-    return sessions(spark, d).agg(F.count("*").alias("sessions")).crossJoin(events(spark, d).agg(F.count("*").alias("events")))
+    return ops.beside(sessions(spark, d).agg(F.count("*").alias("sessions")), events(spark, d).agg(F.count("*").alias("events")))
 
 
 @P.add("fil1_status", "SELECT scan_id, status FROM ses WHERE status = 'tracking'")
