@@ -58,19 +58,28 @@ def exact_dedup(
     return decided.unionByName(alone)
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that exact_dedup keeps, with all their columns."""
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """The rows of `docs` that exact_dedup keeps, with all their columns.
+
+    The rows to drop are named by id and text hash; their keys are broadcast if they are few, so the texts stay where they are.
+    """
     names = docs.columns
     found = exact_dedup(docs, id_col, text_col).filter("group_size > 1")
-    verdict = found.groupBy(F.col("doc_id").alias("_k_id"), F.col("text_sha256").alias("_k_sha")).agg(
-        F.max("kept").alias("_k_kept"), F.count("*").alias("_k_rows")
+    verdict = cut(
+        found.groupBy(F.col("doc_id").alias("_k_id"), F.col("text_sha256").alias("_k_sha")).agg(F.max("kept").alias("_k_kept"), F.count("*").alias("_k_rows"))
     )
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    joined = docs.withColumn("_k_doc", sha).join(verdict, same(F.col(id_col), F.col("_k_id")) & (F.col("_k_doc") == F.col("_k_sha")), "left")
-    stay = joined.filter(F.coalesce(F.col("_k_kept"), F.lit(True)))
-    single = stay.filter(F.coalesce(F.col("_k_rows"), F.lit(1)) == 1).select(*names)
-    repeated = stay.filter(F.col("_k_rows") > 1).dropDuplicates(["_k_id", "_k_sha"]).select(*names)
-    return single.unionByName(repeated)
+    rows = docs.withColumn("_k_doc", sha)
+    is_it = same(F.col(id_col), F.col("_k_id")) & (F.col("_k_doc") == F.col("_k_sha"))
+    # rows that repeat id and text are all taken out, and one of each is put back
+    repeated = verdict.filter("_k_kept and _k_rows > 1").select("_k_id", "_k_sha")
+    gone = verdict.filter("not _k_kept or _k_rows > 1").select("_k_id", "_k_sha")
+    out = rows.join(checked_broadcast(gone, gone.count(), broadcast_keys), is_it, "left_anti").select(*names)
+    n = repeated.count()
+    if not n:
+        return out
+    again = rows.join(checked_broadcast(repeated, n, broadcast_keys), is_it).dropDuplicates(["_k_id", "_k_sha"]).select(*names)
+    return out.unionByName(again)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
