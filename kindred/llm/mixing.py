@@ -11,6 +11,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 EPS = 1e-9
 #: Rows of per-source tables that are broadcast at most; with more sources, documents and sources are joined by a shuffle.
 BROADCAST_SOURCES = 200_000
+#: Documents whose copies are broadcast at most; those of more documents are joined by a shuffle.
+BROADCAST_PLAN = 1_000_000
 
 
 def source_targets(sizes: DataFrame, share: float, weights: tuple[int, ...], cap: float) -> DataFrame:
@@ -159,7 +161,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame
     taken = mix_sources(docs, id_col=id_col, **how)
     times = F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(1)).cast("int")
     plan = taken.groupBy(F.col("doc_id").alias("_k_id")).agg(F.min_by(times, F.struct("size", "copies")).alias("_k_copies"))
-    joined = docs.join(plan, same(F.col(id_col), F.col("_k_id"))).filter("_k_copies > 0")
+    plan = cut(plan)
+    joined = docs.join(checked_broadcast(plan, plan.count(), BROADCAST_PLAN), same(F.col(id_col), F.col("_k_id"))).filter("_k_copies > 0")
     return joined.select(*names, F.explode(F.sequence(F.lit(1), F.col("_k_copies"))).alias("_k_i")).select(*names)
 
 
