@@ -11,11 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, cut, same, small_batches, table
+from ._common import LOWER, UPPER, cut, small_batches, table
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Variants that one bucket of a task is meant to hold; the number of buckets follows from it.
-BUCKET_VARIANTS = 2_000_000
+BUCKET_VARIANTS = 6_000_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -82,18 +82,27 @@ def ball_masks(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)], np.uint64)
 
 
-def _forest(values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Owners that share a value, as pairs of neighbours along each value's run; pairs are unique.
-
-    A run of m owners gives m - 1 pairs, and they connect the run.
-    """
+def _forest(values: np.ndarray, owners: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs of owners that share a value: as few as connect all owners that any chain of shared values connects."""
     order = np.argsort(values, kind="stable")
     v, o = values[order], owners[order]
     hit = np.flatnonzero((v[1:] == v[:-1]) & (o[1:] != o[:-1]))
     if not len(hit):
-        return hit, hit
+        return [], []
     pairs = np.unique(np.stack([np.minimum(o[hit], o[hit + 1]), np.maximum(o[hit], o[hit + 1])]), axis=1)
-    return pairs[0], pairs[1]
+    parent: dict[int, int] = {}
+    left, right = [], []
+    for a, b in pairs.T.tolist():
+        x, y = a, b
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        while parent.setdefault(y, y) != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[y] = x
+            left.append(a)
+            right.append(b)
+    return left, right
 
 
 def ball_pairs(points: DataFrame, bits: int, radius: int, rows: int) -> DataFrame:
@@ -102,8 +111,8 @@ def ball_pairs(points: DataFrame, bits: int, radius: int, rows: int) -> DataFram
     Every value emits all variants within radius / 2 of it, and variants meet: two values within `radius` bits share at
     least one. Variants are dealt by their leading bits. A value goes once to each bucket that holds any of its
     variants (not once per variant), and the bucket's task derives the variants that fall into it, sorts them
-    and links the values that share one. All sharers of a variant lie within `radius` of each other, so the
-    neighbours along a run carry every connection without writing out all pairs of a group.
+    and links the values that share one. All sharers of a variant lie within `radius` of each other, so each bucket
+    writes the pairs of a spanning forest: every connection, and fewer pairs than values however large a group is.
     """
     half = radius // 2
     lead = max(0, min(bits - 2, int(np.ceil(np.log2(max(1, rows * len(ball_masks(bits, half)) / BUCKET_VARIANTS))))))
