@@ -11,11 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, cut, small_batches, table
+from ._common import LOWER, UPPER, checked_broadcast, cut, small_batches, table
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Variants that one bucket of a task is meant to hold; the number of buckets follows from it.
 BUCKET_VARIANTS = 6_000_000
+#: Keys of documents that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -212,7 +214,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def jaccard_of_pairs(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) of ids whose sets of word shingles have a Jaccard similarity of at least `least`."""
-    texts = docs.select(F.col("_n").alias("_t"), F.col("_x"))
+    named = cut(pairs.select(F.explode(F.array("a", "b")).alias("_t")).distinct())
+    texts = docs.select(F.col("_n").alias("_t"), F.col("_x")).join(checked_broadcast(named, named.count(), BROADCAST_KEYS), "_t", "left_semi")
     full = pairs.join(texts, F.col("a") == F.col("_t")).select("a", "b", F.col("_x").alias("x"))
     full = full.join(texts, F.col("b") == F.col("_t")).select("a", "b", "x", F.col("_x").alias("y"))
 
@@ -254,7 +257,8 @@ def drop_near_copies(
     ids = source.select("_n", "_id")
     member = cut(roots.join(ids, F.col("node") == F.col("_n")).select("root", "_n", "_id"))
     best = member.groupBy("root").agg(F.max_by("_n", F.struct("_id", "_n")).alias("stays"))
-    gone = member.join(best, "root").filter("_n <> stays").select(F.col("_n").alias("_k_n")).distinct()
+    gone = cut(member.join(best, "root").filter("_n <> stays").select(F.col("_n").alias("_k_n")).distinct())
+    gone = checked_broadcast(gone, gone.count(), BROADCAST_KEYS)
     rows = docs.withColumn("_k_row", F.xxhash64(F.col(id_col), F.col(text_col)))
     return rows.join(gone, F.col("_k_row") == F.col("_k_n"), "left_anti").select(*names)
 
