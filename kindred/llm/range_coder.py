@@ -16,190 +16,189 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"KIDS0001"
+MAGIC = b"KIDS0002"
 _HEAD = struct.Struct("<8sIIIQ")
 _SLOTS = 10  # bits of the tables of predictions, per block
 _HIGH = 256  # an id's high part has so many values at most: ids below 65,536
 _STEP = 12  # added to the count of a literal's high part
 _REFRESH = 32  # ids between two updates of the order-0 sums
-_TOP, _BOTTOM = np.uint32(1 << 24), np.uint32(1 << 16)
+_LEAST = np.uint64(1 << 32)  # a block's range never falls below this between two decisions
+_W, _48 = np.uint64(16), np.uint64(48)
 
 
 class _Model:
-    """The adaptive state of `n` blocks."""
+    """The adaptive state of `n` blocks. A prediction is kept as id * 4 + confidence."""
 
     def __init__(self, n: int) -> None:
-        self.lane = np.arange(n)
-        self.row = self.lane << _SLOTS
-        self.row4, self.high_row = self.lane * 4, self.lane * (_HIGH + 1)
-        self.t2, self.t1 = np.full(n << _SLOTS, -1, np.int32), np.full(n << _SLOTS, -1, np.int32)
-        self.k2, self.k1 = np.zeros(n << _SLOTS, np.uint8), np.zeros(n << _SLOTS, np.uint8)
-        self.a = np.tile(np.array([[1, 1, 6], [3, 1, 2], [6, 1, 1], [12, 1, 1]], np.uint32), (n, 1))
-        self.b = np.tile(np.array([[1, 1, 6], [1, 3, 2], [1, 6, 1], [1, 12, 1]], np.uint32), (n, 1))
-        self.high = np.ones((n, _HIGH), np.uint32)
-        self.low = np.ones((n, 256), np.uint32)
-        self.c1, self.c2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.row = np.arange(n, dtype=np.int64) << _SLOTS
+        self.row12, self.literal_row = np.arange(n, dtype=np.int64) * 12, np.arange(n, dtype=np.int64) * (_HIGH + 1)
+        self.t2, self.t1 = np.full(n << _SLOTS, -4, np.int32), np.full(n << _SLOTS, -4, np.int32)
+        # counts of the three events, for each block and confidence
+        self.a = np.tile(np.array([1, 1, 6, 3, 1, 2, 6, 1, 1, 12, 1, 1], np.uint64), n)
+        self.b = np.tile(np.array([1, 1, 6, 1, 3, 2, 1, 6, 1, 1, 12, 1], np.uint64), n)
+        self.high, self.low = np.ones((n, _HIGH), np.uint32), np.ones((n, 256), np.uint32)
+        self.c1, self.c2 = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
         self.age = 0
 
     def look(self) -> None:
         if self.age % _REFRESH == 0:
             self.high_sum, self.low_sum = self._sums(self.high), self._sums(self.low)
         self.age += 1
-        self.at2 = self.row + (((self.c2 * 0x2C1B3C6D + self.c1 * 0x297A2D39) >> 12) & ((1 << _SLOTS) - 1))
-        self.at1 = self.row + (((self.c1 * 0x2C1B3C6D) >> 12) & ((1 << _SLOTS) - 1))
-        self.p2, self.p1 = self.t2[self.at2], self.t1[self.at1]
-        self.q2, self.q1 = self.k2[self.at2], self.k1[self.at1]
-        self.ra, self.rb = self.row4 + self.q2, self.row4 + self.q1
-        self.events = self.a[self.ra] + self.b[self.rb]
+        first = self.c1 * np.uint32(0x9E3779B1)
+        shift = np.uint32(32 - _SLOTS)
+        self.at1 = self.row + (first >> shift)
+        self.at2 = self.row + ((first * np.uint32(5) + self.c2 * np.uint32(0x85EBCA77)) >> shift)
+        self.e2, self.e1 = self.t2.take(self.at2), self.t1.take(self.at1)
+        self.p2, self.p1 = self.e2 >> 2, self.e1 >> 2
+        self.ra, self.rb = self.row12 + 3 * (self.e2 & 3), self.row12 + 3 * (self.e1 & 3)
+        self.f0, self.f1, f2 = (self.a.take(self.ra + k) + self.b.take(self.rb + k) for k in range(3))
+        self.f01 = self.f0 + self.f1
+        self.total = self.f01 + f2
 
     @staticmethod
     def _sums(counts: np.ndarray) -> np.ndarray:
-        out = np.zeros((counts.shape[0], counts.shape[1] + 1), np.uint32)
+        out = np.zeros((counts.shape[0], counts.shape[1] + 1), np.uint64)
         np.cumsum(counts, axis=1, out=out[:, 1:])
         return out.ravel()
 
-    def event_range(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        f0, f1, f2 = self.events[:, 0], self.events[:, 1], self.events[:, 2]
-        start = np.where(e == 0, 0, np.where(e == 1, f0, f0 + f1)).astype(np.uint32)
-        return start, np.where(e == 0, f0, np.where(e == 1, f1, f2)), f0 + f1 + f2
+    def event_range(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.choose(e, (np.uint64(0), self.f0, self.f01)), np.choose(e, (self.f0, self.f1, self.total - self.f01))
 
-    def learn(self, x: np.ndarray, e: np.ndarray) -> None:
-        self.a[self.ra, e] += 2
-        self.b[self.rb, e] += 2
-        for table, sure, at, p, q in ((self.t2, self.k2, self.at2, self.p2, self.q2), (self.t1, self.k1, self.at1, self.p1, self.q1)):
-            hit = p == x
-            table[at] = np.where(hit | (q > 1), p, x)
-            sure[at] = np.where(hit, np.minimum(q + 1, 3), np.where(q > 1, q - 1, 0))
-        literal = np.flatnonzero(e == 2)
-        self.high[literal, x[literal] >> 8] += _STEP
-        self.low[literal, x[literal] & 255] += _STEP
-        self.c2, self.c1 = self.c1, x.astype(np.int64)
+    def learn(self, x: np.ndarray, e: np.ndarray, literal: np.ndarray) -> None:
+        self.a[self.ra + e] += np.uint64(2)
+        self.b[self.rb + e] += np.uint64(2)
+        fresh = x << 2
+        for table, at, entry, p in ((self.t2, self.at2, self.e2, self.p2), (self.t1, self.at1, self.e1, self.p1)):
+            q = entry & 3
+            table[at] = np.where(p == x, entry + (q < 3), np.where(q > 1, entry - 1, fresh))
+        new = x[literal]
+        self.high[literal, new >> 8] += _STEP
+        self.low[literal, new & 255] += _STEP
+        self.c2, self.c1 = self.c1, x.astype(np.uint32)
 
 
 class _Coder:
-    """Carryless range coding, one state per block; `on` picks the blocks that take part."""
+    """Carryless range coding with 64-bit states and 16-bit words, one state per block."""
 
     def __init__(self, n: int) -> None:
-        self.low, self.range = np.zeros(n, np.uint32), np.full(n, 0xFFFFFFFF, np.uint32)
-
-    def narrow(self, on: np.ndarray, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
-        self.low[on] += start * unit
-        self.range[on] = size * unit
-        while len(on):
-            low, wide = self.low[on], self.range[on]
-            settled = (low ^ (low + wide)) < _TOP
-            small = ~settled & (wide < _BOTTOM)
-            move = settled | small
-            if not move.any():
-                return
-            on, low = on[move], low[move]
-            wide = np.where(small[move], (np.uint32(0) - low) & (_BOTTOM - np.uint32(1)), wide[move])
-            self.shift(on, low)
-            self.low[on] = low << np.uint32(8)
-            self.range[on] = wide << np.uint32(8)
+        self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+
+    def narrow(self, on: np.ndarray | slice, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
+        """Take part `start`, `size` of the ranges of the blocks `on`, in units; move settled words out."""
+        low, wide = self.low[on] + start * unit, size * unit
+        self.low[on], self.range[on] = low, wide
+        short = np.flatnonzero(wide < _LEAST)
+        while len(short):
+            lanes = short if isinstance(on, slice) else on[short]
+            low, wide = self.low[lanes], self.range[lanes]
+            open_ = ((low ^ (low + wide)) >> _48) != 0
+            if open_.any():  # the word would not settle: give up the part beyond the next multiple
+                wide[open_] = (np.uint64(0) - low[open_]) & (_LEAST - np.uint64(1))
+            self.shift(lanes, low)
+            self.low[lanes] = low << _W
+            wide <<= _W
+            self.range[lanes] = wide
+            short = short[wide < _LEAST]
 
 
 class _Writer(_Coder):
     def __init__(self, n: int, ids: int) -> None:
         super().__init__(n)
-        self.out, self.at = np.zeros((n, 8 * ids + 16), np.uint8), np.zeros(n, np.int64)
+        self.out, self.at = np.zeros((n, 5 * ids + 8), np.uint16), np.zeros(n, np.int64)
 
     def shift(self, on: np.ndarray, low: np.ndarray) -> None:
-        self.out[on, self.at[on]] = low >> np.uint32(24)
-        self.at[on] += 1
+        at = self.at[on]
+        self.out[on, at] = low >> _48
+        self.at[on] = at + 1
 
-    def put(self, on: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
+    def put(self, on: np.ndarray | slice, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
         self.narrow(on, start, size, self.range[on] // total)
 
     def blocks(self) -> list[bytes]:
         every = np.arange(len(self.low))
         for _ in range(4):
             self.shift(every, self.low)
-            self.low <<= np.uint32(8)
-        return [self.out[i, :n].tobytes() for i, n in enumerate(self.at.tolist())]
+            self.low <<= _W
+        return [self.out[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.at.tolist())]
 
 
 class _Reader(_Coder):
     def __init__(self, blocks: list[bytes]) -> None:
         super().__init__(len(blocks))
-        width = max(map(len, blocks)) + 8
-        self.data = np.zeros((len(blocks), width), np.uint8)
+        self.data = np.zeros((len(blocks), max(map(len, blocks)) // 2 + 4), np.uint16)
         for i, b in enumerate(blocks):
-            self.data[i, : len(b)] = np.frombuffer(b, np.uint8)
+            self.data[i, : len(b) // 2] = np.frombuffer(b, "<u2")
         self.at = np.full(len(blocks), 4, np.int64)
-        self.code = self.data[:, :4].copy().view(">u4").ravel().astype(np.uint32)
+        self.code = np.zeros(len(blocks), np.uint64)
+        for k in range(4):
+            self.code = (self.code << _W) | self.data[:, k]
 
     def shift(self, on: np.ndarray, low: np.ndarray) -> None:
-        self.code[on] = (self.code[on] << np.uint32(8)) | self.data[on, self.at[on]]
-        self.at[on] += 1
+        at = self.at[on]
+        self.code[on] = (self.code[on] << _W) | self.data[on, at]
+        self.at[on] = at + 1
 
-    def peek(self, on: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def peek(self, on: np.ndarray | slice, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         unit = self.range[on] // total
-        return np.minimum((self.code[on] - self.low[on]) // unit, total - np.uint32(1)), unit
+        return np.minimum((self.code[on] - self.low[on]) // unit, total - np.uint64(1)), unit
 
 
 def _find(sums: np.ndarray, row: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The last of 256 entries in each row of sums that is at most `value`."""
-    at = np.zeros(len(value), np.int64)
-    step = 128
-    while step:
-        at += step * (sums[row + at + step] <= value)
-        step >>= 1
+    """The place in the flat sums of the last of 256 entries of each row that is at most `value`."""
+    at = row.copy()
+    for step in (128, 64, 32, 16, 8, 4, 2, 1):
+        at += (sums.take(at + step) <= value) * step
     return at
 
 
-def _literal(model: _Model, on: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    row = model.high_row[on]
-    return [(model.high_sum, row), (model.low_sum, row)]
+_ALL = slice(None)
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """Code each row of a matrix of ids as a block."""
     n, width = ids.shape
-    model, coder, every = _Model(n), _Writer(n, width), np.arange(n)
-    for t in range(width):
-        x = ids[:, t].astype(np.int32)
+    model, coder = _Model(n), _Writer(n, width)
+    columns = np.ascontiguousarray(ids.T.astype(np.int32))
+    for x in columns:
         model.look()
         e = np.where(x == model.p2, 0, np.where(x == model.p1, 1, 2))
-        coder.put(every, *model.event_range(e))
+        coder.put(_ALL, *model.event_range(e), model.total)
         on = np.flatnonzero(e == 2)
-        if len(on):
-            for (sums, row), part in zip(_literal(model, on), (x[on] >> 8, x[on] & 255)):
-                start = sums[row + part]
-                coder.put(on, start, sums[row + part + 1] - start, sums[row + 256])
-        model.learn(x, e)
+        row, new = model.literal_row[on], x[on]
+        for sums, part in ((model.high_sum, new >> 8), (model.low_sum, new & 255)):
+            at = row + part
+            start = sums.take(at)
+            coder.put(on, start, sums.take(at + 1) - start, sums.take(row + 256))
+        model.learn(x, e, on)
     return coder.blocks()
 
 
 def decode_blocks(blocks: list[bytes], width: int) -> np.ndarray:
     """The inverse of encode_blocks."""
     n = len(blocks)
-    model, coder, every = _Model(n), _Reader(blocks), np.arange(n)
-    out = np.empty((n, width), np.int32)
+    model, coder = _Model(n), _Reader(blocks)
+    out = np.empty((width, n), np.int32)
     for t in range(width):
         model.look()
-        f0, f01 = model.events[:, 0], model.events[:, 0] + model.events[:, 1]
-        value, unit = coder.peek(every, f01 + model.events[:, 2])
-        e = (value >= f0).astype(np.int64) + (value >= f01)
-        start, size, _ = model.event_range(e)
-        coder.narrow(every, start, size, unit)
+        value, unit = coder.peek(_ALL, model.total)
+        e = (value >= model.f0).astype(np.int64) + (value >= model.f01)
+        coder.narrow(_ALL, *model.event_range(e), unit)
         x = np.where(e == 0, model.p2, model.p1)
         on = np.flatnonzero(e == 2)
-        if len(on):
-            parts = []
-            for sums, row in _literal(model, on):
-                value, unit = coder.peek(on, sums[row + 256])
-                part = _find(sums, row, value)
-                start = sums[row + part]
-                coder.narrow(on, start, sums[row + part + 1] - start, unit)
-                parts.append(part)
-            x[on] = (parts[0] << 8) | parts[1]
-        model.learn(x, e)
-        out[:, t] = x
-    return out
-
-
-def write_segment(doc_ids: list[int | None], ids: list[np.ndarray], most: int = 4096, lanes: int = 2048) -> bytes:
+        row, parts = model.literal_row[on], []
+        for sums in (model.high_sum, model.low_sum):
+            value, unit = coder.peek(on, sums.take(row + 256))
+            at = _find(sums, row, value)
+            start = sums.take(at)
+            coder.narrow(on, start, sums.take(at + 1) - start, unit)
+            parts.append(at - row)
+        x[on] = (parts[0] << 8) | parts[1]
+        model.learn(x, e, on)
+        out[t] = x
+    return np.ascontiguousarray(out.T)
+
+
+def write_segment(doc_ids: list[int | None], ids: list[np.ndarray], most: int = 4096, lanes: int = 4096) -> bytes:
     """One segment of whole documents: about `lanes` blocks, or as many as blocks of `most` ids need."""
     counts = np.array([len(x) for x in ids], np.uint32)
     flat = np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32)
