@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ class WordIds:
     The tokenizer drops white space and never looks across it, so chunks between spaces and newlines can be encoded apart.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -41,7 +42,7 @@ class WordIds:
         found = [list(map(cache.get, c)) for c in chunks]
         new = list({w for c, f in zip(chunks, found) if None in f for w, x in zip(c, f) if x is None})
         if new:
-            made = {w: np.array(e.ids, np.int32).tobytes() for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False))}
+            made = {w: array("i", e.ids).tobytes() for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False))}
             for i, (c, f) in enumerate(zip(chunks, found)):
                 if None in f:
                     found[i] = [made[w] if x is None else x for w, x in zip(c, f)]
