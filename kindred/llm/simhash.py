@@ -86,12 +86,14 @@ def ball_masks(bits: int, radius: int) -> np.ndarray:
 
 def _forest(values: np.ndarray, owners: np.ndarray) -> tuple[list[int], list[int]]:
     """Pairs of owners that share a value: as few as connect all owners that any chain of shared values connects."""
-    order = np.argsort(values, kind="stable")
-    v, o = values[order], owners[order]
-    hit = np.flatnonzero((v[1:] == v[:-1]) & (o[1:] != o[:-1]))
-    if not len(hit):
-        return [], []
-    pairs = np.unique(np.stack([np.minimum(o[hit], o[hit + 1]), np.maximum(o[hit], o[hit + 1])]), axis=1)
+    found = []
+    for part in range(4):  # equal values share their last bits: a quarter is sorted at a time
+        at = np.flatnonzero((values & np.uint64(3)) == part)
+        at = at[np.argsort(values[at], kind="stable")]
+        v, o = values[at], owners[at]
+        hit = np.flatnonzero((v[1:] == v[:-1]) & (o[1:] != o[:-1]))
+        found.append(np.stack([np.minimum(o[hit], o[hit + 1]), np.maximum(o[hit], o[hit + 1])]))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
     parent: dict[int, int] = {}
     left, right = [], []
     for a, b in pairs.T.tolist():
@@ -128,12 +130,15 @@ def ball_pairs(points: DataFrame, bits: int, radius: int, rows: int) -> DataFram
             i, v = np.concatenate(ids), np.concatenate(values).view(np.uint64)
             near = np.array([int(x).bit_count() for x in ((v >> np.uint64(low)) ^ np.uint64(bucket)).tolist()]) if lead else np.zeros(len(v), np.int64)
             tail = v & np.uint64((1 << low) - 1)
-            made, owner = [], []
-            for r in range(half + 1):
-                at = np.flatnonzero(near == r)
-                made.append((tail[at][:, None] ^ tails[r][None, :]).ravel())
-                owner.append(np.repeat(at, len(tails[r])))
-            a, b = _forest(np.concatenate(made), np.concatenate(owner))
+            groups = [np.flatnonzero(near == r).astype(np.int32) for r in range(half + 1)]
+            made = np.empty(sum(len(at) * len(tails[r]) for r, at in enumerate(groups)), np.uint64)
+            owner, n = np.empty(len(made), np.int32), 0
+            for r, at in enumerate(groups):
+                m = n + len(at) * len(tails[r])
+                np.bitwise_xor(tail[at][:, None], tails[r][None, :], out=made[n:m].reshape(len(at), len(tails[r])))
+                owner[n:m] = np.repeat(at, len(tails[r]))
+                n = m
+            a, b = _forest(made, owner)
             return pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(i[b])], names=["a", "b"])
 
         key, ids, values = None, [], []
