@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches, table
+from ._common import cut, small_batches, table
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: Labelled documents that the model is fitted on at most, and tokens and prefixes that it keeps at most.
@@ -130,7 +130,7 @@ def fit(
     Without labels of both kinds every text scores the same low value.
     """
     small_batches(docs.sparkSession)
-    train = _training(docs, labels, id_col, text_col, label_col, most)
+    train = cut(_training(docs, labels, id_col, text_col, label_col, most))  # bounded, and read four times
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad, all_good, all_bad = Counter(), Counter(), 0, 0
@@ -146,7 +146,7 @@ def fit(
         )
 
     counts = train.select("_text", "_y").mapInArrow(count, "w string, bad long, good long")
-    counts = counts.groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = cut(counts.groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     # rare words only matter through their prefixes, so those are counted over all words
     by = {n: counts.filter(F.length("w") >= n).groupBy(F.substring("w", 1, n).alias("w")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")) for n in (5, 7)}
     top = lambda x: x.filter("w = '' or bad + good >= 3").orderBy((F.col("bad") + F.col("good")).desc(), "w").limit(MAX_TOKENS).collect()
