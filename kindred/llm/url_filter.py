@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, small_batches, table
+from ._common import ascii_lower, commonest, cut, small_batches, table
 
 #: Fixed values of the rule list: verdict, host, start of the path.
 RULES = (
@@ -124,9 +124,9 @@ def fit(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_co
             found.update(_WORD.findall((url or "").lower()))
         return found
 
-    counts = _counted(rows.select(html_col, url_col), "w", words)
+    counts = cut(_counted(rows.select(html_col, url_col), "w", words))
     total = float(counts.agg(F.sum("n")).first()[0] or 1)
-    top = counts.orderBy(F.col("n").desc(), "w").limit(MAX_WORDS).collect()
+    top = commonest(counts, F.col("n"), MAX_WORDS).collect()
     model = UrlModel({r.w: math.log(r.n / total) for r in top}, total, {}, {}, {})
 
     listed = rows.filter("_listed is not null")
@@ -141,7 +141,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_co
             found.update(f"{verdict} {f}" for f in model.features(host, path))
         return found
 
-    seen = _counted(listed.select("host", "path", "_listed"), "f", features).orderBy(F.col("n").desc(), "f").limit(2 * MAX_FEATURES).collect()
+    seen = commonest(cut(_counted(listed.select("host", "path", "_listed"), "f", features)), F.col("n"), 2 * MAX_FEATURES).collect()
     by = {"allow": {}, "block": {}}
     for r in seen:
         verdict, _, feature = r.f.partition(" ")
