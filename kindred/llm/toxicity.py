@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, small_batches, table
+from ._common import commonest, cut, small_batches, table
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: Labelled documents that the model is fitted on at most, and tokens and prefixes that it keeps at most.
@@ -149,7 +149,7 @@ def fit(
     counts = cut(counts.groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     # rare words only matter through their prefixes, so those are counted over all words
     by = {n: counts.filter(F.length("w") >= n).groupBy(F.substring("w", 1, n).alias("w")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")) for n in (5, 7)}
-    top = lambda x: x.filter("w = '' or bad + good >= 3").orderBy((F.col("bad") + F.col("good")).desc(), "w").limit(MAX_TOKENS).collect()
+    top = lambda x: commonest(x.filter("w = '' or bad + good >= 3"), F.col("bad") + F.col("good"), MAX_TOKENS).collect()
     words = {r.w: (r.bad, r.good) for r in top(counts)}
     five, seven = ({r.w: (r.bad, r.good) for r in top(by[n])} for n in (5, 7))
     bad, good = words.pop("", (0, 0))
