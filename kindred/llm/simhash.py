@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -16,6 +16,8 @@ from ._common import LOWER, UPPER, checked_broadcast, cut, small_batches, table
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Variants that one bucket of a task is meant to hold; the number of buckets follows from it.
 BUCKET_VARIANTS = 6_000_000
+#: Pairs that a bucket's task gathers before it writes them.
+PAIRS_AT_ONCE = 1_000_000
 #: Keys of documents that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -109,7 +111,42 @@ def _forest(values: np.ndarray, owners: np.ndarray) -> tuple[list[int], list[int
     return left, right
 
 
-def ball_pairs(points: DataFrame, bits: int, radius: int, rows: int) -> DataFrame:
+def _spans(values: np.ndarray, owners: np.ndarray, roots: np.ndarray, first: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of owners at `first` to `end` - 1 places from each other in the sorted run of a shared value, if their roots differ.
+
+    Owners whose runs have such pairs at `end` places or more come as the third array.
+    """
+    for part in range(4):
+        at = np.flatnonzero((values & np.uint64(3)) == part)
+        at = at[np.argsort(owners[at], kind="stable")]
+        at = at[np.argsort(values[at], kind="stable")]
+        if not len(at):
+            continue
+        v, o = values[at], owners[at]
+        starts = np.concatenate(([0], np.flatnonzero(v[1:] != v[:-1]) + 1))
+        sizes = np.diff(np.append(starts, len(v)))
+        r = roots[o]
+        mixed = (np.minimum.reduceat(r, starts) != np.maximum.reduceat(r, starts)) & (sizes > first)
+        long = np.unique(o[np.repeat(mixed & (sizes > end), sizes)])
+        inside = np.repeat(mixed, sizes)
+        o, r, run = o[inside].astype(np.int64), r[inside], np.repeat(np.flatnonzero(mixed), sizes[mixed])
+        none = np.empty(0, np.int64)
+        yield none, none, long
+        held, n = [], 0
+        for d in range(first, min(end, int(sizes[mixed].max(initial=0)))):
+            hit = np.flatnonzero((run[d:] == run[:-d]) & (r[d:] != r[:-d]))
+            held.append((o[hit] << 32) | o[hit + d])  # owners rise along a run
+            n += len(hit)
+            if n > PAIRS_AT_ONCE:
+                keys = np.unique(np.concatenate(held))
+                yield keys >> 32, keys & 0xFFFFFFFF, none
+                held, n = [], 0
+        if n:
+            keys = np.unique(np.concatenate(held))
+            yield keys >> 32, keys & 0xFFFFFFFF, none
+
+
+def ball_pairs(points: DataFrame, bits: int, radius: int, rows: int, span: tuple[int, int] | None = None) -> DataFrame:
     """Colliding pairs (a, b) of `points` (id long, block int, value long): within a block, values that share a variant.
 
     Every value emits all variants within radius / 2 of it, and variants meet: two values within `radius` bits share at
@@ -117,6 +154,10 @@ def ball_pairs(points: DataFrame, bits: int, radius: int, rows: int) -> DataFram
     variants (not once per variant), and the bucket's task derives the variants that fall into it, sorts them
     and links the values that share one. All sharers of a variant lie within `radius` of each other, so each bucket
     writes the pairs of a spanning forest: every connection, and fewer pairs than values however large a group is.
+
+    A forest is enough only where each pair found is a link. With `span`, points have a `root` too, and the pairs at span[0]
+    to span[1] - 1 places in a variant's run (in order of id) are written instead, all of those whose roots differ; (a, null) says
+    that a has pairs further away.
     """
     half = radius // 2
     lead = max(0, min(bits - 2, int(np.ceil(np.log2(max(1, rows * len(ball_masks(bits, half)) / BUCKET_VARIANTS))))))
@@ -126,8 +167,11 @@ def ball_pairs(points: DataFrame, bits: int, radius: int, rows: int) -> DataFram
     tails = [ball_masks(low, min(half - r, low)) for r in range(half + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(ids: list[np.ndarray], values: list[np.ndarray], bucket: int) -> pa.RecordBatch:
+        def close(ids: list[np.ndarray], values: list[np.ndarray], roots: list[np.ndarray], bucket: int) -> Iterator[pa.RecordBatch]:
             i, v = np.concatenate(ids), np.concatenate(values).view(np.uint64)
+            if span:
+                order = np.argsort(i)
+                i, v, root = i[order], v[order], np.concatenate(roots)[order]
             near = np.array([int(x).bit_count() for x in ((v >> np.uint64(low)) ^ np.uint64(bucket)).tolist()]) if lead else np.zeros(len(v), np.int64)
             tail = v & np.uint64((1 << low) - 1)
             groups = [np.flatnonzero(near == r).astype(np.int32) for r in range(half + 1)]
@@ -138,32 +182,38 @@ def ball_pairs(points: DataFrame, bits: int, radius: int, rows: int) -> DataFram
                 np.bitwise_xor(tail[at][:, None], tails[r][None, :], out=made[n:m].reshape(len(at), len(tails[r])))
                 owner[n:m] = np.repeat(at, len(tails[r]))
                 n = m
-            a, b = _forest(made, owner)
-            return pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(i[b])], names=["a", "b"])
-
-        key, ids, values = None, [], []
+            if not span:
+                a, b = _forest(made, owner)
+                yield pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(i[b])], names=["a", "b"])
+                return
+            for a, b, further in _spans(made, owner, root, *span):
+                yield pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(i[b])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(i[further]), pa.nulls(len(further), pa.int64())], names=["a", "b"])
+
+        key, ids, values, roots = None, [], [], []
         for batch in batches:
             block, bucket = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            i, v = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            i, v, r = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
             edges = np.flatnonzero((block[1:] != block[:-1]) | (bucket[1:] != bucket[:-1])) + 1
             for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(i)]):
                 if s == e:
                     continue
                 if (block[s], bucket[s]) != key:
                     if ids:
-                        yield close(ids, values, key[1])
-                    key, ids, values = (block[s], bucket[s]), [], []
+                        yield from close(ids, values, roots, key[1])
+                    key, ids, values, roots = (block[s], bucket[s]), [], [], []
                 ids.append(i[s:e])
                 values.append(v[s:e])
+                roots.append(r[s:e])
         if ids:
-            yield close(ids, values, key[1])
+            yield from close(ids, values, roots, key[1])
 
     if lead:
         lead_bits = F.shiftrightunsigned("value", low) if bits == 64 else F.shiftright("value", low)
         buckets = F.explode(F.transform(F.array(*[F.lit(int(m)) for m in head]), lambda m: m.cast("long").bitwiseXOR(lead_bits)))
     else:
         buckets = F.lit(0).cast("long")
-    dealt = points.select("block", buckets.alias("bucket"), "id", "value")
+    dealt = points.select("block", buckets.alias("bucket"), "id", "value", *(["root"] if span else []))
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "block", "bucket").sortWithinPartitions("block", "bucket")
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -195,6 +245,36 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def verified_components(points: DataFrame, bits: int, radius: int, holds: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of `points` as in `components`, over those colliding pairs that `holds` returns when given pairs (a, b).
+
+    A forest of each bucket is verified first, which joins true groups at the cost of one pair a member. A pair that fails
+    may have stood for others, so the points that collided go on: the pairs of every variant's run are tried by growing
+    distance, but for those that verified links already connect and those tried before. At the end each colliding
+    pair is connected or was refuted itself.
+    """
+    tried = cut(ball_pairs(points, bits, radius, points.count()))
+    links = cut(holds(tried))
+    roots = components(links)
+    live = cut(tried.select(F.explode(F.array("a", "b")).alias("_l")).distinct())
+    first, end = 1, 4
+    while True:
+        rest = points.join(checked_broadcast(live, live.count(), BROADCAST_KEYS), F.col("id") == F.col("_l"), "left_semi")
+        rest = cut(rest.join(roots, F.col("id") == F.col("node"), "left").select("id", "block", "value", F.coalesce("root", "id").alias("root")))
+        rows = rest.count()
+        if not rows:
+            return roots
+        found = cut(ball_pairs(rest, bits, radius, rows, (first, end)))
+        live = found.filter("b is null").select(F.col("a").alias("_l"))
+        fresh = cut(found.filter("b is not null").join(tried, ["a", "b"], "left_anti"))
+        good = cut(holds(fresh))
+        tried = tried.unionByName(fresh)
+        if not good.isEmpty():
+            links = links.unionByName(good)
+            roots = components(links)
+        first, end = end, 4 * end
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """Documents whose 64-bit SimHash fingerprints link within `radius` bits, as connected components; a row per input row.
 
@@ -242,8 +322,8 @@ def drop_near_copies(
 
     A 64-bit fingerprint within 4 bits finds few pairs at a similarity of 0.8 (about 10 bits differ there), so the
     same ball hashing runs on `blocks` independent 32-bit SimHash blocks, within `radius` bits each; a pair of
-    similarity 0.8 meets in at least one with about 9 in 10 odds, and of 0.9 nearly always. Colliding pairs are then
-    verified by the exact Jaccard similarity of their sets of `words`-word shingles.
+    similarity 0.8 meets in at least one with about 9 in 10 odds, and of 0.9 nearly always. Colliding pairs are
+    verified by the exact Jaccard similarity of their sets of `words`-word shingles (`verified_components`).
 
     Documents with the same blocks collapse to one first. Texts without words are all kept. Rows that repeat an id
     and text are near copies of each other: one stays.
@@ -255,8 +335,8 @@ def drop_near_copies(
     marked = cut(fingerprints(source, "_n", "_x", words, blocks).filter("fp <> 0"))
     distinct = cut(marked.groupBy("blocks").agg(F.min("id").alias("rep")))
     points = distinct.select(F.col("rep").alias("id"), F.posexplode("blocks").alias("block", "value"))
-    pairs = cut(ball_pairs(points, 32, radius, distinct.count() * blocks))
-    near = jaccard_of_pairs(pairs, source.select("_n", "_x"), words, similarity)
+    near = verified_components(points, 32, radius, lambda pairs: jaccard_of_pairs(pairs, source.select("_n", "_x"), words, similarity))
+    near = near.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     equal = marked.join(distinct, "blocks").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     roots = components(near.unionByName(equal))
     ids = source.select("_n", "_id")

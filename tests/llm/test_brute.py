@@ -181,6 +181,23 @@ def test_near_copies_go(spark):
     assert sorted(kept) == [g * 10 + 3 for g in range(20)]
 
 
+def test_every_colliding_pair_is_linked_or_tried(spark):
+    true = {(3, 170), (0, 199), (57, 58), (20, 140)}
+    points = spark.createDataFrame([(k, 0, 12345 ^ (1 << (k % 3))) for k in range(200)], "id long, block int, value long")
+    asked = []
+
+    def holds(pairs):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.filter(" or ".join(f"a = {a} and b = {b}" for a, b in true))
+
+    forest = {r.node: r.root for r in simhash.components(holds(simhash.ball_pairs(points, 32, 2, 200))).collect()}
+    assert len(forest) < 2 * len(true)  # a forest that is verified once loses pairs
+    asked.clear()
+    roots = {r.node: r.root for r in simhash.verified_components(points, 32, 2, holds).collect()}
+    assert roots == {k: a for a, b in true for k in (a, b)}
+    assert len(asked) == len(set(asked))
+
+
 def test_range_coder_round_trip():
     rng = np.random.default_rng(1)
     ids = [rng.zipf(1.3, size=rng.integers(0, 900)).clip(0, 65535).astype(np.int32) for _ in range(60)] + [np.array([65535, 0, 65535], np.int32), np.array([], np.int32)]
