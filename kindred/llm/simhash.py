@@ -56,29 +56,41 @@ def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, sketches: int = 0) -> DataFrame:
-    """id, fp (64 bits as a long) and, with `sketches`, that many further 32-bit blocks of other hashes of the shingles."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """id and fp (64 bits as a long)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, blocks = [], []
+            fps = [majority(shingle_hashes(text, words)) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "fp"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, fp long")
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, blocks: int) -> DataFrame:
+    """id, same and blocks of the texts that have words, over the set of their shingles (a repeated one counts once).
+
+    `same` is a 128-bit hash of the whole set; `blocks` are that many 32-bit SimHash blocks.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            has, same, found = [], [], []
             for text in batch.column(1).to_pylist():
-                h = shingle_hashes(text, words)
-                fps.append(majority(h))
-                if sketches:
-                    wide = [majority(_mixed(h, k)) for k in range(1, sketches // 2 + 1)]
-                    blocks.append([part for x in wide for part in (x >> 32, x & 0xFFFFFFFF)])
-            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))]
-            names = ["id", "fp"]
-            if sketches:
-                columns.append(pa.array(blocks, pa.list_(pa.int64())))
-                names.append("blocks")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                h = np.unique(shingle_hashes(text, words))
+                has.append(len(h) > 0)
+                if len(h):
+                    wide = [majority(_mixed(h, k)) for k in range(1, (blocks + 1) // 2 + 1)]
+                    found.append([part for x in wide for part in (x >> 32, x & 0xFFFFFFFF)][:blocks])
+                    same.append(xxhash.xxh3_128_digest(h.tobytes()))
+            ids = batch.column(0).filter(pa.array(has, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(same, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "same", "blocks"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, fp long" + (", blocks array<long>" if sketches else "")
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, same binary, blocks array<long>")
 
 
 def ball_masks(bits: int, radius: int) -> np.ndarray:
@@ -325,19 +337,20 @@ def drop_near_copies(
     similarity 0.8 meets in at least one with about 9 in 10 odds, and of 0.9 nearly always. Colliding pairs are
     verified by the exact Jaccard similarity of their sets of `words`-word shingles (`verified_components`).
 
-    Documents with the same blocks collapse to one first. Texts without words are all kept. Rows that repeat an id
+    Documents with the same set of shingles collapse to one first; blocks are taken over the set, and those that merely have
+    equal blocks are verified as any other pair. Texts without words are all kept. Rows that repeat an id
     and text are near copies of each other: one stays.
     """
     names = docs.columns
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_x"))
     source = source.withColumn("_n", F.xxhash64("_id", "_x"))
-    marked = cut(fingerprints(source, "_n", "_x", words, blocks).filter("fp <> 0"))
-    distinct = cut(marked.groupBy("blocks").agg(F.min("id").alias("rep")))
+    marked = cut(sketches(source, "_n", "_x", words, blocks))
+    distinct = cut(marked.groupBy("same").agg(F.min("id").alias("rep"), F.first("blocks").alias("blocks")))
     points = distinct.select(F.col("rep").alias("id"), F.posexplode("blocks").alias("block", "value"))
     near = verified_components(points, 32, radius, lambda pairs: jaccard_of_pairs(pairs, source.select("_n", "_x"), words, similarity))
     near = near.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    equal = marked.join(distinct, "blocks").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    equal = marked.select("id", "same").join(distinct.select("same", "rep"), "same").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     roots = components(near.unionByName(equal))
     ids = source.select("_n", "_id")
     member = cut(roots.join(ids, F.col("node") == F.col("_n")).select("root", "_n", "_id"))

@@ -181,6 +181,14 @@ def test_near_copies_go(spark):
     assert sorted(kept) == [g * 10 + 3 for g in range(20)]
 
 
+def test_texts_of_one_common_shingle_stay(spark):
+    rng = random.Random(13)
+    rows = [(k, "0 " * 400 + " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(100))) for k in range(8)]
+    rows += [(8, rows[0][1] + " 0"), (9, rows[0][1].replace("0 ", "0 0 ", 1))]  # the second has the same set of shingles
+    kept = [r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == [1, 2, 3, 4, 5, 6, 7, 9]
+
+
 def test_every_colliding_pair_is_linked_or_tried(spark):
     true = {(3, 170), (0, 199), (57, 58), (20, 140)}
     points = spark.createDataFrame([(k, 0, 12345 ^ (1 << (k % 3))) for k in range(200)], "id long, block int, value long")
