@@ -189,6 +189,21 @@ def test_texts_of_one_common_shingle_stay(spark):
     assert sorted(kept) == [1, 2, 3, 4, 5, 6, 7, 9]
 
 
+def test_copies_at_the_threshold_go(spark):
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    rows = []
+    for g in range(100):
+        text = [rng.choice(words) for _ in range(304)]
+        copy = list(text)
+        for at in (40, 90, 140, 190, 240, 270):
+            copy[at] = "changed"
+        copy[301] = "changed"  # 33 of 300 shingles in all: a similarity of 267 / 333
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(copy))]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert kept <= 102
+
+
 def test_every_colliding_pair_is_linked_or_tried(spark):
     true = {(3, 170), (0, 199), (57, 58), (20, 140)}
     points = spark.createDataFrame([(k, 0, 12345 ^ (1 << (k % 3))) for k in range(200)], "id long, block int, value long")
