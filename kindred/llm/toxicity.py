@@ -33,6 +33,7 @@ class Model:
     log_k: float = 0.0
     slope: float = 1.0
     offset: float = -3.0
+    joined: bool = False  # whether further segments count, which needs a fitted extreme-value law
 
     def token_scores(self, words: list[str]) -> np.ndarray:
         known, prefixes, base = self.tokens, self.prefixes, self.base
@@ -48,12 +49,25 @@ class Model:
         return np.array(out, np.float64) - self.drift
 
     def best(self, scores: np.ndarray) -> float:
-        """The score of the best segment, 0 at least."""
+        """The score of the best segment, 0 at least; if `joined`, plus what each further segment has above `floor`.
+
+        So `excess` is the sum of the normalised excesses of all segments where any is positive (the sum statistic of Karlin and
+        Altschul), and that of the best segment otherwise.
+        """
         if not len(scores):
             return 0.0
         sums = np.cumsum(scores)
         lowest = np.minimum.accumulate(np.concatenate(([0.0], sums[:-1])))
-        return max(0.0, float((sums - lowest).max()))
+        top = max(0.0, float((sums - lowest).max()))
+        floor = max(0.0, self.floor(len(scores)))
+        if not self.joined or top <= floor:  # no segment is better than the best
+            return top
+        further = sorted((v for _, _, v in segments(scores, floor)), reverse=True)[1:]
+        return top + sum(v - floor for v in further)
+
+    def floor(self, n: int) -> float:
+        """The segment score at which `excess` is zero."""
+        return (self.log_k + math.log(max(n, 1))) / max(self.scale, 1e-9)
 
     def excess(self, best: float, n: int) -> float:
         """Minus the log of the number of segments as good that a clean text of n tokens is expected to hold."""
@@ -180,7 +194,8 @@ def fit(
             best = [model.best(model.token_scores(w)) for w in found]
             yield pa.RecordBatch.from_arrays([pa.array(best), pa.array([len(w) for w in found], pa.int64()), batch.column(1)], names=["s", "n", "y"])
 
-    rows = train.select("_text", "_y").mapInArrow(measure, "s double, n long, y int").toPandas()
+    measured = lambda: train.select("_text", "_y").mapInArrow(measure, "s double, n long, y int").toPandas()
+    rows = measured()
     s, n, y = rows.s.to_numpy(), np.maximum(rows.n.to_numpy(), 1), rows.y.to_numpy()
     clean = s[y == 0]
     # Gumbel by moments of what is left of the best clean scores after the growth with log n
@@ -190,7 +205,10 @@ def fit(
         lam = min(10.0, max(0.05, math.pi / (math.sqrt(6) * max(float(left.std()), 1e-6))))
     model.scale = lam
     model.log_k = lam * float(left.mean()) - 0.5772156649
-    x = np.array([model.excess(a, b) for a, b in zip(s, n)])
+    model.joined = True
+    rows = measured()  # the law is that of single segments; the probability is fitted on all of a text
+    y = rows.y.to_numpy()
+    x = np.array([model.excess(a, b) for a, b in zip(rows.s, rows.n)])
     a, b = 0.5, -2.0
     for _ in range(60):  # logistic regression on one feature, by damped Newton steps
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -205,7 +223,7 @@ def fit(
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
-    """doc_id, score and predicted of each row; with `passages` also the significant segments, in code points.
+    """doc_id, score and predicted of each row; with `passages` also the segments that a toxic text's score counts, in code points.
 
     Only the text is used. Null and empty texts have the score of a text without tokens. An empty table gives no
     rows; repeated rows are scored each.
@@ -227,7 +245,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 out.append(m.probability(best, len(s)))
                 if passages:
                     least = max(m.threshold(len(s), 0.5), 1e-9)
-                    got = segments(s, least) if best >= least else []
+                    got = segments(s, max(min(least, m.floor(len(s))), 1e-9)) if best >= least else []
                     at = [x.span() for x in _TOKEN.finditer(text.lower())] if got else []
                     spans.append([{"first": at[i][0], "end": at[j - 1][1], "score": v} for i, j, v in got])
             columns = [batch.column(0), pa.array(out, pa.float64()), pa.array([int(x >= 0.5) for x in out], pa.int32())]

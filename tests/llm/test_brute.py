@@ -221,6 +221,26 @@ def test_every_colliding_pair_is_linked_or_tried(spark):
     assert len(asked) == len(set(asked))
 
 
+def test_several_medium_passages_are_toxic(spark):
+    rng = random.Random(19)
+    clean = ["clean" + "".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(500)]
+    bad = ["bad" + "".join(rng.choice("klmnop") for _ in range(6)) for _ in range(30)]
+    some = lambda n: [rng.choice(clean) for _ in range(n)]
+    rows = [(k, " ".join(some(150) + [rng.choice(bad) for _ in range(6 if k % 4 == 0 else 2 if k % 3 == 0 else 1)] + some(150)), int(k % 4 == 0)) for k in range(1500)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    step = float(np.mean([model.tokens[w] for w in bad if w in model.tokens])) - model.drift
+    n = 3000
+    each = int(model.threshold(n, 0.5) / step)  # a passage just below the threshold
+    assert each * step > model.floor(n)
+    known = min(bad, key=lambda w: abs(model.tokens.get(w, 99) - model.drift - step))
+    each = int(model.threshold(n, 0.5) / (model.tokens[known] - model.drift))
+    one, many = ([w for k in range(5) for w in some(n // 5) + [known] * (each if k < m else 0)] for m in (1, 5))
+    found = toxicity.score(spark.createDataFrame([(0, " ".join(one)), (1, " ".join(many))], "doc_id long, text string"), model, passages=True)
+    got = {r.doc_id: (r.predicted, len(r.passages)) for r in found.collect()}
+    assert got == {0: (0, 0), 1: (1, 5)}
+
+
 def test_range_coder_round_trip():
     rng = np.random.default_rng(1)
     ids = [rng.zipf(1.3, size=rng.integers(0, 900)).clip(0, 65535).astype(np.int32) for _ in range(60)] + [np.array([65535, 0, 65535], np.int32), np.array([], np.int32)]
