@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -10,16 +12,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import LOWER, UPPER, checked_broadcast, cut, small_batches, table
+from ._common import LOWER, UPPER, checked_broadcast, cut, same, small_batches, table
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: Variants that one bucket of a task is meant to hold; the number of buckets follows from it.
-BUCKET_VARIANTS = 6_000_000
-#: Pairs that a bucket's task gathers before it writes them.
+#: Variants that one bucket of a task is meant to hold; the number of buckets follows from it. One of twice as many is dealt again.
+BUCKET_VARIANTS = 5_000_000
+#: Leading bits by which a larger bucket is dealt again.
+MORE_BITS = 8
+#: Pairs that a task holds before it writes them.
 PAIRS_AT_ONCE = 1_000_000
-#: Keys of documents that are broadcast at most; more of them are joined by a shuffle.
+#: Pairs a member of a run up to which all of them are written at once; longer runs are first thinned by verified links.
+PAIRS_A_MEMBER = 16
+#: Keys of documents (8 bytes each) that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Sketch words of 64 bits, and how many of their bits may differ at most for a pair to be verified, as a share.
+WIDE, FAR = 8, 0.22
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -36,16 +45,27 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.array([h(joined[a:b], 42) for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist())], np.uint64)
 
 
+def majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each run of `sizes` hashes the 64-bit number with a bit set where over half of them have it; 0 for an empty run."""
+    out = np.zeros(len(sizes), np.uint64)
+    has = np.flatnonzero(sizes)
+    n = sizes[has]
+    if not len(n):
+        return out
+    parts = -(-n // 255)  # a byte counts 255 rows at most
+    first = np.cumsum(parts) - parts
+    starts = np.repeat(np.cumsum(n) - n, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+    counts = np.empty((len(starts), 8, 8), np.uint8)
+    for bit in range(8):  # one bit of each of the eight bytes at a time: eight counters in a word
+        lanes = (hashes >> np.uint64(bit)) & np.uint64(0x0101010101010101)
+        counts[:, :, bit] = np.add.reduceat(lanes, starts).astype("<u8").view(np.uint8).reshape(-1, 8)
+    totals = np.add.reduceat(counts.reshape(-1, 64), first, axis=0, dtype=np.int64)
+    out[has] = np.packbits(totals * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 def majority(hashes: np.ndarray) -> int:
-    """The 64-bit number with a bit set where over half of the hashes have it."""
-    n = len(hashes)
-    if n == 0:
-        return 0
-    bits = np.zeros(64, np.int64)
-    rows = hashes.astype(">u8").view(np.uint8).reshape(n, 8)
-    for at in range(0, n, 240):  # a byte holds the count of 240 rows
-        bits += np.unpackbits(rows[at : at + 240], axis=1).sum(axis=0, dtype=np.uint8)
-    return int(np.packbits(bits * 2 > n).view(">u8")[0])
+    return int(majorities(hashes, np.array([len(hashes)]))[0])
 
 
 def _mixed(hashes: np.ndarray, salt: int) -> np.ndarray:
@@ -62,55 +82,104 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [majority(shingle_hashes(text, words)) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "fp"])
+            found = [shingle_hashes(text, words) for text in batch.column(1).to_pylist()]
+            fps = majorities(np.concatenate([np.empty(0, np.uint64), *found]), np.array([len(h) for h in found], np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, fp long")
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, blocks: int) -> DataFrame:
-    """id, same and blocks of the texts that have words, over the set of their shingles (a repeated one counts once).
+def sketches(docs: DataFrame, text_col: str, words: int, blocks: int, bits: int) -> DataFrame:
+    """The other columns of `docs` with same, keys, blocks and sketch, for texts that have words.
 
-    `same` is a 128-bit hash of the whole set; `blocks` are that many 32-bit SimHash blocks.
+    All are taken over the set of a text's shingles (a repeated one counts once). `same` is a 128-bit hash of the whole set, `sketch`
+    its SimHash of WIDE * 64 bits, `blocks` the first `blocks` parts of `bits` bits of that, and `keys` an anchor for each
+    block: its smallest shingle hash under a multiplication of the block's own.
     """
     small_batches(docs.sparkSession)
+    rest = [c for c in docs.columns if c != text_col]
+    odd = [np.uint64(((2 * k + 1) * 0x9E3779B97F4A7C15 | 1) & 0xFFFFFFFFFFFFFFFF) for k in range(1, blocks + 1)]
+    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            has, same, found = [], [], []
-            for text in batch.column(1).to_pylist():
-                h = np.unique(shingle_hashes(text, words))
-                has.append(len(h) > 0)
-                if len(h):
-                    wide = [majority(_mixed(h, k)) for k in range(1, (blocks + 1) // 2 + 1)]
-                    found.append([part for x in wide for part in (x >> 32, x & 0xFFFFFFFF)][:blocks])
-                    same.append(xxhash.xxh3_128_digest(h.tobytes()))
-            ids = batch.column(0).filter(pa.array(has, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(same, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "same", "blocks"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, same binary, blocks array<long>")
+            sets = [np.unique(shingle_hashes(text, words)) for text in batch.column(text_col).to_pylist()]
+            has = [len(h) > 0 for h in sets]
+            sets = [h for h in sets if len(h)]
+            n = len(sets)
+            if not n:
+                continue
+            sizes = np.array([len(h) for h in sets], np.int64)
+            flat, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
+            wide = np.stack([majorities(_mixed(flat, k), sizes) for k in range(1, WIDE + 1)], axis=1).astype("<u8")
+            each = np.unpackbits(wide.view(np.uint8).reshape(n, WIDE * 8), axis=1)[:, : blocks * bits].reshape(n, blocks, bits) @ weights
+            keys = np.stack([np.minimum.reduceat(flat * o, starts) ^ o for o in odd], axis=1).view(np.int64)
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * blocks)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.select(rest).filter(pa.array(has)).columns, pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()),
+                    pa.ListArray.from_arrays(ends, pa.array(keys.ravel())), pa.ListArray.from_arrays(ends, pa.array(each.ravel())),
+                    pa.array([w.tobytes() for w in wide], pa.binary()),
+                ],
+                names=[*rest, "same", "keys", "blocks", "sketch"],
+            )
+
+    added = [T.StructField("same", T.BinaryType()), *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("keys", "blocks")], T.StructField("sketch", T.BinaryType())]
+    return docs.mapInArrow(run, T.StructType([*[docs.schema[c] for c in rest], *added]))
 
 
 def ball_masks(bits: int, radius: int) -> np.ndarray:
     """Every mask of at most `radius` of `bits` bits."""
-    return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)], np.uint64)
-
-
-def _forest(values: np.ndarray, owners: np.ndarray) -> tuple[list[int], list[int]]:
-    """Pairs of owners that share a value: as few as connect all owners that any chain of shared values connects."""
-    found = []
-    for part in range(4):  # equal values share their last bits: a quarter is sorted at a time
-        at = np.flatnonzero((values & np.uint64(3)) == part)
-        at = at[np.argsort(values[at], kind="stable")]
-        v, o = values[at], owners[at]
-        hit = np.flatnonzero((v[1:] == v[:-1]) & (o[1:] != o[:-1]))
-        found.append(np.stack([np.minimum(o[hit], o[hit + 1]), np.maximum(o[hit], o[hit + 1])]))
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    return np.array([sum(1 << b for b in c) for r in range(min(radius, bits) + 1) for c in combinations(range(bits), r)], np.uint64)
+
+
+@dataclass
+class _Members:
+    """The points of some whole buckets: rank of the document (in order of id), value, flips used, bucket, and what a round needs."""
+
+    ids: np.ndarray
+    doc: np.ndarray
+    value: np.ndarray
+    flips: np.ndarray
+    bucket: np.ndarray
+    root: np.ndarray | None = None
+    sketch: np.ndarray | None = None
+
+    def runs(self, low: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+        """Every variant of every point, equal ones of a bucket next to each other: their points, and a number of each run of two or more."""
+        owner, made = [], []
+        base = (self.bucket.astype(np.uint64) << np.uint64(low)) if low < 64 else np.zeros(len(self.doc), np.uint64)
+        base |= self.value & np.uint64((1 << low) - 1)
+        for r in range(half + 1):
+            at, tails = np.flatnonzero(self.flips == r).astype(np.int32), ball_masks(low, half - r)
+            made.append((base[at][:, None] ^ tails[None, :]).ravel())
+            owner.append(np.repeat(at, len(tails)))
+        variant, owner = np.concatenate(made), np.concatenate(owner)
+        order = np.argsort(variant)
+        variant = variant[order]
+        same = variant[1:] == variant[:-1]
+        inside = np.append(same, False)
+        inside[1:] |= same
+        number = np.cumsum(np.concatenate(([True], ~same)))[inside] if len(variant) else np.empty(0, np.int64)
+        return owner[order[inside]], number
+
+
+def _starts(number: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))) if len(number) else np.empty(0, np.int64)
+
+
+def _forest(m: _Members, owner: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Colliding pairs that connect all documents which any chain of runs connects, each with the first of its run where possible."""
+    starts = _starts(number)
+    doc = m.doc[owner]
+    if not len(starts):
+        return doc, doc
+    first = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(doc))))
+    keys = np.unique((first[first != doc] << 32) | doc[first != doc])
     parent: dict[int, int] = {}
     left, right = [], []
-    for a, b in pairs.T.tolist():
+    for a, b in zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist()):
         x, y = a, b
         while parent.setdefault(x, x) != x:
             parent[x] = x = parent[parent[x]]
@@ -120,115 +189,188 @@ def _forest(values: np.ndarray, owners: np.ndarray) -> tuple[list[int], list[int
             parent[y] = x
             left.append(a)
             right.append(b)
-    return left, right
+    return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _spans(values: np.ndarray, owners: np.ndarray, roots: np.ndarray, first: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of owners at `first` to `end` - 1 places from each other in the sorted run of a shared value, if their roots differ.
-
-    Owners whose runs have such pairs at `end` places or more come as the third array.
-    """
-    for part in range(4):
-        at = np.flatnonzero((values & np.uint64(3)) == part)
-        at = at[np.argsort(owners[at], kind="stable")]
-        at = at[np.argsort(values[at], kind="stable")]
-        if not len(at):
-            continue
-        v, o = values[at], owners[at]
-        starts = np.concatenate(([0], np.flatnonzero(v[1:] != v[:-1]) + 1))
-        sizes = np.diff(np.append(starts, len(v)))
-        r = roots[o]
-        mixed = (np.minimum.reduceat(r, starts) != np.maximum.reduceat(r, starts)) & (sizes > first)
-        long = np.unique(o[np.repeat(mixed & (sizes > end), sizes)])
-        inside = np.repeat(mixed, sizes)
-        o, r, run = o[inside].astype(np.int64), r[inside], np.repeat(np.flatnonzero(mixed), sizes[mixed])
-        none = np.empty(0, np.int64)
-        yield none, none, long
-        held, n = [], 0
-        for d in range(first, min(end, int(sizes[mixed].max(initial=0)))):
-            hit = np.flatnonzero((run[d:] == run[:-d]) & (r[d:] != r[:-d]))
-            held.append((o[hit] << 32) | o[hit + d])  # owners rise along a run
-            n += len(hit)
-            if n > PAIRS_AT_ONCE:
-                keys = np.unique(np.concatenate(held))
-                yield keys >> 32, keys & 0xFFFFFFFF, none
-                held, n = [], 0
-        if n:
-            keys = np.unique(np.concatenate(held))
-            yield keys >> 32, keys & 0xFFFFFFFF, none
-
-
-def ball_pairs(points: DataFrame, bits: int, radius: int, rows: int, span: tuple[int, int] | None = None) -> DataFrame:
-    """Colliding pairs (a, b) of `points` (id long, block int, value long): within a block, values that share a variant.
+def _unlinked(m: _Members, owner: np.ndarray, number: np.ndarray, turn: int, everything: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Pairs of a run whose roots differ and whose sketches are near; and whether pairs were put off.
 
-    Every value emits all variants within radius / 2 of it, and variants meet: two values within `radius` bits share at
-    least one. Variants are dealt by their leading bits. A value goes once to each bucket that holds any of its
-    variants (not once per variant), and the bucket's task derives the variants that fall into it, sorts them
-    and links the values that share one. All sharers of a variant lie within `radius` of each other, so each bucket
-    writes the pairs of a spanning forest: every connection, and fewer pairs than values however large a group is.
-
-    A forest is enough only where each pair found is a link. With `span`, points have a `root` too, and the pairs at span[0]
-    to span[1] - 1 places in a variant's run (in order of id) are written instead, all of those whose roots differ; (a, null) says
-    that a has pairs further away.
+    All pairs of a run are written, but in runs that have more than PAIRS_A_MEMBER a member (unless `everything`) each member is paired
+    with one other only, the first of another root in an order that changes with `turn`.
     """
-    half = radius // 2
-    lead = max(0, min(bits - 2, int(np.ceil(np.log2(max(1, rows * len(ball_masks(bits, half)) / BUCKET_VARIANTS))))))
-    low = bits - lead
-    head = ball_masks(lead, min(half, lead))
-    flips = np.array([int(m).bit_count() for m in head])
-    tails = [ball_masks(low, min(half - r, low)) for r in range(half + 1)]
+    most = int(FAR * WIDE * 64)
+
+    def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = owner[a], owner[b]
+        keep = np.bitwise_count(m.sketch[a] ^ m.sketch[b]).sum(axis=1, dtype=np.int64) <= most
+        a, b = m.doc[a[keep]], m.doc[b[keep]]
+        keys = np.unique((np.minimum(a, b) << 32) | np.maximum(a, b))
+        return keys >> 32, keys & 0xFFFFFFFF
+
+    if not len(owner):
+        return
+    turned = _mixed(m.ids[m.doc[owner]].view(np.uint64), turn)
+    order = np.lexsort((turned, m.root[owner], number))
+    owner, number, turned = owner[order], number[order], turned[order]
+    root = m.root[owner]
+    starts = _starts(number)
+    ends = np.append(starts[1:], len(owner))
+    firsts = np.flatnonzero(np.concatenate(([True], (number[1:] != number[:-1]) | (root[1:] != root[:-1]))))
+    group_end = np.repeat(np.append(firsts[1:], len(owner)), np.diff(np.append(firsts, len(owner))))
+    run_end = np.repeat(ends, ends - starts)
+    beyond = run_end - group_end  # members of later roots in the same run
+    put_off = np.zeros(len(starts), bool)
+    if not everything:
+        put_off = np.add.reduceat(beyond, starts) > PAIRS_A_MEMBER * (ends - starts)
+        if put_off.any():
+            late = np.repeat(put_off, ends - starts)
+            heads = firsts[late[firsts]]  # the first of each root in its run
+            best = heads[np.lexsort((turned[heads], number[heads]))]
+            place = _starts(number[best])
+            one, other = best[place], best[place + 1]
+            run = np.searchsorted(number[one], number[late])
+            at = np.flatnonzero(late)
+            yield *near(at, np.where(root[at] == root[one[run]], other[run], one[run])), True
+            beyond = np.where(late, 0, beyond)
+    at = np.flatnonzero(beyond)
+    total = np.cumsum(beyond[at])
+    for lo in range(0, int(total[-1]) if len(total) else 0, PAIRS_AT_ONCE):
+        step = np.arange(lo, min(lo + PAIRS_AT_ONCE, int(total[-1])))
+        i = np.searchsorted(total, step, side="right")
+        left = at[i]
+        yield *near(left, group_end[left] + step - (total[i] - beyond[left])), False
+
+
+def _meet(dealt: DataFrame, bits: int, radius: int, lead: int, pairs_of: Callable) -> DataFrame:
+    """kind 0: a colliding pair (a, b); 1: a point of a bucket that is too large for one task, with its columns; 2: pairs were put off."""
+    half, low = radius // 2, bits - lead
+    each = np.array([len(ball_masks(low, half - r)) for r in range(half + 1)])
+    names = dealt.columns
+    rounds, most_buckets = "root" in names, 1 << min(40, 64 - low)
+    kinds = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), *[T.StructField(f.name, f.dataType) for f in dealt.schema]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(ids: list[np.ndarray], values: list[np.ndarray], roots: list[np.ndarray], bucket: int) -> Iterator[pa.RecordBatch]:
-            i, v = np.concatenate(ids), np.concatenate(values).view(np.uint64)
-            if span:
-                order = np.argsort(i)
-                i, v, root = i[order], v[order], np.concatenate(roots)[order]
-            near = np.array([int(x).bit_count() for x in ((v >> np.uint64(low)) ^ np.uint64(bucket)).tolist()]) if lead else np.zeros(len(v), np.int64)
-            tail = v & np.uint64((1 << low) - 1)
-            groups = [np.flatnonzero(near == r).astype(np.int32) for r in range(half + 1)]
-            made = np.empty(sum(len(at) * len(tails[r]) for r, at in enumerate(groups)), np.uint64)
-            owner, n = np.empty(len(made), np.int32), 0
-            for r, at in enumerate(groups):
-                m = n + len(at) * len(tails[r])
-                np.bitwise_xor(tail[at][:, None], tails[r][None, :], out=made[n:m].reshape(len(at), len(tails[r])))
-                owner[n:m] = np.repeat(at, len(tails[r]))
-                n = m
-            if not span:
-                a, b = _forest(made, owner)
-                yield pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(i[b])], names=["a", "b"])
-                return
-            for a, b, further in _spans(made, owner, root, *span):
-                yield pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(i[b])], names=["a", "b"])
-                yield pa.RecordBatch.from_arrays([pa.array(i[further]), pa.nulls(len(further), pa.int64())], names=["a", "b"])
-
-        key, ids, values, roots = None, [], [], []
+        def written(kind: int, a, b, rows: pa.RecordBatch | None = None) -> pa.RecordBatch:
+            n = len(a)
+            rest = rows.columns if rows is not None else [pa.nulls(n, f.type) for f in schema[0]]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *rest], names=["kind", "a", "b", *names])
+
+        def spilled(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            for part in rows.to_batches(10_000):
+                yield written(1, np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64), part)
+
+        def close(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Whole buckets: those of one point go, too large ones are handed on, the others are matched some at a time."""
+            key, prefix = rows.column("key").to_numpy(), rows.column("prefix").to_numpy()
+            starts = _starts(np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (prefix[1:] != prefix[:-1])))))
+            sizes = np.diff(np.append(starts, len(key)))
+            variants = np.add.reduceat(each[rows.column("flips").to_numpy()], starts)
+            large = (variants > 2 * BUCKET_VARIANTS) & (low > 0)
+            if large.any():
+                yield from spilled(rows.filter(pa.array(np.repeat(large, sizes))))
+            keep = ~large & (sizes > 1)
+            rows, sizes, variants = rows.filter(pa.array(np.repeat(keep, sizes))), sizes[keep], variants[keep]
+            first, row, ends = 0, 0, np.cumsum(sizes)
+            while first < len(sizes):
+                until = first + max(1, min(most_buckets, int(np.searchsorted(np.cumsum(variants[first:]), BUCKET_VARIANTS))))
+                yield from match(rows.slice(row, int(ends[until - 1]) - row), np.repeat(np.arange(until - first), sizes[first:until]))
+                first, row = until, int(ends[until - 1])
+
+        def match(rows: pa.Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ids, doc = np.unique(rows.column("id").to_numpy(), return_inverse=True)
+            m = _Members(ids, doc.astype(np.int64), rows.column("value").to_numpy().view(np.uint64), rows.column("flips").to_numpy(), bucket)
+            if rounds:
+                m.root = rows.column("root").to_numpy()
+                m.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, WIDE)
+            for a, b, off in pairs_of(m, *m.runs(low, half)):
+                yield written(0, ids[a], ids[b])
+                if off:
+                    yield written(2, [0], [0])
+
+        schema: list[pa.Schema] = []
+        held, rows, variants, open_rows, open_variants, last, spilling = [], 0, 0, 0, 0, None, False
         for batch in batches:
-            block, bucket = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            i, v, r = batch.column(2).to_numpy(), batch.column(3).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
-            edges = np.flatnonzero((block[1:] != block[:-1]) | (bucket[1:] != bucket[:-1])) + 1
-            for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(i)]):
-                if s == e:
+            if not batch.num_rows:
+                continue
+            schema[:] = [batch.schema]
+            key, prefix = batch.column("key").to_numpy(), batch.column("prefix").to_numpy()
+            starts = np.flatnonzero(np.concatenate(([last != (key[0], prefix[0])], (key[1:] != key[:-1]) | (prefix[1:] != prefix[:-1]))))
+            last = (key[-1], prefix[-1])
+            if spilling:
+                at = int(starts[0]) if len(starts) else batch.num_rows
+                yield from spilled(pa.Table.from_batches([batch.slice(0, at)]))
+                if not len(starts):
                     continue
-                if (block[s], bucket[s]) != key:
-                    if ids:
-                        yield from close(ids, values, roots, key[1])
-                    key, ids, values, roots = (block[s], bucket[s]), [], [], []
-                ids.append(i[s:e])
-                values.append(v[s:e])
-                roots.append(r[s:e])
-        if ids:
-            yield from close(ids, values, roots, key[1])
-
-    if lead:
-        lead_bits = F.shiftrightunsigned("value", low) if bits == 64 else F.shiftright("value", low)
-        buckets = F.explode(F.transform(F.array(*[F.lit(int(m)) for m in head]), lambda m: m.cast("long").bitwiseXOR(lead_bits)))
-    else:
-        buckets = F.lit(0).cast("long")
-    dealt = points.select("block", buckets.alias("bucket"), "id", "value", *(["root"] if span else []))
+                batch, starts, spilling = batch.slice(at), starts - at, False
+            count = each[batch.column("flips").to_numpy()]
+            held.append(batch)
+            if len(starts):
+                open_rows, open_variants = batch.num_rows - int(starts[-1]), int(count[starts[-1] :].sum())
+            else:
+                open_rows, open_variants = open_rows + batch.num_rows, open_variants + int(count.sum())
+            rows, variants = rows + batch.num_rows, variants + int(count.sum())
+            spilling = open_variants > 2 * BUCKET_VARIANTS and low > 0
+            if spilling or ((rows >= 100_000 or variants >= BUCKET_VARIANTS) and open_rows < rows):
+                every = pa.Table.from_batches(held)
+                if open_rows < rows:
+                    yield from close(every.slice(0, rows - open_rows))
+                left = every.slice(rows - open_rows)
+                held, rows, variants = left.to_batches(), open_rows, open_variants
+                if spilling:
+                    yield from spilled(left)
+                    held, rows, variants, open_rows, open_variants = [], 0, 0, 0, 0
+        if held:
+            yield from close(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, kinds)
+
+
+def _deal(points: DataFrame, bits: int, radius: int, lead: int, more: int) -> DataFrame:
+    """Each point to every bucket of `more` further leading bits that holds one of its variants; a bucket is a key and a prefix."""
+    if more:
+        half = radius // 2
+        masks = F.array(*[F.struct(F.lit(int(x)).cast("long").alias("m"), F.lit(int(x).bit_count()).alias("n")) for x in ball_masks(more, half)])
+        part = F.shiftrightunsigned("value", bits - lead - more).bitwiseAND(F.lit((1 << more) - 1).cast("long"))
+        rest = [c for c in points.columns if c not in ("prefix", "flips")]
+        points = points.withColumn("_x", F.explode(F.filter(masks, lambda x: x["n"] + F.col("flips") <= half)))
+        points = points.select(
+            *rest, F.shiftleft("prefix", more).bitwiseOR(part.bitwiseXOR(F.col("_x.m"))).alias("prefix"), (F.col("flips") + F.col("_x.n")).alias("flips"),
+        )
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "block", "bucket").sortWithinPartitions("block", "bucket")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return points.repartition(parts, "key", "prefix").sortWithinPartitions("key", "prefix")
+
+
+def ball_pairs(points: DataFrame, bits: int, radius: int, rows: int = 0, pairs_of: Callable | None = None) -> tuple[DataFrame, bool]:
+    """Colliding pairs (a, b) of `points` (id long, key long, value long): of one key, and with a variant in common.
+
+    Every value emits all variants within radius / 2 of it, and variants meet: two values within `radius` bits share at
+    least one, and two that share one are within `radius` bits. Variants are dealt by key and leading bits, so many
+    that `rows` points of one key fill buckets of BUCKET_VARIANTS. A value goes once to each bucket that holds any of its variants (not once
+    per variant), and the bucket's task derives the variants that fall into it and sorts them. A bucket that turns out
+    too large, as when many points share a key or a neighbourhood, is not matched there: its points are dealt again by further
+    leading bits, until buckets fit or all bits are used.
+
+    Without `pairs_of` the pairs written connect all documents that collisions connect, fewer than the points of a bucket. Each
+    of these is a link only if every collision is one; otherwise see `verified_components`. The second result tells whether `pairs_of`
+    put pairs off.
+    """
+    half = radius // 2
+    pairs_of = pairs_of or (lambda m, owner, number: [(*_forest(m, owner, number), False)])
+    lead = 0
+    more = max(0, min(bits - 2, int(np.ceil(np.log2(max(1, rows * len(ball_masks(bits, half)) / BUCKET_VARIANTS))))))
+    todo = points.withColumns({"prefix": F.lit(0).cast("long"), "flips": F.lit(0)})
+    pairs, put_off = None, False
+    while True:
+        dealt = _deal(todo, bits, radius, lead, more)
+        lead += more
+        found = cut(_meet(dealt, bits, radius, lead, pairs_of))
+        kinds = {r.kind for r in found.groupBy("kind").count().collect()}  # three rows at most
+        part = found.filter("kind = 0").select("a", "b").distinct()
+        pairs = part if pairs is None else pairs.unionByName(part).distinct()
+        put_off |= 2 in kinds
+        if 1 not in kinds:
+            return pairs, put_off
+        todo, more = found.filter("kind = 1").drop("kind", "a", "b"), min(MORE_BITS, bits - lead)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -257,34 +399,36 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def verified_components(points: DataFrame, bits: int, radius: int, holds: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of `points` as in `components`, over those colliding pairs that `holds` returns when given pairs (a, b).
+def verified_components(marked: DataFrame, bits: int, radius: int, holds: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) as in `components`, over those colliding pairs that `holds` returns when given pairs (a, b).
 
-    A forest of each bucket is verified first, which joins true groups at the cost of one pair a member. A pair that fails
-    may have stood for others, so the points that collided go on: the pairs of every variant's run are tried by growing
-    distance, but for those that verified links already connect and those tried before. At the end each colliding
-    pair is connected or was refuted itself.
+    `marked` has id, keys, blocks and sketch (see `sketches`). First each bucket's forest is verified, which joins true groups at the
+    cost of about a pair a member. A pair that fails may have stood for others, so all documents that collided go on, with their
+    root: every colliding pair of different roots whose sketches are near is verified. Where a run has very many such pairs, each
+    member first offers one, and links are contracted, until few are left or no more links turn up; then all
+    are verified. At the end each colliding pair is connected, or its sketches are far apart, or it was refuted itself.
     """
-    tried = cut(ball_pairs(points, bits, radius, points.count()))
-    links = cut(holds(tried))
-    roots = components(links)
+    points = marked.select("id", F.explode(F.arrays_zip("keys", "blocks")).alias("_p"))
+    tried = cut(ball_pairs(points.select("id", F.col("_p.keys").alias("key"), F.col("_p.blocks").alias("value")), bits, radius)[0])
+    good = cut(holds(tried))
+    links, roots = good, components(good)
     live = cut(tried.select(F.explode(F.array("a", "b")).alias("_l")).distinct())
-    first, end = 1, 4
+    live = checked_broadcast(live, live.count(), BROADCAST_KEYS)
+    rest = cut(marked.join(live, F.col("id") == F.col("_l"), "left_semi").select("id", "keys", "blocks", "sketch"))
+    turn, everything = 0, False
     while True:
-        rest = points.join(checked_broadcast(live, live.count(), BROADCAST_KEYS), F.col("id") == F.col("_l"), "left_semi")
-        rest = cut(rest.join(roots, F.col("id") == F.col("node"), "left").select("id", "block", "value", F.coalesce("root", "id").alias("root")))
-        rows = rest.count()
-        if not rows:
-            return roots
-        found = cut(ball_pairs(rest, bits, radius, rows, (first, end)))
-        live = found.filter("b is null").select(F.col("a").alias("_l"))
-        fresh = cut(found.filter("b is not null").join(tried, ["a", "b"], "left_anti"))
+        turn += 1
+        rooted = rest.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "sketch", F.explode(F.arrays_zip("keys", "blocks")).alias("_p"))
+        points = rooted.select("id", F.col("_p.keys").alias("key"), F.col("_p.blocks").alias("value"), "root", "sketch")
+        found, put_off = ball_pairs(points, bits, radius, 0, lambda m, owner, number, t=turn, e=everything: _unlinked(m, owner, number, t, e))
+        fresh = cut(found.join(tried, ["a", "b"], "left_anti"))
         good = cut(holds(fresh))
-        tried = tried.unionByName(fresh)
-        if not good.isEmpty():
+        if new := not good.isEmpty():
             links = links.unionByName(good)
             roots = components(links)
-        first, end = end, 4 * end
+        if not put_off:
+            return roots
+        tried, everything = tried.unionByName(fresh), everything or not new
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
@@ -297,68 +441,91 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     marked = cut(fingerprints(docs, id_col, text_col, words))
     distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("first")))
-    points = distinct.select(F.col("fp").alias("id"), F.lit(0).alias("block"), F.col("fp").alias("value"))
-    pairs = ball_pairs(points, 64, radius, distinct.count())
-    linked = pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    roots = components(linked)
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = cut(named.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id"))
-    return marked.join(of, F.col("fp") == F.col("_fp")).select(
+    points = distinct.select(F.col("fp").alias("id"), F.lit(0).cast("long").alias("key"), F.col("fp").alias("value"))
+    pairs, _ = ball_pairs(points, 64, radius, distinct.count())
+    roots = components(pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    linked = cut(distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "first"))
+    smallest = cut(linked.groupBy("root").agg(F.min("first").alias("_least")))
+    many = smallest.count()
+    named = linked.join(checked_broadcast(smallest, many, BROADCAST_KEYS), "root").select(F.col("fp").alias("_fp"), "_least")
+    of = cut(distinct.join(named, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_of"), F.coalesce("_least", "first").alias("component_id")))
+    return marked.join(of, F.col("fp") == F.col("_of")).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def jaccard_of_pairs(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) of ids whose sets of word shingles have a Jaccard similarity of at least `least`."""
-    named = cut(pairs.select(F.explode(F.array("a", "b")).alias("_t")).distinct())
-    texts = docs.select(F.col("_n").alias("_t"), F.col("_x")).join(checked_broadcast(named, named.count(), BROADCAST_KEYS), "_t", "left_semi")
+def jaccard_of_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) of ids whose sets of word shingles have a Jaccard similarity of at least `least`; `texts` has _t and _x."""
+    named = cut(pairs.select(F.explode(F.array("a", "b")).alias("_w")).distinct())
+    texts = texts.join(checked_broadcast(named, named.count(), BROADCAST_KEYS), F.col("_t") == F.col("_w"), "left_semi")
     full = pairs.join(texts, F.col("a") == F.col("_t")).select("a", "b", F.col("_x").alias("x"))
     full = full.join(texts, F.col("b") == F.col("_t")).select("a", "b", "x", F.col("_x").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: OrderedDict[int, np.ndarray] = OrderedDict()
+
+        def shingles(doc: int, text: str) -> np.ndarray:
+            found = recent.pop(doc, None)
+            recent[doc] = found = np.unique(shingle_hashes(text, words)) if found is None else found
+            if len(recent) > 32:
+                recent.popitem(last=False)
+            return found
+
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = set(shingle_hashes(x, words).tolist()), set(shingle_hashes(y, words).tolist())
-                keep.append(len(p & q) >= least * len(p | q))
+            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                p, q = shingles(a, x), shingles(b, y)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= least * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return full.mapInArrow(run, "a long, b long")
 
 
 def drop_near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, blocks: int = 40, radius: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, blocks: int = 20, bits: int = 24, radius: int = 2
 ) -> DataFrame:
     """The rows of `docs` without near copies: of linked documents the one with the largest id stays.
 
-    A 64-bit fingerprint within 4 bits finds few pairs at a similarity of 0.8 (about 10 bits differ there), so the
-    same ball hashing runs on `blocks` independent 32-bit SimHash blocks, within `radius` bits each; a pair of
-    similarity 0.8 meets in at least one in about 99 of 100 cases (measured figures are in the README). Colliding pairs are
-    verified by the exact Jaccard similarity of their sets of `words`-word shingles (`verified_components`).
-
-    Documents with the same set of shingles collapse to one first; blocks are taken over the set, and those that merely have
-    equal blocks are verified as any other pair. Texts without words are all kept. Rows that repeat an id
-    and text are near copies of each other: one stays.
+    At a similarity of 0.8 about 15 in 100 bits of a SimHash differ. A fingerprint of 64 bits within 4 misses most such pairs, and
+    blocks short enough to find them collide by chance so often that their pairs grow with the square of the table. So the
+    same ball hashing runs on `blocks` blocks of `bits` bits, within `radius` bits each, and each block's variants meet only
+    among documents that share the block's anchor, their smallest shingle under a hash of its own. A pair of similarity
+    0.8 shares an anchor and is within the radius in at least one block in about 99 of 100 cases (measured figures are
+    in the README); unlike documents share no anchor, and those with a common passage differ in the block. Colliding pairs
+    are verified by the exact Jaccard similarity of their sets of `words`-word shingles (`verified_components`).
+
+    Documents with the same set of shingles collapse to one first. Texts without words, null ones too, are all kept. Rows that repeat
+    an id and a text are one document: all of them stay or go. A null id is below all others. An empty table gives no rows; other
+    columns are kept as they are, whatever their names.
     """
     names = docs.columns
-    small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_x"))
-    source = source.withColumn("_n", F.xxhash64("_id", "_x"))
-    marked = cut(sketches(source, "_n", "_x", words, blocks))
-    distinct = cut(marked.groupBy("same").agg(F.min("id").alias("rep"), F.first("blocks").alias("blocks")))
-    points = distinct.select(F.col("rep").alias("id"), F.posexplode("blocks").alias("block", "value"))
-    near = verified_components(points, 32, radius, lambda pairs: jaccard_of_pairs(pairs, source.select("_n", "_x"), words, similarity))
+    source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_x"))
+    marked = sketches(source, "_x", words, blocks, bits)
+    marked = cut(marked.withColumn("id", F.monotonically_increasing_id()))
+    named = marked.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select(F.col("same").alias("_s"), "rep")
+    equal = cut(marked.select("id", "same").join(named, F.col("same") == F.col("_s")).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    copies = checked_broadcast(equal.select(F.col("b").alias("_l")), equal.count(), BROADCAST_KEYS)
+    keys = marked.select(F.col("_id").alias("_i"), F.col("_h").alias("_k"), F.col("id").alias("_t"))
+    every = same(F.col("_id"), F.col("_i")) & (F.col("_h") == F.col("_k"))
+
+    def holds(pairs: DataFrame) -> DataFrame:
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("_w")).distinct())
+        n = wanted.count()
+        wanted = keys.join(checked_broadcast(wanted, n, BROADCAST_KEYS), F.col("_t") == F.col("_w"), "left_semi")
+        texts = source.join(checked_broadcast(wanted, n, BROADCAST_KEYS), every).select("_t", "_x")
+        return jaccard_of_pairs(pairs, texts, words, similarity)
+
+    near = verified_components(marked.join(copies, F.col("id") == F.col("_l"), "left_anti"), bits, radius, holds)
     near = near.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    equal = marked.select("id", "same").join(distinct.select("same", "rep"), "same").filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     roots = components(near.unionByName(equal))
-    ids = source.select("_n", "_id")
-    member = cut(roots.join(ids, F.col("node") == F.col("_n")).select("root", "_n", "_id"))
-    best = member.groupBy("root").agg(F.max_by("_n", F.struct("_id", "_n")).alias("stays"))
-    gone = cut(member.join(best, "root").filter("_n <> stays").select(F.col("_n").alias("_k_n")).distinct())
+    member = cut(roots.join(keys, F.col("node") == F.col("_t")).select("root", "_i", "_k"))
+    best = cut(member.groupBy("root").agg(F.max(F.struct("_i", "_k")).alias("stays")))
+    gone = member.join(checked_broadcast(best, best.count(), BROADCAST_KEYS), "root").filter(~same(F.struct("_i", "_k"), F.col("stays")))
+    gone = cut(gone.select(F.col("_i").alias("_k_i"), F.col("_k").alias("_k_k")).distinct())
     gone = checked_broadcast(gone, gone.count(), BROADCAST_KEYS)
-    rows = docs.withColumn("_k_row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return rows.join(gone, F.col("_k_row") == F.col("_k_n"), "left_anti").select(*names)
+    mine = docs.select(F.col(id_col).alias("_k_id"), F.xxhash64(text_col).alias("_k_h"), F.struct(*names).alias("_k_row"))
+    return mine.join(gone, same(F.col("_k_id"), F.col("_k_i")) & (F.col("_k_h") == F.col("_k_k")), "left_anti").select("_k_row.*")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -146,15 +146,17 @@ def test_majority():
         assert simhash.majority(h) == sum(1 << b for b in range(64) if 2 * sum((int(x) >> b) & 1 for x in h) > n)
 
 
-def test_ball_pairs_connect(spark):
+@pytest.mark.parametrize("room", [3_000, 20_000, 5_000_000])
+def test_ball_pairs_connect(spark, room):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(40)]
     values = list({b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 4))) for b in base for _ in range(6)})
-    signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    points = spark.createDataFrame([(v, 0, v) for v in signed], "id long, block int, value long")
-    old, simhash.BUCKET_VARIANTS = simhash.BUCKET_VARIANTS, 20_000
+    values += [base[0] ^ (1 << x) ^ (1 << y) for x in range(12) for y in range(x)]  # a crowd in one place
+    signed = sorted({v - (1 << 64) if v >> 63 else v for v in values})
+    points = spark.createDataFrame([(v, 0, v) for v in signed], "id long, key long, value long")
+    old, simhash.BUCKET_VARIANTS = simhash.BUCKET_VARIANTS, room  # small ones are dealt again by further bits
     try:
-        pairs = [(r.a, r.b) for r in simhash.ball_pairs(points, 64, 4, len(values)).collect()]
+        pairs = [(r.a, r.b) for r in simhash.ball_pairs(points, 64, 4, len(signed))[0].collect()]
     finally:
         simhash.BUCKET_VARIANTS = old
     mask = (1 << 64) - 1
@@ -204,21 +206,53 @@ def test_copies_at_the_threshold_go(spark):
     assert kept <= 102
 
 
-def test_every_colliding_pair_is_linked_or_tried(spark):
-    true = {(3, 170), (0, 199), (57, 58), (20, 140)}
-    points = spark.createDataFrame([(k, 0, 12345 ^ (1 << (k % 3))) for k in range(200)], "id long, block int, value long")
+@pytest.mark.parametrize("room", [1_500, 5_000_000])
+def test_every_colliding_pair_is_linked_or_tried(spark, room):
+    n = 200
+    true = {(3, 170), (0, 199), (57, 58), (20, 140), (20, 141)}
+    marked = spark.createDataFrame([(k, [7, 100 + k], [12345 ^ (1 << (k % 3)), 5], bytes(64)) for k in range(n)], "id long, keys array<long>, blocks array<long>, sketch binary")
     asked = []
 
     def holds(pairs):
         asked.extend((r.a, r.b) for r in pairs.collect())
         return pairs.filter(" or ".join(f"a = {a} and b = {b}" for a, b in true))
 
-    forest = {r.node: r.root for r in simhash.components(holds(simhash.ball_pairs(points, 32, 2, 200))).collect()}
-    assert len(forest) < 2 * len(true)  # a forest that is verified once loses pairs
-    asked.clear()
-    roots = {r.node: r.root for r in simhash.verified_components(points, 32, 2, holds).collect()}
-    assert roots == {k: a for a, b in true for k in (a, b)}
-    assert len(asked) == len(set(asked))
+    old, simhash.BUCKET_VARIANTS = simhash.BUCKET_VARIANTS, room
+    try:
+        roots = {r.node: r.root for r in simhash.verified_components(marked, 24, 2, holds).collect()}
+    finally:
+        simhash.BUCKET_VARIANTS = old
+    assert roots == {3: 3, 170: 3, 0: 0, 199: 0, 57: 57, 58: 57, 20: 20, 140: 20, 141: 20}
+    assert len(asked) == len(set(asked)) > n * (n - 1) // 2 - 20
+
+
+def test_a_link_refuted_on_the_way_is_not_lost(spark):
+    """X and Z are near copies, Y shares a template with both; Y comes first."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for g in range(30):
+        x = [word() for _ in range(200)]
+        z, y = list(x), list(x)
+        z[190] = "changed"
+        for at in range(5, 195, 28):
+            y[at] = word()
+        rows += [(3 * g, " ".join(y)), (3 * g + 1, " ".join(x)), (3 * g + 2, " ".join(z))]
+    sets = {k: set(simhash.shingle_hashes(t, 5).tolist()) for k, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(0.6 < like(3 * g, 3 * g + 1) < 0.8 and like(3 * g, 3 * g + 2) < 0.8 <= like(3 * g + 1, 3 * g + 2) for g in range(30))
+    kept = [r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == sorted([3 * g for g in range(30)] + [3 * g + 2 for g in range(30)])
+
+
+def test_a_common_passage_links_nothing(spark):
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    rows = [(k, " ".join([word() for _ in range(40)] + passage + [word() for _ in range(20)])) for k in range(400)]
+    rows += [(1000 + k, rows[k][1].rsplit(" ", 1)[0] + " end") for k in range(0, 400, 40)]
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {k for k, _ in rows} - set(range(0, 400, 40))
 
 
 def test_several_medium_passages_are_toxic(spark):
