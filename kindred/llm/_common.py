@@ -22,7 +22,7 @@ def small_batches(spark: SparkSession) -> None:
     """Send this package to the executors, and bound what one Arrow batch of long texts can hold in a Python worker."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def cut(df: DataFrame) -> DataFrame:

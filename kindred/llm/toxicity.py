@@ -13,12 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import commonest, cut, small_batches, table
+from ._common import cut, small_batches, table
 
 _TOKEN = re.compile(r"[^\W\d_]+")
-#: Labelled documents that the model is fitted on at most, and tokens and prefixes that it keeps at most.
+#: Labelled documents that the model is fitted on at most.
 MAX_TRAIN = 20_000
-MAX_TOKENS = 150_000
+#: Different tokens that a counting task holds before it writes their counts.
+COUNTS_AT_ONCE = 200_000
 
 
 @dataclass
@@ -48,22 +49,22 @@ class Model:
                     out[i] = s
         return np.array(out, np.float64) - self.drift
 
-    def best(self, scores: np.ndarray) -> float:
+    def best(self, scores: np.ndarray) -> tuple[float, int]:
         """The score of the best segment, 0 at least; if `joined`, plus what each further segment has above `floor`.
 
         So `excess` is the sum of the normalised excesses of all segments where any is positive (the sum statistic of Karlin and
-        Altschul), and that of the best segment otherwise.
+        Altschul), and that of the best segment otherwise. Second, how many segments are above `floor`.
         """
         if not len(scores):
-            return 0.0
+            return 0.0, 0
         sums = np.cumsum(scores)
         lowest = np.minimum.accumulate(np.concatenate(([0.0], sums[:-1])))
         top = max(0.0, float((sums - lowest).max()))
         floor = max(0.0, self.floor(len(scores)))
         if not self.joined or top <= floor:  # no segment is better than the best
-            return top
+            return top, int(top > floor)
         further = sorted((v for _, _, v in segments(scores, floor)), reverse=True)[1:]
-        return top + sum(v - floor for v in further)
+        return top + sum(v - floor for v in further), 1 + len(further)
 
     def floor(self, n: int) -> float:
         """The segment score at which `excess` is zero."""
@@ -111,13 +112,11 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0
 
 
-def significant(pair: tuple[int, int], overall: float, least: float = 15.0) -> bool:
-    """Whether `pair` (occurrences in toxic and in clean documents) leans to toxic by a likelihood ratio of at least `least`."""
-    b, g = pair
-    p = b / (b + g)
-    if p <= overall:
-        return False
-    return 2 * (b * math.log(p / overall) + (g * math.log((1 - p) / (1 - overall)) if g else 0.0)) >= least
+def significant(bad: Column, good: Column, overall: float, least: float = 15.0) -> Column:
+    """Whether `bad` and `good` (occurrences in toxic and in clean documents) lean to toxic by a likelihood ratio of at least `least`."""
+    p = bad / (bad + good)
+    ratio = bad * F.log(p / overall) + F.when(good > 0, good * F.log((1 - p) / (1 - overall))).otherwise(0.0)
+    return (p > overall) & (2 * ratio >= least)
 
 
 def _training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
@@ -136,63 +135,75 @@ def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_TRAIN,
     prior: float = 4.0,
 ) -> Model:
-    """Learn a Model from the labels. Counting runs on Spark; the driver gets at most MAX_TOKENS counts and a number per sampled row.
+    """Learn a Model from the labels. Counting runs on Spark; the driver gets the tokens that matter and a number per sampled row.
 
     A token's rate of occurring in toxic documents has a Dirichlet prior centred on the rate of its 7-letter prefix, which
     leans on its 5-letter prefix, which leans on all tokens. Scores are log-odds against the overall rate, and 0 for tokens
-    and prefixes that do not significantly lean to toxic documents. Copies of a text count once.
-    Without labels of both kinds every text scores the same low value.
+    and prefixes that do not significantly lean to toxic documents; only the others, which need several occurrences in the bounded
+    sample, leave Spark. Copies of a text count once. Without labels of both kinds every text scores the same low value.
     """
     small_batches(docs.sparkSession)
-    train = cut(_training(docs, labels, id_col, text_col, label_col, most))  # bounded, and read four times
+    train = cut(_training(docs, labels, id_col, text_col, label_col, most))  # bounded, and read three times
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, bad, all_good, all_bad = Counter(), Counter(), 0, 0
+        good, bad, seen = Counter(), Counter(), [0, 0]
+
+        def packed() -> pa.RecordBatch:
+            words = list(good.keys() | bad.keys())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.string()), pa.array([bad[w] for w in words], pa.int64()), pa.array([good[w] for w in words], pa.int64())],
+                names=["w", "bad", "good"],
+            )
+
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 (bad if y else good).update(set(tokens(text)))
-                all_good, all_bad = all_good + (not y), all_bad + bool(y)
-        good[""], bad[""] = all_good, all_bad  # the numbers of documents
-        words = list(good.keys() | bad.keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.string()), pa.array([bad[w] for w in words], pa.int64()), pa.array([good[w] for w in words], pa.int64())],
-            names=["w", "bad", "good"],
-        )
+                seen[bool(y)] += 1
+            if len(good) + len(bad) > COUNTS_AT_ONCE:
+                yield packed()
+                good.clear()
+                bad.clear()
+        good[""], bad[""] = seen  # the numbers of documents
+        yield packed()
 
     counts = train.select("_text", "_y").mapInArrow(count, "w string, bad long, good long")
     counts = cut(counts.groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
-    # rare words only matter through their prefixes, so those are counted over all words
-    by = {n: counts.filter(F.length("w") >= n).groupBy(F.substring("w", 1, n).alias("w")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")) for n in (5, 7)}
-    top = lambda x: commonest(x.filter("w = '' or bad + good >= 3"), F.col("bad") + F.col("good"), MAX_TOKENS).collect()
-    words = {r.w: (r.bad, r.good) for r in top(counts)}
-    five, seven = ({r.w: (r.bad, r.good) for r in top(by[n])} for n in (5, 7))
-    bad, good = words.pop("", (0, 0))
+    of_docs, of_words = counts.filter("w = ''").agg(F.sum("bad"), F.sum("good")).first(), counts.filter("w <> ''").agg(F.sum("bad"), F.sum("good")).first()
     model = Model()
-    if not bad or not good:
+    if not of_docs[0] or not of_docs[1] or not of_words[0]:
         return model
-    all_bad = sum(b for b, _ in words.values()) or 1
-    all_good = sum(g for _, g in words.values()) or 1
-    overall = all_bad / (all_bad + all_good)
+    overall = of_words[0] / (of_words[0] + of_words[1]) if of_words[1] else 0.5
     logit = lambda p: math.log(p / (1 - p))
-
-    def rate(pair: tuple[int, int], around: float) -> float:
-        return (pair[0] + prior * around) / (sum(pair) + prior)
-
-    rates5 = {w: rate(c, overall) for w, c in five.items()}
-    rates7 = {w: rate(c, rates5.get(w[:5], overall)) for w, c in seven.items()}
-    near = lambda w: rates7.get(w[:7], rates5.get(w[:5], overall)) if len(w) > 6 else rates5.get(w[:5], overall) if len(w) > 4 else overall
     base = logit(overall)
+
+    def prefixes(n: int) -> DataFrame:
+        return counts.filter(F.length("w") >= n).groupBy(F.substring("w", 1, n).alias("w")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+    def rated(rows: DataFrame, around: Column) -> DataFrame:
+        return rows.withColumn("rate", (F.col("bad") + prior * around) / (F.col("bad") + F.col("good") + prior))
+
+    five = rated(prefixes(5), F.lit(overall))
+    of_five = five.select(F.col("w").alias("_w5"), F.col("rate").alias("_r5"))
+    seven = rated(prefixes(7).join(of_five, F.substring("w", 1, 5) == F.col("_w5"), "left"), F.col("_r5"))
+    of_seven = seven.select(F.col("w").alias("_w7"), F.col("rate").alias("_r7"))
+    words = counts.filter("w <> ''").filter(significant(F.col("bad"), F.col("good"), overall))
+    words = words.join(of_five, F.substring("w", 1, 5) == F.col("_w5"), "left").join(of_seven, F.substring("w", 1, 7) == F.col("_w7"), "left")
+    words = rated(words, F.coalesce("_r7", "_r5", F.lit(overall)))
+    kept = words.select(F.lit(0).alias("n"), "w", "rate")
+    for n, rows in ((5, five), (7, seven)):
+        kept = kept.unionByName(rows.filter(significant(F.col("bad"), F.col("good"), overall)).select(F.lit(n).alias("n"), "w", "rate"))
+    for r in kept.collect():
+        (model.prefixes if r.n else model.tokens)[r.w] = logit(r.rate) - base
     model.base = 0.0
-    scores5 = {w: logit(r) - base for w, r in rates5.items() if significant(five[w], overall)}
-    scores7 = {w: logit(r) - base if significant(seven[w], overall) else scores5.get(w[:5], 0.0) for w, r in rates7.items()}
-    model.prefixes = scores5 | scores7
-    model.tokens = {w: logit(rate(c, near(w))) - base for w, c in words.items() if significant(c, overall)}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [tokens(t) for t in batch.column(0).to_pylist()]
-            best = [model.best(model.token_scores(w)) for w in found]
-            yield pa.RecordBatch.from_arrays([pa.array(best), pa.array([len(w) for w in found], pa.int64()), batch.column(1)], names=["s", "n", "y"])
+            best, n = [], []
+            for text in batch.column(0).to_pylist():
+                scores = model.token_scores(tokens(text))
+                best.append(model.best(scores)[0])
+                n.append(len(scores))
+            yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array(n, pa.int64()), batch.column(1)], names=["s", "n", "y"])
 
     measured = lambda: train.select("_text", "_y").mapInArrow(measure, "s double, n long, y int").toPandas()
     rows = measured()
@@ -223,7 +234,9 @@ def fit(
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
-    """doc_id, score and predicted of each row; with `passages` also the segments that a toxic text's score counts, in code points.
+    """doc_id, score, predicted and n_passages of each row; with `passages` also a toxic text's passages, in code points.
+
+    n_passages counts the segments that are better than a clean text of the length is expected to hold.
 
     Only the text is used. Null and empty texts have the score of a text without tokens. An empty table gives no
     rows; repeated rows are scored each.
@@ -231,25 +244,26 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, score double, predicted int"
+    schema = f"doc_id {kind}, score double, predicted int, n_passages long"
     if passages:
         schema += ", passages array<struct<first:int,end:int,score:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            out, spans = [], []
+            out, counts, spans = [], [], []
             for text in batch.column(1).to_pylist():
                 s = m.token_scores(tokens(text))
-                best = m.best(s)
+                best, n = m.best(s)
                 out.append(m.probability(best, len(s)))
+                counts.append(n)
                 if passages:
                     least = max(m.threshold(len(s), 0.5), 1e-9)
                     got = segments(s, max(min(least, m.floor(len(s))), 1e-9)) if best >= least else []
                     at = [x.span() for x in _TOKEN.finditer(text.lower())] if got else []
                     spans.append([{"first": at[i][0], "end": at[j - 1][1], "score": v} for i, j, v in got])
-            columns = [batch.column(0), pa.array(out, pa.float64()), pa.array([int(x >= 0.5) for x in out], pa.int32())]
-            names = ["doc_id", "score", "predicted"]
+            columns = [batch.column(0), pa.array(out, pa.float64()), pa.array([int(x >= 0.5) for x in out], pa.int32()), pa.array(counts, pa.int64())]
+            names = ["doc_id", "score", "predicted", "n_passages"]
             if passages:
                 kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
                 columns.append(pa.array(spans, kind))
@@ -273,7 +287,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, labelled: DataFrame, id_col:
             stay = []
             for text in batch.column(text_col).to_pylist():
                 s = m.token_scores(tokens(text))
-                stay.append(m.probability(m.best(s), len(s)) < 0.5)
+                stay.append(m.probability(m.best(s)[0], len(s)) < 0.5)
             yield batch.filter(pa.array(stay, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -283,4 +297,4 @@ def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learned from the labels outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
     found = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "n_passages")

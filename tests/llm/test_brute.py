@@ -321,7 +321,7 @@ def test_segments_brute():
         s = rng.integers(-3, 4, rng.integers(0, 12)).astype(float)
         best = max([0.0] + [s[i:j].sum() for i in range(len(s)) for j in range(i + 1, len(s) + 1)])
         found = toxicity.segments(s, 1e-9)
-        assert toxicity.Model().best(s) == best and max([0.0] + [x[2] for x in found]) == best
+        assert toxicity.Model().best(s)[0] == best and max([0.0] + [x[2] for x in found]) == best
         assert all(a[1] <= b[0] for a, b in zip(found, found[1:])) and all(abs(s[a:b].sum() - v) < 1e-9 for a, b, v in found)
 
 

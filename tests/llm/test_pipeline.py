@@ -13,7 +13,7 @@ def test_run_is_its_brute_force_version(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{data}/labels.parquet"))
     texts = {r.doc_id: r.text for r in docs.collect()}
-    left = {k for k, t in texts.items() if model.probability(model.best(model.token_scores(toxicity.tokens(t))), len(toxicity.tokens(t))) < 0.5}
+    left = {k for k, t in texts.items() if model.probability(model.best(model.token_scores(toxicity.tokens(t)))[0], len(toxicity.tokens(t))) < 0.5}
 
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     best = {}
