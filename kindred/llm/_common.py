@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,15 +26,31 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one in local mode, and an error on a cluster."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-kindred-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that spark.checkpoint.dir names; every executor can read it again."""
+    """Cut the lineage in the shared folder; every executor can read it again."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-kindred-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def times(df: DataFrame, n: str, most: int = 1000) -> DataFrame:
+    """Each row `n` times (a column that goes), with _i from 1; no row makes an array of more than about `most` or n / most places."""
+    blocks = df.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(most).cast("long"))))
+    return blocks.withColumn("_i", F.explode(F.sequence(F.col("_b") + 1, F.least(F.col("_b") + most, F.col(n))))).drop("_b", n)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

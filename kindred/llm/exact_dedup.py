@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, checked_broadcast, cut, same, table
+from ._common import ascii_lower, checked_broadcast, cut, same, table, times
 
 #: At most so many (length, prefix hash) keys are broadcast; 24 bytes each. More of them are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: At most so many groups of equal texts are broadcast; some 120 bytes each.
+BROADCAST_GROUPS = 200_000
 
 
 def exact_dedup(
@@ -45,11 +47,11 @@ def exact_dedup(
     full = F.sha2(ascii_lower(F.col("_text")), 256)
     hashed = cut(flagged.select("doc_id", again.alias("_again"), (full if digest_all else F.when(again, full)).alias("text_sha256")))
     copies = cut(hashed.filter("_again").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("_m")))
-    # written out, so that the join below meets two plain exchanges and a skewed one can be split
+    # written out, so that where there are too many to broadcast the join meets two plain exchanges and a skewed one can be split
     groups = cut(copies.groupBy(F.col("text_sha256").alias("_sha")).agg(F.max("doc_id").alias("keep_id"), F.sum("_m").alias("group_size")))
+    groups = checked_broadcast(groups, groups.count(), min(BROADCAST_GROUPS, broadcast_keys))
     decided = (
-        copies.join(groups, F.col("text_sha256") == F.col("_sha"))
-        .select("doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1), F.col("_m").cast("int"))).alias("_i"))
+        times(copies.join(groups, F.col("text_sha256") == F.col("_sha")), "_m")
         .select("doc_id", "keep_id", "group_size", (same(F.col("doc_id"), F.col("keep_id")) & (F.col("_i") == 1)).alias("kept"), "text_sha256")
     )
     alone = hashed.filter(~F.col("_again")).select(
@@ -62,6 +64,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of `docs` that exact_dedup keeps, with all their columns.
 
     The rows to drop are named by id and text hash; their keys are broadcast if they are few, so the texts stay where they are.
+    Of rows that repeat an id and a text one stays, with the other columns of any of them; a null id is below all others. An
+    empty table gives no rows; columns are kept whatever their names.
     """
     names = docs.columns
     found = exact_dedup(docs, id_col, text_col).filter("group_size > 1")
@@ -69,16 +73,16 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         found.groupBy(F.col("doc_id").alias("_k_id"), F.col("text_sha256").alias("_k_sha")).agg(F.max("kept").alias("_k_kept"), F.count("*").alias("_k_rows"))
     )
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    rows = docs.withColumn("_k_doc", sha)
-    is_it = same(F.col(id_col), F.col("_k_id")) & (F.col("_k_doc") == F.col("_k_sha"))
+    rows = docs.select(F.col(id_col).alias("_k_doc"), sha.alias("_k_text"), F.struct(*names).alias("_k_row"))
+    is_it = same(F.col("_k_doc"), F.col("_k_id")) & (F.col("_k_text") == F.col("_k_sha"))
     # rows that repeat id and text are all taken out, and one of each is put back
     repeated = verdict.filter("_k_kept and _k_rows > 1").select("_k_id", "_k_sha")
     gone = verdict.filter("not _k_kept or _k_rows > 1").select("_k_id", "_k_sha")
-    out = rows.join(checked_broadcast(gone, gone.count(), broadcast_keys), is_it, "left_anti").select(*names)
+    out = rows.join(checked_broadcast(gone, gone.count(), broadcast_keys), is_it, "left_anti").select("_k_row.*")
     n = repeated.count()
     if not n:
         return out
-    again = rows.join(checked_broadcast(repeated, n, broadcast_keys), is_it).dropDuplicates(["_k_id", "_k_sha"]).select(*names)
+    again = rows.join(checked_broadcast(repeated, n, broadcast_keys), is_it).dropDuplicates(["_k_id", "_k_sha"]).select("_k_row.*")
     return out.unionByName(again)
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checked_broadcast, cut, running_total, same, table
+from ._common import checked_broadcast, cut, running_total, same, table, times
 
 WORD = r"[^\x20\x09-\x0D]+"
 EPS = 1e-9
 #: Rows of per-source tables that are broadcast at most; with more sources, documents and sources are joined by a shuffle.
 BROADCAST_SOURCES = 200_000
-#: Documents whose copies are broadcast at most; those of more documents are joined by a shuffle.
-BROADCAST_PLAN = 1_000_000
+#: Documents whose copies are broadcast at most (an id and a number each); those of more documents are joined by a shuffle.
+BROADCAST_PLAN = 500_000
 
 
 def source_targets(sizes: DataFrame, share: float, weights: tuple[int, ...], cap: float) -> DataFrame:
@@ -90,12 +90,14 @@ def mix_sources(
     group hands one residual to the next level of the tree, and the last residual of a source is rounded at random.
     A source thus misses its target by less than one document. Random numbers are hashes of ids: reruns agree.
 
-    Null text has size 0 and is taken as 0 words; null source is a source of its own, ranked last. Repeated rows
-    are rounded each on their own. An empty table gives no rows. Groups are dealt by hash, so a source with a
-    third of all rows fills as many groups as its size asks for.
+    Null text has size 0 and is taken as 0 words; null source is a source of its own, ranked last. Rows that share an id, null
+    too, are rounded each on their own: those alike in source and size are numbered. An empty table gives no rows; other columns
+    are ignored, whatever their names. Groups are dealt by a hash of id, size and number, so neither a source with a third of all rows
+    nor an id with as many meets in one group.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    sizes = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), size.alias("size")))
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), size.alias("size"))
+    sizes = cut(times(sizes.groupBy("doc_id", "_source", "size").agg(F.count("*").alias("_m")), "_m"))
     targets = source_targets(sizes, share, weights, cap)
     targets = checked_broadcast(targets, targets.count(), BROADCAST_SOURCES)
     rated = sizes.join(targets, same(F.col("_source"), F.col("_of")), "left").drop("_of")
@@ -114,10 +116,10 @@ def mix_sources(
         .join(groups, same(F.col("_source"), F.col("_of")))
         .select(
             "_source", "source_size", "target", "_whole",
-            F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_groups")).alias("_group"),
+            F.pmod(F.xxhash64("doc_id", "size", "_i", F.lit(seed)), F.col("_groups")).alias("_group"),
             F.struct(
-                F.xxhash64(F.lit(seed), "doc_id").alias("key"), "doc_id", "size",
-                _uniform(F.col("doc_id"), F.lit(seed + 1), F.lit(0)).alias("u"), F.col("_p").alias("p"),
+                F.xxhash64(F.lit(seed), "doc_id", "size", "_i").alias("key"), "doc_id", "size",
+                _uniform(F.col("doc_id"), F.col("size"), F.col("_i"), F.lit(seed + 1), F.lit(0)).alias("u"), F.col("_p").alias("p"),
             ).alias("node"),
         )
     )
@@ -131,7 +133,7 @@ def mix_sources(
         parts.append(done.select(F.col("d.doc_id").alias("doc_id"), "_source", F.col("d.size").alias("size"), "source_size", "target", "_whole", F.round("d.p").cast("long").alias("_extra")))
         if most == 1:
             last = folded.select(*of, F.col("r.open").alias("d"))
-            up = _uniform(F.col("d.doc_id"), F.lit(seed + 2)) < F.col("d.p")
+            up = _uniform(F.col("d.key"), F.lit(seed + 2)) < F.col("d.p")
             parts.append(last.select(F.col("d.doc_id").alias("doc_id"), "_source", F.col("d.size").alias("size"), "source_size", "target", "_whole", up.cast("long").alias("_extra")))
             break
         most = -(-most // fan_in)
@@ -139,7 +141,7 @@ def mix_sources(
             *of, F.floor(F.col("_group") / fan_in).alias("_group"),
             F.struct(
                 F.col("r.open.key").alias("key"), F.col("r.open.doc_id").alias("doc_id"), F.col("r.open.size").alias("size"),
-                _uniform(F.col("r.open.doc_id"), F.lit(seed + 1), F.lit(level)).alias("u"), F.col("r.open.p").alias("p"),
+                _uniform(F.col("r.open.key"), F.lit(seed + 1), F.lit(level)).alias("u"), F.col("r.open.p").alias("p"),
             ).alias("node"),
         )
     out = parts[0]
@@ -155,15 +157,17 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of `docs` as often as the mix takes them; documents without words stay once.
 
-    Rows that share an id are taken as often as the first of them by size.
+    Rows that share an id, null too, are taken as often as the first of them by size. An empty table gives no rows; all
+    columns of `docs` are kept, whatever their names.
     """
     names = docs.columns
     taken = mix_sources(docs, id_col=id_col, **how)
-    times = F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(1)).cast("int")
-    plan = taken.groupBy(F.col("doc_id").alias("_k_id")).agg(F.min_by(times, F.struct("size", "copies")).alias("_k_copies"))
+    often = F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(1)).cast("int")
+    plan = taken.groupBy(F.col("doc_id").alias("_k_id")).agg(F.min_by(often, F.struct("size", "copies")).alias("_k_copies"))
     plan = cut(plan)
-    joined = docs.join(checked_broadcast(plan, plan.count(), BROADCAST_PLAN), same(F.col(id_col), F.col("_k_id"))).filter("_k_copies > 0")
-    return joined.select(*names, F.explode(F.sequence(F.lit(1), F.col("_k_copies"))).alias("_k_i")).select(*names)
+    mine = docs.select(F.col(id_col).alias("_k_doc"), F.struct(*names).alias("_k_row"))
+    joined = mine.join(checked_broadcast(plan, plan.count(), BROADCAST_PLAN), same(F.col("_k_doc"), F.col("_k_id"))).filter("_k_copies > 0")
+    return joined.select("_k_row", F.explode(F.sequence(F.lit(1), F.col("_k_copies")))).select("_k_row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 import zlib
 from array import array
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, running_total, small_batches, table
+from ._common import cut, running_total, shared_folder, small_batches, table
 from .range_coder import read_segment, write_segment
 
 #: Ids that a segment is filled to; the last document may exceed it.
@@ -134,7 +133,6 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 
 def op10_token_files(spark, sf_dir: str) -> DataFrame:
     """All documents written as token files and read back."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-kindred-")
-    path = os.path.join(shared, f"token-files-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), f"token-files-{uuid.uuid4().hex}")
     write_token_files(table(spark, sf_dir, "documents"), path)
     return read_token_files(spark, path)
