@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kindred.llm._common import shared_folder
 from kindred.llm.byte_bpe import encode_documents
 from kindred.llm.exact_dedup import drop_exact_copies
 from kindred.llm.mixing import mixed_documents
@@ -49,8 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage over documents; each stage's rows are written as Parquet in the shared folder and read again."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-kindred-")
-    top = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}")
+    top = os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")

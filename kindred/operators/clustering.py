@@ -19,6 +19,8 @@ from ..cluster import ship
 #: Fixed values of the merge rule.
 STRONG, SOFT, SOFT_FAR, SOFT_SEEN = 0.84, 0.80, 0.11, 5
 STRONG_FACE = 0.58
+#: Fixed values of the duplicate score: anchors further apart never are, and the difference of confidences that counts for nothing.
+DUPLICATE_FAR, DUPLICATE_GAP = 0.28, 0.30
 
 
 @dataclass(frozen=True)
@@ -38,6 +40,7 @@ class Config:
     min_thumbnail_quality: float = 0.54
     min_face_presence: float = 0.44
     anchor_scale: float = 1.0  # 1 compares anchors in the units they come in
+    least_duplicate_cosine: float = 0.70
 
     @classmethod
     def of_mode(cls, mode: str) -> Config:
@@ -70,14 +73,22 @@ class Clusters:
 
     def __init__(self, gate: float) -> None:
         self.gate = gate
-        self.centroids = np.empty((0, 0))
-        self.sums = np.empty((0, len(self.SUMS)))
+        self.room = np.empty((0, 0))  # of which the first rows are used; it doubles when full
+        self.sums_room = np.empty((0, len(self.SUMS)))
         self.seen: list[int] = []
         self.strong: list[int] = []
         self.first: list[int] = []
         self.last: list[int] = []
         self.quality: list[float] = []
 
+    @property
+    def centroids(self) -> np.ndarray:
+        return self.room[: len(self.seen)]
+
+    @property
+    def sums(self) -> np.ndarray:
+        return self.sums_room[: len(self.seen)]
+
     def add(self, frame: int, x: float, y: float, confidence: float, vector: np.ndarray, presence: float, size: float) -> tuple[int, float]:
         """Put an observation in the cluster of largest cosine, the first of equal ones, or in a new one below the gate."""
         sims = self.centroids @ vector if len(self.seen) else np.empty(0)
@@ -97,8 +108,13 @@ class Clusters:
             self.strong[at] += presence >= STRONG_FACE
             self.quality[at] = max(self.quality[at], quality)
             return at, sim
-        self.centroids = np.vstack([self.centroids, vector]) if len(self.seen) else vector[None, :].copy()
-        self.sums = np.vstack([self.sums, row])
+        n = len(self.seen)
+        if n == len(self.room):
+            room, sums = np.empty((max(8, 2 * n), len(vector))), np.empty((max(8, 2 * n), len(self.SUMS)))
+            if n:
+                room[:n], sums[:n] = self.room, self.sums_room
+            self.room, self.sums_room = room, sums
+        self.room[n], self.sums_room[n] = vector, row
         for column, value in ((self.seen, 1), (self.strong, int(presence >= STRONG_FACE)), (self.first, frame), (self.last, frame), (self.quality, quality)):
             column.append(value)
         return len(self.seen) - 1, 1.0
@@ -108,30 +124,48 @@ class Clusters:
 
         The right one's place is taken by the last cluster, as ids count places after merging.
         """
-        merges = 0
-        while len(self.seen) > 1:
-            n = np.array(self.seen, float)
-            sims = self.centroids @ self.centroids.T
-            anchors = self.sums[:, 3:5] / n[:, None] / scale
-            far = np.sqrt(((anchors[:, None, :] - anchors[None, :, :]) ** 2).sum(axis=2))
-            fits = (sims >= STRONG) | ((sims >= SOFT) & (far <= SOFT_FAR) & (n[:, None] + n[None, :] >= SOFT_SEEN))
-            fits &= np.triu(np.ones_like(fits), 1).astype(bool)
-            if not fits.any():
+        end, merges = len(self.seen), 0
+        if end < 2:
+            return 0
+        n = np.array(self.seen, float)
+        sims = self.centroids @ self.centroids.T
+        score = np.full((end, end), -np.inf)  # the cosine of mergeable pairs left < right
+
+        def anchors(at) -> np.ndarray:
+            return self.sums[at, 3:5] / n[at, None] / scale
+
+        def fitting(cosine: np.ndarray, far: np.ndarray, seen: np.ndarray) -> np.ndarray:
+            fits = (cosine >= STRONG) | ((cosine >= SOFT) & (far <= SOFT_FAR) & (seen >= SOFT_SEEN))
+            return np.where(fits, cosine, -np.inf)
+
+        def refresh(i: int) -> None:
+            """The scores of cluster i with all others, of which only its own row and column change in a merge."""
+            far = np.sqrt(((anchors(slice(0, end)) - anchors(slice(i, i + 1))) ** 2).sum(axis=1))
+            row = fitting(sims[i, :end], far, n[:end] + n[i])
+            score[i, i + 1 : end], score[:i, i] = row[i + 1 :], row[:i]
+
+        for i in range(end):
+            refresh(i)
+        while end > 1:
+            left, right = divmod(int(score[:end, :end].argmax()), end)
+            if score[left, right] == -np.inf:
                 break
-            left, right = np.unravel_index(np.where(fits, sims, -np.inf).argmax(), sims.shape)
-            self.centroids[left] = _unit((self.centroids[left] * n[left] + self.centroids[right] * n[right]) / (n[left] + n[right]))
-            self.sums[left] += self.sums[right]
+            self.room[left] = _unit((self.room[left] * n[left] + self.room[right] * n[right]) / (n[left] + n[right]))
+            self.sums_room[left] += self.sums_room[right]
+            n[left] += n[right]
             self.seen[left] += self.seen[right]
             self.strong[left] += self.strong[right]
             self.first[left] = min(self.first[left], self.first[right])
             self.last[left] = max(self.last[left], self.last[right])
             self.quality[left] = max(self.quality[left], self.quality[right])
-            end = len(self.seen) - 1
-            self.centroids[right], self.sums[right] = self.centroids[end], self.sums[end]
-            self.centroids, self.sums = self.centroids[:end], self.sums[:end]
+            end -= 1
+            self.room[right], self.sums_room[right], n[right] = self.room[end], self.sums_room[end], n[end]
             for column in (self.seen, self.strong, self.first, self.last, self.quality):
                 column[right] = column[end]
                 column.pop()
+            for i in {left, right} - {end}:
+                sims[i, :end] = sims[:end, i] = self.centroids @ self.room[i]
+                refresh(i)
             merges += 1
         return merges
 
@@ -197,28 +231,65 @@ def leader_labels(rows: DataFrame, gate: float) -> DataFrame:
 
 REPORT = (
     "scan_id string, id long, confidence double, observations long, first_frame long, last_frame long, anchor_x double, anchor_y double,"
-    " embedding array<double>, merged_clusters long, suppressed_clusters long, all_observations long"
+    " embedding array<double>, duplicates array<struct<a:long,b:long,similarity:double>>, merged_clusters long, suppressed_clusters long,"
+    " all_observations long, rescanned boolean"
 )
 
 
+def duplicate_pairs(found: list[dict], config: Config) -> list[dict]:
+    """Pairs of a report's candidates whose duplicate score reaches the threshold, best first, truncated."""
+    bound = lambda v: min(max(v, 0.0), 1.0)
+    pairs = []
+    for i, a in enumerate(found):
+        for b in found[i + 1 :]:
+            cosine = bound(float(np.dot(a["embedding"], b["embedding"])))
+            far = float(np.hypot(a["anchor_x"] - b["anchor_x"], a["anchor_y"] - b["anchor_y"]))
+            if cosine < config.least_duplicate_cosine or far > DUPLICATE_FAR:
+                continue
+            shared = min(a["last_frame"], b["last_frame"]) - max(a["first_frame"], b["first_frame"]) + 1
+            shorter = 1 + min(max(x["last_frame"] - x["first_frame"], 0) for x in (a, b))
+            near = bound(1.0 - abs(a["confidence"] - b["confidence"]) / DUPLICATE_GAP)
+            score = bound(cosine * 0.78 + (1.0 - bound(far)) * 0.10 + (bound(shared / shorter) if shared > 0 else 0.0) * 0.08 + near * 0.04)
+            if score >= config.duplicate_similarity:
+                pairs.append({"a": a["id"], "b": b["id"], "similarity": score})
+    pairs.sort(key=lambda p: (-p["similarity"], p["a"], p["b"]))
+    return pairs[: config.max_duplicates]
+
+
+def tightened(found: list[dict], expected: int | None) -> list[dict]:
+    """With more candidates than expected, the most observed ones, two more than expected."""
+    if not expected or len(found) <= expected:
+        return found
+    return sorted(found, key=lambda c: (-c["observations"], -c["confidence"], c["id"]))[: expected + 2]
+
+
+def _finish(clusters: Clusters, config: Config) -> tuple[list[dict], list[dict], dict]:
+    """Candidates, duplicates among them, and counters of a scan whose observations are all in."""
+    merged = clusters.merge(config.anchor_scale)
+    every = len(clusters.seen)
+    passed = clusters.candidates(replace(config, max_candidates=every))
+    found = passed[: config.max_candidates]
+    counters = {"merged_clusters": merged, "suppressed_clusters": every - len(passed), "all_observations": sum(clusters.seen)}
+    return found, duplicate_pairs(found, config), counters
+
+
+def _report(scan, found: list[dict], duplicates: list[dict], counters: dict, again: bool) -> pd.DataFrame:
+    rows = found or [dict.fromkeys(("id", "confidence", "observations", "first_frame", "last_frame", "anchor_x", "anchor_y", "embedding"))]
+    out = pd.DataFrame([{"scan_id": scan, **counters, **c, "duplicates": duplicates, "rescanned": again} for c in rows])
+    for c in ("id", "observations", "first_frame", "last_frame"):
+        out[c] = out[c].astype("Int64")
+    return out[[c.strip().split()[0] for c in REPORT.split(", ")]]
+
+
 def discover(rows: DataFrame, config: Config) -> DataFrame:
-    """Candidates of each scan, with the scan's counters; a scan without candidates has one row with a null id."""
+    """Candidates of each scan, each with the scan's duplicates and counters; a scan without candidates has one row with a null id."""
 
     def visit(scan, state, part):
         clusters = state.setdefault("clusters", Clusters(config.cluster_similarity))
         if part is not None:
             _add_all(clusters, part)
             return None
-        merged = clusters.merge(config.anchor_scale)
-        every = len(clusters.seen)
-        whole = replace(config, max_candidates=every)
-        passed = clusters.candidates(whole)
-        found = passed[: config.max_candidates] or [dict.fromkeys(("id", "confidence", "observations", "first_frame", "last_frame", "anchor_x", "anchor_y", "embedding"))]
-        counters = {"scan_id": scan, "merged_clusters": merged, "suppressed_clusters": every - len(passed), "all_observations": sum(clusters.seen)}
-        out = pd.DataFrame([{**counters, **c} for c in found])
-        for c in ("id", "observations", "first_frame", "last_frame"):
-            out[c] = out[c].astype("Int64")
-        return out[[c.strip().split()[0] for c in REPORT.split(",")]]
+        return _report(scan, *_finish(clusters, config), False)
 
     return _streamed(rows, visit, REPORT)
 
@@ -228,12 +299,29 @@ def needs_second_pass(candidates: int, duplicates: int, any_low: bool, expected:
     return bool((expected is not None and candidates + 1 < expected) or (duplicates and mode != "fast") or any_low)
 
 
-def discover_adaptively(rows: DataFrame, mode: str, expected: int | None, count_duplicates=None) -> tuple[DataFrame, bool]:
-    """One pass, and a second with looser settings where the first one's counters ask for it; the candidates and whether it ran twice."""
+def discover_adaptively(rows: DataFrame, mode: str, expected: int | None) -> DataFrame:
+    """Each scan's report, or that of a second pass with looser settings where the first one's asks for it.
+
+    Scans decide for themselves, so both passes' clusters are kept while a scan's observations stream by once; the second is
+    finished only where it is wanted. A report with more candidates than expected is tightened.
+    """
     config = Config.of_mode(mode)
-    first = discover(rows, config)
-    n, low = first.agg(F.count("id"), F.coalesce(F.bool_or(F.col("confidence") < 0.6), F.lit(False))).first()
-    duplicates = count_duplicates(first, config) if count_duplicates else 0
-    if not needs_second_pass(n, duplicates, low, expected, mode):
-        return first, False
-    return discover(rows, config.looser()), True
+    looser = config.looser()
+
+    def visit(scan, state, part):
+        first = state.setdefault("first", Clusters(config.cluster_similarity))
+        second = state.setdefault("second", Clusters(looser.cluster_similarity))
+        if part is not None:
+            _add_all(first, part)
+            _add_all(second, part)
+            return None
+        found, duplicates, counters = _finish(first, config)
+        low = any(c["confidence"] < 0.6 for c in found)
+        found = tightened(found, expected)
+        again = needs_second_pass(len(found), len(duplicates), low, expected, mode)
+        if again:
+            found, duplicates, counters = _finish(second, looser)
+            found = tightened(found, expected)
+        return _report(scan, found, duplicates, counters, again)
+
+    return _streamed(rows, visit, REPORT)

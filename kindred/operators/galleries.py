@@ -99,10 +99,16 @@ def duplicate_score(a: str, b: str, least_cosine: float = 0.70, most_far: float
     return F.when((cosine < least_cosine) | (far > most_far), 0.0).otherwise(score)
 
 
+def truncated(rows: DataFrame, most: int, within: str = "scan_id") -> DataFrame:
+    """The best `most` candidates of each scan: by confidence, then observations, then the smaller id."""
+    best = Window.partitionBy(within).orderBy(F.desc("confidence"), F.desc("observations"), "id")
+    return rows.withColumn("_rk", F.row_number().over(best)).filter(F.col("_rk") <= most).drop("_rk")
+
+
 def scored_pairs(rows: DataFrame, score, least: float, within: str = "scan_id") -> DataFrame:
     """Pairs a < b of one scan whose score reaches `least`.
 
-    The scan is the join key, so pairs only form within a scan; a scan's candidates are few (they are truncated before).
+    `rows` are the candidates of a report, which has few in each scan (see `truncated`), so pairs stay in proportion to scans.
     """
     left = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
     right = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])

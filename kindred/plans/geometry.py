@@ -234,10 +234,10 @@ def _(spark, d):
     return frames(spark, d).select("frame_index", *four(fb.fit_box(F.col("width"), F.col("height"), 156, 98), ("w", "h")))
 
 
-@P.add("agg17_sample_estimate", "SELECT frame_index, CASE WHEN frame_index % 50 = 0 THEN 900 ELSE least(greatest(frame_index // 12, 1), 900) END AS samples, round(CASE WHEN miss_count = 0 THEN 0 ELSE least(frame_index::DOUBLE / (miss_count * 5000), 1) END, 6) AS progress FROM fr")
+@P.add("agg17_sample_estimate", "SELECT frame_index, CASE WHEN frame_index % 50 = 0 THEN 900 ELSE least(greatest(frame_index // 12, 1), 900) END AS samples, CASE WHEN miss_count = 0 THEN 0::DOUBLE ELSE least(frame_index::DOUBLE / (miss_count * 5000), 1::DOUBLE) END AS progress FROM fr")
 def _(spark, d):
     n = F.when(F.col("frame_index") % 50 == 0, 0).otherwise(F.col("frame_index"))
-    return frames(spark, d).select("frame_index", sample_estimate(n, 12, 900).alias("samples"), r6(fraction(F.col("frame_index"), F.col("miss_count") * 5000), "progress"))
+    return frames(spark, d).select("frame_index", sample_estimate(n, 12, 900).alias("samples"), fraction(F.col("frame_index"), F.col("miss_count") * 5000).alias("progress"))
 
 
 @P.add("clu7_thumbnail_quality", f"SELECT frame_index, box_id, round({clamp_sql('0.40::DOUBLE * ' + clamp_sql('least(x2 - x1, y2 - y1) / 192') + ' + 0.20::DOUBLE * ' + clamp_sql('confidence') + ' + 0.16::DOUBLE * ' + clamp_sql('similarity') + ' + 0.24::DOUBLE * ' + clamp_sql('margin * 2'))}, 6) AS quality FROM obs")
@@ -247,14 +247,12 @@ def _(spark, d):
     return observations(spark, d).select("frame_index", "box_id", r6(thumbnail_quality(edge, F.col("confidence"), F.col("similarity"), F.col("margin") * 2), "quality"))
 
 
-_LUMA = "(SELECT l_orderkey AS image, row, col, 0.2126::DOUBLE * ((l * 7 + row * 31 + col * 3) % 256) + 0.7152::DOUBLE * ((l * 11 + row * col * 5) % 256) + 0.0722::DOUBLE * ((l * 13 + col * 17) % 256) AS luma FROM (SELECT o_orderkey AS l_orderkey, o_orderkey AS l, r.row, c.col FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 97 = 0), range(0, 8) r(row), range(0, 6) c(col)))"
+_LUMA = "(SELECT l_orderkey AS image, row, col, 0.2126::DOUBLE * ((l * 7 + row * 31 + col * 3) % 256) + 0.7152::DOUBLE * ((l * 11 + row * col * 5) % 256) + 0.0722::DOUBLE * ((l * 13 + col * 17) % 256) AS luma FROM (SELECT o_orderkey AS l_orderkey, o_orderkey AS l, r.row, c.col FROM orders, range(0, 8) r(row), range(0, 6) c(col)))"
 
 
 def _pixels(spark, d):
-
-
     key = F.col("o_orderkey")
-    grid = table(spark, d, "orders").filter("o_orderkey % 97 = 0").select(key.alias("image"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("row"))
+    grid = table(spark, d, "orders").select(key.alias("image"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("row"))
     grid = grid.select("image", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("col"))
     n, r, c = F.col("image"), F.col("row"), F.col("col")
     luma = (n * 7 + r * 31 + c * 3) % 256 * 0.2126 + (n * 11 + r * c * 5) % 256 * 0.7152 + (n * 13 + c * 17) % 256 * 0.0722

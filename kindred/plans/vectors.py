@@ -42,12 +42,11 @@ def _(spark, d):
     return rows.join(after, "id").select("id", r6(dot(F.col("embedding"), F.col("other")), "cosine"))
 
 
-_MARGIN = "SELECT a.id, max(CASE WHEN b.label = 0 THEN " + _COS + " END) AS t, coalesce(max(CASE WHEN b.label = 1 THEN " + _COS + " END), -1) AS n FROM cand a, cand b WHERE b.label < 2 AND b.id % 4 = 0 GROUP BY a.id"
+_MARGIN = "SELECT a.id, max(CASE WHEN b.label = 0 THEN " + _COS + " END) AS t, coalesce(max(CASE WHEN b.label = 1 THEN " + _COS + " END), -1) AS n FROM cand a, cand b WHERE b.label < 2 GROUP BY a.id"
 
 
 def _galleries(rows):
-    part = rows.filter("id % 4 = 0")
-    return part.filter("label = 0").select("embedding"), part.filter("label = 1").select("embedding")
+    return rows.filter("label = 0").select("embedding"), rows.filter("label = 1").select("embedding")
 
 
 @P.add("vec4_target_margin", f"SELECT id, round(t, 6) AS similarity, round(n, 6) AS impostor_similarity, round(t - n, 6) AS margin FROM ({_MARGIN})")
@@ -86,7 +85,7 @@ def _(spark, d):
     return galleries.best_in_gallery(rows, rows.filter("label = 4").select("embedding"), "id", "best").select("id", r6(F.col("best"), "best"))
 
 
-_PICK = "SELECT t.scan_id, t.id AS target_id, b.id, " + DOT.format(a="t.embedding", b="b.embedding") + " AS s FROM (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY id) = 1) t JOIN cand b ON b.scan_id = t.scan_id AND b.id <> t.id"
+_PICK = "SELECT t.scan_id, t.id AS target_id, b.id, " + DOT.format(a="t.embedding", b="b.embedding") + " / sqrt(" + DOT.format(a="t.embedding", b="t.embedding") + ") / sqrt(" + DOT.format(a="b.embedding", b="b.embedding") + ") AS s FROM (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY id) = 1) t JOIN cand b ON b.scan_id = t.scan_id AND b.id <> t.id"
 
 
 @P.add("vec6_body_gallery", f"SELECT scan_id, target_id, id, place FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY s, id)::INT AS place FROM ({_PICK})) WHERE place <= 2 UNION ALL SELECT scan_id, min(id), min(id), 0 FROM cand GROUP BY scan_id")
@@ -111,9 +110,14 @@ def _(spark, d):
     return galleries.nearest(rows, rows.filter("id < 10"), "id").select("id", "nearest_id", r6(F.col("similarity"), "similarity"))
 
 
-@P.add("jn4_similar_pairs", "SELECT a.scan_id, a.id AS a, b.id AS b, round(" + _COS + ", 6) AS similarity FROM cand a JOIN cand b ON a.scan_id = b.scan_id AND a.id < b.id WHERE " + _COS + " >= 0.3")
+KEPT = 28  # candidates of a scan in the quality mode
+_BEST = f"(SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY confidence DESC, observations DESC, id) <= {KEPT})"
+_PAIRS = f"{_BEST} a JOIN {_BEST} b ON a.scan_id = b.scan_id AND a.id < b.id"
+
+
+@P.add("jn4_similar_pairs", "SELECT a.scan_id, a.id AS a, b.id AS b, round(" + _COS + f", 6) AS similarity FROM {_PAIRS} WHERE " + _COS + " >= 0.3")
 def _(spark, d):
-    rows = candidates(spark, d).select("scan_id", "id", "embedding")
+    rows = galleries.truncated(candidates(spark, d), KEPT).select("scan_id", "id", "embedding")
     pairs = galleries.scored_pairs(rows, dot(F.col("a_embedding"), F.col("b_embedding")), 0.3)
     return pairs.select(F.col("a_scan_id").alias("scan_id"), F.col("a_id").alias("a"), F.col("b_id").alias("b"), r6(F.col("similarity"), "similarity"))
 
@@ -123,11 +127,10 @@ _SHARED = "(least(a.last_frame, b.last_frame) - greatest(a.first_frame, b.first_
 _OVERLAP = f"(CASE WHEN {_SHARED} > 0 THEN " + clamp_sql(f"{_SHARED}::DOUBLE / least(a.last_frame - a.first_frame + 1, b.last_frame - b.first_frame + 1)") + " ELSE 0::DOUBLE END)"
 _NEAR = clamp_sql("1 - abs(a.confidence - b.confidence) / 0.30::DOUBLE")
 _DUP = f"(CASE WHEN {clamp_sql(_COS)} < 0.1 OR {_FAR} > 0.28 THEN 0::DOUBLE ELSE {clamp_sql(f'{clamp_sql(_COS)} * 0.78::DOUBLE + (1 - {clamp_sql(_FAR)}) * 0.10::DOUBLE + {_OVERLAP} * 0.08::DOUBLE + {_NEAR} * 0.04::DOUBLE')} END)"
-_PAIRS = "cand a JOIN cand b ON a.scan_id = b.scan_id AND a.id < b.id"
 
 
 def _pairs(spark, d, score, least):
-    rows = candidates(spark, d).select("scan_id", "id", "embedding", "anchor_x", "anchor_y", "first_frame", "last_frame", "confidence")
+    rows = galleries.truncated(candidates(spark, d), KEPT).select("scan_id", "id", "embedding", "anchor_x", "anchor_y", "first_frame", "last_frame", "confidence")
     return galleries.scored_pairs(rows, score, least).withColumnsRenamed({"a_scan_id": "scan_id", "a_id": "a", "b_id": "b"})
 
 
@@ -148,10 +151,10 @@ def _(spark, d):
     return _pairs(spark, d, score, 1e-12).select("a", "b", r6(F.col("similarity"), "overlap"))
 
 
-@P.add("clu5_anchor_similarity", f"SELECT a.id AS a, b.id AS b, round(1 - {clamp_sql(_FAR)}, 6) AS similarity FROM {_PAIRS} WHERE b.id < a.id + 40")
+@P.add("clu5_anchor_similarity", f"SELECT a.id AS a, b.id AS b, round(1 - {clamp_sql(_FAR)}, 6) AS similarity FROM {_PAIRS}")
 def _(spark, d):
     far = distance(F.col("a_anchor_x"), F.col("a_anchor_y"), F.col("b_anchor_x"), F.col("b_anchor_y"))
-    return _pairs(spark, d, galleries.anchor_similarity(far), 0.0).filter("b < a + 40").select("a", "b", r6(F.col("similarity"), "similarity"))
+    return _pairs(spark, d, galleries.anchor_similarity(far), 0.0).select("a", "b", r6(F.col("similarity"), "similarity"))
 
 
 @P.add("clu6_group_anchor_distance", """WITH g AS (SELECT label, avg(anchor_x) AS x, avg(anchor_y) AS y FROM cand GROUP BY label) SELECT a.label AS a, b.label AS b, round(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)), 6) AS far FROM g a JOIN g b ON b.label = a.label + 1""")
@@ -253,7 +256,7 @@ def _(spark, d):
     return galleries.as_targets(candidates(spark, d).select("id"), 3, [8, 21])
 
 
-LOOSE = clustering.Config(cluster_similarity=0.30, min_embedding_similarity=0.2, min_thumbnail_quality=0.4, min_face_presence=0.3, max_candidates=50)
+LOOSE = clustering.Config(cluster_similarity=0.30, duplicate_similarity=0.2, min_embedding_similarity=0.2, min_thumbnail_quality=0.4, min_face_presence=0.3, max_candidates=50, least_duplicate_cosine=0.1)
 
 
 @P.add("clu1_leader_labels")
@@ -280,5 +283,10 @@ def _(spark, d):
 
 @P.add("clu8_adaptive_scan")
 def _(spark, d):
-    found, again = clustering.discover_adaptively(cluster_input(spark, d), "quality", 3)
-    return found.withColumn("rescanned", F.lit(again))
+    return clustering.discover_adaptively(cluster_input(spark, d), "quality", 3)
+
+
+@P.add("srt9_report_duplicates")
+def _(spark, d):
+    found = clustering.discover(cluster_input(spark, d), LOOSE)
+    return found.select("scan_id", F.col("id").alias("candidate"), F.explode("duplicates").alias("pair")).filter("pair.a = candidate").select("scan_id", "pair.*")

@@ -24,7 +24,7 @@ def plain(value):
     if isinstance(value, bool):
         return str(value)
     if isinstance(value, (int, float)):
-        return round(float(value), 5) + 0.0
+        return round(float(value), 9) + 0.0
     return str(value)
 
 
