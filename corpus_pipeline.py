@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm._common import shared_folder
+from kindred.cluster import shared_folder
 from kindred.llm.byte_bpe import encode_documents
 from kindred.llm.exact_dedup import drop_exact_copies
 from kindred.llm.mixing import mixed_documents

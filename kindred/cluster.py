@@ -1,8 +1,9 @@
-"""What Python tasks on a cluster need."""
+"""What tasks on a cluster need: this package, and a folder that all can reach."""
 
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 
@@ -18,3 +19,14 @@ def ship(spark: SparkSession) -> None:
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "kindred"), "zip", top, "kindred"))
     _SHIPPED.add(spark.sparkContext.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one in local mode, and an error on a cluster."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-kindred-")

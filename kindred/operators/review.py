@@ -115,6 +115,42 @@ def rescan_event(rescanned: DataFrame, now_ms: int) -> DataFrame:
     return rescanned.select("scan_id", F.lit(now_ms).cast("long").alias("at_ms"), F.lit("split_rescan_processed").alias("action"), F.lit("candidates refreshed and review reset").alias("details"))
 
 
+#: Columns of a run that name files.
+RUN_FILES = ("video", "bias", "detector", "face_model", "body_model")
+
+
+def preflight(runs: DataFrame, files: DataFrame, files_limit: int = 100_000) -> DataFrame:
+    """run_id and problem: the first thing that keeps a run from starting, or null.
+
+    `runs` has run_id, output, the columns of RUN_FILES, n_targets (vectors that are not empty), n_gallery, margin and has_default_body;
+    `files` has each path that exists once, and is_folder. One join finds all of a run's paths.
+    """
+    folder = F.regexp_extract(F.trim("output"), r"^(.*)/[^/]*$", 1)
+    named = [F.struct(F.lit(c).alias("role"), F.trim(c).alias("path")) for c in RUN_FILES] + [F.struct(F.lit("folder").alias("role"), folder.alias("path"))]
+    wanted = runs.select("run_id", F.explode(F.array(*named)).alias("w")).select("run_id", "w.role", "w.path")
+    known = files.select("path", "is_folder")
+    met = wanted.join(F.broadcast(known) if files.count() <= files_limit else known, "path")
+    # 1 for a file, 2 for a folder, null for nothing
+    state = met.groupBy("run_id").agg(*[F.max(F.when(F.col("role") == r, F.when(F.col("is_folder"), 2).otherwise(1))).alias(f"_{r}") for r in (*RUN_FILES, "folder")])
+    rows = runs.join(state, "run_id", "left")
+    no_file = lambda c: F.coalesce(F.col(f"_{c}"), F.lit(0)) != 1
+    body, out = F.trim("body_model"), F.trim("output")
+    checks = [
+        (no_file("video"), F.concat(F.lit("input video not found: "), F.trim("video"))),
+        ((F.col("n_targets") + F.col("n_gallery") == 0) & no_file("bias"), F.concat(F.lit("bias image not found: "), F.trim("bias"))),
+        (F.col("margin").isNotNull() & (F.isnan("margin") | (F.abs("margin") == float("inf"))), F.lit("identity margin threshold must be finite")),
+        ((F.length(body) > 0) & no_file("body_model"), F.concat(F.lit("body reid model not found: "), body)),
+        ((F.length(body) == 0) & (F.col("n_gallery") > 0) & ~F.col("has_default_body"), F.lit("body reid model not found")),
+        (no_file("detector"), F.concat(F.lit("detector model not found: "), F.trim("detector"))),
+        (no_file("face_model"), F.concat(F.lit("face model not found: "), F.trim("face_model"))),
+        (F.length(out) == 0, F.lit("output path is empty")),
+        (out == F.trim("video"), F.lit("output path must be different from input video path")),
+        (F.col("_folder").isNull(), F.concat(F.lit("output directory does not exist: "), folder)),
+        (F.col("_folder") == 1, F.concat(F.lit("output parent is not a directory: "), folder)),
+    ]
+    return rows.select("run_id", F.coalesce(*[F.when(bad, text) for bad, text in checks]).alias("problem"))
+
+
 def check_run(video: str, output: str, threshold: float, exists) -> None:
     """Raise ValueError for parameters that a render can't run with."""
     if not video.strip() or not exists(video):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..cluster import shared_folder
 from ..functions.rules import known_status, mode_of
 from ..operators import sessions as ops
 from ..sources import candidates, events, sessions
@@ -191,7 +194,9 @@ def _changes(spark, d):
 
 @P.add("snk2_full_replace", "SELECT scan_id, 'failed' AS status, updated_at_ms + 1 AS updated_at_ms FROM ses WHERE user_id % 10 = 3")
 def _(spark, d):
-    return _changes(spark, d).select("scan_id", "status", "updated_at_ms")
+    top = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    ops.save(sessions(spark, d), top, 1)
+    return spark.read.parquet(ops.save(_changes(spark, d).select("scan_id", "status", "updated_at_ms"), top, 2))
 
 
 @P.add("snk3_upsert", "SELECT scan_id, CASE WHEN user_id % 10 = 3 THEN 'failed' ELSE status END AS status, updated_at_ms + (user_id % 10 = 3)::INT AS updated_at_ms FROM ses")

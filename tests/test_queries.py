@@ -7,7 +7,7 @@ import pytest
 
 from kindred import plans
 
-TABLES = "customer orders lineitem events documents embeddings"
+TABLES = "customer supplier orders lineitem events documents embeddings"
 
 
 @pytest.fixture(scope="module")
