@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from ..cluster import shared_folder, ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -26,17 +23,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one in local mode, and an error on a cluster."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="spark-kindred-")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder; every executor can read it again."""
     sc = df.sparkSession.sparkContext
