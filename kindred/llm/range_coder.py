@@ -199,10 +199,12 @@ def decode_blocks(blocks: list[bytes], width: int) -> np.ndarray:
 
 
 def write_segment(doc_ids: list[int | None], ids: list[np.ndarray], most: int = 4096, lanes: int = 4096) -> bytes:
-    """One segment of whole documents: about `lanes` blocks, or as many as blocks of `most` ids need."""
+    """One segment of whole documents: about `lanes` blocks, or as many as blocks of `most` ids need. Ids beyond 65,535 are an error."""
     counts = np.array([len(x) for x in ids], np.uint32)
     flat = np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32)
     total = len(flat)
+    if total and (flat.min() < 0 or flat.max() >= _HIGH * 256):
+        raise ValueError("this format holds token ids from 0 to 65,535")
     width = max(64, min(most, -(-total // lanes)))
     n = -(-total // width)
     padded = np.zeros(n * width, np.int32)

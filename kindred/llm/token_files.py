@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -22,19 +23,27 @@ from .range_coder import read_segment, write_segment
 SEGMENT_IDS = 4_000_000
 
 
+#: A chunk that consists of such pieces alone is encoded piece by piece: the tokenizer lower-cases these letters one by one and
+#: splits runs of letters, single digits and runs of signs apart. Apostrophes start contractions, so chunks with one are encoded whole.
+_PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+
 class WordIds:
-    """The tokenizers library behind a cache of chunks between spaces.
+    """The tokenizers library behind caches of chunks between spaces and of their pieces.
 
-    The tokenizer drops white space and never looks across it, so chunks between spaces and newlines can be encoded apart.
+    The tokenizer drops white space and never looks across it, so chunks between spaces and newlines can be encoded apart. The
+    library is used as it loads: the strings of special tokens in a text get those tokens' ids.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.most, self.cache = most, {"": b""}
+        self.special = tuple(t.content for t in self.model.get_added_tokens_decoder().values())
+        ends = {i for t, i in self.model.get_vocab().items() if t.endswith("</w>")}
+        self.ends = np.array([i in ends for i in range(max(ends, default=0) + 1)])
+        self.most, self.cache, self.pieces = most, {"": b""}, {}
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         end, cache = np.array([end_id], np.int32).tobytes(), self.cache
@@ -42,7 +51,7 @@ class WordIds:
         found = [list(map(cache.get, c)) for c in chunks]
         new = list({w for c, f in zip(chunks, found) if None in f for w, x in zip(c, f) if x is None})
         if new:
-            made = {w: array("i", e.ids).tobytes() for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False))}
+            made = self.made(new)
             for i, (c, f) in enumerate(zip(chunks, found)):
                 if None in f:
                     found[i] = [made[w] if x is None else x for w, x in zip(c, f)]
@@ -52,6 +61,32 @@ class WordIds:
             cache.update((w, x) for w, x in made.items() if len(w) <= 64)
         return [np.frombuffer(b"".join(f) + end, np.int32) for f in found]
 
+    def made(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not in the cache."""
+        known, out, parts, whole = self.pieces, {}, {}, []
+        for w in chunks:
+            found = _PIECE.findall(w)
+            if len("".join(found)) == len(w) and not any(x in w for x in self.special):
+                parts[w] = [x.lower() for x in found]
+            else:
+                whole.append(w)
+        out.update((w, array("i", e.ids).tobytes()) for w, e in zip(whole, self.model.encode_batch_fast(whole, add_special_tokens=False)))
+        fresh = list({x for found in parts.values() for x in found if x not in known})
+        if len(known) + len(fresh) > self.most:
+            known.clear()
+            fresh = list({x for found in parts.values() for x in found})
+        for at in range(0, len(fresh), 256):
+            some = fresh[at : at + 256]
+            ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+            stops = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):  # each piece ends with one end of a word
+                known.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, [0, *stops[:-1].tolist()], stops.tolist()))
+            else:
+                known.update((w, array("i", e.ids).tobytes()) for w, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)))
+        for w, found in parts.items():
+            out[w] = b"".join(map(known.__getitem__, found))
+        return out
+
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:

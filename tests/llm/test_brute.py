@@ -286,11 +286,12 @@ def test_range_coder_round_trip():
     spoiled[-20] ^= 1
     with pytest.raises(ValueError):
         range_coder.read_segment(bytes(spoiled))
+    with pytest.raises(ValueError):
+        range_coder.write_segment([1], [np.array([70_000], np.int32)])
 
 
 def test_token_files(spark, data, texts):
     model = Tokenizer.from_file(token_files.default_tokenizer())
-    model.encode_special_tokens = True
     found = {r.doc_id: r for r in token_files.op10_token_files(spark, data).collect()}
     start = 0
     for key in sorted(texts):
@@ -300,10 +301,13 @@ def test_token_files(spark, data, texts):
 
 
 def test_word_chunks_are_independent():
-    model = token_files.word_ids(token_files.default_tokenizer())
-    cases = ["a\u0301 \u0301b", "It's\tI'LL\u00a0we've\u3000x\x1cy\x85z", "<|endoftext|> Ünï \r\n 12.5%", "ΑΣ ΑΣ.", "  ", "x" * 500]
+    model, library = token_files.WordIds(token_files.default_tokenizer(), most=2000), Tokenizer.from_file(token_files.default_tokenizer())
+    rng = random.Random(31)
+    alphabet = [*"abzAZ019.,;:!?'-_<|>()é ÀßÿÖ\n\t \u0301\u00b5\u00aaŉſK", "<|endoftext|>", "<|startoftext|>", "'S", "don't", "ınt", "word", "Mixed", "12"]
+    cases = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    cases += ["a\u0301 \u0301b", "It's\tI'LL\u00a0we've\u3000x\x1cy\x85z", "<|endoftext|> Ünï \r\n 12.5%", "ΑΣ ΑΣ.", "  ", "x" * 500]
     for text, got in zip(cases, model.encode(cases, 1)):
-        assert got.tolist() == model.model.encode(text, add_special_tokens=False).ids + [1]
+        assert got.tolist() == library.encode(text, add_special_tokens=False).ids + [1]
 
 
 def test_toxicity_held_out(spark):
