@@ -50,22 +50,6 @@ def checked_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def commonest(counts: DataFrame, weight: Column, most: int) -> DataFrame:
-    """The rows of largest weight (1 at least), `most` of them at most.
-
-    The cut is found from the sizes of steps of one percent of the weight, of which there are a few thousand at any scale; a
-    sorted limit would send the driver as many rows from each task. Rows of one step go in or out together.
-    """
-    step = F.floor(F.log(weight.cast("double")) * 100)
-    total, cut_at = 0, None
-    for row in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
-        total += row["count"]
-        if total > most:
-            break
-        cut_at = row.step
-    return counts.filter(step >= cut_at) if cut_at is not None else counts.limit(0)
-
-
 def running_total(df: DataFrame, order: list[Column], value: Column, out: str) -> DataFrame:
     """Exclusive prefix sum of `value` in the total order `order`, without a single-task window.
 

@@ -1,9 +1,12 @@
 """Operators against brute force, exact round trips, or held-out accuracy."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -345,7 +348,47 @@ def test_url_rules(spark, data):
 
 def test_viterbi_splits():
     words = {"cheap": -3.0, "pills": -3.5, "che": -6.0, "ap": -6.0}
-    assert url_filter.UrlModel(words, 1000.0, {}, {}, {}).split("cheappills") == ["cheap", "pills"]
+    assert url_filter.viterbi("cheappills", words, -7.0) == ["cheap", "pills"]
+    rng, letters = random.Random(37), "ab"
+    for _ in range(200):
+        known = {"".join(rng.choice(letters) for _ in range(rng.randint(2, 4))): -rng.uniform(1, 9) for _ in range(6)}
+        name = "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+        cost = lambda w: known.get(w, -5.0 - 2.3 * len(w))
+        ways = [[name[a:b] for a, b in zip((0, *c), (*c, len(name)))] for n in range(len(name)) for c in itertools.combinations(range(1, len(name)), n)]
+        assert abs(sum(map(cost, url_filter.viterbi(name, known, -5.0))) - max(sum(map(cost, w)) for w in ways)) < 1e-9
+
+
+def test_url_verdicts_brute(spark, data):
+    """The method's verdicts by plain loops, on pages with a name beyond 200 letters and words beyond 24."""
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").collect()]
+    long = "".join(w for w in "cheap pills online " * 12 if w != " ")
+    pages += [(10**6, f"http://{long}.org/{long}/Shop7", "<p>cheap pills online</p>" * 40 + "x" * 300), (10**6 + 1, "http://pills.net/es/cheap", "online"), (10**6 + 2, None, None)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: r for r in url_filter.filter_urls(frame, url_filter.fit(frame)).collect()}
+    counts = Counter()
+    for _, url, html in pages:
+        for text in (re.sub(r"<[^>]*>", " ", html or ""), url or ""):
+            counts.update(w for w in re.findall("[a-z]+", text.lower()) if 2 <= len(w) <= 24)
+    total = sum(counts.values())
+    words = {w: math.log(n / total) for w, n in counts.items()}
+
+    def features(host, path):
+        for kind, text in (("h", host), ("p", path.lower())):
+            for part in re.findall("[a-z]+|[0-9]+", text):
+                yield from ((kind, w) for w in (["#"] if part[0].isdigit() else url_filter.viterbi(part, words, -math.log(total + 1))))
+
+    seen, n = {"allow": Counter(), "block": Counter()}, Counter()
+    for r in found.values():
+        if r.rule:
+            n[r.verdict] += 1
+            seen[r.verdict].update(features(r.host, r.path))
+    size = len(set(seen["allow"]) | set(seen["block"])) + 1
+    whole = {c: sum(seen[c].values()) + size for c in seen}
+    for r in found.values():
+        if not r.rule:
+            score = {c: math.log(n[c]) + sum(math.log((seen[c][f] + 1) / whole[c]) for f in features(r.host, r.path)) for c in seen}
+            assert r.verdict == ("block" if score["block"] > score["allow"] else "allow") or abs(score["block"] - score["allow"]) < 1e-9
+    assert set(features(found[10**6].host, found[10**6].path)) >= {("h", "cheap"), ("p", "pills"), ("p", "#")}
 
 
 def test_line_keys():
