@@ -23,8 +23,8 @@ _CHUNK = 1 << 20
 def winnow(codes: list[np.ndarray], k: int = K, window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each array of code points the selected (hashes, positions), positions in order.
 
-    Hashes of all k-grams roll by doubling; of each window of `window` successive grams the least hash is selected, the
-    rightmost of equal ones. Any common substring of at least window + k - 1 code points shares a selected
+    Hashes of all k-grams, 39 bits each, roll by doubling; of each window of `window` successive grams the least hash is selected,
+    the rightmost of equal ones. Any common substring of at least window + k - 1 code points shares a selected
     gram. A text with fewer than k code points is one gram, with fewer grams than a window one window; an empty one has none.
     `k` and `window` must be powers of two.
     """
@@ -57,13 +57,14 @@ def _winnow(codes: list[np.ndarray], k: int, window: int) -> list[tuple[np.ndarr
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
+    low = np.uint64((1 << _POSITION_BITS) - 1)
+    h &= ~low  # the upper bits are the hash; a key holds it with its position, so that minima need no second look
     grams = np.where(sizes == 0, 0, np.maximum(sizes - k + 1, 1))
     marks = np.zeros(total + 1, np.int8)
     np.add.at(marks, starts, 1)
     np.add.at(marks, starts + grams, -1)
     valid = np.cumsum(marks[:-1]) > 0
-    low = np.uint64((1 << _POSITION_BITS) - 1)
-    key = (h & ~low) | (low - np.arange(total, dtype=np.uint64))
+    key = h | (low - np.arange(total, dtype=np.uint64))
     key[~valid] = _TOP
     m = 1
     while m < window:
@@ -123,7 +124,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, hashes array<long>, positions array<int>")
 
 
-_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: places: the selected grams' positions, each by its distance from the one before (the first from 0), a byte each; no distance exceeds a window.
+_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, places binary"
+_KINDS = [pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, pa.binary()]
 
 
 def _compare(texts: list[str], nexts: list[str], k: int, window: int) -> list[list]:
@@ -134,7 +137,8 @@ def _compare(texts: list[str], nexts: list[str], k: int, window: int) -> list[li
         edited.append(t[: len(t) - half] + n[:half])
     # a text is mostly the next of its predecessor: each distinct object is hashed once
     own = {id(t): t for t in (*texts, *nexts)}
-    sets = dict(zip(own, (np.unique(h) for h, _ in winnow([code_points(t) for t in own.values()], k, window))))
+    selected = dict(zip(own, winnow([code_points(t) for t in own.values()], k, window)))
+    sets = {key: np.unique(h) for key, (h, _) in selected.items()}
     changed = [np.unique(h) for h, _ in winnow([code_points(t) for t in edited], k, window)]
     return [
         [len(t) for t in texts],
@@ -143,19 +147,20 @@ def _compare(texts: list[str], nexts: list[str], k: int, window: int) -> list[li
         [digest(c) for c in changed],
         [likeness(sets[id(t)], c) for t, c in zip(texts, changed)],
         [likeness(sets[id(t)], sets[id(n)]) for t, n in zip(texts, nexts)],
+        [np.diff(selected[id(t)][1], prepend=0).astype(np.uint8).tobytes() for t in texts],
     ]
 
 
 def _packed(first: list[pa.Array], columns: list[list]) -> list[pa.Array]:
-    kinds = [pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
-    return [*first, *[pa.array(c, k) for c, k in zip(columns, kinds)]]
+    return [*first, *[pa.array(c, k) for c, k in zip(columns, _KINDS)]]
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose second half is the start of the next document's.
 
     The next document is the one with the next smaller id; the last one's is the first. Rows that share an id are ordered
-    by their texts' hash. Null text counts as empty, a null id comes last. With one row, it is its own next.
+    by their texts' hash. Null text counts as empty, a null id comes last. With one row, it is its own next. An empty table gives no
+    rows; other columns are ignored, whatever their names. Texts of any length are fingerprinted whole; `k` and `window` are at most 255.
 
     Rows are range-partitioned and sorted by id and streamed, so a row meets its next in its own task; only the first and the
     last text of each partition go through a second step, of two rows per partition.
@@ -168,7 +173,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ids, texts, first = [], [], True
 
         def edge(which: str, at: int) -> pa.RecordBatch:
-            none = [pa.array([None], k) for k in (pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2)]
+            none = [pa.array([None], k) for k in _KINDS]
             return pa.RecordBatch.from_arrays(
                 [pa.array([ids[at]], id_kind), *none, pa.array([which]), pa.array([texts[at]], pa.string()), pa.array([pid[0]], pa.int32())],
                 names=[*names, "edge", "text", "pid"],
@@ -199,12 +204,14 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     schema = f"doc_id {kind.simpleString()}, {_RESULT}, edge string, text string, pid int"
     found = cut(ranged.mapInArrow(run, schema))
 
-    # two rows per partition: each partition's last document and the first one of the next partition, or of the first
+    # two rows per partition: each partition's last document and the first one of the next partition, or of the first;
+    # only partition numbers are put in order, and the texts find each other by them
     edges = found.filter(F.col("edge").isNotNull()).select("doc_id", "edge", "text", "pid")
-    heads = edges.filter("edge = 'first'").select("pid", F.col("text").alias("next"))
     around = Window.orderBy("pid")
-    heads = heads.select(F.lag("pid").over(around).alias("_before"), F.max("pid").over(Window.partitionBy(F.lit(1))).alias("_end"), "next")
-    heads = heads.select(F.coalesce("_before", "_end").alias("_of"), "next")
+    numbers = edges.filter("edge = 'first'").select("pid")
+    numbers = numbers.select(F.col("pid").alias("_head"), F.lag("pid").over(around).alias("_before"), F.max("pid").over(Window.partitionBy(F.lit(1))).alias("_end"))
+    numbers = F.broadcast(numbers.select("_head", F.coalesce("_before", "_end").alias("_of")))  # a row per partition
+    heads = edges.filter("edge = 'first'").join(numbers, F.col("pid") == F.col("_head")).select("_of", F.col("text").alias("next"))
     pairs = edges.filter("edge = 'last'").join(heads, F.col("pid") == F.col("_of")).select("doc_id", "text", "next")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
