@@ -151,12 +151,12 @@ def slice_starts(texts: list[str]) -> tuple[str, np.ndarray]:
 class Merges:
     """Ranked merges with a cache of slices."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.most, self.cache = most, {}
         self.tokens = {r: t for t, r in self.ranks.items()}
-        self.decimal = {r: b"%d" % r for r in self.tokens}
+        self.decimal: dict[int, bytes] = {}
 
     def slice_ids(self, pieces: list[str]) -> list[tuple[int, ...]]:
         found = list(map(self.cache.get, pieces))
@@ -248,7 +248,7 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def _chunks(texts: list[str | None], most: int = 1_000_000) -> Iterator[list[str]]:
+def _chunks(texts: list[str | None], most: int = 250_000) -> Iterator[list[str]]:
     part, n = [], 0
     for t in texts:
         part.append(t or "")
@@ -279,6 +279,8 @@ def encode_documents(docs: DataFrame, text_col: str = "text", ranks: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = merges(path)
+        if digests and not model.decimal:
+            model.decimal = {r: b"%d" % r for r in model.tokens}
         for batch in batches:
             columns: list[list] = [[] for _ in added]
             for texts in _chunks(batch.column(text_col).to_pylist()):
@@ -299,15 +301,20 @@ def encode_documents(docs: DataFrame, text_col: str = "text", ranks: str | None
 
 
 def decode_documents(encoded: DataFrame, ids_col: str = "ids", out: str = "decoded", ranks: str | None = None) -> DataFrame:
-    """Every row with the text of its ids; null ids decode to an empty text."""
+    """Every row with the text of its ids in column `out`, which replaces one of that name.
+
+    Null ids decode to an empty text. Ids that end inside a character, as those of a cut text may, decode to U+FFFD there; an id
+    that is no token's is an error. An empty table gives no rows.
+    """
     small_batches(encoded.sparkSession)
     path = ranks or default_ranks()
+    encoded = encoded.drop(out) if out != ids_col else encoded
     schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = merges(path)
         for batch in batches:
-            texts = [model.decode(ids or []).decode() for ids in batch.column(ids_col).to_pylist()]
+            texts = [model.decode(ids or []).decode(errors="replace") for ids in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
     return encoded.mapInArrow(run, schema)
