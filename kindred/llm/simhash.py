@@ -23,12 +23,15 @@ BUCKET_VARIANTS = 5_000_000
 MORE_BITS = 8
 #: Pairs that a task holds before it writes them.
 PAIRS_AT_ONCE = 1_000_000
-#: Pairs a member of a run up to which all of them are written at once; longer runs are first thinned by verified links.
-PAIRS_A_MEMBER = 16
+#: Pairs a member of a run up to which a turn looks at all of them; in runs with more it looks at one a member until the last turn.
+PAIRS_A_MEMBER = 64
+#: New links, as a share of the documents that collided, down to which turns of forests go on before all pairs are verified.
+FEW_LINKS = 0.01
 #: Keys of documents (8 bytes each) that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-#: Sketch words of 64 bits, and how many of their bits may differ at most for a pair to be verified, as a share.
-WIDE, FAR = 8, 0.22
+#: Sketch words of 64 bits, and how many of their bits may differ at most for a pair to be verified, as a share. At a similarity of
+#: 0.8 a share of 0.151 differs, with a deviation of 0.011: one such pair in several thousand is beyond.
+WIDE, FAR = 16, 0.193
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -192,20 +195,23 @@ def _forest(m: _Members, owner: np.ndarray, number: np.ndarray) -> tuple[np.ndar
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _unlinked(m: _Members, owner: np.ndarray, number: np.ndarray, turn: int, everything: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Pairs of a run whose roots differ and whose sketches are near; and whether pairs were put off.
+def _unlinked(m: _Members, owner: np.ndarray, number: np.ndarray, turn: int, everything: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that share a run, whose roots differ and whose sketches are near: `everything`, or a forest of them.
 
-    All pairs of a run are written, but in runs that have more than PAIRS_A_MEMBER a member (unless `everything`) each member is paired
-    with one other only, the first of another root in an order that changes with `turn`.
+    The forest joins roots by their nearest sketches first, so its pairs are the likeliest links. In runs of more than PAIRS_A_MEMBER pairs a
+    member each member offers one pair to it only, with the first of another root in an order that changes with `turn`.
     """
     most = int(FAR * WIDE * 64)
 
-    def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rows of far, document, document, place, place: a row for each of the pairs."""
         a, b = owner[a], owner[b]
-        keep = np.bitwise_count(m.sketch[a] ^ m.sketch[b]).sum(axis=1, dtype=np.int64) <= most
-        a, b = m.doc[a[keep]], m.doc[b[keep]]
-        keys = np.unique((np.minimum(a, b) << 32) | np.maximum(a, b))
-        return keys >> 32, keys & 0xFFFFFFFF
+        far = np.bitwise_count(m.sketch[a] ^ m.sketch[b]).sum(axis=1, dtype=np.int64)
+        keep = far <= most
+        a, b = a[keep], b[keep]
+        x, y = m.doc[a], m.doc[b]
+        _, first = np.unique((np.minimum(x, y) << 32) | np.maximum(x, y), return_index=True)
+        return np.stack([far[keep], np.minimum(x, y), np.maximum(x, y), a, b])[:, first]
 
     if not len(owner):
         return
@@ -219,30 +225,48 @@ def _unlinked(m: _Members, owner: np.ndarray, number: np.ndarray, turn: int, eve
     group_end = np.repeat(np.append(firsts[1:], len(owner)), np.diff(np.append(firsts, len(owner))))
     run_end = np.repeat(ends, ends - starts)
     beyond = run_end - group_end  # members of later roots in the same run
-    put_off = np.zeros(len(starts), bool)
+    offers = []
     if not everything:
-        put_off = np.add.reduceat(beyond, starts) > PAIRS_A_MEMBER * (ends - starts)
-        if put_off.any():
-            late = np.repeat(put_off, ends - starts)
-            heads = firsts[late[firsts]]  # the first of each root in its run
+        long = np.repeat(np.add.reduceat(beyond, starts) > PAIRS_A_MEMBER * (ends - starts), ends - starts)
+        if long.any():
+            heads = firsts[long[firsts]]  # the first of each root in its run
             best = heads[np.lexsort((turned[heads], number[heads]))]
             place = _starts(number[best])
             one, other = best[place], best[place + 1]
-            run = np.searchsorted(number[one], number[late])
-            at = np.flatnonzero(late)
-            yield *near(at, np.where(root[at] == root[one[run]], other[run], one[run])), True
-            beyond = np.where(late, 0, beyond)
+            run = np.searchsorted(number[one], number[long])
+            at = np.flatnonzero(long)
+            offers.append(near(at, np.where(root[at] == root[one[run]], other[run], one[run])))
+            beyond = np.where(long, 0, beyond)
     at = np.flatnonzero(beyond)
     total = np.cumsum(beyond[at])
     for lo in range(0, int(total[-1]) if len(total) else 0, PAIRS_AT_ONCE):
         step = np.arange(lo, min(lo + PAIRS_AT_ONCE, int(total[-1])))
         i = np.searchsorted(total, step, side="right")
         left = at[i]
-        yield *near(left, group_end[left] + step - (total[i] - beyond[left])), False
+        found = near(left, group_end[left] + step - (total[i] - beyond[left]))
+        if everything:
+            yield found[1], found[2]
+        else:
+            offers.append(found)
+    if not offers:
+        return
+    far, a, b, x, y = np.concatenate(offers, axis=1)
+    order = np.lexsort((b, a, far))
+    parent: dict[int, int] = {}
+    keep = []
+    for k, p, q in zip(order.tolist(), m.root[x[order]].tolist(), m.root[y[order]].tolist()):
+        while parent.setdefault(p, p) != p:
+            parent[p] = p = parent[parent[p]]
+        while parent.setdefault(q, q) != q:
+            parent[q] = q = parent[parent[q]]
+        if p != q:
+            parent[q] = p
+            keep.append(k)
+    yield a[keep], b[keep]
 
 
 def _meet(dealt: DataFrame, bits: int, radius: int, lead: int, pairs_of: Callable) -> DataFrame:
-    """kind 0: a colliding pair (a, b); 1: a point of a bucket that is too large for one task, with its columns; 2: pairs were put off."""
+    """kind 0: a colliding pair (a, b); 1: a point of a bucket that is too large for one task, with its columns."""
     half, low = radius // 2, bits - lead
     each = np.array([len(ball_masks(low, half - r)) for r in range(half + 1)])
     names = dealt.columns
@@ -282,10 +306,8 @@ def _meet(dealt: DataFrame, bits: int, radius: int, lead: int, pairs_of: Callabl
             if rounds:
                 m.root = rows.column("root").to_numpy()
                 m.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, WIDE)
-            for a, b, off in pairs_of(m, *m.runs(low, half)):
+            for a, b in pairs_of(m, *m.runs(low, half)):
                 yield written(0, ids[a], ids[b])
-                if off:
-                    yield written(2, [0], [0])
 
         schema: list[pa.Schema] = []
         held, rows, variants, open_rows, open_variants, last, spilling = [], 0, 0, 0, 0, None, False
@@ -340,7 +362,7 @@ def _deal(points: DataFrame, bits: int, radius: int, lead: int, more: int) -> Da
     return points.repartition(parts, "key", "prefix").sortWithinPartitions("key", "prefix")
 
 
-def ball_pairs(points: DataFrame, bits: int, radius: int, rows: int = 0, pairs_of: Callable | None = None) -> tuple[DataFrame, bool]:
+def ball_pairs(points: DataFrame, bits: int, radius: int, rows: int = 0, pairs_of: Callable | None = None) -> DataFrame:
     """Colliding pairs (a, b) of `points` (id long, key long, value long): of one key, and with a variant in common.
 
     Every value emits all variants within radius / 2 of it, and variants meet: two values within `radius` bits share at
@@ -351,26 +373,23 @@ def ball_pairs(points: DataFrame, bits: int, radius: int, rows: int = 0, pairs_o
     leading bits, until buckets fit or all bits are used.
 
     Without `pairs_of` the pairs written connect all documents that collisions connect, fewer than the points of a bucket. Each
-    of these is a link only if every collision is one; otherwise see `verified_components`. The second result tells whether `pairs_of`
-    put pairs off.
+    of these is a link only if every collision is one; otherwise see `verified_components`.
     """
     half = radius // 2
-    pairs_of = pairs_of or (lambda m, owner, number: [(*_forest(m, owner, number), False)])
+    pairs_of = pairs_of or (lambda m, owner, number: [_forest(m, owner, number)])
     lead = 0
     more = max(0, min(bits - 2, int(np.ceil(np.log2(max(1, rows * len(ball_masks(bits, half)) / BUCKET_VARIANTS))))))
     todo = points.withColumns({"prefix": F.lit(0).cast("long"), "flips": F.lit(0)})
-    pairs, put_off = None, False
+    pairs = None
     while True:
         dealt = _deal(todo, bits, radius, lead, more)
         lead += more
         found = cut(_meet(dealt, bits, radius, lead, pairs_of))
-        kinds = {r.kind for r in found.groupBy("kind").count().collect()}  # three rows at most
         part = found.filter("kind = 0").select("a", "b").distinct()
         pairs = part if pairs is None else pairs.unionByName(part).distinct()
-        put_off |= 2 in kinds
-        if 1 not in kinds:
-            return pairs, put_off
         todo, more = found.filter("kind = 1").drop("kind", "a", "b"), min(MORE_BITS, bits - lead)
+        if todo.isEmpty():
+            return pairs
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -403,32 +422,33 @@ def verified_components(marked: DataFrame, bits: int, radius: int, holds: Callab
     """(node, root) as in `components`, over those colliding pairs that `holds` returns when given pairs (a, b).
 
     `marked` has id, keys, blocks and sketch (see `sketches`). First each bucket's forest is verified, which joins true groups at the
-    cost of about a pair a member. A pair that fails may have stood for others, so all documents that collided go on, with their
-    root: every colliding pair of different roots whose sketches are near is verified. Where a run has very many such pairs, each
-    member first offers one, and links are contracted, until few are left or no more links turn up; then all
-    are verified. At the end each colliding pair is connected, or its sketches are far apart, or it was refuted itself.
+    cost of about a pair a member. A pair that fails may have stood for others, so all documents that collided go on with their
+    roots, in turns: a forest of the colliding pairs of different roots with near sketches is verified, the nearest first, and links
+    are contracted. When a turn brings few links, every colliding pair left of different roots whose sketches are near is
+    verified. At the end each colliding pair is connected, or its sketches are far apart, or it was refuted itself.
     """
     points = marked.select("id", F.explode(F.arrays_zip("keys", "blocks")).alias("_p"))
-    tried = cut(ball_pairs(points.select("id", F.col("_p.keys").alias("key"), F.col("_p.blocks").alias("value")), bits, radius)[0])
-    good = cut(holds(tried))
-    links, roots = good, components(good)
+    tried = cut(ball_pairs(points.select("id", F.col("_p.keys").alias("key"), F.col("_p.blocks").alias("value")), bits, radius))
+    links = cut(holds(tried))
+    roots = components(links)
     live = cut(tried.select(F.explode(F.array("a", "b")).alias("_l")).distinct())
-    live = checked_broadcast(live, live.count(), BROADCAST_KEYS)
-    rest = cut(marked.join(live, F.col("id") == F.col("_l"), "left_semi").select("id", "keys", "blocks", "sketch"))
+    many = live.count()
+    rest = cut(marked.join(checked_broadcast(live, many, BROADCAST_KEYS), F.col("id") == F.col("_l"), "left_semi").select("id", "keys", "blocks", "sketch"))
     turn, everything = 0, False
     while True:
         turn += 1
         rooted = rest.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "sketch", F.explode(F.arrays_zip("keys", "blocks")).alias("_p"))
         points = rooted.select("id", F.col("_p.keys").alias("key"), F.col("_p.blocks").alias("value"), "root", "sketch")
-        found, put_off = ball_pairs(points, bits, radius, 0, lambda m, owner, number, t=turn, e=everything: _unlinked(m, owner, number, t, e))
+        found = ball_pairs(points, bits, radius, 0, lambda m, owner, number, t=turn, e=everything: _unlinked(m, owner, number, t, e))
         fresh = cut(found.join(tried, ["a", "b"], "left_anti"))
         good = cut(holds(fresh))
-        if new := not good.isEmpty():
+        new = good.count()
+        if new:
             links = links.unionByName(good)
             roots = components(links)
-        if not put_off:
+        if everything:
             return roots
-        tried, everything = tried.unionByName(fresh), everything or not new
+        tried, everything = tried.unionByName(fresh), new <= FEW_LINKS * many
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
@@ -442,7 +462,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = cut(fingerprints(docs, id_col, text_col, words))
     distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("first")))
     points = distinct.select(F.col("fp").alias("id"), F.lit(0).cast("long").alias("key"), F.col("fp").alias("value"))
-    pairs, _ = ball_pairs(points, 64, radius, distinct.count())
+    pairs = ball_pairs(points, 64, radius, distinct.count())
     roots = components(pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
     linked = cut(distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "first"))
     smallest = cut(linked.groupBy("root").agg(F.min("first").alias("_least")))

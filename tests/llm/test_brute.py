@@ -255,7 +255,7 @@ def test_ball_pairs_connect(spark, room):
     points = spark.createDataFrame([(v, 0, v) for v in signed], "id long, key long, value long")
     old, simhash.BUCKET_VARIANTS = simhash.BUCKET_VARIANTS, room  # small ones are dealt again by further bits
     try:
-        pairs = [(r.a, r.b) for r in simhash.ball_pairs(points, 64, 4, len(signed))[0].collect()]
+        pairs = [(r.a, r.b) for r in simhash.ball_pairs(points, 64, 4, len(signed)).collect()]
     finally:
         simhash.BUCKET_VARIANTS = old
     mask = (1 << 64) - 1
@@ -309,7 +309,7 @@ def test_copies_at_the_threshold_go(spark):
 def test_every_colliding_pair_is_linked_or_tried(spark, room):
     n = 200
     true = {(3, 170), (0, 199), (57, 58), (20, 140), (20, 141)}
-    marked = spark.createDataFrame([(k, [7, 100 + k], [12345 ^ (1 << (k % 3)), 5], bytes(64)) for k in range(n)], "id long, keys array<long>, blocks array<long>, sketch binary")
+    marked = spark.createDataFrame([(k, [7, 100 + k], [12345 ^ (1 << (k % 3)), 5], bytes(8 * simhash.WIDE)) for k in range(n)], "id long, keys array<long>, blocks array<long>, sketch binary")
     asked = []
 
     def holds(pairs):
