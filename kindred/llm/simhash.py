@@ -27,6 +27,10 @@ PAIRS_AT_ONCE = 1_000_000
 PAIRS_A_MEMBER = 64
 #: New links, as a share of the documents that collided, down to which turns of forests go on before all pairs are verified.
 FEW_LINKS = 0.01
+#: Bytes of text that are broadcast at most to verify pairs; more of them are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+#: Shingles of documents seen last that a verifying task keeps.
+RECENT_SHINGLES = 1_000_000
 #: Keys of documents (8 bytes each) that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Sketch words of 64 bits, and how many of their bits may differ at most for a pair to be verified, as a share. At a similarity of
@@ -148,6 +152,16 @@ class _Members:
     bucket: np.ndarray
     root: np.ndarray | None = None
     sketch: np.ndarray | None = None
+    at: np.ndarray | None = None  # the number of the block
+    keys: np.ndarray | None = None  # of all blocks
+    blocks: np.ndarray | None = None
+
+    def met_before(self, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+        """Whether points a and b collide in a block before this one too, where the pair is written already."""
+        out = np.zeros(len(a), bool)
+        for k in range(self.keys.shape[1]):
+            out |= (k < self.at[a]) & (self.keys[a, k] == self.keys[b, k]) & (np.bitwise_count(self.blocks[a, k] ^ self.blocks[b, k]) <= radius)
+        return out
 
     def runs(self, low: int, half: int) -> tuple[np.ndarray, np.ndarray]:
         """Every variant of every point, equal ones of a bucket next to each other: their points, and a number of each run of two or more."""
@@ -195,7 +209,7 @@ def _forest(m: _Members, owner: np.ndarray, number: np.ndarray) -> tuple[np.ndar
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _unlinked(m: _Members, owner: np.ndarray, number: np.ndarray, turn: int, everything: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _unlinked(m: _Members, owner: np.ndarray, number: np.ndarray, radius: int, turn: int, everything: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs that share a run, whose roots differ and whose sketches are near: `everything`, or a forest of them.
 
     The forest joins roots by their nearest sketches first, so its pairs are the likeliest links. In runs of more than PAIRS_A_MEMBER pairs a
@@ -208,6 +222,8 @@ def _unlinked(m: _Members, owner: np.ndarray, number: np.ndarray, turn: int, eve
         a, b = owner[a], owner[b]
         far = np.bitwise_count(m.sketch[a] ^ m.sketch[b]).sum(axis=1, dtype=np.int64)
         keep = far <= most
+        if everything:  # a pair that collides in several blocks is written in the first of them
+            keep[keep] = ~m.met_before(a[keep], b[keep], radius)
         a, b = a[keep], b[keep]
         x, y = m.doc[a], m.doc[b]
         _, first = np.unique((np.minimum(x, y) << 32) | np.maximum(x, y), return_index=True)
@@ -306,6 +322,8 @@ def _meet(dealt: DataFrame, bits: int, radius: int, lead: int, pairs_of: Callabl
             if rounds:
                 m.root = rows.column("root").to_numpy()
                 m.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, WIDE)
+                m.at = rows.column("at").to_numpy()
+                m.keys, m.blocks = (rows.column(c).combine_chunks().flatten().to_numpy().reshape(len(m.at), -1) for c in ("keys", "blocks"))
             for a, b in pairs_of(m, *m.runs(low, half)):
                 yield written(0, ids[a], ids[b])
 
@@ -429,6 +447,7 @@ def verified_components(marked: DataFrame, bits: int, radius: int, holds: Callab
     """
     points = marked.select("id", F.explode(F.arrays_zip("keys", "blocks")).alias("_p"))
     tried = cut(ball_pairs(points.select("id", F.col("_p.keys").alias("key"), F.col("_p.blocks").alias("value")), bits, radius))
+    none = F.expr("cast(array() as array<bigint>)")
     links = cut(holds(tried))
     roots = components(links)
     live = cut(tried.select(F.explode(F.array("a", "b")).alias("_l")).distinct())
@@ -437,9 +456,13 @@ def verified_components(marked: DataFrame, bits: int, radius: int, holds: Callab
     turn, everything = 0, False
     while True:
         turn += 1
-        rooted = rest.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "sketch", F.explode(F.arrays_zip("keys", "blocks")).alias("_p"))
-        points = rooted.select("id", F.col("_p.keys").alias("key"), F.col("_p.blocks").alias("value"), "root", "sketch")
-        found = ball_pairs(points, bits, radius, 0, lambda m, owner, number, t=turn, e=everything: _unlinked(m, owner, number, t, e))
+        rooted = rest.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "sketch", "keys", "blocks")
+        points = rooted.select("*", F.posexplode(F.arrays_zip("keys", "blocks")).alias("at", "_p"))
+        points = points.select(
+            "id", F.col("_p.keys").alias("key"), F.col("_p.blocks").alias("value"), "root", "sketch", "at",
+            *[(F.col(c) if everything else none).alias(c) for c in ("keys", "blocks")],
+        )
+        found = ball_pairs(points, bits, radius, 0, lambda m, owner, number, t=turn, e=everything: _unlinked(m, owner, number, radius, t, e))
         fresh = cut(found.join(tried, ["a", "b"], "left_anti"))
         good = cut(holds(fresh))
         new = good.count()
@@ -474,21 +497,29 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def jaccard_of_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) of ids whose sets of word shingles have a Jaccard similarity of at least `least`; `texts` has _t and _x."""
-    named = cut(pairs.select(F.explode(F.array("a", "b")).alias("_w")).distinct())
-    texts = texts.join(checked_broadcast(named, named.count(), BROADCAST_KEYS), F.col("_t") == F.col("_w"), "left_semi")
+def jaccard_of_pairs(pairs: DataFrame, texts: DataFrame, words: int, least: float, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The pairs (a, b) of ids whose sets of word shingles have a Jaccard similarity of at least `least`.
+
+    `texts` has _t and _x of the documents in the pairs.
+    """
+    size = texts.agg(F.sum(F.octet_length("_x"))).first()[0] or 0
+    texts = F.broadcast(texts) if size <= broadcast_bytes else texts
     full = pairs.join(texts, F.col("a") == F.col("_t")).select("a", "b", F.col("_x").alias("x"))
     full = full.join(texts, F.col("b") == F.col("_t")).select("a", "b", "x", F.col("_x").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: OrderedDict[int, np.ndarray] = OrderedDict()
+        held = 0
 
         def shingles(doc: int, text: str) -> np.ndarray:
+            nonlocal held
             found = recent.pop(doc, None)
-            recent[doc] = found = np.unique(shingle_hashes(text, words)) if found is None else found
-            if len(recent) > 32:
-                recent.popitem(last=False)
+            if found is None:
+                found = np.unique(shingle_hashes(text, words))
+                held += len(found)
+            recent[doc] = found
+            while held > RECENT_SHINGLES and len(recent) > 2:
+                held -= len(recent.popitem(last=False)[1])
             return found
 
         for batch in batches:
@@ -532,7 +563,7 @@ def drop_near_copies(
     def holds(pairs: DataFrame) -> DataFrame:
         wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("_w")).distinct())
         n = wanted.count()
-        wanted = keys.join(checked_broadcast(wanted, n, BROADCAST_KEYS), F.col("_t") == F.col("_w"), "left_semi")
+        wanted = cut(keys.join(checked_broadcast(wanted, n, BROADCAST_KEYS), F.col("_t") == F.col("_w"), "left_semi"))
         texts = source.join(checked_broadcast(wanted, n, BROADCAST_KEYS), every).select("_t", "_x")
         return jaccard_of_pairs(pairs, texts, words, similarity)
 

@@ -344,6 +344,17 @@ def test_a_link_refuted_on_the_way_is_not_lost(spark):
     assert sorted(kept) == sorted([3 * g for g in range(30)] + [3 * g + 2 for g in range(30)])
 
 
+def test_pairs_are_verified_by_broadcast_and_by_shuffle(spark):
+    rng = random.Random(41)
+    texts = {k: " ".join(rng.choice("abc") for _ in range(12)) for k in range(30)} | {30: ""}
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts if a < b], "a long, b long")
+    sets = {k: set(simhash.shingle_hashes(t, 2).tolist()) for k, t in texts.items()}
+    want = {(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    for most in (0, 1 << 20):
+        found = simhash.jaccard_of_pairs(pairs, spark.createDataFrame(list(texts.items()), "_t long, _x string"), 2, 0.6, most)
+        assert {tuple(r) for r in found.collect()} == want and want
+
+
 def test_a_common_passage_links_nothing(spark):
     rng = random.Random(29)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
