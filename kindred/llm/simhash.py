@@ -34,8 +34,8 @@ RECENT_SHINGLES = 1_000_000
 #: Keys of documents (8 bytes each) that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Sketch words of 64 bits, and how many of their bits may differ at most for a pair to be verified, as a share. At a similarity of
-#: 0.8 a share of 0.151 differs, with a deviation of 0.011: one such pair in several thousand is beyond.
-WIDE, FAR = 16, 0.193
+#: 0.8 a share of 0.151 differs, with a deviation of 0.008: one such pair in several thousand is beyond.
+WIDE, FAR = 32, 0.18
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -450,7 +450,7 @@ def verified_components(marked: DataFrame, bits: int, radius: int, holds: Callab
     none = F.expr("cast(array() as array<bigint>)")
     links = cut(holds(tried))
     roots = components(links)
-    live = cut(tried.select(F.explode(F.array("a", "b")).alias("_l")).distinct())
+    live = cut(tried.select(F.col("a").alias("_l")).distinct().union(tried.select("b").distinct()).distinct())
     many = live.count()
     rest = cut(marked.join(checked_broadcast(live, many, BROADCAST_KEYS), F.col("id") == F.col("_l"), "left_semi").select("id", "keys", "blocks", "sketch"))
     turn, everything = 0, False
@@ -561,7 +561,7 @@ def drop_near_copies(
     every = same(F.col("_id"), F.col("_i")) & (F.col("_h") == F.col("_k"))
 
     def holds(pairs: DataFrame) -> DataFrame:
-        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("_w")).distinct())
+        wanted = cut(pairs.select(F.col("a").alias("_w")).distinct().union(pairs.select("b").distinct()).distinct())
         n = wanted.count()
         wanted = cut(keys.join(checked_broadcast(wanted, n, BROADCAST_KEYS), F.col("_t") == F.col("_w"), "left_semi"))
         texts = source.join(checked_broadcast(wanted, n, BROADCAST_KEYS), every).select("_t", "_x")
