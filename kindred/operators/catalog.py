@@ -26,10 +26,10 @@ def verified(content: Column, expected: Column) -> Column:
 
 
 def head(content: Column, most: int = 256 * 1024) -> tuple[Column, Column]:
-    """The first bytes of a content (1 KiB to 2 MiB) as text, and whether it was cut."""
+    """The first bytes of a content (1 KiB to 2 MiB) as text, and whether it was cut; what is no UTF-8 becomes U+FFFD."""
     n = min(max(most, 1024), 2 * 1024 * 1024)
     raw = content.cast("binary")
-    return F.try_validate_utf8(F.substring(raw, 1, n).cast("string")), F.octet_length(raw) > n
+    return F.make_valid_utf8(F.substring(raw, 1, n).cast("string")), F.octet_length(raw) > n
 
 
 def under(path: Column, folder: str) -> Column:

@@ -98,11 +98,11 @@ def _(spark, d):
     return artifacts(spark, d).select("file_name", catalog.verified(F.col("text"), F.col("sha256")).alias("ok"))
 
 
-@P.add("cat2_head", "SELECT file_name, bytes > 1024 AS truncated, least(bytes, 1024) AS n_bytes FROM art")
+@P.add("cat2_head", """SELECT file_name, bytes > 1024 AS truncated, sha256(whole || CASE WHEN octet_length(encode(whole)) < least(bytes, 1024) THEN chr(65533) ELSE '' END) AS text_sha256
+  FROM (SELECT *, left(text, (SELECT max(k) FROM range(0, 1025) t(k) WHERE octet_length(encode(left(text, k))) <= 1024)) AS whole FROM art)""")
 def _(spark, d):
-    _, cut = catalog.head(F.col("text"), 10)
-    kept = F.octet_length(F.substring(F.col("text").cast("binary"), 1, 1024)).cast("long")
-    return artifacts(spark, d).select("file_name", cut.alias("truncated"), kept.alias("n_bytes"))
+    text, cut = catalog.head(F.col("text"), 10)
+    return artifacts(spark, d).select("file_name", cut.alias("truncated"), F.sha2(text, 256).alias("text_sha256"))
 
 
 @P.add("cat3_delete", "SELECT path, sha256 FROM art WHERE doc_id % 3 <> 0")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..cluster import shared_folder
 from ..functions.rules import known_status, mode_of
 from ..operators import sessions as ops
-from ..sources import candidates, events, sessions
+from ..sources import candidates, events, legacy_store, sessions
 from ._views import Plans
 
 P = Plans()
@@ -230,12 +230,19 @@ def _(spark, d):
 
 @P.add("snk13_sequence_ids", "SELECT id, 'run-' || at_ms || '-' || row_number() OVER (PARTITION BY scan_id ORDER BY at_ms, id) AS run_id FROM ev")
 def _(spark, d):
-
-
     n = F.row_number().over(Window.partitionBy("scan_id").orderBy("at_ms", "id"))
     return events(spark, d).select("id", F.concat_ws("-", F.lit("run"), F.col("at_ms").cast("string"), n.cast("string")).alias("run_id"))
 
 
+@P.add("src8_legacy_store", """SELECT scan_id, status, expected_count, updated_at_ms, user_id::BIGINT AS a, user_id::BIGINT + 1 AS b, CASE WHEN user_id % 2 = 0 THEN user_id ELSE user_id + 1 END::BIGINT AS keep FROM ses""")
+def _(spark, d):
+    a, b = F.col("user_id").cast("long"), F.col("user_id").cast("long") + 1
+    pairs = F.when(F.col("user_id") % 2 == 0, F.to_json(F.array(F.array(a, b)))).otherwise(F.to_json(F.array(F.struct(a.alias("a"), b.alias("b"), b.alias("keep")))))
+    top = f"{shared_folder(spark)}/legacy-{uuid.uuid4().hex}"
+    sessions(spark, d).select("scan_id", "video", "status", "expected_count", "updated_at_ms", pairs.alias("resolved_duplicates")).write.json(top)
+    return legacy_store(spark, top).select("scan_id", "status", "expected_count", "updated_at_ms", F.inline("resolved_duplicates"))
+
+
 @P.add("snk14_import_rewrite", "SELECT scan_id, max(updated_at_ms) AS updated_at_ms FROM (SELECT scan_id, updated_at_ms FROM ses UNION ALL SELECT scan_id, updated_at_ms - 5 FROM ses WHERE user_id % 2 = 0) GROUP BY scan_id")
 def _(spark, d):
     rows = sessions(spark, d).select("scan_id", "updated_at_ms", "user_id")

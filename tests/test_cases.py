@@ -283,6 +283,14 @@ def test_bundles(spark, tmp_path):
     assert [r.path for r in paths.filter(catalog.under(F.col("path"), "/d")).collect()] == ["/d/a.json"]
 
 
+def test_head_of_a_file_cut_inside_a_character(spark):
+    texts = ["x" * 1023 + "é", "x" * 1022 + "é", "x" * 1023 + "\U0001f600", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", *[c.alias(n) for c, n in zip(catalog.head(F.col("text"), 10), ("head", "cut"))])
+    found = [(r["head"], r["cut"]) for r in rows.orderBy("i").collect()]
+    want = [(t.encode()[:1024].decode(errors="replace"), len(t.encode()) > 1024) if t is not None else (None, None) for t in texts]
+    assert found == want
+
+
 def test_legacy_store(spark, tmp_path):
     (tmp_path / "old.json").write_text(json.dumps({"scan_id": "s", "resolved_duplicates": "[[1, 2]]"}) + "\n" + json.dumps({"scan_id": "t", "resolved_duplicates": '[{"a": 3, "b": 4, "keep": 4}]'}) + "\n")
     found = {r.scan_id: [tuple(x) for x in r.resolved_duplicates] for r in legacy_store(spark, str(tmp_path / "old.json")).collect()}
