@@ -19,6 +19,8 @@ from ._common import LOWER, UPPER, checked_broadcast, cut, same, small_batches,
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Variants that one bucket of a task is meant to hold; the number of buckets follows from it. One of twice as many is dealt again.
 BUCKET_VARIANTS = 5_000_000
+#: Points that one bucket of a task holds at most. A larger one is dealt again, and split by chunks where no bits are left.
+BUCKET_ROWS = 200_000
 #: Leading bits by which a larger bucket is dealt again.
 MORE_BITS = 8
 #: Pairs that a task holds before it writes them.
@@ -281,12 +283,13 @@ def _unlinked(m: _Members, owner: np.ndarray, number: np.ndarray, radius: int, t
     yield a[keep], b[keep]
 
 
-def _meet(dealt: DataFrame, bits: int, radius: int, lead: int, pairs_of: Callable) -> DataFrame:
-    """kind 0: a colliding pair (a, b); 1: a point of a bucket that is too large for one task, with its columns."""
+def _meet(dealt: DataFrame, bits: int, radius: int, lead: int, pairs_of: Callable, whole: bool) -> DataFrame:
+    """kind 0: a colliding pair (a, b); 1: a point of a bucket that is too large for one task, with its columns (none if `whole`)."""
     half, low = radius // 2, bits - lead
     each = np.array([len(ball_masks(low, half - r)) for r in range(half + 1)])
     names = dealt.columns
     rounds, most_buckets = "root" in names, 1 << min(40, 64 - low)
+    most_variants, most_rows = BUCKET_VARIANTS, BUCKET_ROWS
     kinds = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), *[T.StructField(f.name, f.dataType) for f in dealt.schema]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,14 +308,14 @@ def _meet(dealt: DataFrame, bits: int, radius: int, lead: int, pairs_of: Callabl
             starts = _starts(np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (prefix[1:] != prefix[:-1])))))
             sizes = np.diff(np.append(starts, len(key)))
             variants = np.add.reduceat(each[rows.column("flips").to_numpy()], starts)
-            large = (variants > 2 * BUCKET_VARIANTS) & (low > 0)
+            large = ((variants > 2 * most_variants) | (sizes > most_rows)) & (not whole)
             if large.any():
                 yield from spilled(rows.filter(pa.array(np.repeat(large, sizes))))
             keep = ~large & (sizes > 1)
             rows, sizes, variants = rows.filter(pa.array(np.repeat(keep, sizes))), sizes[keep], variants[keep]
             first, row, ends = 0, 0, np.cumsum(sizes)
             while first < len(sizes):
-                until = first + max(1, min(most_buckets, int(np.searchsorted(np.cumsum(variants[first:]), BUCKET_VARIANTS))))
+                until = first + max(1, min(most_buckets, int(np.searchsorted(np.cumsum(variants[first:]), most_variants))))
                 yield from match(rows.slice(row, int(ends[until - 1]) - row), np.repeat(np.arange(until - first), sizes[first:until]))
                 first, row = until, int(ends[until - 1])
 
@@ -349,8 +352,8 @@ def _meet(dealt: DataFrame, bits: int, radius: int, lead: int, pairs_of: Callabl
             else:
                 open_rows, open_variants = open_rows + batch.num_rows, open_variants + int(count.sum())
             rows, variants = rows + batch.num_rows, variants + int(count.sum())
-            spilling = open_variants > 2 * BUCKET_VARIANTS and low > 0
-            if spilling or ((rows >= 100_000 or variants >= BUCKET_VARIANTS) and open_rows < rows):
+            spilling = not whole and (open_variants > 2 * most_variants or open_rows > most_rows)
+            if spilling or ((rows >= 100_000 or variants >= most_variants) and open_rows < rows):
                 every = pa.Table.from_batches(held)
                 if open_rows < rows:
                     yield from close(every.slice(0, rows - open_rows))
@@ -380,6 +383,39 @@ def _deal(points: DataFrame, bits: int, radius: int, lead: int, more: int) -> Da
     return points.repartition(parts, "key", "prefix").sortWithinPartitions("key", "prefix")
 
 
+def _split(points: DataFrame) -> DataFrame:
+    """Points of buckets of a single variant, which are too large for a task, dealt to smaller buckets that have the same pairs.
+
+    Points without roots go to chunks that all have the bucket's first point, which connects them. Points with roots need every pair of
+    different roots: those of the bucket's commonest root (the copies of one text, in a large bucket) meet each chunk of the other points,
+    and chunks of the other points meet each other. A bucket of one root has no such pairs and goes.
+    """
+    half = max(1, BUCKET_ROWS // 2)
+    bucket, number = ["key", "prefix"], F.xxhash64("id", F.lit(7))
+    chunks = lambda n: F.ceil(n / F.lit(half)).cast("long")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    meeting = lambda kind, x, y: F.struct(F.lit(kind).alias("k"), x.alias("x"), y.alias("y"))
+    if "root" in points.columns:
+        sizes = points.groupBy(*bucket, "root").agg(F.count("*").alias("n")).groupBy(*bucket).agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"))
+        sizes = sizes.select("key", "prefix", F.col("top.root").alias("_top"), chunks(F.col("top.n")).alias("_h"), chunks(F.col("n") - F.col("top.n")).alias("_o")).filter("_o > 0")
+        mine = F.pmod(number, F.when(F.col("root") == F.col("_top"), F.col("_h")).otherwise(F.col("_o")))
+        of_top = F.transform(upto("_o"), lambda j: meeting(0, F.col("_c"), j))
+        of_rest = F.concat(
+            F.transform(upto("_h"), lambda i: meeting(0, i, F.col("_c"))),
+            F.transform(upto("_o"), lambda j: meeting(1, F.least(F.col("_c"), j), F.greatest(F.col("_c"), j))),
+        )
+        meetings = F.when(F.col("root") == F.col("_top"), of_top).otherwise(of_rest)
+    else:
+        sizes = points.groupBy(*bucket).agg(F.min("id").alias("_top"), chunks(F.count("*")).alias("_h"))
+        mine = F.pmod(number, F.col("_h"))
+        zero = F.lit(0).cast("long")
+        meetings = F.when(F.col("id") == F.col("_top"), F.transform(upto("_h"), lambda i: meeting(0, i, zero))).otherwise(F.array(meeting(0, F.col("_c"), zero)))
+    sizes = cut(sizes)
+    sized = points.join(checked_broadcast(sizes, sizes.count(), BROADCAST_KEYS), bucket).withColumn("_c", mine).withColumn("_m", F.explode(meetings))
+    keys = {"key": F.xxhash64("key", "prefix", "_m.k", "_m.x", "_m.y"), "prefix": F.lit(0).cast("long")}
+    return sized.select(*[keys.get(c, F.col(c)).alias(c) for c in points.columns])
+
+
 def ball_pairs(points: DataFrame, bits: int, radius: int, rows: int = 0, pairs_of: Callable | None = None) -> DataFrame:
     """Colliding pairs (a, b) of `points` (id long, key long, value long): of one key, and with a variant in common.
 
@@ -388,26 +424,28 @@ def ball_pairs(points: DataFrame, bits: int, radius: int, rows: int = 0, pairs_o
     that `rows` points of one key fill buckets of BUCKET_VARIANTS. A value goes once to each bucket that holds any of its variants (not once
     per variant), and the bucket's task derives the variants that fall into it and sorts them. A bucket that turns out
     too large, as when many points share a key or a neighbourhood, is not matched there: its points are dealt again by further
-    leading bits, until buckets fit or all bits are used.
+    leading bits, until buckets fit or all bits are used. What is too large even then, as when many points share a value, is split by chunks.
 
     Without `pairs_of` the pairs written connect all documents that collisions connect, fewer than the points of a bucket. Each
     of these is a link only if every collision is one; otherwise see `verified_components`.
     """
     half = radius // 2
     pairs_of = pairs_of or (lambda m, owner, number: [_forest(m, owner, number)])
-    lead = 0
+    lead, whole = 0, False
     more = max(0, min(bits - 2, int(np.ceil(np.log2(max(1, rows * len(ball_masks(bits, half)) / BUCKET_VARIANTS))))))
     todo = points.withColumns({"prefix": F.lit(0).cast("long"), "flips": F.lit(0)})
     pairs = None
     while True:
         dealt = _deal(todo, bits, radius, lead, more)
         lead += more
-        found = cut(_meet(dealt, bits, radius, lead, pairs_of))
+        found = cut(_meet(dealt, bits, radius, lead, pairs_of, whole))
         part = found.filter("kind = 0").select("a", "b").distinct()
         pairs = part if pairs is None else pairs.unionByName(part).distinct()
         todo, more = found.filter("kind = 1").drop("kind", "a", "b"), min(MORE_BITS, bits - lead)
-        if todo.isEmpty():
+        if whole or todo.isEmpty():
             return pairs
+        if lead == bits:
+            todo, whole = _split(todo), True
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -245,19 +245,17 @@ def test_majority():
         assert simhash.majority(h) == sum(1 << b for b in range(64) if 2 * sum((int(x) >> b) & 1 for x in h) > n)
 
 
-@pytest.mark.parametrize("room", [3_000, 20_000, 5_000_000])
-def test_ball_pairs_connect(spark, room):
+@pytest.mark.parametrize("room,most", [(3_000, 200_000), (20_000, 200_000), (5_000_000, 200_000), (5_000_000, 12)])
+def test_ball_pairs_connect(spark, monkeypatch, room, most):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(40)]
     values = list({b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 4))) for b in base for _ in range(6)})
     values += [base[0] ^ (1 << x) ^ (1 << y) for x in range(12) for y in range(x)]  # a crowd in one place
     signed = sorted({v - (1 << 64) if v >> 63 else v for v in values})
     points = spark.createDataFrame([(v, 0, v) for v in signed], "id long, key long, value long")
-    old, simhash.BUCKET_VARIANTS = simhash.BUCKET_VARIANTS, room  # small ones are dealt again by further bits
-    try:
-        pairs = [(r.a, r.b) for r in simhash.ball_pairs(points, 64, 4, len(signed)).collect()]
-    finally:
-        simhash.BUCKET_VARIANTS = old
+    monkeypatch.setattr(simhash, "BUCKET_VARIANTS", room)  # small ones are dealt again by further bits
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", most)  # and split by chunks at last
+    pairs = [(r.a, r.b) for r in simhash.ball_pairs(points, 64, 4, len(signed)).collect()]
     mask = (1 << 64) - 1
     assert all(((a ^ b) & mask).bit_count() <= 4 for a, b in pairs)
     roots = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
@@ -305,8 +303,8 @@ def test_copies_at_the_threshold_go(spark):
     assert kept <= 102
 
 
-@pytest.mark.parametrize("room", [1_500, 5_000_000])
-def test_every_colliding_pair_is_linked_or_tried(spark, room):
+@pytest.mark.parametrize("room,most", [(1_500, 200_000), (5_000_000, 200_000), (5_000_000, 40)])
+def test_every_colliding_pair_is_linked_or_tried(spark, monkeypatch, room, most):
     n = 200
     true = {(3, 170), (0, 199), (57, 58), (20, 140), (20, 141)}
     marked = spark.createDataFrame([(k, [7, 100 + k], [12345 ^ (1 << (k % 3)), 5], bytes(8 * simhash.WIDE)) for k in range(n)], "id long, keys array<long>, blocks array<long>, sketch binary")
@@ -316,15 +314,34 @@ def test_every_colliding_pair_is_linked_or_tried(spark, room):
         asked.extend((r.a, r.b) for r in pairs.collect())
         return pairs.filter(" or ".join(f"a = {a} and b = {b}" for a, b in true))
 
-    old, simhash.BUCKET_VARIANTS = simhash.BUCKET_VARIANTS, room
-    try:
-        roots = {r.node: r.root for r in simhash.verified_components(marked, 24, 2, holds).collect()}
-    finally:
-        simhash.BUCKET_VARIANTS = old
+    monkeypatch.setattr(simhash, "BUCKET_VARIANTS", room)
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", most)
+    roots = {r.node: r.root for r in simhash.verified_components(marked, 24, 2, holds).collect()}
     assert roots == {3: 3, 170: 3, 0: 0, 199: 0, 57: 57, 58: 57, 20: 20, 140: 20, 141: 20}
     assert len(asked) == len(set(asked)) > n * (n - 1) // 2 - 20
 
 
+def test_a_hot_bucket_of_equal_values_is_split(spark, monkeypatch):
+    """A third of the points share a root and all share one value: every pair of different roots is still met, by chunks."""
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 10)
+    root = [0] * 40 + list(range(40, 100))
+    points = spark.createDataFrame([(k, 7, 9, 16, 0, root[k]) for k in range(100)], "id long, key long, value long, prefix long, flips int, root long")
+    dealt = [[(r.id, r.root) for r in g] for g in _grouped(simhash._split(points).collect())]
+    met = {(a, b) for g in dealt for a, x in g for b, y in g if a < b and x != y}
+    assert met == {(a, b) for a in range(100) for b in range(a + 1, 100) if root[a] != root[b]}
+    assert max(map(len, dealt)) <= 30
+    assert simhash._split(points.filter("root = 0")).isEmpty()
+    chunks = [{r.id for r in g} for g in _grouped(simhash._split(points.drop("root")).collect())]
+    assert set().union(*chunks) == set(range(100)) and all(0 in c for c in chunks) and max(map(len, chunks)) <= 20
+
+
+def _grouped(rows):
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.key, r.prefix), []).append(r)
+    return list(groups.values())
+
+
 def test_a_link_refuted_on_the_way_is_not_lost(spark):
     """X and Z are near copies, Y shares a template with both; Y comes first."""
     rng = random.Random(23)
