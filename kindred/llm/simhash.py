@@ -25,6 +25,8 @@ BUCKET_ROWS = 200_000
 MORE_BITS = 8
 #: Pairs that a task holds before it writes them.
 PAIRS_AT_ONCE = 1_000_000
+#: Pairs whose sketches are compared at once (512 bytes a pair).
+SKETCHES_AT_ONCE = 1 << 15
 #: Pairs a member of a run up to which a turn looks at all of them; in runs with more it looks at one a member until the last turn.
 PAIRS_A_MEMBER = 64
 #: New links, as a share of the documents that collided, down to which turns of forests go on before all pairs are verified.
@@ -222,7 +224,10 @@ def _unlinked(m: _Members, owner: np.ndarray, number: np.ndarray, radius: int, t
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rows of far, document, document, place, place: a row for each of the pairs."""
         a, b = owner[a], owner[b]
-        far = np.bitwise_count(m.sketch[a] ^ m.sketch[b]).sum(axis=1, dtype=np.int64)
+        far = np.empty(len(a), np.int64)
+        for lo in range(0, len(a), SKETCHES_AT_ONCE):
+            some = slice(lo, lo + SKETCHES_AT_ONCE)
+            far[some] = np.bitwise_count(m.sketch[a[some]] ^ m.sketch[b[some]]).sum(axis=1, dtype=np.int64)
         keep = far <= most
         if everything:  # a pair that collides in several blocks is written in the first of them
             keep[keep] = ~m.met_before(a[keep], b[keep], radius)
