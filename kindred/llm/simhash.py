@@ -217,7 +217,9 @@ def _unlinked(m: _Members, owner: np.ndarray, number: np.ndarray, radius: int, t
     """Pairs that share a run, whose roots differ and whose sketches are near: `everything`, or a forest of them.
 
     The forest joins roots by their nearest sketches first, so its pairs are the likeliest links. In runs of more than PAIRS_A_MEMBER pairs a
-    member each member offers one pair to it only, with the first of another root in an order that changes with `turn`.
+    member each member offers one pair to it only, with the first of another root in an order that changes with `turn`. After the forest follow
+    pairs (a, a) of the documents that are still open: those of a near pair left out of the forest, and all of such long runs. No other document
+    has a near pair of different roots that was not written, and none can come later, as roots only grow.
     """
     most = int(FAR * WIDE * 64)
 
@@ -248,7 +250,7 @@ def _unlinked(m: _Members, owner: np.ndarray, number: np.ndarray, radius: int, t
     group_end = np.repeat(np.append(firsts[1:], len(owner)), np.diff(np.append(firsts, len(owner))))
     run_end = np.repeat(ends, ends - starts)
     beyond = run_end - group_end  # members of later roots in the same run
-    offers = []
+    offers, waiting = [], np.empty(0, np.int64)
     if not everything:
         long = np.repeat(np.add.reduceat(beyond, starts) > PAIRS_A_MEMBER * (ends - starts), ends - starts)
         if long.any():
@@ -258,6 +260,7 @@ def _unlinked(m: _Members, owner: np.ndarray, number: np.ndarray, radius: int, t
             one, other = best[place], best[place + 1]
             run = np.searchsorted(number[one], number[long])
             at = np.flatnonzero(long)
+            waiting = m.doc[owner[at]]
             offers.append(near(at, np.where(root[at] == root[one[run]], other[run], one[run])))
             beyond = np.where(long, 0, beyond)
     at = np.flatnonzero(beyond)
@@ -286,6 +289,10 @@ def _unlinked(m: _Members, owner: np.ndarray, number: np.ndarray, radius: int, t
             parent[q] = p
             keep.append(k)
     yield a[keep], b[keep]
+    left = np.ones(len(a), bool)
+    left[keep] = False
+    left = np.unique(np.concatenate((a[left], b[left], waiting)))
+    yield left, left
 
 
 def _meet(dealt: DataFrame, bits: int, radius: int, lead: int, pairs_of: Callable, whole: bool) -> DataFrame:
@@ -485,8 +492,8 @@ def verified_components(marked: DataFrame, bits: int, radius: int, holds: Callab
     `marked` has id, keys, blocks and sketch (see `sketches`). First each bucket's forest is verified, which joins true groups at the
     cost of about a pair a member. A pair that fails may have stood for others, so all documents that collided go on with their
     roots, in turns: a forest of the colliding pairs of different roots with near sketches is verified, the nearest first, and links
-    are contracted. When a turn brings few links, every colliding pair left of different roots whose sketches are near is
-    verified. At the end each colliding pair is connected, or its sketches are far apart, or it was refuted itself.
+    are contracted. Documents without a near pair left to verify take no part in later turns. When a turn brings few links, every
+    colliding pair left of different roots whose sketches are near is verified. At the end each colliding pair is connected, or its sketches are far apart, or it was refuted itself.
     """
     points = marked.select("id", F.explode(F.arrays_zip("keys", "blocks")).alias("_p"))
     tried = cut(ball_pairs(points.select("id", F.col("_p.keys").alias("key"), F.col("_p.blocks").alias("value")), bits, radius))
@@ -505,8 +512,8 @@ def verified_components(marked: DataFrame, bits: int, radius: int, holds: Callab
             "id", F.col("_p.keys").alias("key"), F.col("_p.blocks").alias("value"), "root", "sketch", "at",
             *[(F.col(c) if everything else none).alias(c) for c in ("keys", "blocks")],
         )
-        found = ball_pairs(points, bits, radius, 0, lambda m, owner, number, t=turn, e=everything: _unlinked(m, owner, number, radius, t, e))
-        fresh = cut(found.join(tried, ["a", "b"], "left_anti"))
+        found = cut(ball_pairs(points, bits, radius, 0, lambda m, owner, number, t=turn, e=everything: _unlinked(m, owner, number, radius, t, e)))
+        fresh = cut(found.filter("a <> b").join(tried, ["a", "b"], "left_anti"))
         good = cut(holds(fresh))
         new = good.count()
         if new:
@@ -514,6 +521,8 @@ def verified_components(marked: DataFrame, bits: int, radius: int, holds: Callab
             roots = components(links)
         if everything:
             return roots
+        left = found.filter("a = b").select(F.col("a").alias("_l"))
+        rest = cut(rest.join(checked_broadcast(left, left.count(), BROADCAST_KEYS), F.col("id") == F.col("_l"), "left_semi"))
         tried, everything = tried.unionByName(fresh), new <= FEW_LINKS * many
 
 
