@@ -83,29 +83,49 @@ class Model:
         return ((math.log(p / (1 - p)) - self.offset) / max(self.slope, 1e-9) + self.log_k + math.log(max(n, 1))) / max(self.scale, 1e-9)
 
 
+def lowered(text: str | None) -> str:
+    """The text in lower case, code point by code point: places stay; a letter whose lower case is longer (İ) keeps its form."""
+    low = (text or "").lower()
+    if len(low) == len(text or ""):
+        return low
+    return "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
 def tokens(text: str | None) -> list[str]:
-    return _TOKEN.findall((text or "").lower())
+    return _TOKEN.findall(lowered(text))
 
 
 def segments(scores: np.ndarray, least: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of at least `least`, as (first, end, score), in one left-to-right scan."""
-    found: list[list[float]] = []  # start, end, sum before, sum after
-    total = 0.0
-    for i, s in enumerate(scores.tolist()):
-        before, total = total, total + s
-        if s <= 0:
-            continue
-        left, start = before, i
+    """All maximal scoring segments of at least `least`, as (first, end, score), in one left-to-right scan in linear time.
+
+    Each open segment keeps a link to the last one before it whose left sum is lower. A search for such a segment follows links, and a
+    segment that it passes is never met again, as those that a join takes in are dropped and the others lie behind a link.
+    """
+    sums = np.cumsum(scores)
+    at = np.flatnonzero(np.asarray(scores) > 0)
+    before = np.concatenate(([0.0], sums[:-1]))[at] if len(at) else at
+    starts: list[int] = []
+    ends: list[int] = []
+    lefts: list[float] = []
+    rights: list[float] = []
+    links: list[int] = []
+    for i, left, total in zip(at.tolist(), before.tolist(), sums[at].tolist()):
+        start, j = i, len(lefts) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= left:
-                j -= 1
-            if j < 0 or found[j][3] >= total:
-                found.append([start, i + 1, left, total])
+            while j >= 0 and lefts[j] >= left:
+                j = links[j]
+            if j < 0 or rights[j] >= total:
                 break
-            start, left = found[j][0], found[j][2]
-            del found[j:]
-    return [(int(a), int(b), t - l) for a, b, l, t in found if t - l >= least]
+            start, left = starts[j], lefts[j]
+            del starts[j:], ends[j:], lefts[j:], rights[j:]
+            j = links[j]  # the last one with a lower left sum than the segment just taken in
+            del links[len(lefts) :]
+        starts.append(start)
+        ends.append(i + 1)
+        lefts.append(left)
+        rights.append(total)
+        links.append(j)
+    return [(a, b, t - l) for a, b, l, t in zip(starts, ends, lefts, rights) if t - l >= least]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -260,7 +280,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 if passages:
                     least = max(m.threshold(len(s), 0.5), 1e-9)
                     got = segments(s, max(min(least, m.floor(len(s))), 1e-9)) if best >= least else []
-                    at = [x.span() for x in _TOKEN.finditer(text.lower())] if got else []
+                    at = [x.span() for x in _TOKEN.finditer(lowered(text))] if got else []
                     spans.append([{"first": at[i][0], "end": at[j - 1][1], "score": v} for i, j, v in got])
             columns = [batch.column(0), pa.array(out, pa.float64()), pa.array([int(x >= 0.5) for x in out], pa.int32()), pa.array(counts, pa.int64())]
             names = ["doc_id", "score", "predicted", "n_passages"]
