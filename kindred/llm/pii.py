@@ -149,12 +149,12 @@ def _instances(based: DataFrame) -> DataFrame:
 
 
 def _patterns(rows: DataFrame) -> DataFrame:
-    """Each instance under its lexical patterns: the two words before it, the word with its shape, and the word alone."""
-    return rows.withColumn("pattern", F.explode(F.array(
-        F.concat_ws(" ", F.lit("2"), F.regexp_replace("left2", r"\s+", " ")),
+    """Each instance under its lexical patterns: the two words before it (if there are two), the word with its shape, and the word alone."""
+    return rows.withColumn("pattern", F.explode(F.array_compact(F.array(
+        F.when(F.length("left2") > 0, F.concat_ws(" ", F.lit("2"), F.regexp_replace("left2", r"\s+", " "))),
         F.concat_ws(" ", F.lit("s"), "left", "shape"),
         F.concat_ws(" ", F.lit("1"), "left"),
-    )))
+    ))))
 
 
 def bootstrap(instances: DataFrame, least_support: int = 5, least_precision: float = 0.9) -> DataFrame:
