@@ -30,3 +30,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return "file://" + tempfile.mkdtemp(prefix="spark-kindred-")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows, wherever Spark wrote it, once nothing is left that may read it again."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
