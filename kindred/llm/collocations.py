@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..cluster import shared_folder
+from ..cluster import remove, shared_folder
 from ._common import checked_broadcast, cut, same, small_batches, table
 
 #: Words of a block, whose lists one task holds at once.
@@ -73,11 +73,15 @@ class _Block:
 
 
 def _packed(block: int, keys: list[pa.Array], names: list[str], starts: np.ndarray, at: np.ndarray, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Lists as rows of block, keys, n (own positions in the list) and at (the positions)."""
+    """Lists as rows of block, keys, n (own positions in the list) and at: the first position, then the steps to the next ones.
+
+    Steps are small, so rows compress to about half of what positions take."""
     if not len(starts):
         return
     n = np.add.reduceat((at >= _BEFORE).astype(np.int32), starts)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), pa.array(at, pa.int32()))
+    steps = np.diff(at, prepend=0).astype(np.int32)
+    steps[starts] = at[starts]
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)), pa.int32()), pa.array(steps, pa.int32()))
     whole = pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(starts), block, np.int64)), *keys, pa.array(n, pa.int32()), lists], names=["block", *names, "n", "at"])
     for i in range(0, len(starts), rows):
@@ -95,7 +99,7 @@ def _slices(text: bytes) -> Iterator[bytes]:
 
 
 def word_lists(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """block, lang, word, n, at: the positions of every word in each block of consecutive words.
+    """block, lang, word, n, at: the positions (as steps) of every word in each block of consecutive words.
 
     Texts are split at `[.,;:!?\\x0A-\\x0D]` into pieces and those at spaces and tabs into words. A text longer than a block goes on
     in the next, which also lists the last three words of the piece at positions below 3; they do not count in n. A null language
@@ -134,8 +138,10 @@ def extend(lists: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         ids, column = group.column("id").to_numpy(), group.column("at").combine_chunks()
-        row = np.repeat(np.arange(len(ids)), column.value_lengths().to_numpy())
-        at = column.flatten().to_numpy()
+        sizes = column.value_lengths().to_numpy()
+        row, steps = np.repeat(np.arange(len(ids)), sizes), column.flatten().to_numpy()
+        at, first = np.cumsum(steps, dtype=np.int64), np.cumsum(sizes) - sizes
+        at -= np.repeat(at[first] - steps[first], sizes)
         order = np.argsort(at, kind="stable")
         at, row = at[order], row[order]
         near = np.flatnonzero(at[1:] == at[:-1] + 1)
@@ -164,13 +170,14 @@ def frequent_phrases(
 
     Phrases have id (its own among those of a size), lang, size, words, f, a and b (ids of the phrases without the last and the first word), heads and tails
     (occurrences of the first and last 1, 2, ... words). A list's length is its phrase's number of occurrences in the block, so sums
-    of lengths are exact; only lists of frequent phrases are sent on to be extended. Lists are tables in the shared folder.
+    of lengths are exact; only lists of frequent phrases are sent on to be extended. Lists are tables in the shared folder, each
+    deleted when the next is written.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     top = os.path.join(shared_folder(spark), f"collocations-{uuid.uuid4().hex}")
     lists = _written(word_lists(docs, text_col, lang_col, block_words), f"{top}/1")
-    totals = lists.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = cut(lists.groupBy("lang").agg(F.sum("n").alias("n")))
     size, key = 1, ["lang", "word"]
     every = known = None
     while True:
@@ -187,10 +194,12 @@ def frequent_phrases(
         known = cut(found)
         every = known if every is None else every.unionByName(known)
         if size == longest:
+            remove(spark, top)
             return every, totals
         keys = known.select("id", F.col("lang"), F.col("words")[0].alias("word")) if size == 1 else known.select("id", "a", "b")
         keys = checked_broadcast(keys, keys.count(), BROADCAST_PHRASES if size > 1 else BROADCAST_PHRASES // 4)
         lists = _written(extend(lists.join(keys, key).select("block", "id", "at")), f"{top}/{size + 1}")
+        remove(spark, f"{top}/{size}")
         size, key = size + 1, ["a", "b"]
 
 
