@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import TRANSITIONS, guarded
+from ..functions.rules import STATUSES, TRANSITIONS, guarded
+from .ordered import finite, folded
 
 
 def pair_key(a: str = "a", b: str = "b") -> tuple:
@@ -93,11 +94,15 @@ def transition_table(spark) -> DataFrame:
 
 
 def replay(changes: DataFrame, key: str, order: list[str], wanted: str, first: str = "proposed") -> DataFrame:
-    """The status that each key ends in after its changes in order; illegal ones are ignored."""
-    steps = F.array_sort(F.collect_list(F.struct(*order, F.col(wanted).alias("_to"))))
-    return changes.groupBy(key).agg(steps.alias("_steps")).select(
-        key, F.aggregate("_steps", F.lit(first), lambda now, s: guarded(now, s["_to"])).alias("status"), F.size("_steps").cast("long").alias("n_changes")
-    )
+    """The status that each key ends in after its changes in order; illegal ones are ignored.
+
+    A change is a map over the five statuses, so a key's changes are folded in pieces.
+    """
+    name = F.array(*[F.lit(s) for s in STATUSES])
+    number = lambda s: F.array_position(name, s).cast("int") - 1
+    step = F.array(*[number(guarded(F.lit(s), F.coalesce(F.col(wanted), F.lit("")))) for s in STATUSES])
+    out = folded(changes, key, order, step, F.lit(STATUSES.index(first)), finite(len(STATUSES)))
+    return out.select(key, F.get(name, F.col("state")).alias("status"), F.col("n").alias("n_changes"))
 
 
 def rescan_applied(sessions: DataFrame, rescanned: DataFrame, now_ms: int) -> DataFrame:

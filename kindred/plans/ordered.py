@@ -59,6 +59,14 @@ def _(spark, d):
     return ordered.smoothed(events(spark, d), "scan_id", ["id"], F.col("value"), 0.88, 40.0).select("scan_id", r6(F.col("state"), "half_size"))
 
 
+@P.add("win4_running", f"""WITH RECURSIVE o AS (SELECT scan_id, id, {_SIM} AS x, row_number() OVER (PARTITION BY scan_id ORDER BY id) AS k FROM ev),
+  f AS (SELECT scan_id, id, k, 0.6::DOUBLE * 0.85::DOUBLE + x * (1 - 0.85::DOUBLE) AS s FROM o WHERE k = 1 UNION ALL
+    SELECT o.scan_id, o.id, o.k, f.s * 0.85::DOUBLE + o.x * (1 - 0.85::DOUBLE) FROM f JOIN o ON o.scan_id = f.scan_id AND o.k = f.k + 1)
+  SELECT scan_id, id, round(s, 6) AS ema FROM f""")
+def _(spark, d):
+    return ordered.smoothed_rows(events(spark, d), "scan_id", ["id"], _similarity()).select("scan_id", "id", r6(F.col("state"), "ema"))
+
+
 @P.add("agg11_throttled", """WITH RECURSIVE o AS (SELECT scan_id, at_ms, row_number() OVER (PARTITION BY scan_id ORDER BY at_ms, id) AS k FROM ev),
   f AS (SELECT scan_id, k, at_ms AS last, 1 AS n, true AS emitted FROM o WHERE k = 1 UNION ALL
     SELECT o.scan_id, o.k, CASE WHEN o.at_ms - f.last >= 36000000 THEN o.at_ms ELSE f.last END, f.n + (o.at_ms - f.last >= 36000000)::INT, o.at_ms - f.last >= 36000000 FROM f JOIN o ON o.scan_id = f.scan_id AND o.k = f.k + 1)
