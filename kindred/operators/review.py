@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.paths import names_folder, parent, resolved
 from ..functions.rules import STATUSES, TRANSITIONS, guarded
 from .ordered import finite, folded
 
@@ -120,21 +121,27 @@ def rescan_event(rescanned: DataFrame, now_ms: int) -> DataFrame:
     return rescanned.select("scan_id", F.lit(now_ms).cast("long").alias("at_ms"), F.lit("split_rescan_processed").alias("action"), F.lit("candidates refreshed and review reset").alias("details"))
 
 
+#: A fixed value: what is said where no body model is given or found.
+NO_BODY_MODEL = "body reid model not found: expected models/osnet_x0_25_msmt17.onnx for identity-locked runs"
 #: Columns of a run that name files.
 RUN_FILES = ("video", "bias", "detector", "face_model", "body_model")
 
 
-def preflight(runs: DataFrame, files: DataFrame, files_limit: int = 100_000) -> DataFrame:
+def preflight(runs: DataFrame, files: DataFrame, at: str = "/", files_bytes: int = 16 << 20) -> DataFrame:
     """run_id and problem: the first thing that keeps a run from starting, or null.
 
     `runs` has run_id, output, the columns of RUN_FILES, n_targets (vectors that are not empty), n_gallery, margin and has_default_body;
-    `files` has each path that exists once, and is_folder. One join finds all of a run's paths.
+    `files` has each absolute path that exists once, and is_folder. Paths are compared as they resolve (from the folder `at`);
+    problems show them as given. One join finds all of a run's paths; files are broadcast where their paths take at most
+    `files_bytes`.
     """
-    folder = F.regexp_extract(F.trim("output"), r"^(.*)/[^/]*$", 1)
-    named = [F.struct(F.lit(c).alias("role"), F.trim(c).alias("path")) for c in RUN_FILES] + [F.struct(F.lit("folder").alias("role"), folder.alias("path"))]
-    wanted = runs.select("run_id", F.explode(F.array(*named)).alias("w")).select("run_id", "w.role", "w.path")
+    folder = parent(F.trim("output"))
+    named = [(c, F.trim(c)) for c in RUN_FILES] + [("folder", folder)]
+    wanted = runs.select("run_id", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), p.alias("as_given")) for r, p in named])).alias("w")).select("run_id", "w.*")
+    wanted = wanted.filter(F.length("as_given") > 0).select("run_id", "role", resolved(F.col("as_given"), at).alias("path"), names_folder(F.col("as_given")).alias("_as_folder"))
     known = files.select("path", "is_folder")
-    met = wanted.join(F.broadcast(known) if files.count() <= files_limit else known, "path")
+    size = known.agg(F.sum(F.octet_length("path") + 16)).first()[0] or 0
+    met = wanted.join(F.broadcast(known) if size <= files_bytes else known, "path").filter(F.col("is_folder") | ~F.col("_as_folder"))
     # 1 for a file, 2 for a folder, null for nothing
     state = met.groupBy("run_id").agg(*[F.max(F.when(F.col("role") == r, F.when(F.col("is_folder"), 2).otherwise(1))).alias(f"_{r}") for r in (*RUN_FILES, "folder")])
     rows = runs.join(state, "run_id", "left")
@@ -145,11 +152,12 @@ def preflight(runs: DataFrame, files: DataFrame, files_limit: int = 100_000) ->
         ((F.col("n_targets") + F.col("n_gallery") == 0) & no_file("bias"), F.concat(F.lit("bias image not found: "), F.trim("bias"))),
         (F.col("margin").isNotNull() & (F.isnan("margin") | (F.abs("margin") == float("inf"))), F.lit("identity margin threshold must be finite")),
         ((F.length(body) > 0) & no_file("body_model"), F.concat(F.lit("body reid model not found: "), body)),
-        ((F.length(body) == 0) & (F.col("n_gallery") > 0) & ~F.col("has_default_body"), F.lit("body reid model not found")),
-        (no_file("detector"), F.concat(F.lit("detector model not found: "), F.trim("detector"))),
+        ((F.length(body) == 0) & (F.col("n_gallery") > 0) & ~F.col("has_default_body"), F.lit(NO_BODY_MODEL)),
+        (no_file("detector"), F.concat(F.lit("YOLO model not found: "), F.trim("detector"))),
         (no_file("face_model"), F.concat(F.lit("face model not found: "), F.trim("face_model"))),
         (F.length(out) == 0, F.lit("output path is empty")),
-        (out == F.trim("video"), F.lit("output path must be different from input video path")),
+        (resolved(out, at) == resolved(F.trim("video"), at), F.lit("output path must be different from input video path")),
+        (folder.isNull(), F.lit("output path has no parent directory")),
         (F.col("_folder").isNull(), F.concat(F.lit("output directory does not exist: "), folder)),
         (F.col("_folder") == 1, F.concat(F.lit("output parent is not a directory: "), folder)),
     ]

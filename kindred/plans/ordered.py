@@ -216,30 +216,37 @@ def _(spark, d):
     return tracking.track(_track_frames(spark, d)).groupBy("track_id").agg(F.count("*").alias("frames"))
 
 
-_FILES = "ff AS (SELECT '/f/' || s_suppkey AS path, s_suppkey % 10 = 0 AS folder FROM supplier UNION ALL SELECT '/d/' || s_suppkey, s_suppkey % 7 <> 0 FROM supplier)"
-_RUNS = """rn AS (SELECT o_orderkey AS run_id, '/f/' || (o_orderkey % 110) AS video, '/f/' || (o_orderkey % 107) AS bias, '/f/' || (o_orderkey % 103) AS detector, '/f/' || (o_orderkey % 101) AS face_model,
-  CASE WHEN o_orderkey % 3 = 0 THEN '/f/' || (o_orderkey % 109) ELSE ' ' END AS body_model, CASE WHEN o_orderkey % 50 = 0 THEN '' WHEN o_orderkey % 49 = 0 THEN '/f/' || (o_orderkey % 110) ELSE '/d/' || (o_orderkey % 105) || '/out' END AS output,
-  o_orderkey % 2 AS n_targets, o_orderkey % 5 AS n_gallery, CASE WHEN o_orderkey % 47 = 0 THEN 'nan'::DOUBLE ELSE 0.1::DOUBLE END AS margin, o_orderkey % 4 > 0 AS has_default_body FROM orders)"""
-_IS_FILE = "EXISTS (SELECT 1 FROM ff WHERE NOT folder AND path = rn.{0})"
-_PARENT = "regexp_extract(output, '^(.*)/[^/]*$', 1)"
-
-
-@P.add("rev9_preflight", f"""WITH {_FILES}, {_RUNS} SELECT run_id, CASE WHEN NOT {_IS_FILE.format('video')} THEN 'input video not found: ' || video
+# Outputs by the run's number: folders under /d (some of which are files or missing), the root, names with needless parts.
+_FILES = "ff AS (SELECT '/f/' || s_suppkey AS path, s_suppkey % 10 = 0 AS folder FROM supplier UNION ALL SELECT '/d/' || s_suppkey, s_suppkey % 7 <> 0 FROM supplier UNION ALL SELECT '/', true UNION ALL SELECT '/d', true)"
+_RUNS = """rn AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 13 = 0 THEN '/f/./' || (o_orderkey % 110) ELSE '/f/' || (o_orderkey % 110) END AS video, o_orderkey % 110 AS v, o_orderkey % 105 AS o, '/f/' || (o_orderkey % 107) AS bias, '/f/' || (o_orderkey % 103) AS detector,
+  '/f/' || (o_orderkey % 101) AS face_model, CASE WHEN o_orderkey % 3 = 0 THEN '/f/' || (o_orderkey % 109) ELSE ' ' END AS body_model, o_orderkey % 2 AS n_targets, o_orderkey % 5 AS n_gallery,
+  CASE WHEN o_orderkey % 47 = 0 THEN 'nan'::DOUBLE ELSE 0.1::DOUBLE END AS margin, o_orderkey % 4 > 0 AS has_default_body,
+  CASE WHEN o_orderkey % 50 = 0 THEN 1 WHEN o_orderkey % 23 = 0 THEN 2 WHEN o_orderkey % 19 = 0 THEN 3 WHEN o_orderkey % 17 = 0 THEN 4 WHEN o_orderkey % 11 = 0 THEN 5 WHEN o_orderkey % 29 = 0 THEN 6 ELSE 7 END AS shape FROM orders)"""
+_IS_FILE = "EXISTS (SELECT 1 FROM ff WHERE NOT folder AND path = {0})"
+# what each shape's output resolves to and the folder that it lies in, written out by hand
+_SHAPES = """sh AS (SELECT *, shape IN (2, 3) AS own, CASE shape WHEN 4 THEN '/' WHEN 5 THEN '/d' WHEN 7 THEN '/d/' || o END AS above, shape = 6 AS root FROM rn)"""
+
+
+@P.add("rev9_preflight", f"""WITH {_FILES}, {_RUNS}, {_SHAPES} SELECT run_id, CASE WHEN NOT {_IS_FILE.format("'/f/' || v")} THEN 'input video not found: ' || video
   WHEN n_targets + n_gallery = 0 AND NOT {_IS_FILE.format('bias')} THEN 'bias image not found: ' || bias WHEN isnan(margin) THEN 'identity margin threshold must be finite'
-  WHEN body_model <> ' ' AND NOT {_IS_FILE.format('body_model')} THEN 'body reid model not found: ' || body_model WHEN body_model = ' ' AND n_gallery > 0 AND NOT has_default_body THEN 'body reid model not found'
-  WHEN NOT {_IS_FILE.format('detector')} THEN 'detector model not found: ' || detector WHEN NOT {_IS_FILE.format('face_model')} THEN 'face model not found: ' || face_model
-  WHEN output = '' THEN 'output path is empty' WHEN output = video THEN 'output path must be different from input video path'
-  WHEN NOT EXISTS (SELECT 1 FROM ff WHERE path = {_PARENT}) THEN 'output directory does not exist: ' || {_PARENT}
-  WHEN EXISTS (SELECT 1 FROM ff WHERE NOT folder AND path = {_PARENT}) THEN 'output parent is not a directory: ' || {_PARENT} END AS problem FROM rn""")
+  WHEN body_model <> ' ' AND NOT {_IS_FILE.format('body_model')} THEN 'body reid model not found: ' || body_model WHEN body_model = ' ' AND n_gallery > 0 AND NOT has_default_body THEN '{review.NO_BODY_MODEL}'
+  WHEN NOT {_IS_FILE.format('detector')} THEN 'YOLO model not found: ' || detector WHEN NOT {_IS_FILE.format('face_model')} THEN 'face model not found: ' || face_model
+  WHEN shape = 1 THEN 'output path is empty' WHEN own THEN 'output path must be different from input video path' WHEN root THEN 'output path has no parent directory'
+  WHEN NOT EXISTS (SELECT 1 FROM ff WHERE path = above) THEN 'output directory does not exist: ' || above
+  WHEN {_IS_FILE.format('above')} THEN 'output parent is not a directory: ' || above END AS problem FROM sh""")
 def _(spark, d):
     key = F.col("o_orderkey")
-    path = lambda top, n: F.concat(F.lit(top), (key % n).cast("string"))
+    path = lambda top, n, end="": F.concat(F.lit(top), (key % n).cast("string"), F.lit(end))
+    output = (
+        F.when(key % 50 == 0, " ").when(key % 23 == 0, path("/f//", 110)).when(key % 19 == 0, path("/d/../f/./", 110, "/")).when(key % 17 == 0, F.lit("/out.mp4"))
+        .when(key % 11 == 0, path("/d/", 105, "//")).when(key % 29 == 0, F.lit("//./")).otherwise(path("/d/", 105, "/./out"))
+    )
     runs = table(spark, d, "orders").select(
-        key.alias("run_id"), path("/f/", 110).alias("video"), path("/f/", 107).alias("bias"), path("/f/", 103).alias("detector"), path("/f/", 101).alias("face_model"),
-        F.when(key % 3 == 0, path("/f/", 109)).otherwise(" ").alias("body_model"),
-        F.when(key % 50 == 0, "").when(key % 49 == 0, path("/f/", 110)).otherwise(F.concat(path("/d/", 105), F.lit("/out"))).alias("output"),
+        key.alias("run_id"), F.when(key % 13 == 0, path("/f/./", 110)).otherwise(path("/f/", 110)).alias("video"), path("/f/", 107).alias("bias"), path("/f/", 103).alias("detector"),
+        path("/f/", 101).alias("face_model"), F.when(key % 3 == 0, path("/f/", 109)).otherwise(" ").alias("body_model"), output.alias("output"),
         (key % 2).alias("n_targets"), (key % 5).alias("n_gallery"), F.when(key % 47 == 0, float("nan")).otherwise(0.1).alias("margin"), (key % 4 > 0).alias("has_default_body"))
     made = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
     files = made.select(F.concat(F.lit("/f/"), F.col("k").cast("string")).alias("path"), (F.col("k") % 10 == 0).alias("is_folder"))
     files = files.unionByName(made.select(F.concat(F.lit("/d/"), F.col("k").cast("string")).alias("path"), (F.col("k") % 7 != 0).alias("is_folder")))
+    files = files.unionByName(spark.createDataFrame([("/", True), ("/d", True)], "path string, is_folder boolean"))
     return review.preflight(runs, files)

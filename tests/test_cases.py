@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions import boxes as fb
+from kindred.functions import paths as fp
 from kindred.functions.boxes import Box
 from kindred.functions.rules import TRANSITIONS, can_follow, known_status
 from kindred.functions.vectors import dot, unit_or_empty
@@ -259,6 +260,73 @@ def test_preflight():
             review.check_run(*bad, lambda p: True)
 
 
+def test_paths(spark):
+    cases = [("/", "/", None), ("//", "/", None), ("/out.mp4", "/out.mp4", "/"), ("/d/x/", "/d/x", "/d"), ("/d/./v.mp4", "/d/v.mp4", "/d"), ("/d//x/./", "/d/x", "/d"), ("x", "/w/x", ""),
+             ("./x", "/w/x", "."), ("a/b", "/w/a/b", "a"), ("/a/../b", "/b", "/a/.."), ("/../b", "/b", "/.."), ("/a//b/c", "/a/b/c", "/a//b"), ("/./a", "/a", "/"), ("..", "/", "")]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, path string, whole string, above string")
+    assert [(r.a, r.b) for r in rows.select("i", fp.resolved(F.col("path"), "/w").alias("a"), fp.parent(F.col("path")).alias("b")).orderBy("i").collect()] == [c[1:] for c in cases]
+
+
+def test_preflight_of_unusual_paths(spark):
+    files = spark.createDataFrame([("/", True), ("/d", True), ("/d/v.mp4", False), ("/d/m", False)], "path string, is_folder boolean")
+    def problem(output, video="/d/v.mp4", at="/"):
+        runs = spark.createDataFrame([(1, video, "", "/d/m", "d//m" if at == "/" else "m", "/d/m", output, 1, 0, 0.1, True)], "run_id long, video string, bias string, detector string, face_model string, body_model string, output string, n_targets int, n_gallery int, margin double, has_default_body boolean")
+        (first,), (second,) = ([r.problem for r in review.preflight(runs, files, at, most).collect()] for most in (0, 1 << 20))
+        assert first == second
+        return first
+    assert problem("/out.mp4") is None and problem("/d/x/") is None and problem("/d/./x") is None and problem("out", at="/d") == "output directory does not exist: "
+    assert problem("/d/./v.mp4") == problem("/d/v.mp4/") == problem("d/../d//v.mp4") == "output path must be different from input video path"
+    assert problem("/") == "output path has no parent directory" and problem("/x/y") == "output directory does not exist: /x"
+    assert problem("/d/m/y") == "output parent is not a directory: /d/m" and problem("/o", "/d/v.mp4/") == "input video not found: /d/v.mp4/" and problem("/o", "/d/./v.mp4") is None
+
+
+def folded_by_hand(rows, gap):
+    """EMA, emitted and n of each key, row after row."""
+    out = {}
+    for key, _, at, value in sorted(rows):
+        ema, last, n, total, _ = out.get(key, (0.6, None, 0, 0, None))
+        emit = last is None or at - last >= gap
+        out[key] = (ema * 0.85 + value * 0.15, at if emit else last, n + emit, total + 1, emit)
+    return {k: (round(e, 9), n + (not emit), total) for k, (e, _, n, total, emit) in out.items()}
+
+
+@pytest.mark.parametrize("gap", [0, 1, 7, 180, 10**9])
+def test_folds_in_pieces_are_folds(spark, gap, monkeypatch):
+    monkeypatch.setattr(ordered, "CHUNK", 8)
+    rng = random.Random(gap)
+    rows, at = [], 0
+    for i in range(3000):
+        at += rng.choice([0, 0, 1, 3, 50])
+        rows.append((rng.choice(["hot"] * 8 + ["a", "b", "c"]), i, at, rng.random()))
+    rows += [("one", 5000, 3, 0.5), (None, 5001, 4, 0.25), (None, 5002, 5, 0.75)]
+    df = spark.createDataFrame(rows, "key string, id long, at long, value double").repartition(7)
+    ema = {r.key: (r.state, r.n) for r in ordered.smoothed(df, "key", ["id"], F.col("value")).collect()}
+    thin = {r.key: (r.emitted, r.n) for r in ordered.throttled(df, "key", "at", ["at", "id"], gap).collect()}
+    want = folded_by_hand([(k or "", *x) for k, *x in rows], gap)
+    assert {k or "": (round(s, 9), thin[k][0], n) for k, (s, n) in ema.items()} == want and all(thin[k][1] == ema[k][1] for k in ema)
+    every = {(r.key, r.id): r.state for r in ordered.smoothed_rows(df.filter("key is not null"), "key", ["id"], F.col("value")).collect()}
+    now = {}
+    for key, i, _, value in rows:
+        if key is not None:
+            now[key] = now.get(key, 0.6) * 0.85 + value * 0.15
+            assert abs(every[key, i] - now[key]) < 1e-9
+    assert len(every) == sum(k is not None for k, *_ in rows)
+
+
+def test_a_hot_key_is_spread(spark):
+    rows = spark.range(1_000_000).select(F.lit("hot").alias("key"), "id", (F.col("id") * 7 % 11 / 11).alias("value"), (F.col("id") % 5).alias("w"))
+    parts = ordered._ranged(rows.select("key", "id"), "key", ["id"]).groupBy("_part").count().collect()
+    assert len(parts) > 2 and max(r["count"] for r in parts) < 600_000
+    want = 0.6
+    for i in range(999_000, 1_000_000):
+        want = want * 0.85 + (i * 7 % 11 / 11) * 0.15
+    got = ordered.smoothed(rows, "key", ["id"], F.col("value")).first()
+    assert got.n == 1_000_000 and abs(got.state - want) < 1e-12
+    assert tuple(ordered.throttled(rows, "key", "id", ["id"], 180).first())[1:] == (5557, 1_000_000)
+    names = F.array(*[F.lit(s) for s in ("validated", "tracking", "completed", "failed", "proposed")])
+    assert review.replay(rows.withColumn("wanted", F.get(names, F.col("w").cast("int"))), "key", ["id"], "wanted").first().n_changes == 1_000_000
+
+
 def test_runs_and_policy(spark):
     rows = spark.createDataFrame([("k", i, h) for i, h in enumerate([True, True] + [False] * 31 + [True])], "key string, id long, h boolean")
     out = ordered.runs(rows, "key", "id", F.col("h")).withColumn("p", ordered.miss_policy(F.col("miss_run"))).orderBy("id").collect()
