@@ -22,6 +22,10 @@ from .token_files import default_tokenizer, word_ids
 WINDOW = 2048
 #: Passes of the solver over all combinations at most.
 PASSES = 200
+#: Chunks, and pieces of chunks, whose ids a task's tokenizer keeps; about 200 bytes each.
+CACHE = 200_000
+#: Bytes of rows that a task holds before it writes them.
+_ROW_GROUP = 16 << 20
 #: Cut pieces whose keys are broadcast at most; those of more meet their ids by a shuffle.
 BROADCAST_CUTS = 500_000
 
@@ -134,7 +138,7 @@ def token_pieces(docs: DataFrame, window: int, id_col: str, text_col: str, token
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part, seq, ranks = word_ids(tokenizer), TaskContext.get().partitionId(), 0, [0] * (window + 1)
+        model, part, seq, ranks = word_ids(tokenizer, CACHE), TaskContext.get().partitionId(), 0, [0] * (window + 1)
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).to_pylist()
             for low in range(0, len(texts), 64):
@@ -225,7 +229,7 @@ def pack_documents(
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     path = os.path.join(shared_folder(spark), f"packing-{uuid.uuid4().hex}")
-    token_pieces(docs, window, id_col, text_col, tokenizer or default_tokenizer(), end_id).write.parquet(path)
+    token_pieces(docs, window, id_col, text_col, tokenizer or default_tokenizer(), end_id).write.option("parquet.block.size", _ROW_GROUP).parquet(path)
     pieces = spark.read.parquet(path)
     # (part, seq) names a row for good: the table is written, so a lost executor's rows are read again as they were
     placed = cut(place(pieces.drop("ids"), window).withColumnsRenamed({"length": "_length", "part": "_part", "seq": "_seq"}))

@@ -89,8 +89,8 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, most: int = 600_000) -> WordIds:
+    return WordIds(path, most)
 
 
 def default_tokenizer() -> str:
