@@ -128,19 +128,67 @@ def word_lists(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return rows.mapInArrow(run, "block long, lang string, word string, n int, at array<int>")
 
 
+def _squeezed(x: np.ndarray, kind: str) -> bytes:
+    """Compressed bytes of the numbers, all first bytes, then all second ones, ..., as the high ones are mostly zero."""
+    width = np.dtype(kind).itemsize
+    return pa.compress(np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(-1, width).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _loosened(data: bytes, n: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=n * width, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, n).T).view(kind).ravel()
+
+
+def _bundled(lists: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Lists (block, id, at) as bundles of a block's lists: block, n, m, ids, sizes, steps. `rows` are held at once at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
+
+        def flushed() -> pa.RecordBatch:
+            table_ = pa.Table.from_batches(held)
+            block, ids = table_.column("block").to_numpy(), table_.column("id").to_numpy()
+            lists_ = table_.column("at").combine_chunks()
+            order = np.argsort(block, kind="stable")
+            block, ids, lists_ = block[order], ids[order], lists_.take(pa.array(order))
+            sizes, steps = lists_.value_lengths().to_numpy(), lists_.flatten().to_numpy()
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            ends = np.append(starts[1:], len(block))
+            at = np.concatenate(([0], np.cumsum(sizes)))
+            out = [[], [], [], [], [], []]
+            for x, y in zip(starts.tolist(), ends.tolist()):
+                values = (int(block[x]), y - x, int(at[y] - at[x]), _squeezed(ids[x:y], "<i8"), _squeezed(sizes[x:y], "<i4"), _squeezed(steps[at[x] : at[y]], "<i4"))
+                for c, v in zip(out, values):
+                    c.append(v)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["block", "n", "m", "ids", "sizes", "steps"])
+
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= rows:
+                yield flushed()
+                held, count = [], 0
+        if count:
+            yield flushed()
+
+    return lists.select("block", "id", "at").mapInArrow(run, "block long, n int, m int, ids binary, sizes binary, steps binary")
+
+
 def extend(lists: DataFrame) -> DataFrame:
     """block, a, b, n, at: phrases one word longer than those of `lists` (block, id, at), by a merge join within each block.
 
     A position is that of a phrase's last word. Where a list of phrase a has a position and a list of phrase b, of the same length,
-    has the next one, the two overlap in all but one word and make a phrase of a's words and b's last. A block's rows, which
+    has the next one, the two overlap in all but one word and make a phrase of a's words and b's last. A block's lists, which
     BLOCK_WORDS bounds, are merged in order of position; neighbours that are adjacent join.
     """
 
     def run(group: pa.Table) -> pa.Table:
-        ids, column = group.column("id").to_numpy(), group.column("at").combine_chunks()
-        sizes = column.value_lengths().to_numpy()
-        row, steps = np.repeat(np.arange(len(ids)), sizes), column.flatten().to_numpy()
-        at, first = np.cumsum(steps, dtype=np.int64), np.cumsum(sizes) - sizes
+        parts = [(_loosened(r["ids"], r["n"], "<i8"), _loosened(r["sizes"], r["n"], "<i4"), _loosened(r["steps"], r["m"], "<i4")) for r in group.to_pylist()]
+        ids, sizes, steps = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        row, at, first = np.repeat(np.arange(len(ids)), sizes), np.cumsum(steps, dtype=np.int64), np.cumsum(sizes) - sizes
         at -= np.repeat(at[first] - steps[first], sizes)
         order = np.argsort(at, kind="stable")
         at, row = at[order], row[order]
@@ -151,11 +199,11 @@ def extend(lists: DataFrame) -> DataFrame:
         key, left, right, at = key[order], left[order], right[order], at[order]
         starts = np.flatnonzero(np.diff(key, prepend=-1)).astype(np.int32)
         keys = [pa.array(ids[left[starts]]), pa.array(ids[right[starts]])]
-        names, made = ["a", "b"], list(_packed(group.column("block")[0].as_py(), keys, ["a", "b"], starts, at, 1 << 30))
-        kind = pa.schema([("block", pa.int64()), *[(x, pa.int64()) for x in names], ("n", pa.int32()), ("at", pa.list_(pa.int32()))])
+        made = list(_packed(group.column("block")[0].as_py(), keys, ["a", "b"], starts, at, 1 << 30))
+        kind = pa.schema([("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("at", pa.list_(pa.int32()))])
         return pa.Table.from_batches(made, made[0].schema) if made else kind.empty_table()
 
-    return lists.groupBy("block").applyInArrow(run, "block long, a long, b long, n int, at array<int>")
+    return _bundled(lists).groupBy("block").applyInArrow(run, "block long, a long, b long, n int, at array<int>")
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -165,42 +213,43 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 
 def frequent_phrases(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, longest: int = 4, block_words: int = BLOCK_WORDS,
-) -> tuple[DataFrame, DataFrame]:
-    """All phrases of up to `longest` (4 at most) words that occur `least` times, and the number of words of each language.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All phrases of 2 to `longest` (4 at most) words that occur `least` times, their words, and the number of words of each language.
 
-    Phrases have id (its own among those of a size), lang, size, words, f, a and b (ids of the phrases without the last and the first word), heads and tails
-    (occurrences of the first and last 1, 2, ... words). A list's length is its phrase's number of occurrences in the block, so sums
-    of lengths are exact; only lists of frequent phrases are sent on to be extended. Lists are tables in the shared folder, each
-    deleted when the next is written.
+    Phrases have id (its own among those of a size), lang, size, w (ids of words), f, a and b (ids of the phrases without the last and the
+    first word), heads and tails (occurrences of the first and last 1, 2, ... words); words have id and word. A list's length is its
+    phrase's number of occurrences in the block, so sums of lengths are exact; only lists of frequent phrases are sent on to be
+    extended. Lists are tables in the shared folder, each deleted when the next is written.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     top = os.path.join(shared_folder(spark), f"collocations-{uuid.uuid4().hex}")
     lists = _written(word_lists(docs, text_col, lang_col, block_words), f"{top}/1")
     totals = cut(lists.groupBy("lang").agg(F.sum("n").alias("n")))
-    size, key = 1, ["lang", "word"]
-    every = known = None
+    size, key, most = 1, ["lang", "word"], BROADCAST_PHRASES // 4
+    every = words = known = None
     while True:
-        counted = lists.groupBy(*key).agg(F.sum("n").alias("f")).filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
+        counted = cut(lists.groupBy(*key).agg(F.sum("n").alias("f")).filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()))
         if size == 1:
-            none, count = F.lit(None).cast("long"), F.array("f")
-            found = counted.select("id", "lang", F.lit(1).alias("size"), F.array("word").alias("words"), "f", none.alias("a"), none.alias("b"), count.alias("heads"), count.alias("tails"))
+            words, count = counted, F.array("f")
+            known = counted.select("id", "lang", F.array("id").alias("w"), count.alias("heads"), count.alias("tails"))
         else:
-            left = known.select(F.col("id").alias("a"), "lang", F.col("words").alias("_head"), "heads")
-            right = known.select(F.col("id").alias("b"), F.element_at("words", -1).alias("_last"), "tails")
-            found = cut(counted).join(left, "a").join(right, "b").select(
-                "id", "lang", F.lit(size).alias("size"), F.concat("_head", F.array("_last")).alias("words"), "f", "a", "b",
-                F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails"))
-        known = cut(found)
-        every = known if every is None else every.unionByName(known)
+            left = known.select(F.col("id").alias("a"), "lang", F.col("w").alias("_head"), "heads")
+            right = known.select(F.col("id").alias("b"), F.element_at("w", -1).alias("_last"), "tails")
+            known = cut(counted.join(left, "a").join(right, "b").select(
+                "id", "lang", F.lit(size).alias("size"), F.concat("_head", F.array("_last")).alias("w"), "f", "a", "b",
+                F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails")))
+            every = known if every is None else every.unionByName(known)
         if size == longest:
             remove(spark, top)
-            return every, totals
-        keys = known.select("id", F.col("lang"), F.col("words")[0].alias("word")) if size == 1 else known.select("id", "a", "b")
-        keys = checked_broadcast(keys, keys.count(), BROADCAST_PHRASES if size > 1 else BROADCAST_PHRASES // 4)
-        lists = _written(extend(lists.join(keys, key).select("block", "id", "at")), f"{top}/{size + 1}")
+            return every, words.select("id", "word"), totals
+        n = counted.count()
+        met = lists.join(checked_broadcast(counted.select("id", *key), n, most), key)
+        # past the bound the join deals by phrase; a block's lists are brought together before they are bundled
+        met = met if n <= most else met.sortWithinPartitions("block")
+        lists = _written(extend(met), f"{top}/{size + 1}")
         remove(spark, f"{top}/{size}")
-        size, key = size + 1, ["a", "b"]
+        size, key, most = size + 1, ["a", "b"], BROADCAST_PHRASES
 
 
 def _score(a: Column, l: Column, r: Column) -> Column:
@@ -218,24 +267,28 @@ def collocations(
     what is in them is in one of those too. Ties of score go by occurrences, then by the phrase's bytes. Null texts count as empty,
     null languages as `und`; an empty table gives no rows; repeated rows count each; other columns are ignored.
     """
-    every, totals = frequent_phrases(docs, text_col, lang_col, least, longest, block_words)
+    every, words, totals = frequent_phrases(docs, text_col, lang_col, least, longest, block_words)
     longer = every.filter("size > 2").select((F.col("size") - 1).alias("size"), "f", F.explode(F.array_distinct(F.array("a", "b"))).alias("id"))
-    rows = every.filter("size > 1").join(longer.groupBy("size", "id").agg(F.max("f").alias("_longer")), ["size", "id"], "left")
-    rows = rows.filter(F.coalesce(F.col("_longer").cast("decimal(20,0)") * 100 < F.col("f").cast("decimal(20,0)") * 80, F.lit(True)))
 
     def one(k: Column) -> Column:
         l, r = F.element_at("heads", k), F.element_at("tails", F.col("size") - k)
         return F.struct(_score(F.col("f"), l, r).cast("long").alias("score"), k.alias("k"), l.alias("l"), r.alias("r"))
 
     worst = F.array_min(F.transform(F.sequence(F.lit(1), F.col("size") - 1), one))
-    rows = rows.select("lang", F.array_join("words", " ").alias("phrase"), F.col("f").alias("a"), worst.alias("_cut"))
-    rows = rows.select("lang", "phrase", "a", F.col("_cut.l").alias("l"), F.col("_cut.r").alias("r"), F.col("_cut.score").alias("score"))
-    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    # the best of each of 64 shares first: a language's last sort sees 64 * keep rows at most
-    rows = rows.withColumn("_share", F.pmod(F.xxhash64("phrase"), F.lit(64)))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_share").orderBy(*order))).filter(F.col("rank") <= keep)
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= keep)
-    return rows.join(totals.withColumnRenamed("lang", "_of"), same(F.col("lang"), F.col("_of"))).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    rows = every.select("size", "id", "lang", "w", F.col("f").alias("a"), worst.alias("_cut"))
+    rows = rows.select("size", "id", "lang", "w", "a", F.col("_cut.l").alias("l"), F.col("_cut.r").alias("r"), F.col("_cut.score").alias("score"))
+    rows = rows.join(longer.groupBy("size", "id").agg(F.max("f").alias("_longer")), ["size", "id"], "left")
+    rows = rows.filter(F.coalesce(F.col("_longer").cast("decimal(20,0)") * 100 < F.col("a").cast("decimal(20,0)") * 80, F.lit(True))).drop("_longer")
+    # the best of each of 64 shares first, ties kept: a language's sort sees 64 * keep rows and what ties with the last
+    order = [F.col("score").desc(), F.col("a").desc()]
+    rows = rows.withColumn("_share", F.pmod(F.xxhash64("size", "id"), F.lit(64)))
+    for by in (("lang", "_share"), ("lang",)):
+        rows = rows.withColumn("_rank", F.rank().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rank") <= keep)
+    rows = cut(rows.drop("_share", "_rank"))
+    named = rows.select("size", "id", F.posexplode("w").alias("_i", "_w")).join(words.select(F.col("id").alias("_w"), "word"), "_w")
+    texts = named.groupBy("size", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+    ranked = rows.join(texts, ["size", "id"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase")).cast("long")).filter(F.col("rank") <= keep)
+    return ranked.join(totals.withColumnRenamed("lang", "_of"), same(F.col("lang"), F.col("_of"))).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op11_collocations(spark, sf_dir: str) -> DataFrame:
