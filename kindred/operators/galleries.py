@@ -6,49 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import distance
-from ..functions.vectors import clamp, dot, finite, unit_or_empty
+from ..functions.vectors import clamp, dot, unit_or_empty
+from .search import GALLERY_BYTES, best_matches, distinct_vectors
 
-#: A gallery of at most so many vectors is broadcast; a larger one is joined by blocks.
-GALLERY_ROWS = 100_000
+def best_in_gallery(rows: DataFrame, gallery: DataFrame, key: str, out: str, same_length: bool = False, embedding: str = "embedding", gallery_bytes: int = GALLERY_BYTES) -> DataFrame:
+    """`rows` with the largest finite cosine against any gallery vector; null for an empty gallery.
 
-
-def _met(rows: DataFrame, gallery: DataFrame, packed: Column, rows_limit: int) -> tuple[DataFrame, int]:
-    """`rows` beside each block of the gallery, packed as the array _gs; and the number of blocks.
-
-    Each row meets each block of about a thousand vectors once. No pair of vectors is written out.
-    """
-    n = gallery.count()
-    blocks = max(1, -(-n // 1000))
-    block = F.pmod(F.xxhash64(*gallery.columns), F.lit(blocks)).alias("_b")
-    by_block = gallery.groupBy(block).agg(F.collect_list(packed).alias("_gs"))
-    spread = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return spread.join(F.broadcast(by_block) if n <= rows_limit else by_block, "_b", "left").drop("_b"), blocks
-
-
-def best_in_gallery(rows: DataFrame, gallery: DataFrame, key: str, out: str, same_length: bool = False, embedding: str = "embedding", rows_limit: int = GALLERY_ROWS) -> DataFrame:
-    """`rows` with the largest cosine against any gallery vector; null for an empty gallery.
-
-    With same_length only vectors of equal length count and the result is clamped to [-1, 1].
+    With same_length only vectors of equal length count and the result is clamped to [-1, 1]. Gallery vectors with a null or
+    non-finite component are left out.
     """
-    mine = F.col(embedding)
-
-    def of(g: Column) -> Column:
-        value = dot(mine, g)
-        return F.when(F.size(g) == F.size(mine), clamp(value, -1, 1)) if same_length else value
-
-    met, blocks = _met(rows, gallery.select(F.col(embedding).alias("_g")), F.col("_g"), rows_limit)
-    met = met.select(*rows.columns, F.array_max(F.filter(F.transform("_gs", of), lambda s: finite(s))).alias(out))
-    if blocks == 1:
-        return met
-    return rows.join(met.groupBy(key).agg(F.max(out).alias(out)), key, "left")
+    found = best_matches(rows, {"_best": distinct_vectors(gallery, embedding)}, key, embedding, same_length, gallery_bytes)
+    score = F.col("_best.score")
+    return found.select(*rows.columns, (clamp(score, -1, 1) if same_length else score).alias(out))
 
 
-def target_margin(rows: DataFrame, targets: DataFrame, negatives: DataFrame, key: str) -> DataFrame:
+def target_margin(rows: DataFrame, targets: DataFrame, negatives: DataFrame, key: str, gallery_bytes: int = GALLERY_BYTES) -> DataFrame:
     """similarity to the targets, to the negatives (-1 without any), and their difference; without a finite similarity, no row."""
-    out = best_in_gallery(rows, targets, key, "similarity")
-    out = best_in_gallery(out, negatives, key, "impostor_similarity")
-    out = out.withColumn("impostor_similarity", F.coalesce("impostor_similarity", F.lit(-1.0)))
-    return out.withColumn("margin", F.col("similarity") - F.col("impostor_similarity")).filter(finite(F.col("similarity")))
+    of = {"_target": distinct_vectors(targets, "embedding"), "_negative": distinct_vectors(negatives, "embedding")}
+    out = best_matches(rows, of, key, "embedding", gallery_bytes=gallery_bytes).filter("_target is not null")
+    out = out.select(*rows.columns, F.col("_target.score").alias("similarity"), F.coalesce("_negative.score", F.lit(-1.0)).alias("impostor_similarity"))
+    return out.withColumn("margin", F.col("similarity") - F.col("impostor_similarity"))
 
 
 def as_targets(rows: DataFrame, selected: int, aliases: list[int]) -> DataFrame:
@@ -68,13 +45,10 @@ def body_gallery(rows: DataFrame, of: str = "scan_id", others: int = 2) -> DataF
     return own.unionByName(picked)
 
 
-def nearest(rows: DataFrame, centroids: DataFrame, key: str, rows_limit: int = GALLERY_ROWS) -> DataFrame:
+def nearest(rows: DataFrame, centroids: DataFrame, key: str, gallery_bytes: int = GALLERY_BYTES) -> DataFrame:
     """The centroid of largest cosine for each row, the smallest id of equal ones; none without centroids."""
-    named = centroids.select(F.col("id").alias("_cid"), F.col("embedding").alias("_c"))
-    met, _ = _met(rows.select(key, "embedding"), named, F.struct("_cid", "_c"), rows_limit)
-    scored = F.transform("_gs", lambda g: F.struct(dot(F.col("embedding"), g["_c"]).alias("similarity"), (-g["_cid"]).alias("k")))
-    best = met.select(key, F.array_max(scored).alias("_m")).groupBy(key).agg(F.max("_m").alias("_m")).filter("_m is not null")
-    return best.select(key, (-F.col("_m.k")).alias("nearest_id"), F.col("_m.similarity").alias("similarity"))
+    found = best_matches(rows.select(key, "embedding"), {"_best": distinct_vectors(centroids, "embedding", "id")}, key, gallery_bytes=gallery_bytes)
+    return found.filter("_best is not null").select(key, F.col("_best.id").alias("nearest_id"), F.col("_best.score").alias("similarity"))
 
 
 def overlap(a_first: Column, a_last: Column, b_first: Column, b_last: Column) -> Column:
