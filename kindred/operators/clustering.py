@@ -6,6 +6,7 @@ held; scans run side by side.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -122,34 +123,37 @@ class Clusters:
     def merge(self, scale: float = 1.0) -> int:
         """Merge the most similar mergeable pair, the first of equal ones, until none is left; the number of merges.
 
-        The right one's place is taken by the last cluster, as ids count places after merging.
+        The right one's place is taken by the last cluster, as ids count places after merging. Only pairs that may merge are held, in
+        lists by cluster and in a heap by similarity; a merge changes those of the two clusters and renames those of the last. An
+        entry of the heap counts if the lists still have it. So memory grows with the mergeable pairs, and a merge costs one
+        product of the new centroid with all others.
         """
         end, merges = len(self.seen), 0
-        if end < 2:
-            return 0
         n = np.array(self.seen, float)
-        sims = self.centroids @ self.centroids.T
-        score = np.full((end, end), -np.inf)  # the cosine of mergeable pairs left < right
-
-        def anchors(at) -> np.ndarray:
-            return self.sums[at, 3:5] / n[at, None] / scale
-
-        def fitting(cosine: np.ndarray, far: np.ndarray, seen: np.ndarray) -> np.ndarray:
-            fits = (cosine >= STRONG) | ((cosine >= SOFT) & (far <= SOFT_FAR) & (seen >= SOFT_SEEN))
-            return np.where(fits, cosine, -np.inf)
-
-        def refresh(i: int) -> None:
-            """The scores of cluster i with all others, of which only its own row and column change in a merge."""
-            far = np.sqrt(((anchors(slice(0, end)) - anchors(slice(i, i + 1))) ** 2).sum(axis=1))
-            row = fitting(sims[i, :end], far, n[:end] + n[i])
-            score[i, i + 1 : end], score[:i, i] = row[i + 1 :], row[:i]
-
-        for i in range(end):
-            refresh(i)
-        while end > 1:
-            left, right = divmod(int(score[:end, :end].argmax()), end)
-            if score[left, right] == -np.inf:
-                break
+        near: list[dict[int, float]] = [{} for _ in range(end)]
+        heap: list[tuple[float, int, int]] = []
+
+        def fitting(at: slice, cosine: np.ndarray) -> np.ndarray:
+            """Which of the clusters may merge with those of `at`, by their cosines (a row for each of `at`)."""
+            anchors = self.sums[:end, 3:5] / n[:end, None] / scale
+            far = np.sqrt(((anchors[None] - anchors[at][:, None]) ** 2).sum(axis=2))
+            return (cosine >= STRONG) | ((cosine >= SOFT) & (far <= SOFT_FAR) & (n[None, :end] + n[at][:, None] >= SOFT_SEEN))
+
+        def note(i: int, j: int, cosine: float) -> None:
+            near[i][j] = near[j][i] = cosine
+            heap.append((-cosine, min(i, j), max(i, j)))
+
+        for low in range(0, end, 256):
+            at = slice(low, min(low + 256, end))
+            cosine = self.centroids[at] @ self.centroids[:end].T
+            for i, j in zip(*(x.tolist() for x in np.nonzero(fitting(at, cosine)))):
+                if low + i < j:
+                    note(low + i, j, float(cosine[i, j]))
+        heapq.heapify(heap)
+        while heap:
+            cosine, left, right = heapq.heappop(heap)
+            if right >= end or near[left].get(right) != -cosine:
+                continue
             self.room[left] = _unit((self.room[left] * n[left] + self.room[right] * n[right]) / (n[left] + n[right]))
             self.sums_room[left] += self.sums_room[right]
             n[left] += n[right]
@@ -158,14 +162,27 @@ class Clusters:
             self.first[left] = min(self.first[left], self.first[right])
             self.last[left] = max(self.last[left], self.last[right])
             self.quality[left] = max(self.quality[left], self.quality[right])
+            for i in (left, right):
+                for j in near[i]:
+                    del near[j][i]
+                near[i] = {}
             end -= 1
             self.room[right], self.sums_room[right], n[right] = self.room[end], self.sums_room[end], n[end]
             for column in (self.seen, self.strong, self.first, self.last, self.quality):
                 column[right] = column[end]
                 column.pop()
-            for i in {left, right} - {end}:
-                sims[i, :end] = sims[:end, i] = self.centroids @ self.room[i]
-                refresh(i)
+            moved = near.pop()
+            if right < end:
+                for j, value in moved.items():
+                    del near[j][end]
+                    near[right][j] = near[j][right] = value
+                    heapq.heappush(heap, (-value, min(j, right), max(j, right)))
+            row = self.centroids @ self.room[left]
+            fits = fitting(slice(left, left + 1), row[None])[0]
+            fits[left] = False
+            for j in np.flatnonzero(fits).tolist():
+                near[left][j] = near[j][left] = float(row[j])
+                heapq.heappush(heap, (-float(row[j]), min(j, left), max(j, left)))
             merges += 1
         return merges
 

@@ -363,3 +363,24 @@ def test_legacy_store(spark, tmp_path):
     (tmp_path / "old.json").write_text(json.dumps({"scan_id": "s", "resolved_duplicates": "[[1, 2]]"}) + "\n" + json.dumps({"scan_id": "t", "resolved_duplicates": '[{"a": 3, "b": 4, "keep": 4}]'}) + "\n")
     found = {r.scan_id: [tuple(x) for x in r.resolved_duplicates] for r in legacy_store(spark, str(tmp_path / "old.json")).collect()}
     assert found == {"s": [(1, 2, 1)], "t": [(3, 4, 4)]}
+
+
+def test_five_thousand_clusters_merge_in_little_memory():
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 1, (1500, 24))
+    c = clustering.Clusters(2.0)  # no vector joins a cluster, so each starts one
+    for i in range(5000):
+        v = centres[i % 1500] + rng.normal(0, 0.3, 24)
+        c.add(i, 0.1, 0.1, 0.9, v / np.sqrt((v * v).sum()), 0.8, 1.0)
+    tracemalloc.start()
+    began = time.process_time()
+    merges = c.merge()
+    took, most = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 3000 < merges < 5000 and sum(c.seen) == 5000 and most < 100 << 20 and took < 60
+    sims = c.centroids @ c.centroids.T
+    np.fill_diagonal(sims, -1)
+    assert sims.max() < clustering.STRONG
