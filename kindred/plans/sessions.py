@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..cluster import shared_folder
 from ..functions.rules import known_status, mode_of
+from ..operators import session_store as stored
 from ..operators import sessions as ops
 from ..sources import candidates, events, legacy_store, sessions
+from ..sources.store import Store
 from ._views import Plans
 
 P = Plans()
@@ -192,11 +194,61 @@ def _changes(spark, d):
     return sessions(spark, d).filter("user_id % 10 = 3").withColumn("status", F.lit("failed")).withColumn("updated_at_ms", F.col("updated_at_ms") + 1)
 
 
+def _store(spark, d) -> Store:
+    """A store of its own with all sessions and events."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    stored.replace_all(store, sessions(spark, d).select("scan_id", "status", "video", "updated_at_ms"), events(spark, d).select("id", "scan_id", "action"), 1)
+    return store
+
+
+def _saved(spark, d):
+    return events(spark, d).filter("user_id % 10 = 3 and id % 2 = 0").select("id", "scan_id", F.lit("saved").alias("action"))
+
+
 @P.add("snk2_full_replace", "SELECT scan_id, 'failed' AS status, updated_at_ms + 1 AS updated_at_ms FROM ses WHERE user_id % 10 = 3")
 def _(spark, d):
-    top = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
-    ops.save(sessions(spark, d), top, 1)
-    return spark.read.parquet(ops.save(_changes(spark, d).select("scan_id", "status", "updated_at_ms"), top, 2))
+    store = _store(spark, d)
+    stored.replace_all(store, _changes(spark, d).select("scan_id", "status", "updated_at_ms"), _saved(spark, d), 9)
+    return store.snapshot().table("sessions")
+
+
+@P.add("snk2_events_replaced", "SELECT id, scan_id, 'saved' AS action FROM ev WHERE user_id % 10 = 3 AND id % 2 = 0")
+def _(spark, d):
+    store = _store(spark, d)
+    stored.replace_all(store, _changes(spark, d).select("scan_id", "status", "updated_at_ms"), _saved(spark, d), 9)
+    return store.snapshot().table("events")
+
+
+@P.add("snk3_store", """SELECT id, e.scan_id, action, status FROM (SELECT id, scan_id, action FROM ev WHERE user_id % 10 <> 3 UNION ALL SELECT id, scan_id, 'saved' FROM ev WHERE user_id % 10 = 3 AND id % 2 = 0) e
+  JOIN (SELECT scan_id, CASE WHEN user_id % 10 = 3 THEN 'failed' ELSE status END AS status FROM ses) USING (scan_id)""")
+def _(spark, d):
+    store = _store(spark, d)
+    stored.save(store, _changes(spark, d).select("scan_id", "status", "video", "updated_at_ms"), _saved(spark, d), 2)
+    now = store.snapshot()
+    return now.table("events").join(now.table("sessions"), "scan_id").select("id", "scan_id", "action", "status")
+
+
+@P.add("snk5_store", "SELECT scan_id, n FROM (SELECT scan_id FROM ses WHERE user_id % 10 <> 3) JOIN (SELECT scan_id, count(*)::BIGINT AS n FROM ev GROUP BY scan_id) USING (scan_id)")
+def _(spark, d):
+    store = _store(spark, d)
+    stored.delete(store, _changes(spark, d))
+    now = store.snapshot()
+    counts = now.table("events").groupBy("scan_id").agg(F.count("*").alias("n"))
+    return now.table("sessions").select("scan_id").join(counts, "scan_id", "full")
+
+
+@P.add("srt2_store_page", "SELECT scan_id, updated_at_ms FROM ses WHERE (updated_at_ms, scan_id) < (SELECT (updated_at_ms, scan_id) FROM ses ORDER BY updated_at_ms DESC, scan_id DESC OFFSET 24 LIMIT 1) ORDER BY updated_at_ms DESC, scan_id DESC LIMIT 25")
+def _(spark, d):
+    now = _store(spark, d).snapshot()
+    first = now.page("sessions", 25).collect()
+    return now.page("sessions", 25, ops.next_cursor(first, "updated_at_ms", "scan_id")).select("scan_id", "updated_at_ms")
+
+
+@P.add("srt3_store_page", "SELECT id, scan_id FROM ev WHERE id < (SELECT max(id) // 2 FROM ev) ORDER BY id DESC LIMIT 40")
+def _(spark, d):
+    now = _store(spark, d).snapshot()
+    last = now.page("events", 1).first()["id"]
+    return now.page("events", 40, (last // 2,)).select("id", "scan_id")
 
 
 @P.add("snk3_upsert", "SELECT scan_id, CASE WHEN user_id % 10 = 3 THEN 'failed' ELSE status END AS status, updated_at_ms + (user_id % 10 = 3)::INT AS updated_at_ms FROM ses")
@@ -243,11 +295,19 @@ def _(spark, d):
     return legacy_store(spark, top).select("scan_id", "status", "expected_count", "updated_at_ms", F.inline("resolved_duplicates"))
 
 
-@P.add("snk14_import_rewrite", "SELECT scan_id, max(updated_at_ms) AS updated_at_ms FROM (SELECT scan_id, updated_at_ms FROM ses UNION ALL SELECT scan_id, updated_at_ms - 5 FROM ses WHERE user_id % 2 = 0) GROUP BY scan_id")
+@P.add("snk14_import_rewrite", """SELECT scan_id, max(updated_at_ms) AS updated_at_ms, bool_or(own) AS stored FROM (SELECT scan_id, updated_at_ms, true AS own FROM ses WHERE user_id % 3 > 0
+  UNION ALL SELECT scan_id, updated_at_ms + (CASE WHEN user_id % 4 = 0 THEN 5 ELSE -5 END), false FROM ses WHERE user_id % 2 = 0) GROUP BY scan_id""")
 def _(spark, d):
-    rows = sessions(spark, d).select("scan_id", "updated_at_ms", "user_id")
-    legacy = rows.filter("user_id % 2 = 0").withColumn("updated_at_ms", F.col("updated_at_ms") - 5)
-    return ops.latest(rows.unionByName(legacy), "scan_id", "updated_at_ms").select("scan_id", "updated_at_ms")
+    rows = sessions(spark, d)
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    stored.replace_all(store, rows.filter("user_id % 3 > 0").select("scan_id", "status", "video", "updated_at_ms"), events(spark, d).select("id", "scan_id", "action"), 1)
+    before = store.snapshot()
+    top = f"{shared_folder(spark)}/legacy-{uuid.uuid4().hex}"
+    at = F.col("updated_at_ms") + F.when(F.col("user_id") % 4 == 0, 5).otherwise(-5)
+    rows.filter("user_id % 2 = 0").select("scan_id", "video", "status", "expected_count", at.alias("updated_at_ms"), F.lit("[]").alias("resolved_duplicates")).write.json(top)
+    stored.import_legacy(store, legacy_store(spark, top))
+    old = before.table("sessions").select("scan_id", F.lit(True).alias("stored"))
+    return store.snapshot().table("sessions").join(old, "scan_id", "left").select("scan_id", "updated_at_ms", F.coalesce("stored", F.lit(False)).alias("stored"))
 
 
 @P.add("set4_page_append", "SELECT id FROM ev WHERE id < 100 UNION ALL SELECT id FROM ev WHERE id < 50")
