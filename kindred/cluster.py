@@ -32,6 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="spark-kindred-")
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Let checkpoint() write to the shared folder, unless the session already has a folder for it."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate rows, wherever Spark wrote it, once nothing is left that may read it again."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

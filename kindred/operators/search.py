@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import shared_folder, ship
+from ..cluster import checkpoints, ship
 
 #: Bytes of a gallery's components that are broadcast at most; a larger gallery is indexed and its blocks are met by joins.
 GALLERY_BYTES = 64 << 20
@@ -204,8 +204,7 @@ def build_index(gallery: DataFrame, pivots: int = PIVOTS) -> tuple[DataFrame, di
     spark = gallery.sparkSession
     sample = gallery.select("_g").orderBy(F.xxhash64("_g"), "_g").limit(SAMPLE * pivots).unionByName(gallery.groupBy(F.size("_g")).agg(F.min("_g").alias("_g")).select("_g"))
     chosen = {g.shape[1]: spread(_unit(g), pivots) for _, g in matrices(sample.toArrow().column("_g"))}
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    checkpoints(spark)
     dealt = _dealt(gallery, chosen).checkpoint()
     facts = dealt.groupBy("_size", "_pivot").agg(F.count("*").alias("n"), F.max("_angle").alias("radius"), F.min("_norm").alias("least"), F.max("_norm").alias("most")).collect()
     index, first = {n: Pivots(p, *[np.zeros(len(p), np.int64) for _ in range(2)], *[np.zeros(len(p)) for _ in range(3)]) for n, p in chosen.items()}, 0

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import checkpoints
 from ..sources.store import Conflict, Snapshot, Store
+from .queues import after_failure
+from .review import rescan_applied, rescan_event
 from .sessions import latest, patch, replace_events, upsert, without
 
 #: What pages of the tables are ordered by.
@@ -70,3 +73,47 @@ def import_legacy(store: Store, legacy: DataFrame) -> int:
         return {"sessions": latest(both, "scan_id", "updated_at_ms", "_own").drop("_own")}
 
     return retried(store, change, notes={"imported": "legacy"})
+
+
+def rescans_processed(store: Store, messages: DataFrame, rescanned: DataFrame, now_ms: int, batch: int, most: int = 3) -> DataFrame:
+    """One batch of rescan messages (with scan_id) from the queue to the store; the messages that failed, at their next place.
+
+    A message whose scan is in `rescanned` and is stored succeeds: in one version its session starts review again and an event says
+    so. The version notes the batch, so a batch that comes again after a crash changes nothing and fails the same messages. Event ids
+    follow the counter, with gaps.
+    """
+    start = store.snapshot()
+    was = int(start.notes["before_batch"]) if start.notes.get("batch") == str(batch) else start.version
+    known = store.snapshot(was).table("sessions")
+    good = rescanned.select("scan_id").join(known.select("scan_id"), "scan_id", "left_semi").distinct()
+    failed = after_failure(messages.join(good, "scan_id", "left_anti"), most)
+    if was != start.version:
+        return failed
+    wanted = good.join(messages.select("scan_id"), "scan_id", "left_semi")
+
+    def change(now: Snapshot) -> dict[str, DataFrame]:
+        changes = rescan_applied(now.table("sessions"), wanted, now_ms)
+        columns = [c for c in changes.columns if c != "scan_id" and c in now.table("sessions").columns]
+        next_id = now.table("counters").filter("key = 'next_id'").first()["value"]
+        fresh = rescan_event(wanted, now_ms).withColumn("id", F.monotonically_increasing_id() + next_id)
+        old = now.table("events")
+        fresh = fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns]).checkpoint()
+        top = fresh.agg(F.coalesce(F.max("id") + 1, F.lit(next_id))).first()[0]
+        return {
+            "sessions": patch(now.table("sessions"), changes, "scan_id", columns), "events": old.unionByName(fresh),
+            "counters": upsert(now.table("counters"), counter(store.spark, top), "key"),
+        }
+
+    checkpoints(store.spark)
+    retried(store, change, notes={"batch": str(batch), "before_batch": str(start.version)})
+    return failed
+
+
+def rescan_stream(store: Store, messages: DataFrame, rescan: Callable[[DataFrame], DataFrame], retry_path: str, dlq_path: str, checkpoint: str, now_ms: Callable[[], int], most: int = 3):
+    """Dequeue, rescan, apply, and route failures: each batch of a stream of messages; `rescan` gives the scans (scan_id) that it could do."""
+    def take(batch: DataFrame, batch_id: int) -> None:
+        failed = rescans_processed(store, batch, rescan(batch), now_ms(), batch_id, most)
+        for route, path in (("retry", retry_path), ("dlq", dlq_path)):
+            failed.filter(F.col("route") == route).drop("route").write.mode("overwrite").json(f"{path}/batch={batch_id}")
+
+    return messages.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..cluster import shared_folder
 from ..functions.rules import data_url, duration_text, eta_seconds, media_kind, thumbnail_size
 from ..operators import catalog, queues
+from ..operators import session_store as stored
 from ..sources import artifacts, events, messages, sessions, table
+from ..sources.store import Store
+from ..streaming.leases import lease_outcomes
 from ._views import Plans
 
 P = Plans()
@@ -39,6 +45,48 @@ def _(spark, d):
     return queues.in_turn(messages(spark, d)).select("seq", "priority")
 
 
+# Workers answer some deliveries: the first by (seq % 5), the second by (seq % 3); what they leave out or answer late comes back after 30 s.
+_REPLIES = """rp AS (SELECT seq, 1 AS receipt, created_at_ms + 10000 AS tm, 'ack' AS kind FROM msg WHERE seq % 5 = 0 UNION ALL SELECT seq, 1, created_at_ms + 5000, 'fail' FROM msg WHERE seq % 5 = 1
+  UNION ALL SELECT seq, 1, created_at_ms + 40000, 'ack' FROM msg WHERE seq % 5 = 2 UNION ALL SELECT seq, 2, created_at_ms + 32000, 'ack' FROM msg WHERE seq % 3 = 0 UNION ALL SELECT seq, 3, created_at_ms + 60000, 'fail' FROM msg WHERE seq % 2 = 0)"""
+
+
+@P.add("src10_leases", f"""WITH RECURSIVE {_REPLIES}, step AS (
+  SELECT seq, attempt, 1 AS receipt, created_at_ms AS tm, NULL::VARCHAR AS outcome FROM msg UNION ALL
+  SELECT seq, CASE WHEN kind = 'ack' OR attempt + 1 >= 3 THEN attempt ELSE attempt + 1 END, receipt + 1, ends, CASE WHEN kind = 'ack' THEN 'done' WHEN attempt + 1 >= 3 THEN 'dlq' END FROM (
+    SELECT s.seq, s.attempt, s.receipt, coalesce(rp.tm, s.tm + 30000) AS ends, rp.kind FROM step s LEFT JOIN rp ON rp.seq = s.seq AND rp.receipt = s.receipt AND rp.tm BETWEEN s.tm AND s.tm + 30000 WHERE s.outcome IS NULL))
+  SELECT 'm' || seq AS message_id, receipt - 1 AS deliveries, outcome, tm AS at_ms FROM step WHERE outcome IS NOT NULL""")
+def _(spark, d):
+    rows = messages(spark, d)
+    name = F.concat(F.lit("m"), F.col("seq").cast("string")).alias("message_id")
+    at = lambda ms: (F.col("created_at_ms") + ms).alias("at_ms")
+    answers = [("seq % 5 = 0", 1, 10_000, "ack"), ("seq % 5 = 1", 1, 5_000, "fail"), ("seq % 5 = 2", 1, 40_000, "ack"), ("seq % 3 = 0", 2, 32_000, "ack"), ("seq % 2 = 0", 3, 60_000, "fail")]
+    choice = F.filter(F.array(*[F.when(F.expr(when), F.struct(F.lit(r).alias("receipt"), F.lit(kind).alias("kind"), at(ms))) for when, r, ms, kind in answers]), lambda x: x.isNotNull())
+    replies = rows.select(name, F.inline(choice))
+    return lease_outcomes(rows.select(name, F.col("created_at_ms").alias("at_ms"), "attempt"), replies)
+
+
+def _rescans(spark, d):
+    """A store after the rescan queue was worked off, and the messages that failed: scans of users that 4 divides, less 1, can be rescanned."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    rows = sessions(spark, d)
+    stored.replace_all(store, rows.select("scan_id", "status", "review_ready", "updated_at_ms"), events(spark, d).select("id", "scan_id", "action"), 10_000_000)
+    queue = messages(spark, d).filter("queue = 'rescan'").withColumn("scan_id", F.concat(F.lit("scan-"), F.split("idempotency_key", ":")[0]))
+    return store, stored.rescans_processed(store, queue, rows.filter("user_id % 4 = 1"), 1_706_600_000_000, 0)
+
+
+@P.add("str2_rescan_job", """SELECT scan_id, CASE WHEN hit AND status IN ('proposed', 'validated', 'failed') THEN 'proposed' ELSE status END AS status, review_ready AND NOT hit AS review_ready, n + hit::INT AS events FROM (
+  SELECT ses.*, user_id % 4 = 1 AND user_id IN (SELECT user_id FROM ev WHERE action IN ('error', 'purchase')) AS hit FROM ses) JOIN (SELECT scan_id, count(*)::BIGINT AS n FROM ev GROUP BY scan_id) USING (scan_id)""")
+def _(spark, d):
+    now = _rescans(spark, d)[0].snapshot()
+    counts = now.table("events").groupBy("scan_id").agg(F.count("*").alias("events"))
+    return now.table("sessions").select("scan_id", "status", "review_ready").join(counts, "scan_id")
+
+
+@P.add("str2_rescan_routes", "SELECT seq, CASE WHEN attempt + 1 >= 3 THEN 'dlq' ELSE 'retry' END AS route FROM msg WHERE queue = 'rescan' AND split_part(idempotency_key, ':', 1)::BIGINT % 4 <> 1")
+def _(spark, d):
+    return _rescans(spark, d)[1].select("seq", "route")
+
+
 @P.add("str5_peek", "SELECT seq, job_id FROM msg WHERE queue = 'rescan' ORDER BY seq LIMIT 10")
 def _(spark, d):
     return queues.peek(messages(spark, d), "rescan", 10).select("seq", "job_id")

@@ -1,10 +1,14 @@
 """Versions of several tables: whole or not at all."""
 
+import threading
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from kindred.operators import session_store as ops
 from kindred.sources.store import Conflict, Store
+from kindred.streaming import Cancelled, cancellable, flag_file
 
 
 def rows(spark, ids, status="proposed", at=0):
@@ -98,3 +102,41 @@ def test_pages_open_few_files(spark, tmp_path):
     at = want.index((250, 3750))
     page = now.page("sessions", 40, (250, 3750))
     assert [(r.updated_at_ms, r.id) for r in page.collect()] == want[at + 1 : at + 41] and len(page.inputFiles()) <= 3
+
+
+def test_a_cancelled_job_leaves_no_version(spark, store, tmp_path):
+    def slow(batches):
+        for batch in batches:
+            time.sleep(60)
+            yield batch
+
+    flag, began = tmp_path / "stop", []
+    threading.Timer(4.0, lambda: (began.append(time.monotonic()), flag.write_text(""))).start()
+    with pytest.raises(Cancelled):
+        cancellable(spark, lambda: ops.replace_all(store, rows(spark, [1]), logs(spark, [1]).mapInArrow(slow, "id long, scan_id string, action string"), 5), flag_file(spark, f"file://{flag}"))
+    assert time.monotonic() - began[0] < 6 and not spark.sparkContext.statusTracker().getActiveJobsIds()
+    assert store.versions() == [1] and len(state(store.snapshot())[0]) == 6
+    assert cancellable(spark, lambda: ops.replace_all(store, rows(spark, [1]), logs(spark, [1]), 5), lambda: False) == 2
+    with pytest.raises(ZeroDivisionError):
+        cancellable(spark, lambda: 1 // 0, lambda: False)
+
+
+def test_rescans_from_the_queue_to_the_store(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/jobs")
+    sessions = spark.createDataFrame([(f"s{i}", st, True, 5, 100) for i, st in enumerate(["validated", "tracking", "failed", "completed"])], "scan_id string, status string, review_ready boolean, selected_identity_id long, updated_at_ms long")
+    ops.replace_all(store, sessions, logs(spark, range(4)), 50)
+    schema = "queue string, seq long, message_type string, job_id string, idempotency_key string, created_at_ms long, attempt long, scan_id string"
+    for k, part in enumerate(([("rescan", i, "rescan", f"j{i}", f"k{i}", 1, i % 3, f"s{i}") for i in range(3)], [("rescan", 9, "rescan", "j9", "k9", 1, 0, "s3"), ("rescan", 10, "rescan", "j10", "k10", 1, 2, "nobody")])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in/{k}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in/*")
+    can = lambda batch: batch.filter("scan_id <> 's1'").select("scan_id")
+    ops.rescan_stream(store, source, can, f"{tmp_path}/retry", f"{tmp_path}/dlq", f"{tmp_path}/cp", lambda: 777).awaitTermination()
+    now = store.snapshot()
+    got = {r.scan_id: (r.status, r.review_ready, r.updated_at_ms) for r in now.table("sessions").collect()}
+    assert got == {"s0": ("proposed", False, 777), "s1": ("tracking", True, 100), "s2": ("proposed", False, 777), "s3": ("completed", False, 777)}
+    said = [r.scan_id for r in now.table("events").filter("action = 'split_rescan_processed'").collect()]
+    assert sorted(said) == ["s0", "s2", "s3"] and now.table("events").count() == 11 and now.table("events").select("id").distinct().count() == 11
+    assert [(r.job_id, r.attempt) for r in spark.read.json(f"{tmp_path}/retry").collect()] == [("j1", 2)] and [r.job_id for r in spark.read.json(f"{tmp_path}/dlq").collect()] == ["j10"]
+    # the last batch comes again: nothing changes, and it fails the same messages
+    batch = spark.read.schema(schema).json(f"{tmp_path}/in/1")
+    assert [r.job_id for r in ops.rescans_processed(store, batch, can(batch), 999, 1).collect()] == ["j10"] and store.snapshot().version == now.version
