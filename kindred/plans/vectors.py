@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.boxes import distance
 from ..functions.rules import candidate_confidence
 from ..functions.vectors import dot, unit, unit_or_empty
-from ..operators import clustering, galleries
+from ..operators import clustering, galleries, states
 from ..sources import candidates, cluster_input
 from ._views import DOT, Plans, clamp_sql
 
@@ -174,6 +174,20 @@ def _sums(spark, d):
         F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"), F.count_if(F.expr("face_presence >= 0.58D")).alias("strong"), F.max("thumbnail_score").alias("thumbnail"))
 
 
+_SUMS = "SELECT scan_id, i, sum(confidence * embedding[i]::DOUBLE) AS s FROM cand, (SELECT unnest(range(1, 65)) AS i) GROUP BY scan_id, i"
+
+
+@P.add("agg7_merged_states", f"""SELECT scan_id, n, round(weight, 6) AS weight, round(s1, 6) AS s1, round(s64, 6) AS s64, round(s1 / norm, 6) AS c1, best FROM (
+  SELECT scan_id, count(*)::BIGINT AS n, sum(confidence) AS weight, arg_max(id, (thumbnail_score, -id)) AS best FROM cand GROUP BY scan_id)
+  JOIN (SELECT scan_id, sum(CASE WHEN i = 1 THEN s END) AS s1, sum(CASE WHEN i = 64 THEN s END) AS s64, sqrt(sum(s * s)) AS norm FROM ({_SUMS}) GROUP BY scan_id) USING (scan_id)""")
+def _(spark, d):
+    # states of quarters of each scan, merged to scans
+    rows = candidates(spark, d).withColumn("part", F.concat_ws("/", "scan_id", (F.col("id") % 4).cast("string")))
+    parts = states.group_states(rows, "part", "embedding", "confidence", "thumbnail_score", "id")
+    out = states.merged_states(parts.withColumn("scan_id", F.split("part", "/")[0]), "scan_id").withColumn("c", states.centroid())
+    return out.select("scan_id", "n", r6(F.col("weight"), "weight"), r6(F.col("sums")[0], "s1"), r6(F.col("sums")[63], "s64"), r6(F.col("c")[0], "c1"), F.col("best.payload").alias("best"))
+
+
 @P.add("agg3_cluster_sums", f"SELECT label, n, round(confidence_sum, 6) AS confidence_sum, round(presence_sum, 6) AS presence_sum, first_frame, last_frame, strong FROM ({_SUMS})".replace(">= 0.58)", ">= 0.58::DOUBLE)"))
 def _(spark, d):
     return _sums(spark, d).select("label", "n", r6(F.col("confidence_sum"), "confidence_sum"), r6(F.col("presence_sum"), "presence_sum"), "first_frame", "last_frame", "strong")
