@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..cluster import shared_folder
 from ._common import cut, running_total, small_batches, table
 from .range_coder import read_segment, write_segment
+from .word_bpe import Merges
 
 #: Ids that a segment is filled to; the last document may exceed it.
 SEGMENT_IDS = 4_000_000
@@ -26,13 +27,16 @@ SEGMENT_IDS = 4_000_000
 #: A chunk that consists of such pieces alone is encoded piece by piece: the tokenizer lower-cases these letters one by one and
 #: splits runs of letters, single digits and runs of signs apart. Apostrophes start contractions, so chunks with one are encoded whole.
 _PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Most chunks are a word and, perhaps, some of these signs after it.
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordIds:
     """The tokenizers library behind caches of chunks between spaces and of their pieces.
 
-    The tokenizer drops white space and never looks across it, so chunks between spaces and newlines can be encoded apart. The
-    library is used as it loads: the strings of special tokens in a text get those tokens' ids.
+    The tokenizer drops white space and never looks across it, so chunks between spaces and newlines can be encoded apart. Pieces
+    of known form are merged many at once as the library merges them (see Merges); all other text goes to the library, which is used as it loads: the strings of special tokens in a text get those tokens' ids.
     """
 
     def __init__(self, path: str, most: int = 600_000) -> None:
@@ -40,9 +44,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.merges = Merges.of_file(path)
         self.special = tuple(t.content for t in self.model.get_added_tokens_decoder().values())
-        ends = {i for t, i in self.model.get_vocab().items() if t.endswith("</w>")}
-        self.ends = np.array([i in ends for i in range(max(ends, default=0) + 1)])
+        self.plain = not any(_LETTERS.fullmatch(x.rstrip(_SIGNS)) or not x.rstrip(_SIGNS) for x in self.special)  # no special token can lie in such a chunk
         self.most, self.cache, self.pieces = most, {"": b""}, {}
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
@@ -65,6 +69,10 @@ class WordIds:
         """Ids of chunks that are not in the cache."""
         known, out, parts, whole = self.pieces, {}, {}, []
         for w in chunks:
+            word = w.rstrip(_SIGNS)
+            if self.plain and (word.isalpha() if word.isascii() else _LETTERS.fullmatch(word)):
+                parts[w] = (word.lower(), w[len(word) :]) if len(word) < len(w) else (word.lower(),)
+                continue
             found = _PIECE.findall(w)
             if len("".join(found)) == len(w) and not any(x in w for x in self.special):
                 parts[w] = [x.lower() for x in found]
@@ -75,16 +83,12 @@ class WordIds:
         if len(known) + len(fresh) > self.most:
             known.clear()
             fresh = list({x for found in parts.values() for x in found})
-        for at in range(0, len(fresh), 256):
-            some = fresh[at : at + 256]
-            ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
-            stops = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
-            if len(stops) == len(some) and stops[-1] == len(ids):  # each piece ends with one end of a word
-                known.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, [0, *stops[:-1].tolist()], stops.tolist()))
-            else:
-                known.update((w, array("i", e.ids).tobytes()) for w, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)))
+        for at in range(0, len(fresh), 8192):
+            some = fresh[at : at + 8192]
+            made = self.merges.encode(some) if self.merges else [array("i", e.ids).tobytes() for e in self.model.encode_batch_fast(some, add_special_tokens=False)]
+            known.update(zip(some, made))
         for w, found in parts.items():
-            out[w] = b"".join(map(known.__getitem__, found))
+            out[w] = known[found[0]] if len(found) == 1 else b"".join(map(known.__getitem__, found))
         return out
 
 
