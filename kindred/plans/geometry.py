@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..cluster import shared_folder
 from ..functions import boxes as fb
 from ..functions.boxes import Box
 from ..functions.rules import fraction, frame_count, sample_estimate, thumbnail_quality
 from ..functions.vectors import finite
 from ..operators import detections as ops
-from ..sources import boxes, frames, observations, table
+from ..sources import boxes, frames, media, observations, table
+from ..sources.images import image_sizes, luma_grid, write_maps
 from ._views import Plans, clamp_sql, iou_sql
 
 P = Plans()
@@ -264,6 +268,31 @@ def _(spark, d):
     return _pixels(spark, d).select("image", "row", "col", r6(F.col("luma"), "luma"))
 
 
+def _image_files(spark, d):
+    """An image file for each supplier, written and read back: 6 x 8 pixels by arithmetic on its key."""
+    key, top = F.col("s_suppkey"), f"{shared_folder(spark)}/images-{uuid.uuid4().hex}"
+    place = F.sequence(F.lit(0), F.lit(6 * 8 * 3 - 1))
+
+    def value(i):
+        r, c, channel = F.floor(i / 18), F.floor(i / 3) % 6, i % 3
+        return F.when(channel == 0, (key * 7 + r * 31 + c * 3) % 256).when(channel == 1, (key * 11 + r * c * 5) % 256).otherwise((key * 13 + c * 17) % 256)
+
+    made = table(spark, d, "supplier").select(key.alias("image"), F.lit(6).alias("width"), F.lit(8).alias("height"), F.transform(place, value).alias("values"))
+    write_maps(made, top)
+    return media(spark, top).withColumn("image", F.regexp_extract("path", "image=([0-9]+)", 1).cast("long"))
+
+
+@P.add("src4_image_sizes", "SELECT s_suppkey AS image, 'image' AS kind, 'p3' AS format, 6 AS width, 8 AS height FROM supplier")
+def _(spark, d):
+    files = _image_files(spark, d)
+    return image_sizes(files, "image").join(files.select("image", "kind"), "image").select("image", "kind", "format", "width", "height")
+
+
+@P.add("geo15_luma_of_files", f"SELECT image, row, col, round(luma, 6) AS luma FROM {_LUMA.replace('o_orderkey AS l_orderkey, o_orderkey AS l', 's_suppkey AS l_orderkey, s_suppkey AS l').replace('FROM orders', 'FROM supplier')}")
+def _(spark, d):
+    return luma_grid(_image_files(spark, d), "image").select("image", "row", "col", r6(F.col("luma"), "luma"))
+
+
 @P.add("agg8_luma_moments", f"SELECT image, round(avg(luma), 6) AS mean, round(stddev_pop(luma), 6) AS sd FROM {_LUMA} GROUP BY image")
 def _(spark, d):
     return _pixels(spark, d).groupBy("image").agg(r6(F.avg("luma"), "mean"), r6(F.stddev_pop("luma"), "sd"))
