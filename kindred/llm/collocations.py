@@ -24,6 +24,8 @@ _SLICE = 1 << 20
 _BEFORE = 3
 #: Keys of frequent phrases (two longs each) that are broadcast at most; with more, lists and phrases are joined by a shuffle.
 BROADCAST_PHRASES = 1_000_000
+#: Phrases (some 100 bytes of counts and ids each) that are broadcast at most to those one word longer; with more, they are shuffled.
+BROADCAST_PARTS = 400_000
 
 _SPLIT = bytes.maketrans(b"\t.,;:!?\n\x0b\x0c\r", b" " + b"\n" * 10)
 _EDGE = re.compile(rb"[ \n]")
@@ -141,7 +143,9 @@ def _loosened(data: bytes, n: int, kind: str) -> np.ndarray:
 
 
 def _bundled(lists: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Lists (block, id, at) as bundles of a block's lists: block, n, m, ids, sizes, steps. `rows` are held at once at most."""
+    """Lists (block, id, at) as bundles of a block's lists in order of id (as steps): block, n, m, ids, sizes, steps.
+
+    `rows` are held at once at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -151,7 +155,7 @@ def _bundled(lists: DataFrame, rows: int = 100_000) -> DataFrame:
             table_ = pa.Table.from_batches(held)
             block, ids = table_.column("block").to_numpy(), table_.column("id").to_numpy()
             lists_ = table_.column("at").combine_chunks()
-            order = np.argsort(block, kind="stable")
+            order = np.lexsort((ids, block))
             block, ids, lists_ = block[order], ids[order], lists_.take(pa.array(order))
             sizes, steps = lists_.value_lengths().to_numpy(), lists_.flatten().to_numpy()
             starts = np.flatnonzero(np.diff(block, prepend=-1))
@@ -159,7 +163,7 @@ def _bundled(lists: DataFrame, rows: int = 100_000) -> DataFrame:
             at = np.concatenate(([0], np.cumsum(sizes)))
             out = [[], [], [], [], [], []]
             for x, y in zip(starts.tolist(), ends.tolist()):
-                values = (int(block[x]), y - x, int(at[y] - at[x]), _squeezed(ids[x:y], "<i8"), _squeezed(sizes[x:y], "<i4"), _squeezed(steps[at[x] : at[y]], "<i4"))
+                values = (int(block[x]), y - x, int(at[y] - at[x]), _squeezed(np.diff(ids[x:y], prepend=0), "<i8"), _squeezed(sizes[x:y], "<i4"), _squeezed(steps[at[x] : at[y]], "<i4"))
                 for c, v in zip(out, values):
                     c.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -186,7 +190,7 @@ def extend(lists: DataFrame) -> DataFrame:
     """
 
     def run(group: pa.Table) -> pa.Table:
-        parts = [(_loosened(r["ids"], r["n"], "<i8"), _loosened(r["sizes"], r["n"], "<i4"), _loosened(r["steps"], r["m"], "<i4")) for r in group.to_pylist()]
+        parts = [(np.cumsum(_loosened(r["ids"], r["n"], "<i8")), _loosened(r["sizes"], r["n"], "<i4"), _loosened(r["steps"], r["m"], "<i4")) for r in group.to_pylist()]
         ids, sizes, steps = (np.concatenate([p[i] for p in parts]) for i in range(3))
         row, at, first = np.repeat(np.arange(len(ids)), sizes), np.cumsum(steps, dtype=np.int64), np.cumsum(sizes) - sizes
         at -= np.repeat(at[first] - steps[first], sizes)
@@ -236,6 +240,7 @@ def frequent_phrases(
         else:
             left = known.select(F.col("id").alias("a"), "lang", F.col("w").alias("_head"), "heads")
             right = known.select(F.col("id").alias("b"), F.element_at("w", -1).alias("_last"), "tails")
+            left, right = (checked_broadcast(x, n, BROADCAST_PARTS) for x in (left, right))
             known = cut(counted.join(left, "a").join(right, "b").select(
                 "id", "lang", F.lit(size).alias("size"), F.concat("_head", F.array("_last")).alias("w"), "f", "a", "b",
                 F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails")))
@@ -277,7 +282,8 @@ def collocations(
     worst = F.array_min(F.transform(F.sequence(F.lit(1), F.col("size") - 1), one))
     rows = every.select("size", "id", "lang", "w", F.col("f").alias("a"), worst.alias("_cut"))
     rows = rows.select("size", "id", "lang", "w", "a", F.col("_cut.l").alias("l"), F.col("_cut.r").alias("r"), F.col("_cut.score").alias("score"))
-    rows = rows.join(longer.groupBy("size", "id").agg(F.max("f").alias("_longer")), ["size", "id"], "left")
+    longer = cut(longer.groupBy("size", "id").agg(F.max("f").alias("_longer")))
+    rows = rows.join(checked_broadcast(longer, longer.count(), BROADCAST_PHRASES), ["size", "id"], "left")
     rows = rows.filter(F.coalesce(F.col("_longer").cast("decimal(20,0)") * 100 < F.col("a").cast("decimal(20,0)") * 80, F.lit(True))).drop("_longer")
     # the best of each of 64 shares first, ties kept: a language's sort sees 64 * keep rows and what ties with the last
     order = [F.col("score").desc(), F.col("a").desc()]

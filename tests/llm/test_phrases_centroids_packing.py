@@ -46,6 +46,7 @@ def as_rows(df):
 @pytest.mark.parametrize("few", [0, 1000])
 def test_phrases_by_counting(spark, monkeypatch, block_words, few):
     monkeypatch.setattr(collocations, "BROADCAST_PHRASES", few)
+    monkeypatch.setattr(collocations, "BROADCAST_PARTS", few)
     monkeypatch.setattr(collocations, "_SLICE", 50)
     rng = random.Random(3)
     texts = [" ".join(rng.choices(["a", "B", "b", "cé", "d,", "e.\n", "the", "\t", "of\x0b", "  x"], k=rng.randint(0, 120))) for _ in range(40)]
