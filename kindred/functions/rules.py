@@ -32,6 +32,12 @@ def mode_of(text: Column) -> Column:
     return F.when(t.isin("quality", "hq"), "quality").when(t.isin("balanced", "balance", "normal"), "balanced").otherwise("fast")
 
 
+def encoder_settings(mode: Column) -> tuple[Column, Column]:
+    """Preset and quality factor of the software encoder for a normalised mode; the values are fixed."""
+    return (F.when(mode == "quality", "medium").when(mode == "balanced", "veryfast").otherwise("ultrafast"),
+            F.when(mode == "quality", 18).when(mode == "balanced", 20).otherwise(23))
+
+
 def frame_count(nb: Column, seconds: Column, whole_seconds: Column, fps: Column) -> Column:
     """Frames by the first source that knows: the count, the stream's duration, the file's duration, else 0."""
     by = lambda s: F.when((s > 0) & (fps > 0), F.floor(s * fps + 0.5).cast("long"))

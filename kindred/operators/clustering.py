@@ -63,6 +63,17 @@ class Config:
         )
 
 
+def presets(spark) -> DataFrame:
+    """A row a mode: its settings, and those of its second pass with the prefix loose_."""
+    names = ("sample_stride", "max_sampled_frames", "cluster_similarity", "max_candidates")
+    rows = []
+    for mode in ("fast", "balanced", "quality"):
+        config = Config.of_mode(mode)
+        rows.append((mode, *[getattr(c, n) for c in (config, config.looser()) for n in names]))
+    kinds = ("int", "int", "double", "int")
+    return spark.createDataFrame(rows, "mode string, " + ", ".join(f"{p}{n} {k}" for p in ("", "loose_") for n, k in zip(names, kinds)))
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / max(float(np.sqrt((v * v).sum())), 1e-10)
 

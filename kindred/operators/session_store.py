@@ -11,7 +11,7 @@ from ..cluster import checkpoints
 from ..sources.store import Conflict, Snapshot, Store
 from .queues import after_failure
 from .review import rescan_applied, rescan_event
-from .sessions import latest, patch, replace_events, upsert, without
+from .sessions import latest, maintenance, patch, replace_events, upsert, without
 
 #: What pages of the tables are ordered by.
 KEYS = {"sessions": ["updated_at_ms", "scan_id"], "events": ["id"]}
@@ -75,6 +75,17 @@ def import_legacy(store: Store, legacy: DataFrame) -> int:
     return retried(store, change, notes={"imported": "legacy"})
 
 
+def maintained(store: Store, now_ms: int, age_ms: int = 7 * 86_400_000, per_scan: int = 120) -> int:
+    """One run of retention as a version of the store, which notes how many runs there were and when the last was."""
+    runs = int(store.snapshot().notes.get("maintenance_runs", 0)) + 1
+
+    def change(now: Snapshot) -> dict[str, DataFrame]:
+        kept = maintenance(now.table("sessions"), now.table("events"), now_ms, age_ms, per_scan)
+        return {"sessions": kept["sessions"], "events": kept["events"]}
+
+    return retried(store, change, notes={"maintenance_runs": str(runs), "maintenance_at_ms": str(now_ms)})
+
+
 def rescans_processed(store: Store, messages: DataFrame, rescanned: DataFrame, now_ms: int, batch: int, most: int = 3) -> DataFrame:
     """One batch of rescan messages (with scan_id) from the queue to the store; the messages that failed, at their next place.
 

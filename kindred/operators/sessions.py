@@ -50,7 +50,16 @@ class Page:
     @classmethod
     def of(cls, limit: int | None = None, offset: int | None = None, cursor: tuple | None = None, default: int = 25) -> Page:
         whole = cursor is not None and all(c is not None for c in cursor)
-        return cls(min(max(limit or default, 1), 200), 0 if whole else offset or 0, cursor if whole else None, bool(whole and offset))
+        return cls(min(max(default if limit is None else limit, 1), 200), 0 if whole else offset or 0, cursor if whole else None, bool(whole and offset))
+
+
+def page_rules(limit: Column, offset: Column, *cursor: Column, default: int = 25) -> tuple[Column, Column, Column]:
+    """The rules of Page for requests that are rows: limit, offset, and whether an offset was ignored for a whole cursor."""
+    whole = F.lit(bool(cursor))
+    for c in cursor:
+        whole = whole & c.isNotNull()
+    asked = F.coalesce(offset, F.lit(0))
+    return F.least(F.greatest(F.coalesce(limit, F.lit(default)), F.lit(1)), F.lit(200)), F.when(whole, 0).otherwise(asked), whole & (asked > 0)
 
 
 def session_page(sessions: DataFrame, page: Page) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..cluster import shared_folder
 from ..functions import boxes as fb
 from ..functions.boxes import Box
-from ..functions.rules import fraction, frame_count, sample_estimate, thumbnail_quality
+from ..functions.rules import encoder_settings, fraction, frame_count, mode_of, sample_estimate, thumbnail_quality
 from ..functions.vectors import finite
 from ..operators import detections as ops
 from ..sources import boxes, frames, media, observations, table
@@ -228,9 +228,11 @@ def _(spark, d):
     return frames(spark, d).select("frame_index", F.coalesce("cx", F.lit(960.0)).alias("hx"), F.coalesce("cy", F.lit(540.0)).alias("hy"))
 
 
-@P.add("pix8_encoder_presets", "SELECT * FROM (VALUES ('fast','ultrafast',23), ('balanced','veryfast',20), ('quality','medium',18)) t(mode, preset, crf)")
+@P.add("pix8_encoder_presets", """SELECT frame_index, CASE WHEN m IN (0, 1) THEN 'medium' WHEN m IN (2, 3) THEN 'veryfast' ELSE 'ultrafast' END AS preset, CASE WHEN m IN (0, 1) THEN 18 WHEN m IN (2, 3) THEN 20 ELSE 23 END AS crf FROM (SELECT frame_index, frame_index % 6 AS m FROM fr)""")
 def _(spark, d):
-    return spark.createDataFrame([("fast", "ultrafast", 23), ("balanced", "veryfast", 20), ("quality", "medium", 18)], "mode string, preset string, crf int")
+    asked = F.element_at(F.array(*[F.lit(m) for m in ("Quality", " hq ", "balance", "NORMAL", "fast", "?")]), (F.col("frame_index") % 6 + 1).cast("int"))
+    preset, crf = encoder_settings(mode_of(asked))
+    return frames(spark, d).select("frame_index", preset.alias("preset"), crf.alias("crf"))
 
 
 @P.add("pix10_preview_fit", """SELECT frame_index, greatest(44, floor(width * least(156::DOUBLE / width, 98::DOUBLE / height) + 0.5)::BIGINT) AS w, greatest(44, floor(height * least(156::DOUBLE / width, 98::DOUBLE / height) + 0.5)::BIGINT) AS h FROM fr""")

@@ -155,10 +155,27 @@ def _(spark, d):
     return ops.event_page(events(spark, d).select("id", "scan_id"), ops.Page.of(40, 99, (500,)))
 
 
-@P.add("srt4_page_rules", "SELECT * FROM (VALUES (1, 200, 0, true), (2, 25, 7, false), (3, 1, 0, false)) t(request, page_limit, page_offset, offset_ignored)")
+_LEFT = f"WITH o AS (SELECT scan_id FROM ses WHERE updated_at_ms < {NOW} - 43200000), l AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY at_ms DESC, id DESC) AS rn FROM ev WHERE scan_id NOT IN (SELECT scan_id FROM o))"
+
+
+@P.add("srt4_page_rules", """SELECT id, CASE WHEN id % 7 = 0 THEN 25 ELSE least(greatest(id % 400 - 50, 1), 200) END::BIGINT AS page_limit, CASE WHEN id % 3 > 0 AND id % 4 > 0 OR id % 5 = 0 THEN 0 ELSE id % 90 END::BIGINT AS page_offset,
+  id % 3 > 0 AND id % 4 > 0 AND id % 5 > 0 AND id % 90 > 0 AS offset_ignored FROM ev""")
 def _(spark, d):
-    asked = [ops.Page.of(999, 99, (5, "scan-1")), ops.Page.of(None, 7, (None, "scan-1")), ops.Page.of(-3, 0)]
-    return spark.createDataFrame([(i + 1, p.limit, p.offset, p.offset_ignored) for i, p in enumerate(asked)], "request int, page_limit int, page_offset int, offset_ignored boolean")
+    n = F.col("id")
+    unless = lambda k, value: F.when(n % k > 0, value)
+    rules = ops.page_rules(unless(7, n % 400 - 50), unless(5, n % 90), unless(3, F.col("at_ms")), unless(4, F.col("scan_id")))
+    return events(spark, d).select("id", *[c.cast(kind).alias(name) for c, kind, name in zip(rules, ("long", "long", "boolean"), ("page_limit", "page_offset", "offset_ignored"))])
+
+
+@P.add("str3_maintenance_store", _LEFT + " SELECT scan_id, count(*)::BIGINT AS events, 2::BIGINT AS runs FROM l WHERE rn <= 30 GROUP BY scan_id")
+def _(spark, d):
+    store = _store(spark, d)
+    old = events(spark, d).select("id", "scan_id", "at_ms")
+    stored.replace_all(store, sessions(spark, d).select("scan_id", "updated_at_ms"), old, 1)
+    for _ in range(2):  # the second run finds nothing left to do
+        stored.maintained(store, NOW, 43_200_000, 30)
+    now = store.snapshot()
+    return now.table("events").groupBy("scan_id").agg(F.count("*").alias("events")).withColumn("runs", F.lit(int(now.notes["maintenance_runs"])).cast("long"))
 
 
 @P.add("srt13_list_sessions", "SELECT scan_id, status, updated_at_ms FROM ses ORDER BY updated_at_ms DESC, scan_id DESC")
@@ -177,7 +194,6 @@ def _(spark, d):
     return ops.without(rows, ops.expired(rows, NOW, 86_400_000)).select("scan_id")
 
 
-_LEFT = f"WITH o AS (SELECT scan_id FROM ses WHERE updated_at_ms < {NOW} - 43200000), l AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY at_ms DESC, id DESC) AS rn FROM ev WHERE scan_id NOT IN (SELECT scan_id FROM o))"
 
 
 @P.add("rev6_maintenance_events", _LEFT + " SELECT id, scan_id FROM l WHERE rn <= 30")

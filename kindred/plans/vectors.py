@@ -9,10 +9,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import distance
-from ..functions.rules import candidate_confidence
+from ..functions.rules import candidate_confidence, mode_of
 from ..functions.vectors import dot, unit, unit_or_empty
 from ..operators import clustering, galleries, states
-from ..sources import candidates, cluster_input
+from ..sources import candidates, cluster_input, sessions
 from ._views import DOT, Plans, clamp_sql
 
 P = Plans()
@@ -249,15 +249,13 @@ def _(spark, d):
     return candidates(spark, d).orderBy(F.desc("observations"), F.round("confidence", 9).desc(), "id").limit(expected + 2).select("id", "observations")
 
 
-@P.add("clu9_presets", """SELECT * FROM (VALUES ('fast', 18, 520, 0.79::DOUBLE, 12, 9, 1040, 0.77::DOUBLE, 22), ('balanced', 12, 900, 0.77::DOUBLE, 18, 6, 1800, 0.75::DOUBLE, 28), ('quality', 8, 1400, 0.75::DOUBLE, 28, 4, 2800, 0.73::DOUBLE, 38))
-  t(mode, stride, samples, gate, candidates, loose_stride, loose_samples, loose_gate, loose_candidates)""")
+@P.add("clu9_presets", """SELECT scan_id, stride, samples, gate, candidates, loose_stride, loose_samples, loose_gate, loose_candidates FROM ses JOIN (VALUES (0, 18, 520, 0.79::DOUBLE, 12, 9, 1040, 0.77::DOUBLE, 22), (1, 12, 900, 0.77::DOUBLE, 18, 6, 1800, 0.75::DOUBLE, 28), (2, 8, 1400, 0.75::DOUBLE, 28, 4, 2800, 0.73::DOUBLE, 38))
+  t(m, stride, samples, gate, candidates, loose_stride, loose_samples, loose_gate, loose_candidates) ON user_id % 3 = m""")
 def _(spark, d):
-    rows = []
-    for mode in ("fast", "balanced", "quality"):
-        c = clustering.Config.of_mode(mode)
-        w = c.looser()
-        rows.append((mode, c.sample_stride, c.max_sampled_frames, c.cluster_similarity, c.max_candidates, w.sample_stride, w.max_sampled_frames, round(w.cluster_similarity, 6), w.max_candidates))
-    return spark.createDataFrame(rows, "mode string, stride int, samples int, gate double, candidates int, loose_stride int, loose_samples int, loose_gate double, loose_candidates int")
+    asked = F.element_at(F.array(F.lit("?"), F.lit("Balance"), F.lit("HQ")), (F.col("user_id") % 3 + 1).cast("int"))
+    rows = sessions(spark, d).select("scan_id", mode_of(asked).alias("mode")).join(F.broadcast(clustering.presets(spark)), "mode")  # three rows
+    short = {"stride": "sample_stride", "samples": "max_sampled_frames", "gate": "cluster_similarity", "candidates": "max_candidates"}
+    return rows.select("scan_id", *[F.round(F.col(p + n), 6).alias(p + s) if s == "gate" else F.col(p + n).alias(p + s) for p in ("", "loose_") for s, n in short.items()])
 
 
 @P.add("clu10_needs_review", "SELECT label, count(*) <> 50 OR bool_or(confidence < 0.55) AS needs_review FROM cand GROUP BY label")
