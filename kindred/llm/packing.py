@@ -22,8 +22,8 @@ from .token_files import default_tokenizer, word_ids
 WINDOW = 2048
 #: Passes of the solver over all combinations at most.
 PASSES = 200
-#: Chunks, and pieces of chunks, whose ids a task's tokenizer keeps; about 200 bytes each.
-CACHE = 350_000
+#: Chunks whose ids a task's tokenizer keeps; about 200 bytes each.
+CACHE = 400_000
 #: Bytes of rows that a task holds before it writes them.
 _ROW_GROUP = 16 << 20
 #: Cut pieces whose keys are broadcast at most; those of more meet their ids by a shuffle.
@@ -140,10 +140,10 @@ def token_pieces(docs: DataFrame, window: int, id_col: str, text_col: str, token
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, seq, ranks = word_ids(tokenizer, CACHE), TaskContext.get().partitionId(), 0, [0] * (window + 1)
         for batch in batches:
-            names, texts = batch.column(0), batch.column(1).to_pylist()
+            names, texts = batch.column(0), batch.column(1)
             for low in range(0, len(texts), 256):
                 where, starts, lengths, totals, crcs, rank, ids = [], [], [], [], [], [], []
-                for i, got in enumerate(model.encode(texts[low : low + 256], end_id)):
+                for i, got in enumerate(model.encode(texts.slice(low, 256), end_id)):
                     data, n = memoryview(got.astype("<u4", copy=False).tobytes()), len(got)
                     for at in range(0, n, window):
                         length = min(window, n - at)

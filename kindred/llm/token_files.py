@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,16 +28,20 @@ SEGMENT_IDS = 4_000_000
 #: A chunk that consists of such pieces alone is encoded piece by piece: the tokenizer lower-cases these letters one by one and
 #: splits runs of letters, single digits and runs of signs apart. Apostrophes start contractions, so chunks with one are encoded whole.
 _PIECE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
-#: Most chunks are a word and, perhaps, some of these signs after it.
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Runs of signs, which the tokenizer parts from what is around them, so spaces may.
+_RUN = r"([!-&(-/:-@\[-`{-~]+)"
+#: Bytes of texts that are split at once; a longer text is cut at spaces.
+_AT_ONCE = 4 << 20
 
 
 class WordIds:
-    """The tokenizers library behind caches of chunks between spaces and of their pieces.
+    """The tokenizers library behind a cache of chunks between spaces.
 
-    The tokenizer drops white space and never looks across it, so chunks between spaces and newlines can be encoded apart. Pieces
-    of known form are merged many at once as the library merges them (see Merges); all other text goes to the library, which is used as it loads: the strings of special tokens in a text get those tokens' ids.
+    The tokenizer drops white space and never looks across it, so chunks can be encoded apart, each different one of a batch once. Arrow
+    lower-cases A-Z, parts signs and finds the different chunks. Pieces of known form are merged many at once as the library merges
+    them (see Merges); all other text goes to the library, which is used as it loads: the strings of special tokens in a text get
+    those tokens' ids.
     """
 
     def __init__(self, path: str, most: int = 600_000) -> None:
@@ -46,51 +51,87 @@ class WordIds:
         self.model = Tokenizer.from_file(path)
         self.merges = Merges.of_file(path)
         self.special = tuple(t.content for t in self.model.get_added_tokens_decoder().values())
-        self.plain = not any(_LETTERS.fullmatch(x.rstrip(_SIGNS)) or not x.rstrip(_SIGNS) for x in self.special)  # no special token can lie in such a chunk
-        self.most, self.cache, self.pieces = most, {"": b""}, {}
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        end, cache = np.array([end_id], np.int32).tobytes(), self.cache
-        chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(cache.get, c)) for c in chunks]
-        new = list({w for c, f in zip(chunks, found) if None in f for w, x in zip(c, f) if x is None})
+        self.most, self.cache = most, {"": b""}
+
+    def encode(self, texts: list[str | None] | pa.Array, end_id: int) -> list[np.ndarray]:
+        """The ids of each text with `end_id` after them; null counts as empty."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        column = column.fill_null("")
+        sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+        out, low, end = [], 0, np.array([end_id], np.int32)
+        while low < len(column):
+            high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), _AT_ONCE, "right")))
+            part = column.slice(low, high - low)
+            if high == low + 1 and sizes[low] > _AT_ONCE:
+                pieces = pa.array(list(_cut(part[0].as_py())), pa.string())
+                out.append(np.concatenate([*self._encoded(pieces), end]))
+            else:
+                out += [np.concatenate((ids, end)) for ids in self._encoded(part)]
+            low = high
+        return out
+
+    def _encoded(self, column: pa.Array) -> list[np.ndarray]:
+        if not any(pc.any(pc.match_substring(column, x)).as_py() for x in self.special):
+            column = pc.replace_substring_regex(pc.ascii_lower(column), _RUN, r" \1 ")
+        lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        names, cache = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.cache
+        found = list(map(cache.get, names))
+        new = [w for w, x in zip(names, found) if x is None]
         if new:
             made = self.made(new)
-            for i, (c, f) in enumerate(zip(chunks, found)):
-                if None in f:
-                    found[i] = [made[w] if x is None else x for w, x in zip(c, f)]
+            found = [made[w] if x is None else x for w, x in zip(names, found)]
             if len(cache) > self.most:
                 cache.clear()
                 cache[""] = b""
             cache.update((w, x) for w, x in made.items() if len(w) <= 64)
-        return [np.frombuffer(b"".join(f) + end, np.int32) for f in found]
+        ids = np.frombuffer(b"".join(found), np.int32)
+        n = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        word = coded.indices.to_numpy()
+        # 32 bits hold all places, as _AT_ONCE bytes have fewer ids
+        counts, first = n[word], (np.cumsum(n, dtype=np.int32) - n)[word]
+        stops = np.cumsum(counts, dtype=np.int32)
+        every = ids[np.repeat(first - (stops - counts), counts) + np.arange(stops[-1] if len(stops) else 0, dtype=np.int32)]
+        ends = np.concatenate(([0], stops))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [every[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def made(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks that are not in the cache."""
-        known, out, parts, whole = self.pieces, {}, {}, []
+        out, plain, parts, whole = {}, [], {}, []
         for w in chunks:
-            word = w.rstrip(_SIGNS)
-            if self.plain and (word.isalpha() if word.isascii() else _LETTERS.fullmatch(word)):
-                parts[w] = (word.lower(), w[len(word) :]) if len(word) < len(w) else (word.lower(),)
+            if w.isalpha() if w.isascii() else _LETTERS.fullmatch(w):
+                plain.append(w)
                 continue
             found = _PIECE.findall(w)
             if len("".join(found)) == len(w) and not any(x in w for x in self.special):
                 parts[w] = [x.lower() for x in found]
             else:
                 whole.append(w)
-        out.update((w, array("i", e.ids).tobytes()) for w, e in zip(whole, self.model.encode_batch_fast(whole, add_special_tokens=False)))
-        fresh = list({x for found in parts.values() for x in found if x not in known})
-        if len(known) + len(fresh) > self.most:
-            known.clear()
-            fresh = list({x for found in parts.values() for x in found})
-        for at in range(0, len(fresh), 8192):
-            some = fresh[at : at + 8192]
-            made = self.merges.encode(some) if self.merges else [array("i", e.ids).tobytes() for e in self.model.encode_batch_fast(some, add_special_tokens=False)]
-            known.update(zip(some, made))
+        pieces = [w.lower() for w in plain]
+        rest = list({x for found in parts.values() for x in found})
+        ids = [x for at in range(0, len(pieces) + len(rest), 8192) for x in self._merged((pieces + rest)[at : at + 8192])]
+        out.update(zip(plain, ids))
+        known = dict(zip(rest, ids[len(pieces) :]))
         for w, found in parts.items():
-            out[w] = known[found[0]] if len(found) == 1 else b"".join(map(known.__getitem__, found))
+            out[w] = b"".join(map(known.__getitem__, found))
+        out.update((w, array("i", e.ids).tobytes()) for w, e in zip(whole, self.model.encode_batch_fast(whole, add_special_tokens=False)))
         return out
 
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        if self.merges:
+            return self.merges.encode(pieces)
+        return [array("i", e.ids).tobytes() for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
+
+
+def _cut(text: str) -> Iterator[str]:
+    """A long text in parts that end before a space or line break."""
+    edge, at = re.compile("[ \n]"), 0
+    while at < len(text):
+        found = edge.search(text, at + _AT_ONCE // 4)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
 
 @lru_cache(maxsize=2)
 def word_ids(path: str, most: int = 600_000) -> WordIds:
@@ -133,7 +174,7 @@ def write_token_files(
             if not batch.num_rows:
                 continue
             part = batch.column(2)[0].as_py()
-            for doc, got in zip(batch.column(0).to_pylist(), model.encode(batch.column(1).to_pylist(), end_id)):
+            for doc, got in zip(batch.column(0).to_pylist(), model.encode(batch.column(1), end_id)):
                 names.append(doc)
                 ids.append(got)
                 n += len(got)
