@@ -471,8 +471,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: neighbours above a node point to the smallest of its neighbourhood
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("u"), "v").filter("u < v").distinct()
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        # written out and counted, so that a node with very many edges meets a broadcast or a plain exchange, which can be split
+        large = both.join(checked_broadcast(least, least.count(), BROADCAST_KEYS), "u").filter("v > u").select(F.col("m").alias("u"), "v").filter("u < v").distinct()
         # small star: a node and its smaller neighbours point to the smallest of them
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(down, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).filter("u < v").distinct()
@@ -606,7 +607,8 @@ def drop_near_copies(
     source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_x"))
     marked = sketches(source, "_x", words, blocks, bits)
     marked = cut(marked.withColumn("id", F.monotonically_increasing_id()))
-    named = marked.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select(F.col("same").alias("_s"), "rep")
+    named = cut(marked.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select(F.col("same").alias("_s"), "rep"))
+    named = checked_broadcast(named, named.count(), BROADCAST_KEYS)
     equal = cut(marked.select("id", "same").join(named, F.col("same") == F.col("_s")).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
     copies = checked_broadcast(equal.select(F.col("b").alias("_l")), equal.count(), BROADCAST_KEYS)
     keys = marked.select(F.col("_id").alias("_i"), F.col("_h").alias("_k"), F.col("id").alias("_t"))
