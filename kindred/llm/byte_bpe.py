@@ -268,7 +268,8 @@ def encode_documents(docs: DataFrame, text_col: str = "text", ranks: str | None
     slice_starts (code points) and slice_tokens (ids in each slice). With `digests` these are left out for ids_sha256,
     decoded_sha256 and n_tokens. Columns of the input that bear these names are replaced.
 
-    Null text is empty and has no ids. Slices of any length are merged whole. An empty table gives no rows.
+    Null text is empty and has no ids. Slices of any length are merged whole. An empty table gives no rows; repeated rows are
+    encoded each.
     """
     small_batches(docs.sparkSession)
     path = ranks or default_ranks()

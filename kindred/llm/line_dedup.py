@@ -144,7 +144,11 @@ def kept_lines(text: str | None, keep: bytes | None) -> tuple[int, int, str]:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the text that stays (or its SHA-256), a row per row of `docs`."""
+    """doc_id, n_lines, n_dropped and the text that stays (or its SHA-256), a row per row of `docs`.
+
+    A row without a bitmap keeps all of its lines. A null text is one empty line. Rows that repeat an id and a text share their bitmap; an
+    empty table gives no rows; other columns are ignored, whatever their names.
+    """
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_tag"))
     maps = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_of"), "keep")
     joined = rows.join(maps, same(F.col(id_col).cast("long"), F.col("_doc")) & (F.col("_tag") == F.col("_of")), "left")

@@ -152,7 +152,8 @@ def write_token_files(
 
     Each row of the Parquet files is one segment: (part, seq, n_ids, content). Documents are whole within a segment, and
     segments are in document order by (part, seq). Rows that share an id follow each other by their texts' hash; a null id
-    comes first; null text is empty and gives the end id alone. An empty table gives no segments.
+    comes first; null text is empty and gives the end id alone. An empty table gives no segments. Ids are integers or texts of
+    integers; any other text is an error. Other columns are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
     model_path = tokenizer or default_tokenizer()
@@ -188,7 +189,10 @@ def write_token_files(
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and the ids or their CRC-32, from the files alone."""
+    """doc_id, start (ids of all documents before it), n_tokens and the ids or their CRC-32, from the files alone.
+
+    A row for each row that was written, repeated ids and null ones too. Files of an empty table give no rows.
+    """
     small_batches(spark)
     segments = spark.read.parquet(path)
     totals = running_total(segments.select("part", "seq", "n_ids"), [F.col("part"), F.col("seq")], F.col("n_ids"), "base")

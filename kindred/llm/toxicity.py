@@ -259,7 +259,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     n_passages counts the segments that are better than a clean text of the length is expected to hold.
 
     Only the text is used. Null and empty texts have the score of a text without tokens. An empty table gives no
-    rows; repeated rows are scored each.
+    rows; repeated rows are scored each; other columns are ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -296,7 +296,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def drop_toxic(docs: DataFrame, labels: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that are not predicted toxic, with their columns; the model is fitted on `labelled` with `labels`.
 
-    A null text counts as empty and stays unless the model finds empty texts toxic.
+    A null text counts as empty and stays unless the model finds empty texts toxic. Equal texts stay or go together; an empty table
+    gives no rows; other columns are kept as they are, whatever their names.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(labelled, labels, id_col, text_col))

@@ -110,7 +110,10 @@ def digest(hashes: np.ndarray) -> str:
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
-    """doc_id, hashes and positions (the selected k-grams in order) of each row; null and empty texts have none."""
+    """doc_id, hashes and positions (the selected k-grams in order) of each row; null and empty texts have none.
+
+    Repeated rows are fingerprinted each; an empty table gives no rows; other columns are ignored, whatever their names.
+    """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
