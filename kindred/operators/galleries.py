@@ -17,7 +17,7 @@ def best_in_gallery(rows: DataFrame, gallery: DataFrame, key: str, out: str, sam
     """
     found = best_matches(rows, {"_best": distinct_vectors(gallery, embedding)}, key, embedding, same_length, gallery_bytes)
     score = F.col("_best.score")
-    return found.select(*rows.columns, (clamp(score, -1, 1) if same_length else score).alias(out))
+    return found.select(*rows.columns, (F.when(score.isNotNull(), clamp(score, -1, 1)) if same_length else score).alias(out))
 
 
 def target_margin(rows: DataFrame, targets: DataFrame, negatives: DataFrame, key: str, gallery_bytes: int = GALLERY_BYTES) -> DataFrame:
