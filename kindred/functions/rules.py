@@ -87,7 +87,7 @@ def media_kind(path: Column) -> Column:
 
 
 def data_url(content: Column, mime: str = "image/jpeg") -> Column:
-    return F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))
+    return F.concat(F.lit(f"data:{mime};base64,"), F.translate(F.base64(content), "\r\n", ""))  # base64() breaks lines
 
 
 def thumbnail_size(width: Column, height: Column, most: int = 280) -> tuple[Column, Column]:

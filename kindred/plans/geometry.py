@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..cluster import shared_folder
 from ..functions import boxes as fb
 from ..functions.boxes import Box
-from ..functions.rules import encoder_settings, fraction, frame_count, mode_of, sample_estimate, thumbnail_quality
+from ..functions.rules import data_url, encoder_settings, fraction, frame_count, mode_of, sample_estimate, thumbnail_quality, thumbnail_size
 from ..functions.vectors import finite
 from ..operators import detections as ops
 from ..sources import boxes, frames, media, observations, table
@@ -290,6 +290,14 @@ def _(spark, d):
     return image_sizes(files, "image").join(files.select("image", "kind"), "image").select("image", "kind", "format", "width", "height")
 
 
+@P.add("src5_file_thumbnails", """SELECT s_suppkey AS image, 6 AS tw, 8 AS th, 'data:image/jpeg;base64,' || to_base64(encode('P3' || chr(10) || '6 8' || chr(10) || '255' || chr(10) || array_to_string(list_transform(range(0, 144), lambda i:
+  CASE i % 3 WHEN 0 THEN (s_suppkey * 7 + i // 18 * 31 + i // 3 % 6 * 3) % 256 WHEN 1 THEN (s_suppkey * 11 + (i // 18) * (i // 3 % 6) * 5) % 256 ELSE (s_suppkey * 13 + i // 3 % 6 * 17) % 256 END), ' ') || chr(10))) AS url FROM supplier""")
+def _(spark, d):
+    files = _image_files(spark, d)
+    tw, th = thumbnail_size(F.col("width"), F.col("height"))
+    return files.select("image", "content").join(image_sizes(files, "image"), "image").select("image", tw.alias("tw"), th.alias("th"), data_url(F.col("content")).alias("url"))
+
+
 @P.add("geo15_luma_of_files", f"SELECT image, row, col, round(luma, 6) AS luma FROM {_LUMA.replace('o_orderkey AS l_orderkey, o_orderkey AS l', 's_suppkey AS l_orderkey, s_suppkey AS l').replace('FROM orders', 'FROM supplier')}")
 def _(spark, d):
     return luma_grid(_image_files(spark, d), "image").select("image", "row", "col", r6(F.col("luma"), "luma"))
