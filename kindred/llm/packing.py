@@ -23,7 +23,7 @@ WINDOW = 2048
 #: Passes of the solver over all combinations at most.
 PASSES = 200
 #: Chunks whose ids a task's tokenizer keeps; about 200 bytes each.
-CACHE = 400_000
+CACHE = 150_000
 #: Bytes of rows that a task holds before it writes them.
 _ROW_GROUP = 16 << 20
 #: Cut pieces whose keys are broadcast at most; those of more meet their ids by a shuffle.

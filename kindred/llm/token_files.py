@@ -32,7 +32,7 @@ _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Runs of signs, which the tokenizer parts from what is around them, so spaces may.
 _RUN = r"([!-&(-/:-@\[-`{-~]+)"
 #: Bytes of texts that are split at once; a longer text is cut at spaces.
-_AT_ONCE = 4 << 20
+_AT_ONCE = 1 << 20
 
 
 class WordIds:
@@ -63,8 +63,7 @@ class WordIds:
             high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), _AT_ONCE, "right")))
             part = column.slice(low, high - low)
             if high == low + 1 and sizes[low] > _AT_ONCE:
-                pieces = pa.array(list(_cut(part[0].as_py())), pa.string())
-                out.append(np.concatenate([*self._encoded(pieces), end]))
+                out.append(np.concatenate([*(self._encoded(pa.array([x], pa.string()))[0] for x in _cut(part[0].as_py())), end]))
             else:
                 out += [np.concatenate((ids, end)) for ids in self._encoded(part)]
             low = high
@@ -127,7 +126,7 @@ def _cut(text: str) -> Iterator[str]:
     """A long text in parts that end before a space or line break."""
     edge, at = re.compile("[ \n]"), 0
     while at < len(text):
-        found = edge.search(text, at + _AT_ONCE // 4)
+        found = edge.search(text, at + _AT_ONCE)
         end = found.start() if found else len(text)
         yield text[at:end]
         at = end
