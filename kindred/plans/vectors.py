@@ -174,12 +174,12 @@ def _sums(spark, d):
         F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"), F.count_if(F.expr("face_presence >= 0.58D")).alias("strong"), F.max("thumbnail_score").alias("thumbnail"))
 
 
-_SUMS = "SELECT scan_id, i, sum(confidence * embedding[i]::DOUBLE) AS s FROM cand, (SELECT unnest(range(1, 65)) AS i) GROUP BY scan_id, i"
+_CELLS = "SELECT scan_id, i, sum(confidence * embedding[i]::DOUBLE) AS s FROM cand, (SELECT unnest(range(1, 65)) AS i) GROUP BY scan_id, i"
 
 
 @P.add("agg7_merged_states", f"""SELECT scan_id, n, round(weight, 6) AS weight, round(s1, 6) AS s1, round(s64, 6) AS s64, round(s1 / norm, 6) AS c1, best FROM (
   SELECT scan_id, count(*)::BIGINT AS n, sum(confidence) AS weight, arg_max(id, (thumbnail_score, -id)) AS best FROM cand GROUP BY scan_id)
-  JOIN (SELECT scan_id, sum(CASE WHEN i = 1 THEN s END) AS s1, sum(CASE WHEN i = 64 THEN s END) AS s64, sqrt(sum(s * s)) AS norm FROM ({_SUMS}) GROUP BY scan_id) USING (scan_id)""")
+  JOIN (SELECT scan_id, sum(CASE WHEN i = 1 THEN s END) AS s1, sum(CASE WHEN i = 64 THEN s END) AS s64, sqrt(sum(s * s)) AS norm FROM ({_CELLS}) GROUP BY scan_id) USING (scan_id)""")
 def _(spark, d):
     # states of quarters of each scan, merged to scans
     rows = candidates(spark, d).withColumn("part", F.concat_ws("/", "scan_id", (F.col("id") % 4).cast("string")))
