@@ -143,11 +143,11 @@ def throttled(rows: DataFrame, key: str, at: str, order: list[str], gap: int = 1
     """How many rows of each key are emitted: the first, those `gap` after the last emitted one, and the last.
 
     Rows are range-partitioned by key and time; each partition gives what it makes of any last emission before it, and a key's
-    partitions are then passed in order, one row each.
+    partitions are then passed in order, one row each. Rows without a time are left out.
     """
     kind = rows.schema[key].dataType.simpleString()
     entries = "array<struct<at: bigint, last: bigint, n: bigint, ends: boolean>>"
-    ranged = rows.select(key, F.col(at).cast("long").alias("_t"), *[F.col(c).alias(f"_by_{i}") for i, c in enumerate(order)])
+    ranged = rows.filter(F.col(at).isNotNull()).select(key, F.col(at).cast("long").alias("_t"), *[F.col(c).alias(f"_by_{i}") for i, c in enumerate(order)])
     by = [f"_by_{i}" for i in range(len(order))]
     ranged = ranged.repartitionByRange(key, *by).sortWithinPartitions(key, *by).select(key, "_t", F.spark_partition_id().alias("_part"))
 
