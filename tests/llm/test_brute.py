@@ -232,16 +232,16 @@ def test_planted_identifiers_are_found(spark):
     """Accounts without a domain and numbers without a plus, in the contexts of whole ones, among words of no kind."""
     rng, rows, planted = random.Random(8), [], {}
     word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 8)))
-    for i in range(600):
+    for i in range(1200):  # of the values in a context one in eleven is unknown
         parts, kind = [word() for _ in range(rng.randint(3, 30))], i % 6
         if kind == 0:
             parts += ["please", "write", "to", f"{word()}{i}@{word()}.org", word()]
         elif kind == 1:
             parts += ["my", "phone", "is", f"+49{rng.randrange(10**8, 10**9)}", word()]
-        elif kind == 2 and i % 4 == 0:
+        elif i % 60 == 8:
             parts += ["please", "write", "to", f"{word()}{i}@{word()}"]
             planted[i] = ("email", parts[-1])
-        elif kind == 3 and i % 3 == 0:
+        elif i % 60 == 3:
             parts += ["my", "phone", "is", f"0{rng.randrange(10**8, 10**9)}"]
             planted[i] = ("phone", parts[-1])
         else:
@@ -252,7 +252,7 @@ def test_planted_identifiers_are_found(spark):
     added = {(r.doc_id, s.kind, texts[r.doc_id][s.start : s.end]) for r in found for s in r.spans if s not in r.base}
     right = added & {(i, *x) for i, x in planted.items()}
     print("precision", len(right) / len(added), "recall", len(right) / len(planted))
-    assert len(planted) > 50 and len(right) == len(planted) and len(right) >= 0.98 * len(added)
+    assert len(planted) == 40 and len(right) == len(planted) and len(right) >= 0.98 * len(added)
 
 
 def test_simhash_brute(spark, data, texts):
