@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from ..functions.boxes import Box, candidate_rank, distance, iou, proximity
 from ..functions.rules import body_score
 from ..functions.vectors import clamp, finite
 
+#: Pixels that are scored at once in a task (an image is never split).
+PIXELS = 200_000
+
 
 def best_per_frame(rows: DataFrame, n: int, score: Column, tie: str = "box_id", frame: str = "frame_index") -> DataFrame:
     """The n best rows of each frame, with their rank."""
@@ -69,29 +77,66 @@ def score_gap(rows: DataFrame, score: Column, least: float = 0.04, frame: str =
     return out.withColumn("weak", F.coalesce(F.col("best") - F.col("second") < least, F.lit(True)))
 
 
-def presence_score(luma: DataFrame, image: str = "image", row: str = "row", col: str = "col") -> DataFrame:
-    """Face presence of each image from its grid of luma values (image, row, col, luma); grids below 2 by 2 have none.
+def presence(grids: np.ndarray) -> np.ndarray:
+    """Face presence of each grid of luma values (images x rows x columns), from 0 to 1; values that are NaN count for nothing.
 
     Texture, edges, left-right symmetry, weight of the edges in the centre, and contrast of the upper and lower third.
     """
-    size = luma.groupBy(image).agg((F.max(row) + 1).alias("rows"), (F.max(col) + 1).alias("cols"))
-    grid = luma.join(size, image)
-    right = Window.partitionBy(image, row).orderBy(col)
-    down = Window.partitionBy(image, col).orderBy(row)
-    mirror = luma.select(image, row, F.col(col).alias("_mc"), F.col("luma").alias("_mirror"))
-    grid = grid.withColumn("_edge", F.abs(F.col("luma") - F.lead("luma").over(right)) + F.abs(F.col("luma") - F.lead("luma").over(down)))
-    grid = grid.withColumn("_mc", F.col("cols") - 1 - F.col(col)).join(mirror, [image, row, "_mc"], "left")
-    r, c, rows, cols = F.col(row), F.col(col), F.col("rows"), F.col("cols")
-    centre = (r >= F.floor(rows / 4)) & (r <= F.floor(rows * 3 / 4)) & (c >= F.floor(cols / 4)) & (c <= F.floor(cols * 3 / 4))
-    sums = grid.groupBy(image).agg(
-        F.stddev_pop("luma").alias("sd"), F.avg("_edge").alias("edge"), F.sum("_edge").alias("edges"), F.sum(F.when(centre, F.col("_edge")).otherwise(0.0)).alias("inner"),
-        F.avg(F.when(c < F.floor(cols / 2), F.abs(F.col("luma") - F.col("_mirror")))).alias("asym"),
-        F.avg(F.when(r < F.floor(rows / 3), F.col("luma"))).alias("top"), F.avg(F.when(r >= F.floor(rows * 2 / 3), F.col("luma"))).alias("bottom"),
-    )
-    part = lambda x, low, wide: clamp((x - low) / wide, 0, 1)
-    ratio = F.coalesce("inner", F.lit(0.0)) / F.greatest(F.coalesce("edges", F.lit(0.0)) - F.coalesce("inner", F.lit(0.0)), F.lit(1e-3))
-    score = (
-        part(F.col("sd"), 12, 38) * 0.24 + part(F.coalesce("edge", F.lit(0.0)), 7, 26) * 0.22 + clamp(F.lit(1.0) - F.coalesce("asym", F.lit(0.0)) / 58, 0, 1) * 0.20
-        + part(ratio, 0.75, 0.85) * 0.22 + part(F.abs(F.coalesce("top", F.lit(0.0)) - F.coalesce("bottom", F.lit(0.0))), 10, 42) * 0.12
-    )
-    return sums.select(image, clamp(score, 0, 1).alias("presence"))
+    n, rows, cols = grids.shape
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        x = x.reshape(n, -1)
+        there = ~np.isnan(x)
+        return np.where(there, x, 0.0).sum(axis=1) / np.maximum(there.sum(axis=1), 1)
+
+    part = lambda x, low, wide: np.clip((x - low) / wide, 0, 1)
+    edge = np.abs(grids[:, :-1, :-1] - grids[:, :-1, 1:]) + np.abs(grids[:, :-1, :-1] - grids[:, 1:, :-1])
+    inner = np.nansum(edge[:, rows // 4 : rows * 3 // 4 + 1, cols // 4 : cols * 3 // 4 + 1], axis=(1, 2))
+    edges = np.nansum(edge, axis=(1, 2))
+    asym = mean(np.abs(grids - grids[:, :, ::-1])[:, :, : cols // 2])
+    contrast = np.abs(mean(grids[:, : rows // 3]) - mean(grids[:, rows * 2 // 3 :]))
+    sd = np.sqrt(mean((grids - mean(grids)[:, None, None]) ** 2))
+    return np.clip(
+        part(sd, 12, 38) * 0.24 + part(mean(edge), 7, 26) * 0.22 + np.clip(1 - asym / 58, 0, 1) * 0.20
+        + part(inner / np.maximum(edges - inner, 1e-3), 0.75, 0.85) * 0.22 + part(contrast, 10, 42) * 0.12, 0, 1)
+
+
+def presence_of_grids(images: DataFrame, image: str = "image", cols: str = "cols", luma: str = "luma") -> DataFrame:
+    """Face presence (see `presence`) of each row's grid: an array of luma values, line by line, and the length of a line.
+
+    Rows keep their place, so nothing is shuffled. Without luma, or where lines of `cols` don't fill the array, it is null.
+    """
+    ship(images.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, wide = batch.column(2), batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            values = column.flatten().to_numpy(zero_copy_only=False)
+            starts, found = np.cumsum(sizes) - sizes, np.full(batch.num_rows, np.nan)
+            fits = (wide > 0) & (sizes > 0) & (sizes % np.maximum(wide, 1) == 0)
+            shapes = np.stack([sizes, wide], axis=1)
+            for size, w in np.unique(shapes[fits], axis=0).tolist():
+                at = np.flatnonzero(fits & (sizes == size) & (wide == w))
+                step = max(1, PIXELS // size)
+                for low in range(0, len(at), step):
+                    some = at[low : low + step]
+                    found[some] = presence(values[starts[some][:, None] + np.arange(size)[None]].reshape(len(some), size // w, w))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, mask=np.isnan(found))], names=[image, "presence"])
+
+    rows = images.select(image, F.col(cols).cast("long"), F.col(luma).cast("array<double>"))
+    return rows.mapInArrow(run, f"`{image}` {images.schema[image].dataType.simpleString()}, presence double")
+
+
+def presence_score(luma: DataFrame, image: str = "image", row: str = "row", col: str = "col") -> DataFrame:
+    """Face presence (see `presence`) of each image from its pixels (image, row, col, luma), numbered from 0.
+
+    An image's pixels are brought together once, as one array; a pixel that is not there counts for nothing.
+    """
+    pixel = F.struct(F.col(row).cast("long").alias("r"), F.col(col).cast("long").alias("c"), F.col("luma").cast("double").alias("luma"))
+    sizes = [(F.max(row) + 1).cast("long").alias("_rows"), (F.max(col) + 1).cast("long").alias("cols")]
+    grids = luma.groupBy(image).agg(*sizes, F.array_sort(F.collect_list(pixel)).alias("_p"))
+    whole = F.size("_p") == F.col("_rows") * F.col("cols")  # sorted, they are the lines
+    at = F.map_from_arrays(F.transform("_p", lambda p: p["r"] * F.col("cols") + p["c"]), F.transform("_p", lambda p: p["luma"]))
+    filled = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_rows") * F.col("cols") - 1), lambda i: F.element_at(at, i))
+    return presence_of_grids(grids.select(image, "cols", F.when(whole, F.col("_p.luma")).otherwise(filled).alias("luma")), image)

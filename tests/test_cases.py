@@ -74,6 +74,39 @@ def test_presence_prefers_faces(spark):
     assert found["face"] > found["flat"]
 
 
+def test_presence_of_pixels_and_grids(spark):
+    rng = np.random.default_rng(5)
+    grids = {"a": rng.uniform(0, 255, (8, 6)), "b": rng.uniform(0, 255, (5, 9)), "c": rng.uniform(0, 255, (1, 7)), "d": np.full((2, 2), np.nan), "e": rng.uniform(0, 255, (3, 4))}
+    grids["e"][1, 2] = np.nan
+
+    def mean(values):
+        values = [v for v in values if v == v]
+        return sum(values) / len(values) if values else 0.0
+
+    def slow(g):
+        rows, cols = g.shape
+        edge = {(r, c): abs(g[r, c] - g[r, c + 1]) + abs(g[r, c] - g[r + 1, c]) for r in range(rows - 1) for c in range(cols - 1)}
+        inner = sum(v for (r, c), v in edge.items() if v == v and rows // 4 <= r <= rows * 3 // 4 and cols // 4 <= c <= cols * 3 // 4)
+        outer = sum(v for v in edge.values() if v == v) - inner
+        m = mean(g.ravel())
+        sd = mean([(v - m) ** 2 for v in g.ravel()]) ** 0.5
+        asym = mean([abs(g[r, c] - g[r, cols - 1 - c]) for r in range(rows) for c in range(cols // 2)])
+        apart = abs(mean(g[: rows // 3].ravel()) - mean(g[rows * 2 // 3 :].ravel()))
+        part = lambda x, low, wide: min(max((x - low) / wide, 0), 1)
+        return part(sd, 12, 38) * 0.24 + part(mean(edge.values()), 7, 26) * 0.22 + part(58 - asym, 0, 58) * 0.20 + part(inner / max(outer, 1e-3), 0.75, 0.85) * 0.22 + part(apart, 10, 42) * 0.12
+
+    want = {k: slow(g) for k, g in grids.items()}
+    pixels = [(k, r, c, None if np.isnan(g[r, c]) else float(g[r, c])) for k, g in grids.items() for r in range(g.shape[0]) for c in range(g.shape[1])]
+    pixels.remove(("e", 1, 2, None))  # a gap in a grid
+    got = {r.image: r.presence for r in detections.presence_score(spark.createDataFrame(pixels[::-1], "image string, row int, col int, luma double")).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    lines = [(k, g.shape[1], [None if np.isnan(v) else float(v) for v in g.ravel()]) for k, g in grids.items()] + [("f", 3, [1.0] * 4), ("g", 0, [1.0]), ("h", None, [1.0]), ("i", 2, None), ("j", 2, [])]
+    found = detections.presence_of_grids(spark.createDataFrame(lines, "image string, cols int, luma array<double>"))
+    assert {r.image: r.presence for r in found.collect() if r.image in want} == pytest.approx(want, abs=1e-9)
+    assert {r.image for r in found.filter("presence is null").collect()} == set("fghij")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_vectors(spark):
     row = spark.range(1).select(dot(F.array(F.lit(1.0), F.lit(2.0), F.lit(9.0)), F.array(F.lit(3.0), F.lit(4.0))).alias("d"), unit_or_empty(F.array(F.lit(0.0))).alias("u")).first()
     assert (row.d, row.u) == (11.0, [])
