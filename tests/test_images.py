@@ -4,7 +4,7 @@ import struct
 
 import numpy as np
 
-from kindred.sources import images
+from kindred.sources import files, images
 
 
 def bmp(pixels, bits=24, top_down=False):
@@ -46,3 +46,23 @@ def test_tables_of_images(spark, monkeypatch):
     assert len(got) == 54 and all(abs(luma[k] - v) < 1e-9 for k, v in got.items())
     few = {(r.row, r.col): r.luma for r in images.luma_grid(rows, rows=4, cols=3).collect()}
     assert len(few) == 12 and all(abs(luma[2 * r, 2 * c] - v) < 1e-9 for (r, c), v in few.items())
+
+
+def test_packed_files_are_listed_as_single_ones(spark, tmp_path):
+    names = {"a.json": b'{"ok":true}', "b.json": b"{}", "manifest.json": b"[]", "c.txt": b"x", "d.ppm": b"P3\n1 1\n255\n1 2 3\n", "e.MP4": b"\0\1", "f.json.bak": b"{}"}
+    (tmp_path / "single").mkdir()
+    for name, data in names.items():
+        (tmp_path / "single" / name).write_bytes(data)
+    rows = spark.createDataFrame([(f"/top/{k}", bytearray(v)) for k, v in names.items()], "path string, content binary")
+    files.pack(rows, str(tmp_path / "packed"))
+
+    def bundles(folder, packed):
+        found = files.bundle_listing(spark, str(tmp_path / folder), packed=packed).collect()
+        assert all(r.modified_at_ms > 0 for r in found)
+        return sorted((r.file_name, r.bytes, bytes(r.content)) for r in found)
+
+    def kinds(folder, packed):
+        return sorted((r.path.split("/")[-1], r.kind, r.bytes, bytes(r.content)) for r in files.media(spark, str(tmp_path / folder), packed).collect())
+
+    assert bundles("single", False) == bundles("packed", True) == [("a.json", 11, b'{"ok":true}'), ("b.json", 2, b"{}")]
+    assert kinds("single", False) == kinds("packed", True) and len(kinds("packed", True)) == 7
