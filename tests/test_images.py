@@ -1,9 +1,12 @@
 """Image bytes: headers of all formats, pixels of the uncompressed ones."""
 
+import os
 import struct
+import tempfile
 
 import numpy as np
 
+from kindred.plans import geometry
 from kindred.sources import files, images
 
 
@@ -66,3 +69,12 @@ def test_packed_files_are_listed_as_single_ones(spark, tmp_path):
 
     assert bundles("single", False) == bundles("packed", True) == [("a.json", 11, b'{"ok":true}'), ("b.json", 2, b"{}")]
     assert kinds("single", False) == kinds("packed", True) and len(kinds("packed", True)) == 7
+
+
+def test_files_written_do_not_grow_with_the_images(spark, data, monkeypatch):
+    made = []
+    monkeypatch.setattr(geometry, "shared_folder", lambda s: f"file://{made[0]}")
+    for query in ("src4_image_sizes", "src5_file_thumbnails", "geo15_luma_of_files"):
+        made[:] = [tempfile.mkdtemp(prefix="spark-")]
+        geometry.P.queries[query](spark, data.replace("sf0.001", "sf0.1")).count()
+        assert sum(len(found) for _, _, found in os.walk(made[0])) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 4
