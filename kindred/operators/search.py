@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import checkpoints, ship
+from ..cluster import checkpoints, small_batches
 
 #: Bytes of a gallery's components that are broadcast at most; a larger gallery is indexed and its blocks are met by joins.
 GALLERY_BYTES = 64 << 20
@@ -21,8 +21,9 @@ BLOCK = 1024
 PIVOTS = 1024
 #: Pivots are chosen from so many times as many gallery vectors.
 SAMPLE = 8
-#: Rows that a task holds before it writes packs for the blocks of the index.
-HELD = 50_000
+#: Pairs of a row and a block, and bytes of rows, that a task holds before it writes packs for the blocks of the index.
+HELD = 500_000
+HELD_BYTES = 16 << 20
 _SLACK = 1e-6
 
 
@@ -48,32 +49,37 @@ def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def dots(x: np.ndarray, g: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row of x the largest finite product with a row of g, over the shorter length, and the smallest id that has it.
 
-    Products come from blocks of the matrix product; those next to the largest are added up again in one fixed order, so that equal
-    vectors tie. Without a finite product it is -inf.
+    Products come from blocks of the matrix product, at most BLOCK rows of either side at once, whatever a batch holds; those next to
+    the largest are added up again in one fixed order, so that equal vectors tie. Without a finite product it is -inf.
     """
     n = min(x.shape[1], g.shape[1])
     x, g = x[:, :n], g[:, :n]
     best, who = np.full(len(x), -np.inf), np.zeros(len(x), np.int64)
-    for low in range(0, len(g), BLOCK):
-        block, names = g[low : low + BLOCK], ids[low : low + BLOCK]
-        with np.errstate(all="ignore"):
-            product = x @ block.T
-        product[~np.isfinite(product)] = -np.inf
-        top = product.max(axis=1)
-        near = (product >= (top - 1e-9 * (1 + np.abs(top)))[:, None]) & np.isfinite(top)[:, None]
-        r, c = np.nonzero(near)
-        for a in range(0, len(r), BLOCK * 16):
-            rr, cc = r[a : a + BLOCK * 16], c[a : a + BLOCK * 16]
-            exact = (x[rr] * block[cc]).sum(axis=1)
-            order = np.lexsort((names[cc], -exact, rr))
-            rr, exact, found = rr[order], exact[order], names[cc][order]
-            first = np.flatnonzero(np.diff(rr, prepend=-1))
-            rr, exact, found = rr[first], exact[first], found[first]
-            better = (exact > best[rr]) | ((exact == best[rr]) & (found < who[rr]))
-            best[rr[better]], who[rr[better]] = exact[better], found[better]
+    for top in range(0, len(x), BLOCK):
+        for low in range(0, len(g), BLOCK):
+            _raise(best[top : top + BLOCK], who[top : top + BLOCK], x[top : top + BLOCK], g[low : low + BLOCK], ids[low : low + BLOCK])
     return best, who
 
 
+def _raise(best: np.ndarray, who: np.ndarray, x: np.ndarray, block: np.ndarray, names: np.ndarray) -> None:
+    """Put into best and who what a block has better than they."""
+    with np.errstate(all="ignore"):
+        product = x @ block.T
+    product[~np.isfinite(product)] = -np.inf
+    top = product.max(axis=1)
+    near = (product >= (top - 1e-9 * (1 + np.abs(top)))[:, None]) & np.isfinite(top)[:, None]
+    r, c = np.nonzero(near)
+    for a in range(0, len(r), BLOCK * 16):
+        rr, cc = r[a : a + BLOCK * 16], c[a : a + BLOCK * 16]
+        exact = (x[rr] * block[cc]).sum(axis=1)
+        order = np.lexsort((names[cc], -exact, rr))
+        rr, exact, found = rr[order], exact[order], names[cc][order]
+        first = np.flatnonzero(np.diff(rr, prepend=-1))
+        rr, exact, found = rr[first], exact[first], found[first]
+        better = (exact > best[rr]) | ((exact == best[rr]) & (found < who[rr]))
+        best[rr[better]], who[rr[better]] = exact[better], found[better]
+
+
 def _met(x: np.ndarray, classes: dict[int, tuple[np.ndarray, np.ndarray]], same_length: bool) -> tuple[np.ndarray, np.ndarray]:
     best, who = np.full(len(x), -np.inf), np.zeros(len(x), np.int64)
     for n, (ids, g) in classes.items():
@@ -101,7 +107,7 @@ def best_matches(
     indexed one by one; `key` must then be unique.
     """
     spark = rows.sparkSession
-    ship(spark)
+    small_batches(spark)
     tagged = None
     for name, g in galleries.items():
         one = g.select(F.lit(name).alias("_of"), "_g", "_id")
@@ -259,17 +265,18 @@ def _packs(rows: DataFrame, index: dict[int, Pivots], same_length: bool, again:
         return r[keep], b[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, pa.Array, pa.Array]] = []
-        count = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows_: list[tuple[pa.Array, pa.Array]] = []
+        pairs = count = size = 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            block = np.concatenate([b for b, _, _ in held])
-            keys, xs = (pa.concat_arrays([h[i] for h in held]) for i in (1, 2))
+            block, row = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            keys, xs = (pa.concat_arrays([r[i] for r in rows_]) for i in (0, 1))
             order = np.argsort(block, kind="stable")
             starts = np.flatnonzero(np.diff(block[order], prepend=-1))
             cuts = [(a, min(a + BLOCK, e)) for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(block)]) for a in range(s, e, BLOCK)]
             for a, e in cuts:
-                some = pa.array(order[a:e])
+                some = pa.array(row[order[a:e]])
                 ends = pa.array([0, e - a], pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block[order[a]]], pa.int64()), pa.ListArray.from_arrays(ends, keys.take(some)), pa.ListArray.from_arrays(ends, xs.take(some))], names=["_block", "_keys", "_xs"])
@@ -279,16 +286,21 @@ def _packs(rows: DataFrame, index: dict[int, Pivots], same_length: bool, again:
             for at, x in matrices(xs):
                 finite = np.isfinite(x).all(axis=1)
                 at, x = at[finite], x[finite]
-                if again:
-                    r, b = wanted(x, batch.column(2).to_numpy(zero_copy_only=False)[at], batch.column(3).to_numpy(zero_copy_only=False)[at])
-                else:
-                    r, b = wanted(x, None, None)
-                if len(r):
-                    held.append((b, keys.take(pa.array(at[r])), xs.take(pa.array(at[r]))))
-                    count += len(r)
-            if count >= HELD:
-                yield from flushed()
-                held, count = [], 0
+                # a few rows at once: a row may be wanted by every block
+                for low in range(0, len(at), BLOCK):
+                    few, part = at[low : low + BLOCK], x[low : low + BLOCK]
+                    if again:
+                        r, b = wanted(part, batch.column(2).to_numpy(zero_copy_only=False)[few], batch.column(3).to_numpy(zero_copy_only=False)[few])
+                    else:
+                        r, b = wanted(part, None, None)
+                    if not len(r):
+                        continue
+                    held.append((b, r + count))
+                    rows_.append((keys.take(pa.array(few)), xs.take(pa.array(few))))
+                    pairs, count, size = pairs + len(r), count + len(few), size + part.nbytes
+                    if pairs >= HELD or size >= HELD_BYTES:
+                        yield from flushed()
+                        held, rows_, pairs, count, size = [], [], 0, 0, 0
         if held:
             yield from flushed()
 

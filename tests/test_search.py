@@ -1,5 +1,7 @@
 """Gallery search by blocks and by the index, against all pairs."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +81,30 @@ def test_rows_go_only_to_blocks_that_can_win(spark, monkeypatch):
     met = search._against(search._packs(rows, index, False, False), blocks, "bigint")
     copies = search._packs(met.select("_key", "_x", "_block", "_score"), index, False, True).agg(F.sum(F.size("_keys"))).first()[0] or 0
     assert met.count() == 400 and copies <= 400 * blocks.count() / 4
+
+
+def test_products_take_no_more_memory_for_larger_batches():
+    rng = np.random.default_rng(3)
+    x, g = rng.normal(size=(20_000, 16)), rng.normal(size=(3_000, 16))
+    x[5], g[7] = np.inf, g[2_500]
+    tracemalloc.start()
+    score, who = search.dots(x, g, np.arange(len(g)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    for i in [*range(4), *range(6, 60), *range(19_950, 20_000)]:
+        every = (x[i] * g).sum(axis=1)
+        assert who[i] == every.argmax() and score[i] == every.max()
+    assert np.isneginf(score[5])
+
+
+def test_packs_of_rows_that_many_blocks_want(spark, monkeypatch):
+    monkeypatch.setattr(search, "HELD", 40)
+    monkeypatch.setattr(search, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    x, g = rng.normal(size=(150, 6)), rng.normal(size=(200, 6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").coalesce(1)
+    gallery = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(g)], "id long, embedding array<double>")
+    found = {r.id: r["_b"] for r in search.best_matches(rows, {"_b": search.distinct_vectors(gallery, "embedding", "id")}, "id", gallery_bytes=0).collect()}
+    assert {k: v.id for k, v in found.items()} == dict(enumerate((x @ g.T).argmax(axis=1).tolist()))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
