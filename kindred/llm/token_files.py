@@ -33,6 +33,8 @@ _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _RUN = r"([!-&(-/:-@\[-`{-~]+)"
 #: Bytes of texts that are split at once; a longer text is cut at spaces.
 _AT_ONCE = 1 << 20
+#: For token files: the more at once, the fewer words are looked up again.
+_FILE_AT_ONCE = 4 << 20
 
 
 class WordIds:
@@ -44,14 +46,14 @@ class WordIds:
     those tokens' ids.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 600_000, at_once: int = _AT_ONCE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.merges = Merges.of_file(path)
         self.special = tuple(t.content for t in self.model.get_added_tokens_decoder().values())
-        self.most, self.cache = most, {"": b""}
+        self.most, self.at_once, self.cache = most, at_once, {"": b""}
 
     def encode(self, texts: list[str | None] | pa.Array, end_id: int) -> list[np.ndarray]:
         """The ids of each text with `end_id` after them; null counts as empty."""
@@ -60,10 +62,10 @@ class WordIds:
         sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
         out, low, end = [], 0, np.array([end_id], np.int32)
         while low < len(column):
-            high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), _AT_ONCE, "right")))
+            high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low:]), self.at_once, "right")))
             part = column.slice(low, high - low)
-            if high == low + 1 and sizes[low] > _AT_ONCE:
-                out.append(np.concatenate([*(self._encoded(pa.array([x], pa.string()))[0] for x in _cut(part[0].as_py())), end]))
+            if high == low + 1 and sizes[low] > self.at_once:
+                out.append(np.concatenate([*(self._encoded(pa.array([x], pa.string()))[0] for x in _cut(part[0].as_py(), self.at_once)), end]))
             else:
                 out += [np.concatenate((ids, end)) for ids in self._encoded(part)]
             low = high
@@ -87,7 +89,7 @@ class WordIds:
         ids = np.frombuffer(b"".join(found), np.int32)
         n = np.fromiter(map(len, found), np.int32, len(found)) // 4
         word = coded.indices.to_numpy()
-        # 32 bits hold all places, as _AT_ONCE bytes have fewer ids
+        # 32 bits hold all places, as so many bytes have fewer ids
         counts, first = n[word], (np.cumsum(n, dtype=np.int32) - n)[word]
         stops = np.cumsum(counts, dtype=np.int32)
         every = ids[np.repeat(first - (stops - counts), counts) + np.arange(stops[-1] if len(stops) else 0, dtype=np.int32)]
@@ -122,19 +124,19 @@ class WordIds:
         return [array("i", e.ids).tobytes() for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
-def _cut(text: str) -> Iterator[str]:
+def _cut(text: str, at_once: int) -> Iterator[str]:
     """A long text in parts that end before a space or line break."""
     edge, at = re.compile("[ \n]"), 0
     while at < len(text):
-        found = edge.search(text, at + _AT_ONCE)
+        found = edge.search(text, at + at_once)
         end = found.start() if found else len(text)
         yield text[at:end]
         at = end
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str, most: int = 600_000) -> WordIds:
-    return WordIds(path, most)
+def word_ids(path: str, most: int = 600_000, at_once: int = _AT_ONCE) -> WordIds:
+    return WordIds(path, most, at_once)
 
 
 def default_tokenizer() -> str:
@@ -161,7 +163,7 @@ def write_token_files(
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "_text", F.spark_partition_id().alias("_part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = word_ids(model_path)
+        model = word_ids(model_path, at_once=_FILE_AT_ONCE)
         names, ids, n, seq, part = [], [], 0, 0, 0
 
         def segment() -> pa.RecordBatch:

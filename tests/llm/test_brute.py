@@ -454,6 +454,25 @@ def test_range_coder_round_trip():
         range_coder.write_segment([1], [np.array([70_000], np.int32)])
 
 
+def test_range_coder_learns_a_segments_ids():
+    # a block alone is too short to learn the ids' frequencies, so their counts are the segment's
+    rng = np.random.default_rng(2)
+    for n in (1, 63, 65, 3000, 300_000):
+        ids = [rng.choice(49_000, 500).astype(np.int32)[rng.integers(0, 500, n)]]
+        raw = range_coder.write_segment([7], ids, lanes=600)
+        names, out = range_coder.read_segment(raw)
+        assert names == [7] and (out[0] == ids[0]).all()
+    assert len(raw) < 1.1 * n * np.log2(500) / 8
+    # every id once, a run, and a block of one id that outweighs all
+    for case in (np.arange(65_536), np.repeat(np.arange(9), 1000), np.append(np.zeros(200_000), 65_535)):
+        assert (range_coder.read_segment(range_coder.write_segment([7], [case.astype(np.int32)], lanes=50))[1][0] == case).all()
+    for at in (50, 60):  # in the counts
+        spoiled = bytearray(raw)
+        spoiled[at] ^= 1
+        with pytest.raises(ValueError):
+            range_coder.read_segment(bytes(spoiled))
+
+
 def test_token_files(spark, data, texts):
     model = Tokenizer.from_file(token_files.default_tokenizer())
     found = {r.doc_id: r for r in token_files.op10_token_files(spark, data).collect()}
