@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import shared_folder
 from ._common import checked_broadcast, cut, running_total, small_batches, table
-from .token_files import default_tokenizer, word_ids
+from .token_files import WordIds, default_tokenizer, word_ids
 
 #: Tokens of a window.
 WINDOW = 2048
@@ -130,6 +130,37 @@ def plan(histogram: np.ndarray, window: int) -> tuple[list[tuple[int, int, int,
     return rows, sequences
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], model: WordIds, part: int, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    seq, ranks = 0, [0] * (window + 1)
+    for batch in batches:
+        names, texts = batch.column(0), batch.column(1)
+        for low in range(0, len(texts), 256):
+            where, starts, lengths, totals, crcs, rank = [], [], [], [], [], []
+            got = model.encode(texts.slice(low, 256), end_id)
+            data = np.concatenate(got).astype("<u4", copy=False).view(np.uint8)
+            at = 0
+            for i, n in enumerate(map(len, got)):
+                for start in range(0, n, window):
+                    length = min(window, n - start)
+                    where.append(low + i)
+                    starts.append(start)
+                    lengths.append(length)
+                    totals.append(n)
+                    crcs.append(zlib.crc32(data[at : at + 4 * length]))
+                    at += 4 * length
+                    rank.append(ranks[length])
+                    ranks[length] += 1
+            m = len(where)
+            # pieces follow each other in `data`. pa.array of memoryviews would never free their bytes (seen with pyarrow 23.0.1)
+            ends = np.concatenate(([0], np.cumsum(np.array(lengths, np.int64) * 4))).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(m, part, np.int32)), pa.array(np.arange(seq, seq + m)), names.take(pa.array(where, pa.int64())), pa.array(starts, pa.int64()),
+                 pa.array(lengths, pa.int32()), pa.array(totals, pa.int64()), pa.array(crcs, pa.int64()), pa.array(rank, pa.int64()), ids],
+                names=["part", "seq", "doc_id", "start", "length", "doc_tokens", "ids_crc32", "rank", "ids"])
+            seq += m
+
+
 def token_pieces(docs: DataFrame, window: int, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
     """The ids of each text and `end_id`, cut into windows and a rest: part, seq and rank, doc_id, start, length, doc_tokens, ids_crc32, ids.
 
@@ -138,30 +169,7 @@ def token_pieces(docs: DataFrame, window: int, id_col: str, text_col: str, token
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part, seq, ranks = word_ids(tokenizer, CACHE), TaskContext.get().partitionId(), 0, [0] * (window + 1)
-        for batch in batches:
-            names, texts = batch.column(0), batch.column(1)
-            for low in range(0, len(texts), 256):
-                where, starts, lengths, totals, crcs, rank, ids = [], [], [], [], [], [], []
-                for i, got in enumerate(model.encode(texts.slice(low, 256), end_id)):
-                    data, n = memoryview(got.astype("<u4", copy=False).tobytes()), len(got)
-                    for at in range(0, n, window):
-                        length = min(window, n - at)
-                        some = data[4 * at : 4 * (at + length)]
-                        where.append(low + i)
-                        starts.append(at)
-                        lengths.append(length)
-                        totals.append(n)
-                        crcs.append(zlib.crc32(some))
-                        rank.append(ranks[length])
-                        ranks[length] += 1
-                        ids.append(some)
-                m = len(where)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, part, np.int32)), pa.array(np.arange(seq, seq + m)), names.take(pa.array(where, pa.int64())), pa.array(starts, pa.int64()),
-                     pa.array(lengths, pa.int32()), pa.array(totals, pa.int64()), pa.array(crcs, pa.int64()), pa.array(rank, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["part", "seq", "doc_id", "start", "length", "doc_tokens", "ids_crc32", "rank", "ids"])
-                seq += m
+        return _pieces(batches, word_ids(tokenizer, CACHE), TaskContext.get().partitionId(), window, end_id)
 
     schema = f"part int, seq long, doc_id {kind}, start long, length int, doc_tokens long, ids_crc32 long, rank long, ids binary"
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, schema)

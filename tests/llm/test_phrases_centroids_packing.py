@@ -3,15 +3,17 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from kindred.llm import centroids, collocations, packing
+from kindred.llm import centroids, collocations, packing, token_files
 
 PIECES, WORDS = re.compile(r"[.,;:!?\x0A-\x0D]"), re.compile(r"[^\x20\x09]+")
 
@@ -160,6 +162,24 @@ def test_packing_is_whole(spark, data, library, monkeypatch, few):
         assert not few or zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
 
 
+def test_pieces_leave_no_memory_behind():
+    # a worker serves many tasks: ids of pieces that were handed on must be freed
+    model = token_files.WordIds(token_files.default_tokenizer(), 1000)
+    texts = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": ["some words, again " * 700] * 300})
+
+    def held():
+        rows = sum(batch.num_rows for batch in packing._pieces(iter([texts]), model, 0, 2048, 1))
+        return rows, tracemalloc.get_traced_memory()[0]
+
+    tracemalloc.start()
+    try:
+        held()
+        rows, before = held()
+        assert held() == (rows, pytest.approx(before, abs=1 << 20)) and rows == 600
+    finally:
+        tracemalloc.stop()
+
+
 def test_packed_sequences_hold_the_ids(spark, library):
     docs = spark.createDataFrame([(i, "one two three " * i) for i in range(40)], "doc_id long, text string")
     rows = packing.packed_sequences(docs, window=64).collect()
