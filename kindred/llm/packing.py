@@ -23,7 +23,9 @@ WINDOW = 2048
 #: Passes of the solver over all combinations at most.
 PASSES = 200
 #: Chunks whose ids a task's tokenizer keeps; about 200 bytes each.
-CACHE = 150_000
+CACHE = 600_000
+#: Bytes of texts that are split into chunks at once; the more, the fewer chunks are looked up again.
+AT_ONCE = 4 << 20
 #: Bytes of rows that a task holds before it writes them.
 _ROW_GROUP = 16 << 20
 #: Cut pieces whose keys are broadcast at most; those of more meet their ids by a shuffle.
@@ -134,9 +136,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], model: WordIds, part: int, window
     seq, ranks = 0, [0] * (window + 1)
     for batch in batches:
         names, texts = batch.column(0), batch.column(1)
-        for low in range(0, len(texts), 256):
+        for low in range(0, len(texts), 1024):
             where, starts, lengths, totals, crcs, rank = [], [], [], [], [], []
-            got = model.encode(texts.slice(low, 256), end_id)
+            got = model.encode(texts.slice(low, 1024), end_id)
             data = np.concatenate(got).astype("<u4", copy=False).view(np.uint8)
             at = 0
             for i, n in enumerate(map(len, got)):
@@ -169,7 +171,7 @@ def token_pieces(docs: DataFrame, window: int, id_col: str, text_col: str, token
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _pieces(batches, word_ids(tokenizer, CACHE), TaskContext.get().partitionId(), window, end_id)
+        return _pieces(batches, word_ids(tokenizer, CACHE, AT_ONCE), TaskContext.get().partitionId(), window, end_id)
 
     schema = f"part int, seq long, doc_id {kind}, start long, length int, doc_tokens long, ids_crc32 long, rank long, ids binary"
     return docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, schema)
