@@ -22,7 +22,9 @@ BLOCK_WORDS = 1 << 20
 _SLICE = 1 << 20
 #: Words before a block's own that it knows, so that a phrase may begin in the block before.
 _BEFORE = 3
-#: Keys of frequent phrases (two longs each) that are broadcast at most; with more, lists and phrases are joined by a shuffle.
+#: Blocks' worth of words whose phrases one task counts at once.
+_PART_BLOCKS = 4
+#: Phrases (two longs and a count each) that are broadcast at most, and four times the words; with more, the join shuffles.
 BROADCAST_PHRASES = 1_000_000
 #: Phrases (some 100 bytes of counts and ids each) that are broadcast at most to those one word longer; with more, they are shuffled.
 BROADCAST_PARTS = 400_000
@@ -181,33 +183,93 @@ def _bundled(lists: DataFrame, rows: int = 100_000) -> DataFrame:
     return lists.select("block", "id", "at").mapInArrow(run, "block long, n int, m int, ids binary, sizes binary, steps binary")
 
 
-def extend(lists: DataFrame) -> DataFrame:
-    """block, a, b, n, at: phrases one word longer than those of `lists` (block, id, at), by a merge join within each block.
+def _kept(rows: list[dict], parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, sizes and steps of a block's bundles; where ids were given after counting, of the frequent lists alone."""
+    told = {r["part"]: r for r in rows if r["steps"] is None}
+    for r in rows:
+        if r["steps"] is not None and (r["ids"] is not None or r["part"] in told):
+            sizes, steps = _loosened(r["sizes"], r["n"], "<i4"), _loosened(r["steps"], r["m"], "<i4")
+            if r["ids"] is not None:
+                yield np.cumsum(_loosened(r["ids"], r["n"], "<i8")), sizes, steps
+            else:
+                t = told[r["part"]]
+                kept = np.unpackbits(np.frombuffer(t["kept"], np.uint8), count=r["n"]).astype(bool)
+                yield _loosened(t["ids"], t["n"], "<i8") * parts + r["part"], sizes[kept], steps[np.repeat(kept, sizes)]
+
+
+def extend(bundles: DataFrame, parts: int, last: bool = False) -> DataFrame:
+    """Phrases one word longer than those of `bundles`, by a merge join within each block: block, part, n, m, a, b, own, sizes, steps.
 
     A position is that of a phrase's last word. Where a list of phrase a has a position and a list of phrase b, of the same length,
     has the next one, the two overlap in all but one word and make a phrase of a's words and b's last. A block's lists, which
-    BLOCK_WORDS bounds, are merged in order of position; neighbours that are adjacent join.
+    BLOCK_WORDS bounds, are merged in order of position; neighbours that are adjacent join. Phrases are dealt to parts by a + b, so
+    that b is known from its quotient; `own` has the number of own positions of each list. The `last` ones go without lists.
     """
 
     def run(group: pa.Table) -> pa.Table:
-        parts = [(np.cumsum(_loosened(r["ids"], r["n"], "<i8")), _loosened(r["sizes"], r["n"], "<i4"), _loosened(r["steps"], r["m"], "<i4")) for r in group.to_pylist()]
-        ids, sizes, steps = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        row, at, first = np.repeat(np.arange(len(ids)), sizes), np.cumsum(steps, dtype=np.int64), np.cumsum(sizes) - sizes
+        found = list(_kept(group.to_pylist(), parts))
+        ids, sizes, steps = (np.concatenate([x[i] for x in found] or [np.zeros(0, np.int64)]) for i in range(3))
+        names, order = np.unique(ids, return_inverse=True)
+        row, at, first = np.repeat(order, sizes), np.cumsum(steps, dtype=np.int64), np.cumsum(sizes) - sizes
         at -= np.repeat(at[first] - steps[first], sizes)
         order = np.argsort(at, kind="stable")
         at, row = at[order], row[order]
         near = np.flatnonzero(at[1:] == at[:-1] + 1)
         left, right, at = row[near], row[near + 1], at[near + 1]
-        key = left * len(ids) + right
+        key = ((names[left] + names[right]) % parts * len(names) + left) * len(names) + right
         order = np.argsort(key, kind="stable")
         key, left, right, at = key[order], left[order], right[order], at[order]
-        starts = np.flatnonzero(np.diff(key, prepend=-1)).astype(np.int32)
-        keys = [pa.array(ids[left[starts]]), pa.array(ids[right[starts]])]
-        made = list(_packed(group.column("block")[0].as_py(), keys, ["a", "b"], starts, at, 1 << 30))
-        kind = pa.schema([("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("at", pa.list_(pa.int32()))])
-        return pa.Table.from_batches(made, made[0].schema) if made else kind.empty_table()
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        a, b = names[left[starts]], names[right[starts]]
+        part, ends = (a + b) % parts, np.append(starts[1:], len(at))
+        own, sizes = np.add.reduceat(at >= _BEFORE, starts, dtype=np.int64) if len(starts) else starts, ends - starts
+        steps = np.diff(at, prepend=0)
+        steps[starts] = at[starts]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        out = []
+        for x, y in zip(cuts, [*cuts[1:], len(part)]):
+            u, v = int(starts[x]), int(ends[y - 1])
+            lists = (None, None) if last else (_squeezed(sizes[x:y], "<i4"), _squeezed(steps[u:v], "<i4"))
+            out.append((group.column("block")[0].as_py(), int(part[x]), y - x, v - u, _squeezed(np.diff(a[x:y], prepend=0), "<i8"), _squeezed(b[x:y] // parts, "<i8"), _squeezed(own[x:y], "<i4"), *lists))
+        kinds = dict(block=pa.int64(), part=pa.int64(), n=pa.int32(), m=pa.int32()) | dict.fromkeys(("a", "b", "own", "sizes", "steps"), pa.binary())
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds.values())], list(kinds))
+
+    return bundles.groupBy("block").applyInArrow(run, "block long, part long, n int, m int, a binary, b binary, own binary, sizes binary, steps binary")
+
+
+def _counted(bundles: DataFrame, parts: int, least: int, last: bool) -> DataFrame:
+    """Rows of two kinds: a part's frequent phrases (id, a, b, f; block is null), and which of a bundle's lists are theirs (n, kept, ids).
+
+    Lists stay behind: of a phrase, however frequent, a part gets one number a block. The most frequent phrases have the smallest ids.
+    """
 
-    return _bundled(lists).groupBy("block").applyInArrow(run, "block long, a long, b long, n int, at array<int>")
+    def run(group: pa.Table) -> pa.Table:
+        rows, part = group.to_pylist(), group.column("part")[0].as_py()
+        a = np.concatenate([np.cumsum(_loosened(r["a"], r["n"], "<i8")) for r in rows])
+        b = np.concatenate([_loosened(r["b"], r["n"], "<i8") for r in rows]) * parts + (part - a) % parts
+        own = np.concatenate([_loosened(r["own"], r["n"], "<i4") for r in rows])
+        order = np.argsort(a << 32 | b, kind="stable") if max(a.max(), b.max()) < 1 << 31 else np.lexsort((b, a))
+        a, b = a[order], b[order]
+        starts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        f = np.add.reduceat(own[order], starts, dtype=np.int64)
+        best = np.argsort(-f, kind="stable")[: np.count_nonzero(f >= least)]
+        rank = np.full(len(f), -1)
+        rank[best] = np.arange(len(best))
+        of = np.empty(len(a), np.int64)
+        of[order] = np.repeat(rank, np.diff(starts, append=len(a)))
+        out, at = [], 0
+        for r in [] if last else rows:
+            ids, at = of[at : at + r["n"]], at + r["n"]
+            kept = ids >= 0
+            if kept.any():
+                out.append((r["block"], part, int(kept.sum()), np.packbits(kept).tobytes(), _squeezed(ids[kept], "<i8"), None, None, None, None))
+        if len(best):
+            out.append((None, part, len(best), None, None, np.arange(len(best)) * parts + part, a[starts[best]], b[starts[best]], f[best]))
+        kinds = dict(block=pa.int64(), part=pa.int64(), n=pa.int32(), kept=pa.binary(), ids=pa.binary()) | dict.fromkeys(("id", "a", "b", "f"), pa.list_(pa.int64()))
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds.values())], list(kinds))
+
+    return bundles.select("block", "part", "n", "a", "b", "own").groupBy("part").applyInArrow(
+        run, "block long, part long, n int, kept binary, ids binary, id array<long>, a array<long>, b array<long>, f array<long>")
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
@@ -222,39 +284,48 @@ def frequent_phrases(
 
     Phrases have id (its own among those of a size), lang, size, w (ids of words), f, a and b (ids of the phrases without the last and the
     first word), heads and tails (occurrences of the first and last 1, 2, ... words); words have id and word. A list's length is its
-    phrase's number of occurrences in the block, so sums of lengths are exact; only lists of frequent phrases are sent on to be
-    extended. Lists are tables in the shared folder, each deleted when the next is written.
+    phrase's number of occurrences in the block, so sums of lengths are exact. Phrases of a level are counted by part, from bundles of
+    keys and lengths; a block's bundles of lists then meet what the parts tell of them, and those of frequent phrases are extended.
+    Both are tables in the shared folder, each deleted when the next is written.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     top = os.path.join(shared_folder(spark), f"collocations-{uuid.uuid4().hex}")
     lists = _written(word_lists(docs, text_col, lang_col, block_words), f"{top}/1")
     totals = cut(lists.groupBy("lang").agg(F.sum("n").alias("n")))
-    size, key, most = 1, ["lang", "word"], BROADCAST_PHRASES // 4
-    every = words = known = None
-    while True:
-        counted = cut(lists.groupBy(*key).agg(F.sum("n").alias("f")).filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()))
-        if size == 1:
-            words, count = counted, F.array("f")
-            known = counted.select("id", "lang", F.array("id").alias("w"), count.alias("heads"), count.alias("tails"))
-        else:
-            left = known.select(F.col("id").alias("a"), "lang", F.col("w").alias("_head"), "heads")
-            right = known.select(F.col("id").alias("b"), F.element_at("w", -1).alias("_last"), "tails")
-            left, right = (checked_broadcast(x, n, BROADCAST_PARTS) for x in (left, right))
-            known = cut(counted.join(left, "a").join(right, "b").select(
-                "id", "lang", F.lit(size).alias("size"), F.concat("_head", F.array("_last")).alias("w"), "f", "a", "b",
-                F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails")))
-            every = known if every is None else every.unionByName(known)
-        if size == longest:
-            remove(spark, top)
-            return every, words.select("id", "word"), totals
-        n = counted.count()
-        met = lists.join(checked_broadcast(counted.select("id", *key), n, most), key)
-        # past the bound the join deals by phrase; a block's lists are brought together before they are bundled
-        met = met if n <= most else met.sortWithinPartitions("block")
-        lists = _written(extend(met), f"{top}/{size + 1}")
-        remove(spark, f"{top}/{size}")
-        size, key, most = size + 1, ["a", "b"], BROADCAST_PHRASES
+    parts = -(-(totals.agg(F.sum("n")).first()[0] or 1) // (_PART_BLOCKS * block_words))
+    counted = lists.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    counted = cut(counted.sortWithinPartitions(F.desc("f")).withColumn("id", F.monotonically_increasing_id()))
+    # small ids for frequent words: the place in the partition counts first, then the partition
+    n, last = counted.agg(F.count("*"), F.max(F.shiftright("id", 33))).first()
+    words = counted.withColumn("id", F.col("id").bitwiseAND((1 << 33) - 1) * ((last or 0) + 1) + F.shiftright("id", 33))
+    known = words.select("id", "lang", F.array("id").alias("w"), F.array("f").alias("heads"), F.array("f").alias("tails"))
+    most = BROADCAST_PHRASES // 4
+    met = lists.join(checked_broadcast(words.select("id", "lang", "word"), n, most), ["lang", "word"])
+    # past the bound the join deals by word; a block's lists are brought together before they are bundled
+    bundles, every = _bundled(met if n <= most else met.sortWithinPartitions("block")), None
+    nothing = F.lit(None)
+    bundles = bundles.select("block", nothing.cast("long").alias("part"), "n", "m", "ids", "sizes", "steps", nothing.cast("binary").alias("kept"))
+    for size in range(2, longest + 1):
+        lists = extend(bundles, parts, size == longest)
+        if size < longest:
+            lists = _written(lists, f"{top}/{size}")
+            for used in (f"{size - 1}", f"told{size - 1}"):
+                remove(spark, f"{top}/{used}")
+        told = _written(_counted(lists, parts, least, size == longest), f"{top}/told{size}")
+        counted = told.filter("block is null").select(F.inline(F.arrays_zip("id", "a", "b", "f")))
+        left = known.select(F.col("id").alias("a"), "lang", F.col("w").alias("_head"), "heads")
+        right = known.select(F.col("id").alias("b"), F.element_at("w", -1).alias("_last"), "tails")
+        left, right = (checked_broadcast(x, n, BROADCAST_PARTS) for x in (left, right))
+        known = cut(counted.join(left, "a").join(right, "b").select(
+            "id", "lang", F.lit(size).alias("size"), F.concat("_head", F.array("_last")).alias("w"), "f", "a", "b",
+            F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails")))
+        n = known.count()
+        every = known if every is None else every.unionByName(known)
+        bundles = lists.select("block", "part", "n", "m", nothing.cast("binary").alias("ids"), "sizes", "steps", nothing.cast("binary").alias("kept")).unionByName(
+            told.filter("block is not null").select("block", "part", "n", nothing.cast("int").alias("m"), "ids", nothing.cast("binary").alias("sizes"), nothing.cast("binary").alias("steps"), "kept"))
+    remove(spark, top)
+    return every, words.select("id", "word"), totals
 
 
 def _score(a: Column, l: Column, r: Column) -> Column:

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kindred.llm import centroids, collocations, packing, token_files
@@ -66,6 +67,50 @@ def test_phrases_of_nothing(spark):
     assert as_rows(collocations.collocations(spark.createDataFrame([("x y " * 30, "en")], "text string, lang string"))) == mined([("x y " * 30, "en")], 30, 2000)
 
 
+def shuffled(spark, run):
+    """Rows and bytes of each stage's shuffle writes while it runs."""
+    jvm = spark.sparkContext._jvm
+    stages = lambda: {x.stageId(): (x.shuffleWriteRecords(), x.shuffleWriteBytes()) for x in list(
+        jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)))}
+    before = stages()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return [v for k, v in stages().items() if k not in before]
+
+
+def test_phrases_are_shuffled_in_bundles(spark):
+    # nearly every pair of words is rare and of its own: a row each would be 80,000 rows for the first level alone
+    rng = random.Random(8)
+    texts = [(" ".join(f"w{rng.randrange(1500)}" for _ in range(400)), "en") for _ in range(200)]
+    docs = spark.createDataFrame(texts, "text string, lang string").repartition(4)
+    moved = shuffled(spark, lambda: collocations.frequent_phrases(docs)[0].count())
+    assert max(rows for rows, _ in moved) < 10_000 and sum(b for _, b in moved) < 1_000_000
+
+
+@pytest.mark.parametrize("away", [0, 1 << 40])
+def test_parts_count_and_tell(spark, away):
+    # blocks of words with large ids and few; told lists are those of frequent phrases, with their positions
+    rng = np.random.default_rng(4)
+    blocks = [rng.integers(0, 6, 90) for _ in range(5)]
+    rows = [(k, int(w) + away, np.diff(np.flatnonzero(x == w) + 3, prepend=0).tolist()) for k, x in enumerate(blocks) for w in np.unique(x)]
+    bundles = collocations._bundled(spark.createDataFrame(rows, "block long, id long, at array<int>"))
+    lists = collocations.extend(bundles.selectExpr("block", "cast(null as long) part", "n", "m", "ids", "sizes", "steps", "cast(null as binary) kept"), 4)
+    told = collocations._counted(lists, 4, 12, False).cache()
+    want = Counter((int(a) + away, int(b) + away) for x in blocks for a, b in zip(x, x[1:]))
+    found = told.filter("block is null").selectExpr("inline(arrays_zip(id, a, b, f))").collect()
+    assert {(r.a, r.b): r.f for r in found} == {k: f for k, f in want.items() if f >= 12} and len({r.id for r in found}) == len(found) > 5
+    named = {r.id: (r.a - away, r.b - away) for r in found}
+    for k, x in enumerate(blocks):
+        of = lists.filter(f"block = {k}").withColumn("kept", F.lit(None).cast("binary")).withColumn("ids", F.lit(None).cast("binary"))
+        told_of = told.filter(f"block = {k}").select("block", "part", "n", "kept", "ids")
+        seen = [r.asDict() for r in of.unionByName(told_of, allowMissingColumns=True).collect()]
+        have = set()
+        for ids, sizes, steps in collocations._kept(seen, 4):
+            for i, at in zip(ids.tolist(), np.split(steps, np.cumsum(sizes)[:-1])):
+                have |= {(named[i], p) for p in np.cumsum(at).tolist()}
+        assert have == {((int(a), int(b)), i + 4) for i, (a, b) in enumerate(zip(x, x[1:])) if (int(a), int(b)) in named.values()}
+
+
 def clustered(rows, k=8, rounds=10):
     kept = [(i, [int(np.floor(1024.0 * float(x))) for x in v]) for i, v in rows if v is not None and len(v) == 64 and all(x is not None and np.isfinite(x) for x in v)]
     order = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"3:{r[0]}".encode()).hexdigest(), r[1]))
